@@ -5,18 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam, mixing, secrets
 from .runtime import table
 from .setsketch import near_duplicates
 
 
+def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source: weights 5, 2, 1 in turn, at most 3 epochs."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of 13 words in all documents."""
+    return decontam.digest(decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13))
+
+
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
 
-QUERIES = {"op10_setsketch_dedup": op10_setsketch_dedup}
+QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op3_source_mix, op5_fm_index_decontamination, op10_setsketch_dedup)}
+
+
+def _secrets_oracle() -> str:
+    """Spans by what stands between matches, as lists in DuckDB."""
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    cols, parts = [], []
+    for no, r in enumerate(rules):
+        p = r.pattern.replace("'", "''")
+        cols += [f"regexp_extract_all(t, '{p}') AS m{no}", f"regexp_extract_all(t, '{p}', {r.group}) AS g{no}", f"string_split_regex(t, '{p}') AS b{no}"]
+        at = f"list_sum(list_transform(b{no}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{no}[1:i - 1], lambda x: length(x))), 0)"
+        parts.append(
+            f"list_transform(list_filter(range(1, len(m{no}) + 1), lambda i: length(g{no}[i]) >= {r.least}), "
+            f"lambda i: {{'s': CAST({at} AS BIGINT), 'n': {no}, 'e': CAST({at} + length(m{no}[i]) AS BIGINT), 'k': '{r.kind}'}})"
+        )
+    text = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    base = "list_filter(a, lambda x: x.n < 3)"
+    counts = ", ".join(f"CAST(len(list_filter(a, lambda x: x.n = {no})) AS BIGINT) AS n_{r.kind}" for no, r in enumerate(secrets.BASE_RULES))
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(cols)} FROM d), "
+        f"s AS (SELECT doc_id, list_sort({' || '.join(parts)}) AS a FROM m) "
+        f"SELECT doc_id, {counts}, sha256(coalesce({text.format(base)}, '')) AS base_sha256, coalesce({text.format('a')}, '') AS spans FROM s"
+    )
+
 
 ORACLES = {
+    "op1_trigram_secrets": _secrets_oracle(),
+    "op3_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
+      / (coalesce(CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / greatest(length(text), 1), 0.0) + 0.1) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w, 3 * source_size AS lim FROM s),
+r AS (SELECT *, sum(source_size) OVER () AS total,
+  coalesce(sum(lim) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM w),
+f AS (SELECT *, (total - spent) * w > lim * rest AS at_limit FROM r),
+t AS (SELECT source, source_size, CASE WHEN at_limit THEN CAST(lim AS DOUBLE) ELSE
+  CAST((total - coalesce(sum(CASE WHEN at_limit THEN lim END) OVER (), 0)) * w AS DOUBLE) / coalesce(sum(CASE WHEN NOT at_limit THEN w END) OVER (), 1) END AS target FROM f),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+x AS (SELECT doc_id, size, source_size, target, epochs, CAST(floor(target - epochs * source_size) AS BIGINT) AS budget,
+  sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(budget - before, size)) AS BIGINT) AS taken FROM x
+""",
+    "op5_fm_index_decontamination": r"""
+WITH l AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents, l),
+i AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark, l),
+p AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM
+  (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS k FROM i WHERE len(ws) > 0)),
+n AS (SELECT DISTINCT n FROM p),
+g AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, n)),
+h AS (SELECT doc_id, k, g.n, item_id FROM g JOIN p ON g.g = p.g AND g.n = p.n),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+""",
     "op10_setsketch_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
