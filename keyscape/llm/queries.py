@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, secrets
+from . import decontam, langid, mixing, quality, secrets
 from .runtime import table
 from .setsketch import near_duplicates
 
@@ -15,6 +15,18 @@ def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def _fold(parts: int):
+    """The doc_id's fold, by which labels are held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts))
+
+
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those of folds 0, 1 and 3."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(_fold(4) != 2))
+    return langid.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source: weights 5, 2, 1 in turn, at most 3 epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -25,12 +37,19 @@ def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13))
 
 
+def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learnt from labels of folds 0 and 2."""
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").filter(_fold(3) != 1))
+    return quality.score(docs, weights).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op3_source_mix, op5_fm_index_decontamination, op10_setsketch_dedup)}
+QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op5_fm_index_decontamination, op7_ftrl_quality, op10_setsketch_dedup)}
 
 
 def _secrets_oracle() -> str:
