@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, secrets
+from . import decontam, embed_dedup, langid, mixing, quality, secrets
 from .runtime import table
 from .setsketch import near_duplicates
 
@@ -32,6 +32,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_kmeans_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings: cosine of 0.9 or more."""
+    return embed_dedup.near_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of 13 words in all documents."""
     return decontam.digest(decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13))
@@ -49,7 +54,7 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op5_fm_index_decontamination, op7_ftrl_quality, op10_setsketch_dedup)}
+QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op7_ftrl_quality, op10_setsketch_dedup)}
 
 
 def _secrets_oracle() -> str:
@@ -95,6 +100,14 @@ x AS (SELECT doc_id, size, source_size, target, epochs, CAST(floor(target - epoc
   sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(budget - before, size)) AS BIGINT) AS taken FROM x
+""",
+    "op4_kmeans_embedding_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+t(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, t.root FROM t JOIN p ON p.a = t.vec_id)
+SELECT vec_id, CAST(coalesce(any_value(n_links), 0) AS BIGINT) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM t LEFT JOIN n ON n.a = t.vec_id GROUP BY vec_id
 """,
     "op5_fm_index_decontamination": r"""
 WITH l AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),

@@ -6,9 +6,9 @@ import os
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -57,8 +57,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
 
 def text_buffer(column: pa.Array):
     """(bytes of all texts, row offsets) of a string column without a copy; a null has no bytes."""
-    import numpy as np
-
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     elif pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -73,6 +71,24 @@ def text_buffer(column: pa.Array):
     return flat, ends - ends[0]
 
 
-def with_columns_hidden(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator reads, so that extra columns can't clash with its own."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows of each key, from batches sorted by key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            now = tuple(c[lo] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .components import connected_components
-from .runtime import checkpoint, prepare, slices, text_buffer
+from .runtime import checkpoint, prepare, slices, sorted_groups, text_buffer
 
 U = np.uint64
 #: Register base: neighbouring register values differ by this factor of the minimum.
 BASE = 1.2
 #: Registers hold 0..255; 1 stands for a minimum near BASE**OFFSET.
 OFFSET = 40
+#: Ids of documents with a likely partner are broadcast up to this number; more are joined by a shuffle of the texts.
+BROADCAST_DOCUMENTS = 100_000
 
 
 def sketch(rows: np.ndarray, values: np.ndarray, n_rows: int, registers: int = 128) -> np.ndarray:
@@ -58,7 +60,7 @@ def _sides(share: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.clip(-np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE), 1e-9, 1)
 
 
-_GRID = np.linspace(0.005, 0.995, 100)
+_GRID = np.linspace(0.025, 0.975, 39)
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -84,6 +86,21 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
     return best - at < 16
 
 
+def _near(regs_a, size_a, regs_b, size_b, num: int, den: int) -> np.ndarray:
+    """Pairs of two lists that may be linked: by size, by the number of equal registers, then by likelihood."""
+    m, j = regs_a.shape[1], num / den
+    share = np.linspace(j / (1 + j), 0.5, 20)
+    p = float(np.min(1 - _sides(share, j) - _sides(1 - share, j)))
+    least = m * p - 6 * np.sqrt(m * p * (1 - p)) - 1
+    out = np.zeros((len(regs_a), len(regs_b)), bool)
+    for k in range(len(regs_a)):
+        c = np.flatnonzero(den * np.minimum(size_a[k], size_b) >= num * np.maximum(size_a[k], size_b))
+        c = c[(regs_b[c] == regs_a[k]).sum(1) >= least]
+        if len(c):
+            out[k, c] = may_reach(regs_a[k], regs_b[c], size_a[k], size_b[c], j)
+    return out
+
+
 def _sets(batch_text: pa.Array, width: int):
     data, ends = text_buffer(batch_text)
     start, stop, first = w.words(data, ends, w.SPACED)
@@ -121,16 +138,14 @@ def _candidate_groups(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     Central is who sits in the fullest buckets over all bands. Two documents that share
     a bucket share its hub, so the groups by hub hold every proposed pair.
     """
-    keys = reps.select(
-        "doc_id",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * rows + 1, F.lit(rows))))).alias("band", "key"),
-    )
-    full = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    inside = checkpoint(keys.join(full, ["band", "key"]).select("doc_id", "band", "key", "n"))
+    band = lambda b: F.xxhash64(b, F.substring("registers", b * rows + 1, F.lit(rows)))
+    keys = reps.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
+    full = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    inside = checkpoint(keys.join(full, "key").select("doc_id", "key", "n"))
     central = inside.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    ranked = inside.join(central, "doc_id")
-    hubs = ranked.groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("neg"))).alias("best")).select("band", "key", (-F.col("best.neg")).alias("hub"))
-    return inside.join(hubs, ["band", "key"]).select("hub", F.col("doc_id").alias("member")).distinct()
+    best = F.max(F.struct("score", (-F.col("doc_id")).alias("neg")))
+    hubs = inside.join(central, "doc_id").groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.neg")).alias("hub"))
+    return inside.join(hubs, "key").select("hub", F.col("doc_id").alias("member")).distinct()
 
 
 def _intersections(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -183,35 +198,12 @@ def _links(ids_a, sets_a, ids_b, sets_b, num: int, den: int, mask) -> list[tuple
     return [(x, find(x)) for x in root]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows of each key, from batches sorted by key."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            now = tuple(c[lo] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _block_links(width: int, num: int, den: int):
     """Confirmed links inside each sorted (hub, i, j) block; side 0 and 1 are the two lists, or all rows have side 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
-        for group in _groups(batches, ["hub", "i", "j"]):
+        for group in sorted_groups(batches, ["hub", "i", "j"]):
             if group.num_rows < 2:
                 continue
             ids = group.column("member").to_numpy()
@@ -223,12 +215,7 @@ def _block_links(width: int, num: int, den: int):
             b = np.flatnonzero(side == 1) if two else a
             if not len(a):
                 continue
-            near = np.zeros((len(a), len(b)), bool)
-            for k, i in enumerate(a):
-                near[k] = (den * np.minimum(size[i], size[b]) >= num * np.maximum(size[i], size[b])) & (ids[b] != ids[i])
-                if near[k].any():
-                    c = np.flatnonzero(near[k])
-                    near[k, c] = may_reach(regs[i], regs[b[c]], size[i], size[b[c]], num / den)
+            near = _near(regs[a], size[a], regs[b], size[b], num, den) & (ids[a][:, None] != ids[b][None, :])
             ka, kb = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
             if not len(ka):
                 continue
@@ -246,6 +233,21 @@ def _block_links(width: int, num: int, den: int):
     return run
 
 
+def _survivors(num: int, den: int):
+    """(hub, member) of the sorted groups by hub whose registers come near those of another member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["hub"]):
+            size = group.column("n_shingles").to_numpy()
+            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(len(size), -1)
+            near = _near(regs, size, regs, size, num, den)
+            np.fill_diagonal(near, False)
+            kept = group.filter(pa.array(near.any(1))).select(["hub", "member"]).combine_chunks()
+            yield from kept.to_batches()
+
+    return run
+
+
 def _confirm(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (src, dst) among rows (hub, i, j, side, member, n_shingles, registers, text)."""
     dealt = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member")
@@ -253,7 +255,7 @@ def _confirm(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4, block: int = 256
+    docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 28, rows: int = 5, block: int = 256, sketch_block: int = 2048
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs(doc_id, text).
 
@@ -272,7 +274,8 @@ def near_duplicates(
     Equal sets are merged first. A group by hub of more than `block` documents is dealt
     out in blocks: inside a block all pairs are decided, between blocks those of
     documents that aren't already linked to the hub. No pair is written out; each
-    block returns a spanning forest.
+    block returns a spanning forest. Before any text moves, members of groups of up to
+    `sketch_block` documents whose registers come near no other member's leave.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -288,9 +291,17 @@ def near_duplicates(
     reps = checkpoint(classes)
     pairs = checkpoint(_candidate_groups(reps, bands, rows))
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("size"))
+    sized = pairs.join(sizes, "hub")
+    looked = sized.filter(F.col("size") <= sketch_block).join(reps.select(F.col("doc_id").alias("member"), "registers", "n_shingles"), "member")
+    looked = looked.repartition("hub").sortWithinPartitions("hub", "member").mapInArrow(_survivors(num, den), "hub long, member long")
+    pairs = checkpoint(looked.unionByName(sized.filter(F.col("size") > sketch_block).select("hub", "member")))
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("size"))
     members = pairs.join(sizes, "hub").select("hub", "member", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     # one text for each member: the copies of a set agree on its words
     wanted = reps.select("doc_id", "text_key").join(members.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = checkpoint(wanted)
+    if wanted.count() <= BROADCAST_DOCUMENTS:
+        wanted = F.broadcast(wanted)
     texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).drop("text_key")
     full = (
         members.join(texts, members["member"] == texts["doc_id"]).drop("doc_id")
