@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, mixing, quality, secrets
+from . import decontam, embed_dedup, langid, mixing, pii, quality, secrets
 from .runtime import table
 from .setsketch import near_duplicates
 
@@ -42,6 +42,11 @@ def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13))
 
 
+def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
+
+
 def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents, learnt from labels of folds 0 and 2."""
     docs = table(spark, sf_dir, "documents")
@@ -54,7 +59,7 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op7_ftrl_quality, op10_setsketch_dedup)}
+QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op6_crf_pii, op7_ftrl_quality, op10_setsketch_dedup)}
 
 
 def _secrets_oracle() -> str:
