@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, mixing, pii, quality, secrets
+from . import chat, decontam, embed_dedup, langid, mixing, pii, quality, secrets, tokencount
 from .runtime import table
 from .setsketch import near_duplicates
 
@@ -54,12 +54,27 @@ def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that speaks in control strings, formatted and read back."""
+    odd = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(odd)
+    return chat.digest(chat.read_back(chat.format_turns(turns)))
+
+
+def op9_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, counted between end-of-document ids of flat token files."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op6_crf_pii, op7_ftrl_quality, op10_setsketch_dedup)}
+QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op6_crf_pii, op7_ftrl_quality, op8_fingerprint_chat, op9_separator_token_counts, op10_setsketch_dedup)}
 
 
 def _secrets_oracle() -> str:
@@ -128,6 +143,17 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CA
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+""",
+    "op8_fingerprint_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (SELECT *, length(regexp_replace(replace(t, '\', '\\'), '(<<SYS>>|<</SYS>>|\[/?INST\]|</?s>|\[/?ROLE\])', '\\\1', 'g'))
+  + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 17 + length(base64(encode(role))) END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
 """,
     "op10_setsketch_dedup": r"""
 WITH RECURSIVE w AS (
