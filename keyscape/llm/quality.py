@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, bits: int
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known.drop("r"), "doc_id")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known.drop("r")), "doc_id")  # 2 * per_label rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
