@@ -38,7 +38,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut by rows so that the text of each holds about `max_bytes` (or one longer row)."""
     for batch in batches:
         if not batch.num_rows:

@@ -22,16 +22,17 @@ from .components import connected_components
 from .runtime import checkpoint, prepare, slices, sorted_groups, text_buffer
 
 U = np.uint64
-#: Register base: neighbouring register values differ by this factor of the minimum.
-BASE = 1.2
-#: Registers hold 0..255; 1 stands for a minimum near BASE**OFFSET.
-OFFSET = 40
+#: Register base: neighbouring register values differ by this factor of the minimum. With a
+#: coarse base unrelated sets' registers agree often enough for bands to collide.
+BASE = 1.001
+#: Registers hold 0..65535; 1 stands for a minimum near BASE**OFFSET.
+OFFSET = 4000
 #: Ids of documents with a likely partner are broadcast up to this number; more are joined by a shuffle of the texts.
 BROADCAST_DOCUMENTS = 100_000
 
 
 def sketch(rows: np.ndarray, values: np.ndarray, n_rows: int, registers: int = 128) -> np.ndarray:
-    """(n_rows, registers) uint8 sketches of the sets {values[rows == r]}; an empty set has zeros.
+    """(n_rows, registers) uint16 sketches of the sets {values[rows == r]}; an empty set has zeros.
 
     Every element draws the points of a Poisson process of rate `registers`, each
     point falling on a random register, so that each register sees a rate-1 process
@@ -51,7 +52,7 @@ def sketch(rows: np.ndarray, values: np.ndarray, n_rows: int, registers: int = 1
             go = at < most[row]
             row, seed, at = row[go], seed[go], at[go]
         out = np.floor(1 - np.log(least) / np.log(BASE)) + OFFSET
-    return np.clip(np.nan_to_num(out, neginf=0), 0, 255).astype(np.uint8).reshape(n_rows, registers)
+    return np.clip(np.nan_to_num(out, neginf=0), 0, 65535).astype(np.uint16).reshape(n_rows, registers)
 
 
 def _sides(share: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -138,7 +139,7 @@ def _candidate_groups(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     Central is who sits in the fullest buckets over all bands. Two documents that share
     a bucket share its hub, so the groups by hub hold every proposed pair.
     """
-    band = lambda b: F.xxhash64(b, F.substring("registers", b * rows + 1, F.lit(rows)))
+    band = lambda b: F.xxhash64(b, F.substring("registers", b * (2 * rows) + 1, F.lit(2 * rows)))
     keys = reps.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     inside = checkpoint(keys.join(full, "key").select("doc_id", "key", "n"))
@@ -209,7 +210,7 @@ def _block_links(width: int, num: int, den: int):
             ids = group.column("member").to_numpy()
             side = group.column("side").to_numpy()
             size = group.column("n_shingles").to_numpy()
-            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(len(ids), -1)
+            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
             a = np.flatnonzero(side == 0)
             two = bool((side == 1).any())
             b = np.flatnonzero(side == 1) if two else a
@@ -220,8 +221,11 @@ def _block_links(width: int, num: int, den: int):
             if not len(ka):
                 continue
             used = np.union1d(a[ka], b[kb])
-            rows, values, cut = _sets(group.column("text").take(pa.array(used)).combine_chunks(), width)
-            sets = {r: values[cut[k] : cut[k + 1]] for k, r in enumerate(used)}
+            sets, done = {}, 0
+            for part in slices(iter(group.select(["text"]).take(pa.array(used)).combine_chunks().to_batches()), "text"):
+                _, values, cut = _sets(part.column("text"), width)
+                sets |= {used[done + k]: values[cut[k] : cut[k + 1]] for k in range(part.num_rows)}
+                done += part.num_rows
             for x, y in _links([int(ids[i]) for i in a[ka]], [sets[i] for i in a[ka]], [int(ids[i]) for i in b[kb]], [sets[i] for i in b[kb]], num, den, near[np.ix_(ka, kb)]):
                 src.append(x)
                 dst.append(y)
@@ -239,7 +243,7 @@ def _survivors(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["hub"]):
             size = group.column("n_shingles").to_numpy()
-            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(len(size), -1)
+            regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(size), -1)
             near = _near(regs, size, regs, size, num, den)
             np.fill_diagonal(near, False)
             kept = group.filter(pa.array(near.any(1))).select(["hub", "member"]).combine_chunks()
