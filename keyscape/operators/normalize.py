@@ -222,13 +222,13 @@ _UPPER_JSON = "Key string, Size bigint, ETag string, LastModified string, Storag
 _LOWER_JSON = "key string, type string, size bigint, etag string, last_modified string, storage_class string"
 _CAMEL_JSON = "key string, type string, size bigint, etag string, lastModified string, storageClass string"
 _LSJSON = "Path string, Size bigint, ModTime string, IsDir boolean, Tier string"
-_PAGE = "Contents array<struct<Key:string,Size:bigint,ETag:string,LastModified:string,StorageClass:string>>, CommonPrefixes array<struct<Prefix:string>>"
+PAGE_SCHEMA = "Contents array<struct<Key:string,Size:bigint,ETag:string,LastModified:string,StorageClass:string>>, CommonPrefixes array<struct<Prefix:string>>"
 _NOTHING = lambda df: df.filter(F.lit(False))
 
 FORMATS: dict[str, Format] = {
     "tsv5": Format("N1", "lines", _five_tabbed),
-    "contents": Format("N2", "rows", _contents, lambda df: df.select(F.explode("Contents").alias("c")), _PAGE),
-    "common_prefixes": Format("N3", "rows", lambda p: {"key": F.col("c.Prefix")}, lambda df: df.select(F.explode("CommonPrefixes").alias("c")), _PAGE),
+    "contents": Format("N2", "rows", _contents, lambda df: df.select(F.explode("Contents").alias("c")), PAGE_SCHEMA),
+    "common_prefixes": Format("N3", "rows", lambda p: {"key": F.col("c.Prefix")}, lambda df: df.select(F.explode("CommonPrefixes").alias("c")), PAGE_SCHEMA),
     "ls": Format("N4", "lines", _ls_fields, lambda df: df.filter(_ls(V)[0] != "")),
     "ls_level": Format("N5", "lines", _ls_level, lambda df: df.filter((_PRE != "") | (_ls(V)[0] != ""))),
     "yaml_pages": Format("N6", "lines", _yaml_fields, _yaml_pages),
