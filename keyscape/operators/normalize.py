@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from keyscape.functions.listing import FIELDS, awk_fields, field, rest, tabbed, unquoted, whole_seconds, zulu
 
-V = F.col("value")
+def _v() -> Column:
+    return F.col("value")
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,12 @@ def _ls(value: Column) -> list[Column]:
 
 
 def _ls_fields(prefix: Column) -> dict[str, Column]:
-    day, time, size, key = _ls(V)
+    day, time, size, key = _ls(_v())
     return {"key": key, "size": size, "mtime": F.concat(day, F.lit("T"), time, F.lit("Z"))}
 
 
-_PRE = F.regexp_extract(V, r"(?d)^ *PRE (.*)\z", 1)
+def _pre() -> Column:
+    return F.regexp_extract(_v(), r"(?d)^ *PRE (.*)\z", 1)
 
 
 def _directory(prefix: Column) -> Column:
@@ -49,27 +51,27 @@ def _directory(prefix: Column) -> Column:
 
 
 def _ls_level(prefix: Column) -> dict[str, Column]:
-    day, time, size, key = _ls(V)
-    rolled = _PRE != ""
+    day, time, size, key = _ls(_v())
+    rolled = _pre() != ""
     return {
-        "key": F.concat(_directory(prefix), F.when(rolled, _PRE).otherwise(key)), "size": F.when(~rolled, size),
+        "key": F.concat(_directory(prefix), F.when(rolled, _pre()).otherwise(key)), "size": F.when(~rolled, size),
         "mtime": F.when(~rolled, F.concat(day, F.lit("T"), time, F.lit("Z"))),
     }
 
 
 def _five_tabbed(prefix: Column) -> dict[str, Column]:
-    f = tabbed(V)
+    f = tabbed(_v())
     return {"key": field(f, 1), "size": field(f, 2), "etag": unquoted(field(f, 3)), "mtime": zulu(field(f, 4)), "storage_class": field(f, 5)}
 
 
 def _six_tabbed(prefix: Column) -> dict[str, Column]:
-    f = tabbed(V)
+    f = tabbed(_v())
     empty = lambda c: F.nullif(c, F.lit(""))
     return {"key": field(f, 1), "size": field(f, 2), "etag": empty(field(f, 4)), "mtime": whole_seconds(field(f, 3)), "storage_class": empty(field(f, 5))}
 
 
 def _last_tabbed(prefix: Column) -> dict[str, Column]:
-    f = tabbed(V)
+    f = tabbed(_v())
     mark = field(f, 2)
     stored = ~mark.isin("PRE", "DELETE")
     return {
@@ -78,16 +80,17 @@ def _last_tabbed(prefix: Column) -> dict[str, Column]:
     }
 
 
-_ALIGNED = (F.trim(F.substring(V, 1, 25)), F.trim(F.substring(V, 28, 14)), F.expr("substring(value, 44)"))
+def _aligned_parts() -> tuple[Column, Column, Column]:
+    return (F.trim(F.substring(_v(), 1, 25)), F.trim(F.substring(_v(), 28, 14)), F.expr("substring(value, 44)"))
 
 
 def _aligned(prefix: Column) -> dict[str, Column]:
-    date, mark, key = _ALIGNED
+    date, mark, key = _aligned_parts()
     return {"key": key, "size": F.when(mark != "PRE", mark), "mtime": F.when(mark != "PRE", date)}
 
 
 def _objects(prefix: Column) -> dict[str, Column]:
-    f = tabbed(V)
+    f = tabbed(_v())
     at = F.split(F.trim(F.expr("substring(split(value, '\t', -1)[0], 9)")), "[ \t]+", -1)
     return {
         "key": F.regexp_replace(rest(f, 3, sep="\t"), r"\A ", ""), "size": F.replace(field(f, 2), F.lit(" "), F.lit("")),
@@ -110,12 +113,13 @@ def _path_level(prefix: Column) -> dict[str, Column]:
 
 
 _URL = "substring(value, locate('s3://', value) + 5)"
-_URL_KEY = F.expr(f"substring({_URL}, locate('/', {_URL}) + 1)")
+def _url_key() -> Column:
+    return F.expr(f"substring({_URL}, locate('/', {_URL}) + 1)")
 
 
 def _url_lines(prefix: Column) -> dict[str, Column]:
     gutter = F.element_at(awk_fields(F.expr("substring(value, 1, locate('s3://', value) - 1)")), -1)
-    return {"key": _URL_KEY, "size": F.when(gutter != "DIR", F.nullif(gutter, F.lit("")))}
+    return {"key": _url_key(), "size": F.when(gutter != "DIR", F.nullif(gutter, F.lit("")))}
 
 
 _BUCKET = r"\As3://[^/]*/"
@@ -124,7 +128,7 @@ _ALIAS = r"\A[^/]*/[^/]*/"
 
 def _spaced(last: Callable[[Column], Column] | None = None) -> Callable[[Column], dict[str, Column]]:
     def fields(prefix: Column) -> dict[str, Column]:
-        f = awk_fields(V)
+        f = awk_fields(_v())
         stop = last(f) if last else None
         return {
             "key": F.concat(prefix, rest(f, 6, stop)), "size": field(f, 5), "etag": unquoted(field(f, 4)),
@@ -135,14 +139,14 @@ def _spaced(last: Callable[[Column], Column] | None = None) -> Callable[[Column]
 
 
 def _spaced_level(prefix: Column) -> dict[str, Column]:
-    f = awk_fields(V)
+    f = awk_fields(_v())
     stored = field(f, 1) != "DIR"
     out = {k: F.when(stored, c) for k, c in _spaced()(prefix).items()}
     return out | {"key": F.concat(prefix, F.when(stored, rest(f, 6)).otherwise(rest(f, 2)))}
 
 
 def _not_dir(df: DataFrame) -> DataFrame:
-    return df.filter((F.trim(V) != "") & (field(awk_fields(V), 1) != "DIR"))
+    return df.filter((F.trim(_v()) != "") & (field(awk_fields(_v()), 1) != "DIR"))
 
 
 def _folder_json(prefix: Column) -> dict[str, Column]:
@@ -167,8 +171,8 @@ _BRACKETED = r"(?d)^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) UTC\]\s*(\S+)(.*)\z"
 
 
 def _bracketed(prefix: Column) -> dict[str, Column]:
-    time = F.regexp_extract(V, _BRACKETED, 1)
-    tail = F.regexp_replace(F.regexp_extract(V, _BRACKETED, 3), r"\A ", "")
+    time = F.regexp_extract(_v(), _BRACKETED, 1)
+    tail = F.regexp_replace(F.regexp_extract(_v(), _BRACKETED, 3), r"\A ", "")
     word = F.substring_index(tail, " ", 1)
     tagged = tail.contains(" ") & word.isin(*STORAGE_CLASSES)
     key = F.concat(F.regexp_replace(prefix, r"\A/", ""), F.when(tagged, F.regexp_replace(tail, r"(?s)\A[^ ]* ", "")).otherwise(tail))
@@ -196,14 +200,14 @@ def _yaml_pages(df: DataFrame) -> DataFrame:
     Items begin at `- Key-like` lines of the list's indentation; a running count
     inside each file numbers them, and their fields are gathered by that number.
     """
-    section = F.regexp_extract(V, r"^(?:- |  )?([A-Za-z]+):", 1)
-    top = V.rlike(r"^(- |  )?[A-Za-z]+:") | V.rlike("^---")
+    section = F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1)
+    top = _v().rlike(r"^(- |  )?[A-Za-z]+:") | _v().rlike("^---")
     order = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    now = df.withColumn("section", F.last(F.when(top, F.when(V.rlike("^---"), F.lit("")).otherwise(section)), ignorenulls=True).over(order))
-    begins = (F.col("section") == "Contents") & ~top & V.rlike(r"^\s*- ")
+    now = df.withColumn("section", F.last(F.when(top, F.when(_v().rlike("^---"), F.lit("")).otherwise(section)), ignorenulls=True).over(order))
+    begins = (F.col("section") == "Contents") & ~top & _v().rlike(r"^\s*- ")
     now = now.withColumn("item", F.sum(begins.cast("int")).over(order)).filter((F.col("section") == "Contents") & ~top)
     pair = r"^\s*(?:- )?\s*([A-Za-z]+):\s*(.*?)\s*$"
-    name, text = F.regexp_extract(V, pair, 1), F.regexp_replace(F.regexp_extract(V, pair, 2), r"""\A(['"])(.*)\1\z""", "$2")
+    name, text = F.regexp_extract(_v(), pair, 1), F.regexp_replace(F.regexp_extract(_v(), pair, 2), r"""\A(['"])(.*)\1\z""", "$2")
     pick = lambda k: F.max(F.when(name == k, text)).alias(k)
     return now.groupBy("file", "item").agg(*map(pick, ("Key", "Size", "ETag", "LastModified", "StorageClass")))
 
@@ -216,8 +220,8 @@ def _yaml_fields(prefix: Column) -> dict[str, Column]:
     }
 
 
-_nonempty = lambda df: df.filter(V != "")
-_KEY_ONLY = lambda c: (lambda prefix: {"key": c})
+_nonempty = lambda df: df.filter(_v() != "")
+_KEY_ONLY = lambda key: (lambda prefix: {"key": key()})
 _UPPER_JSON = "Key string, Size bigint, ETag string, LastModified string, StorageClass string"
 _LOWER_JSON = "key string, type string, size bigint, etag string, last_modified string, storage_class string"
 _CAMEL_JSON = "key string, type string, size bigint, etag string, lastModified string, storageClass string"
@@ -229,14 +233,14 @@ FORMATS: dict[str, Format] = {
     "tsv5": Format("N1", "lines", _five_tabbed),
     "contents": Format("N2", "rows", _contents, lambda df: df.select(F.explode("Contents").alias("c")), PAGE_SCHEMA),
     "common_prefixes": Format("N3", "rows", lambda p: {"key": F.col("c.Prefix")}, lambda df: df.select(F.explode("CommonPrefixes").alias("c")), PAGE_SCHEMA),
-    "ls": Format("N4", "lines", _ls_fields, lambda df: df.filter(_ls(V)[0] != "")),
-    "ls_level": Format("N5", "lines", _ls_level, lambda df: df.filter((_PRE != "") | (_ls(V)[0] != ""))),
+    "ls": Format("N4", "lines", _ls_fields, lambda df: df.filter(_ls(_v())[0] != "")),
+    "ls_level": Format("N5", "lines", _ls_level, lambda df: df.filter((_pre() != "") | (_ls(_v())[0] != ""))),
     "yaml_pages": Format("N6", "lines", _yaml_fields, _yaml_pages),
-    "tsv6": Format("N7", "lines", _six_tabbed, lambda df: df.filter((V != "") & F.coalesce(field(tabbed(V), 6), F.lit("")).isin("", "OBJECT"))),
+    "tsv6": Format("N7", "lines", _six_tabbed, lambda df: df.filter((_v() != "") & F.coalesce(field(tabbed(_v()), 6), F.lit("")).isin("", "OBJECT"))),
     "sink_json": Format("N8", "json", _sink_rows, lambda df: df.filter(F.coalesce("row_type", F.lit("OBJECT")) == "OBJECT"), "key string, size bigint, last_modified string, etag string, storage_class string, row_type string"),
     "table": Format(
-        "N9", "lines", lambda p: {"key": F.expr("substring(value, 43)"), "size": F.trim(F.substring(V, 1, 14)), "mtime": F.trim(F.substring(V, 17, 24))},
-        lambda df: df.filter((F.expr("substring(value, 43)") != "") & ~F.trim(F.substring(V, 1, 14)).isin("", "-", "PRE")),
+        "N9", "lines", lambda p: {"key": F.expr("substring(value, 43)"), "size": F.trim(F.substring(_v(), 1, 14)), "mtime": F.trim(F.substring(_v(), 17, 24))},
+        lambda df: df.filter((F.expr("substring(value, 43)") != "") & ~F.trim(F.substring(_v(), 1, 14)).isin("", "-", "PRE")),
     ),
     "sink_parquet": Format(
         "N10", "rows",
@@ -244,18 +248,18 @@ FORMATS: dict[str, Format] = {
         lambda df: df.filter(F.coalesce("row_type", F.lit("OBJECT")) == "OBJECT"),
     ),
     "tsv_last": Format("N11", "lines", _last_tabbed, _nonempty),
-    "aligned": Format("N12", "lines", _aligned, lambda df: df.filter((F.length(V) >= 43) & (_ALIGNED[2] != "") & ((_ALIGNED[1] == "PRE") | ((_ALIGNED[0] != "") & (_ALIGNED[1] != ""))))),
+    "aligned": Format("N12", "lines", _aligned, lambda df: df.filter((F.length(_v()) >= 43) & (_aligned_parts()[2] != "") & ((_aligned_parts()[1] == "PRE") | ((_aligned_parts()[0] != "") & (_aligned_parts()[1] != ""))))),
     "key_json": Format("N13", "json", _key_or_prefix, schema=f"{_UPPER_JSON}, Prefix string"),
-    "keys": Format("N14", "lines", _KEY_ONLY(V), _nonempty),
-    "object_lines": Format("N15", "lines", _objects, lambda df: df.filter(V.startswith("Object: "))),
+    "keys": Format("N14", "lines", _KEY_ONLY(_v), _nonempty),
+    "object_lines": Format("N15", "lines", _objects, lambda df: df.filter(_v().startswith("Object: "))),
     "path_json": Format("N16", "json", _path_tier, schema=_LSJSON),
     "path_level": Format("N17", "json", _path_level, schema=_LSJSON),
-    "path_size": Format("N18", "lines", lambda p: {"key": F.concat(p, F.regexp_extract(V, r"(?s)\A(.*);", 1)), "size": F.regexp_extract(V, r"(?s);([^;]*)\z", 1)}, lambda df: df.filter(V.contains(";"))),
-    "url_lines": Format("N19", "lines", _url_lines, lambda df: df.filter((F.locate("s3://", V) > 0) & F.expr(f"locate('/', {_URL}) > 0") & (_URL_KEY != ""))),
+    "path_size": Format("N18", "lines", lambda p: {"key": F.concat(p, F.regexp_extract(_v(), r"(?s)\A(.*);", 1)), "size": F.regexp_extract(_v(), r"(?s);([^;]*)\z", 1)}, lambda df: df.filter(_v().contains(";"))),
+    "url_lines": Format("N19", "lines", _url_lines, lambda df: df.filter((F.locate("s3://", _v()) > 0) & F.expr(f"locate('/', {_URL}) > 0") & (_url_key() != ""))),
     "spaced": Format("N20", "lines", _spaced(), _not_dir),
     "spaced_versions": Format("N21", "lines", _spaced(lambda f: F.size(f) - 1), _not_dir),
-    "spaced_level": Format("N22", "lines", _spaced_level, lambda df: df.filter(F.trim(V) != "")),
-    "urls": Format("N23", "lines", _KEY_ONLY(F.regexp_replace(V, _BUCKET, "")), _nonempty),
+    "spaced_level": Format("N22", "lines", _spaced_level, lambda df: df.filter(F.trim(_v()) != "")),
+    "urls": Format("N23", "lines", _KEY_ONLY(lambda: F.regexp_replace(_v(), _BUCKET, "")), _nonempty),
     "url_json": Format(
         "N24", "json",
         lambda p: {"key": F.regexp_replace("key", _BUCKET, ""), "size": F.col("size").cast("string"), "etag": F.col("etag"), "mtime": F.col("last_modified"), "storage_class": F.col("storage_class")},
@@ -263,13 +267,13 @@ FORMATS: dict[str, Format] = {
     ),
     "folder_json": Format("N25", "json", _folder_json, schema=_CAMEL_JSON),
     "found_json": Format("N26", "json", _found_json, schema=_CAMEL_JSON),
-    "found": Format("N27", "lines", _KEY_ONLY(F.regexp_replace(V, _ALIAS, "")), lambda df: df.filter(~V.rlike(r"\A\s*\z"))),
-    "bracketed": Format("N28", "lines", _bracketed, lambda df: df.filter(V.rlike(_BRACKETED))),
-    "version_key": Format("N29", "lines", _KEY_ONLY(F.expr("substring(value, locate(' ', value) + 1)")), lambda df: df.filter(F.locate(" ", V) > 0)),
-    "long": Format("N30", "lines", lambda p: {"key": rest(awk_fields(V), 4)}, lambda df: df.filter((F.trim(V) != "") & (F.size(awk_fields(V)) >= 4))),
+    "found": Format("N27", "lines", _KEY_ONLY(lambda: F.regexp_replace(_v(), _ALIAS, "")), lambda df: df.filter(~_v().rlike(r"\A\s*\z"))),
+    "bracketed": Format("N28", "lines", _bracketed, lambda df: df.filter(_v().rlike(_BRACKETED))),
+    "version_key": Format("N29", "lines", _KEY_ONLY(lambda: F.expr("substring(value, locate(' ', value) + 1)")), lambda df: df.filter(F.locate(" ", _v()) > 0)),
+    "long": Format("N30", "lines", lambda p: {"key": rest(awk_fields(_v()), 4)}, lambda df: df.filter((F.trim(_v()) != "") & (F.size(awk_fields(_v())) >= 4))),
     "raw_json": Format("N31", "json", lambda p: {"key": F.col("Key"), "size": F.col("Size").cast("string"), "etag": unquoted(F.col("ETag")), "mtime": whole_seconds(F.col("LastModified")), "storage_class": F.col("StorageClass")}, schema=_UPPER_JSON),
     "epoch_parquet": Format("N32", "rows", lambda p: {"key": F.col("Key"), "size": F.col("Size").cast("string"), "etag": F.col("ETag"), "mtime": F.date_format(F.timestamp_seconds(F.col("LastModified").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'")}),
-    "totals": Format("N33", "lines", _KEY_ONLY(V), _NOTHING),
+    "totals": Format("N33", "lines", _KEY_ONLY(_v), _NOTHING),
 }
 
 
@@ -279,7 +283,7 @@ def _records(raw: DataFrame, fmt: str) -> tuple[Format, DataFrame]:
     form = FORMATS[fmt]
     if form.raw == "json" and "value" in raw.columns:
         kept = [c for c in raw.columns if c != "value"]
-        raw = raw.filter(V != "").select(*kept, F.from_json("value", form.schema, {"mode": "FAILFAST"}).alias("j")).select(*kept, "j.*")
+        raw = raw.filter(_v() != "").select(*kept, F.from_json("value", form.schema, {"mode": "FAILFAST"}).alias("j")).select(*kept, "j.*")
     return form, form.pick(raw)
 
 

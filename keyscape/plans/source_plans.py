@@ -86,17 +86,18 @@ def _tree(spark, d, name: str) -> str:
     return path
 
 
-_NATION = F.regexp_extract("p", r"nation=(\d+)", 1).cast("int")
+def _nation():
+    return F.regexp_extract("p", r"nation=(\d+)", 1).cast("int")
 
 
 def _evidence(spark, d):
     e = s.read_evidence(spark, _tree(spark, d, "s9"), "part-*")
-    return e.withColumn("p", F.col("prefix")).select(_NATION.alias("nation"), F.try_variant_get("doc", "$.n", "bigint").alias("n"), "sha256")
+    return e.withColumn("p", F.col("prefix")).select(_nation().alias("nation"), F.try_variant_get("doc", "$.n", "bigint").alias("n"), "sha256")
 
 
 def _receipts(spark, d):
     r = s.read_receipts(spark, f"{_tree(spark, d, 's10')}/*")
-    return r.withColumn("p", F.col("path")).select(_NATION.alias("nation"), F.element_at("kv", "n").alias("n"), F.element_at("kv", "url").alias("url"), F.element_at("kv", "last").alias("last"))
+    return r.withColumn("p", F.col("path")).select(_nation().alias("nation"), F.element_at("kv", "n").alias("n"), F.element_at("kv", "url").alias("url"), F.element_at("kv", "last").alias("last"))
 
 
 def _claims(spark, d):
@@ -112,7 +113,7 @@ def _claims(spark, d):
 
 def _inventory(spark, d):
     i = s.artifact_inventory(spark, _tree(spark, d, "s14")).filter("path like 'nation=%'")
-    return i.withColumn("p", F.col("path")).select(_NATION.alias("nation"), "sha256", "size")
+    return i.withColumn("p", F.col("path")).select(_nation().alias("nation"), "sha256", "size")
 
 
 def _sink(spark, d):
