@@ -47,16 +47,18 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     Runs of the pattern that spell out at most `most` strings give clauses; the
     run with the longest shortest string is taken.
     """
-    best: list[frozenset[str]] = []
+    Clauses = list[frozenset[str]]
 
-    def offer(strings: set[str]) -> None:
-        nonlocal best
-        clauses = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings]
-        if all(clauses) and (not best or min(map(len, clauses)) > min(map(len, best))):
-            best = clauses
+    def clauses(strings: set[str]) -> Clauses:
+        out = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in sorted(strings)]
+        return out if all(out) else []
 
-    def walk(items, strings: set[str]) -> set[str]:
-        """Strings that may stand right before the place reached; what is spelt out so far is offered when it ends."""
+    def better(a: Clauses, b: Clauses) -> Clauses:
+        return b if b and (not a or min(map(len, b)) > min(map(len, a))) else a
+
+    def walk(items, strings: set[str]) -> tuple[set[str], Clauses]:
+        """Strings that may stand right before the place reached, and the best query of what was spelt out before."""
+        best: Clauses = []
         for op, value in items:
             name = str(op)
             grown: set[str] | None = None
@@ -65,21 +67,26 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
             elif name == "IN" and all(str(k) == "LITERAL" for k, _ in value):
                 grown = {s + chr(c).lower() for s, (_, c) in product(strings, value)}
             elif name == "SUBPATTERN":
-                grown = walk(value[-1], strings)
+                grown, inner = walk(value[-1], strings)
+                best = better(best, inner)
             elif name == "BRANCH":
-                grown = set().union(*(walk(x, strings) for x in value[1]))
+                # a match takes one alternative: only what each of them demands, taken together, is sure
+                parts = [walk(x, strings) for x in value[1]]
+                each = [better(inner, clauses(tail)) for tail, inner in parts]
+                best = better(best, [c for e in each for c in e] if all(each) else [])
+                grown = set().union(*(tail for tail, _ in parts))
             elif name == "MAX_REPEAT" and value[1] == 1 and len(value[2]) == 1 and str(value[2][0][0]) == "LITERAL":
                 tail = chr(value[2][0][1]).lower()
                 grown = {s + tail for s in strings} | (strings if value[0] == 0 else set())
             if grown is None or len(grown) > most:
-                offer(strings)
+                best = better(best, clauses(strings))
                 strings = {""}
             else:
                 strings = grown
-        return strings
+        return strings, best
 
-    offer(walk(sre.parse(pattern), {""}))
-    return best or None
+    tail, best = walk(sre.parse(pattern), {""})
+    return better(best, clauses(tail)) or None
 
 
 def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
