@@ -81,6 +81,10 @@ def canonical_turns(records: DataFrame) -> DataFrame:
 _ARRAYS = ("messages", "conversations")
 
 
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
+
+
 def json_turns(records: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, layout) of records(conv_id, json), each in a layout of its own.
 
@@ -92,7 +96,7 @@ def json_turns(records: DataFrame) -> DataFrame:
     paths = F.coalesce(F.filter(F.json_object_keys(json), lambda k: ~k.isin(*_ARRAYS)), none)
     for a in _ARRAYS:
         inner = F.json_object_keys(F.get_json_object(json, f"$.{a}[0]"))
-        paths = F.concat(paths, F.coalesce(F.transform(inner, lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)), none))
+        paths = F.concat(paths, F.coalesce(_prefixed(inner, f"{a}[]."), none))
     known = F.array_sort(F.array_intersect(F.array_distinct(paths), F.array(*map(F.lit, sorted(_KNOWN)))))
     print_ = F.substring(F.sha2(F.array_join(known, "\n"), 256), 1, 16)
     fields = "struct<{}>".format(", ".join([
