@@ -44,14 +44,50 @@ def _sub(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant")
 
 
-def kind(v: Column, path: str) -> Column:
-    """The JSON type of a field: BOOLEAN, BIGINT, STRING, ... ; NULL where absent or null."""
+def _kind(v: Column, path: str) -> Column:
     s = F.schema_of_variant(_sub(v, path))
     return F.when(s != "VOID", F.regexp_extract(s, r"\A[A-Z]+", 0))
 
 
-def text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, f"$.{path}", "string")
+_ASKED = {
+    "kind": _kind, "text": lambda v, p: F.try_variant_get(v, f"$.{p}", "string"), "absent": lambda v, p: _sub(v, p).isNull(),
+    "long": lambda v, p: F.when(_kind(v, p) == "BIGINT", F.try_variant_get(v, f"$.{p}", "bigint")), "double": lambda v, p: F.try_variant_get(v, f"$.{p}", "double"),
+    "size": lambda v, p: F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")),
+    "fields": lambda v, p: F.transform(F.try_variant_get(v, f"$.{p}", "array<variant>"), lambda m: F.try_variant_get(m, "$.field", "string")),
+}
+
+
+class _Reader:
+    """Fields of evidence that rules ask for: at first they are noted, then read from a struct that holds each once."""
+
+    def __init__(self, v: Column, held: Column | None = None):
+        self.v, self.held, self.asked = v, held, {}
+
+    def ask(self, what: str, path: str) -> Column:
+        name = f"{what}_{path.replace('.', '_')}"
+        self.asked[name] = _ASKED[what](self.v, path)
+        return self.asked[name] if self.held is None else self.held[name]
+
+
+def _bind(v: Column, rules) -> Column:
+    """rules(reader), where each field is taken out of the variant once, however often rules ask for it."""
+    first = _Reader(v)
+    rules(first)
+    held = F.struct(*[c.alias(n) for n, c in first.asked.items()])
+    return F.get(F.transform(F.array(held), lambda h: rules(_Reader(v, h))), F.lit(0))
+
+
+def _ask(v: Column | _Reader, what: str, path: str) -> Column:
+    return v.ask(what, path) if isinstance(v, _Reader) else _ASKED[what](v, path)
+
+
+def kind(v: Column | _Reader, path: str) -> Column:
+    """The JSON type of a field: BOOLEAN, BIGINT, STRING, ... ; NULL where absent or null."""
+    return _ask(v, "kind", path)
+
+
+def text(v: Column | _Reader, path: str) -> Column:
+    return _ask(v, "text", path)
 
 
 def _is(v: Column, path: str, *kinds: str) -> Column:
@@ -63,7 +99,7 @@ def _is_int(v: Column, path: str) -> Column:
 
 
 def _long(v: Column, path: str) -> Column:
-    return F.when(_is_int(v, path), F.try_variant_get(v, f"$.{path}", "bigint"))
+    return _ask(v, "long", path)
 
 
 def _true(v: Column, path: str) -> Column:
@@ -112,12 +148,16 @@ def identity_errors(df: DataFrame) -> Column:
 
 def failed_subject(v: Column) -> Column:
     """Why evidence says nothing about a listing: the first rule that applies, or NULL."""
+    return _bind(v, _failed_subject)
+
+
+def _failed_subject(v: _Reader) -> Column:
     e, oom = "execution", "execution.cgroup.oom_kill_delta"
     rules = (
         (~_false(v, "timed_out"), "subject timed out"), (~_long(v, "exit_code").eqNullSafe(F.lit(0)), "subject exited"), (~_is(v, e, "OBJECT"), "no execution evidence"),
         (~_false(v, f"{e}.timed_out"), "execution timeout invalid"), (~_true(v, f"{e}.subreaper_enabled"), "no descendant supervision"),
         (~_true(v, f"{e}.process_tree_clean"), "live descendant"), (~_true(v, f"{e}.process_group_empty"), "process group not empty"), (~_true(v, f"{e}.descendants_empty"), "descendants not empty"),
-        (_sub(v, oom).isNull(), "no oom evidence"), (kind(v, oom).isNotNull() & ~(_is_int(v, oom) & (_long(v, oom) >= 0)), "oom evidence invalid"), (_long(v, oom) > 0, "oom kill"),
+        (_ask(v, "absent", oom), "no oom evidence"), (kind(v, oom).isNotNull() & ~(_is_int(v, oom) & (_long(v, oom) >= 0)), "oom evidence invalid"), (_long(v, oom) > 0, "oom kill"),
     )
     out = F.lit(None).cast("string")
     for cond, name in reversed(rules):
@@ -165,6 +205,10 @@ def _artifact(v: Column, at: str, optional: bool = False) -> list[Column]:
 
 def capture_errors(v: Column) -> Column:
     """What the evidence fails to say of its product, stdout and stderr; a product may replace stdout."""
+    return _bind(v, _capture_errors)
+
+
+def _capture_errors(v: _Reader) -> Column:
     product, none = kind(v, "product").isNotNull(), F.array().cast("array<string>")
     errors = [F.when(product, _names(*_artifact(v, "product", True))).otherwise(none), _names(F.when(kind(v, "product_error").isNotNull() & ~_is(v, "product_error", "STRING"), "product_error"))]
     for stem in ("stdout", "stderr"):
@@ -176,6 +220,10 @@ def capture_errors(v: Column) -> Column:
 
 def result_semantics(v: Column) -> Column:
     """Names of the fields of evidence that break its types, ranges or agreement."""
+    return _bind(v, _result_semantics)
+
+
+def _result_semantics(v: _Reader) -> Column:
     e = "execution"
     counted = _long(v, "exit_code").eqNullSafe(F.lit(0)) & _false(v, "timed_out") & kind(v, "product_error").isNull()
     rows = kind(v, "row_count").isNotNull()
@@ -190,7 +238,7 @@ def result_semantics(v: Column) -> Column:
     )
     rss, elapsed = _long(v, "max_rss_kb"), _long(v, f"{e}.elapsed_ns")
     number = _is(v, "wall_seconds", "BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
-    wall = F.try_variant_get(v, "$.wall_seconds", "double")
+    wall = _ask(v, "double", "wall_seconds")
     ran = _names(
         F.when(~F.coalesce((rss >= 0) & rss.eqNullSafe(_long(v, f"{e}.max_rss_kb")), F.lit(False)), "max_rss_kb"),
         F.when(~F.coalesce(elapsed >= 0, F.lit(False)), f"{e}.elapsed_ns"), F.when(~number, "wall_seconds"),
@@ -200,16 +248,19 @@ def result_semantics(v: Column) -> Column:
         *[F.when(kind(v, p).isNotNull() & ~(_is_int(v, p) & (_long(v, p) >= 0)), p) for p in (f"{e}.cgroup.oom_delta", f"{e}.cgroup.oom_kill_delta")],
     )
     tail = _names(F.when(counted & kind(v, "row_count_error").isNull() & ~rows, "row_count"), F.when(~counted & rows, "row_count"))
-    return F.when(kind(v, e).isNull(), F.concat(head, never_ran)).when(~_is(v, e, "OBJECT"), F.concat(head, F.array(F.lit(e)))).otherwise(F.concat(head, ran, capture_errors(v), tail))
+    return F.when(kind(v, e).isNull(), F.concat(head, never_ran)).when(~_is(v, e, "OBJECT"), F.concat(head, F.array(F.lit(e)))).otherwise(F.concat(head, ran, _capture_errors(v), tail))
 
 
 def verify_binding(df: DataFrame) -> Column:
     """Names of what `verification` fails to bind; the verdict is worked out again from its diff."""
-    v = F.col("verification")
+    return _bind(F.col("verification"), _verify_binding)
+
+
+def _verify_binding(v: _Reader) -> Column:
     lists = ("missing", "extra", "duplicates", "reference_duplicates", "mismatches")
     expected = {"attempt_id": F.col("attempt_id"), "tool": F.col("tool"), "mode": F.col("mode"), "actual_result_sha256": F.sha2("result_text", 256)}
-    n = {x: F.size(F.try_variant_get(v, f"$.diff.{x}", "array<variant>")) for x in lists}
-    fields = F.transform(F.try_variant_get(v, "$.diff.mismatches", "array<variant>"), lambda m: F.try_variant_get(m, "$.field", "string"))
+    n = {x: _ask(v, "size", f"diff.{x}") for x in lists}
+    fields = _ask(v, "fields", "diff.mismatches")
     hard = F.lit(False)
     for x in lists[:4]:
         hard |= n[x] > 0
@@ -261,7 +312,7 @@ def gap_table(subjects: DataFrame) -> DataFrame:
         .when(F.col("result").isNull(), "malformed").when(F.size(identity_errors(subjects)) > 0, "identity").when(failed_subject(F.col("result")).isNotNull(), "failed-subject")
     )
     codes = F.create_map(*[F.lit(x) for kv in GAP_EXIT_CODES.items() for x in kv])
-    return subjects.select("attempt_id", reason.alias("reason")).filter("reason is not null").withColumn("exit_code", F.element_at(codes, F.col("reason")))
+    return subjects.select("attempt_id", F.explode(F.array_compact(F.array(reason))).alias("reason")).withColumn("exit_code", F.element_at(codes, F.col("reason")))
 
 
 def rate_summary(attempts: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ _SLOT = {
     ),
     "awaiting": "CASE o_orderkey % 60 WHEN 20 THEN 't' || (o_custkey % 5) || '.c' || (o_custkey % 701) || '.s1' WHEN 40 THEN 'g' || (o_custkey % 3) || '/' || (o_orderkey - 20 - 80 * (o_orderkey % 2)) END",
     "disqualified": "CASE WHEN o_orderkey % 7 = 0 THEN '{\"t' || (o_custkey % 5) || '.c' || (o_custkey % 701) || '.s1\":\"gone\"}' END",
-    "state": "CASE o_orderkey % 100 WHEN 0 THEN 'ABANDONED' WHEN 20 THEN 'RESOLVED' ELSE 'BLOCKED' END", "became": "CAST(NULL AS STRING)",
+    "state": "CASE o_orderkey % 100 WHEN 0 THEN 'ABANDONED' WHEN 60 THEN 'RESOLVED' ELSE 'BLOCKED' END", "became": "CAST(NULL AS STRING)",
 }
 
 
@@ -112,10 +112,15 @@ def _report(spark, d) -> DataFrame:
     return e.report_rows(e.evidence_state(_bound(spark, d)), _modes(spark, d))
 
 
+def _once(df: DataFrame, c, name: str) -> DataFrame:
+    """(attempt_id, name) with c evaluated once: a filter on it isn't pushed below and doesn't repeat it."""
+    return df.select("attempt_id", F.explode(F.array(c)).alias(name))
+
+
 def _listed(errors):
     def query(spark, d):
         b = _bound(spark, d).filter("result is not null")
-        return b.select("attempt_id", F.array_join(errors(b), ",").alias("errors")).filter("errors <> ''")
+        return _once(b, F.array_join(errors(b), ","), "errors").filter("errors <> ''")
 
     return query
 
@@ -158,14 +163,14 @@ QUERIES = {
     "s12_load_pending": lambda s, d: _slots(s, d).select("group_id", "slot", "state", "producer", "awaiting", "valid"),
     "e1_roster": lambda s, d: e.roster(_attempts(s, d), _slots(s, d), "g1"),
     "e2_identity_errors": _listed(e.identity_errors),
-    "e3_failed_subject": lambda s, d: _bound(s, d).filter("result is not null").select("attempt_id", e.failed_subject(F.col("result")).alias("reason")).filter("reason is not null"),
+    "e3_failed_subject": lambda s, d: _once(_bound(s, d).filter("result is not null"), e.failed_subject(F.col("result")), "reason").filter("reason is not null"),
     "e4_artifact_binding": lambda s, d: e.artifact_binding(_recorded(s, d), _tree(s, d)),
     "e5_gap_table": lambda s, d: e.gap_table(_bound(s, d)),
     "e6_rate_summary": lambda s, d: e.rate_summary(_attempts(s, d)),
     "e7_result_binding": _listed(e.result_binding),
     "e8_result_semantics": _listed(lambda b: e.result_semantics(F.col("result"))),
     "e9_capture_errors": _listed(lambda b: e.capture_errors(F.col("result"))),
-    "e10_verify_binding": lambda s, d: (lambda b: b.select("attempt_id", F.array_join(e.verify_binding(b), ",").alias("errors")).filter("errors <> ''"))(_bound(s, d).filter("verification is not null and result is not null")),
+    "e10_verify_binding": lambda s, d: (lambda b: _once(b, F.array_join(e.verify_binding(b), ","), "errors").filter("errors <> ''"))(_bound(s, d).filter("verification is not null and result is not null")),
     "e11_evidence_state": lambda s, d: e.evidence_state(_bound(s, d)).select("attempt_id", "evidence_state"),
     "e12_report_rows": _report,
     "e13_preparation_cost": lambda s, d: e.preparation_cost(_attempts(s, d).select("attempt_id", "produced_by", "wall_seconds")),
