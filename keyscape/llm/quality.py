@@ -71,7 +71,6 @@ def train(rows: list[tuple[np.ndarray, int]], *, bits: int = 18, epochs: int = 3
         out = -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
         return np.where(np.abs(z[i]) <= l1, 0.0, out)
 
-    share = np.mean([y for _, y in rows]) if rows else 0.5
     for _ in range(epochs):
         for slots, y in rows:
             i = np.append(slots, size - 1)
@@ -79,25 +78,28 @@ def train(rows: list[tuple[np.ndarray, int]], *, bits: int = 18, epochs: int = 3
             x[-1] = 0.3
             now = weight(i)
             p = 1 / (1 + np.exp(-np.clip(now @ x, -35, 35)))
-            g = (p - y) * x * min(8.0, 0.5 / max(1e-3, share if y else 1 - share))
+            g = (p - y) * x
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - step * now
             n[i] += g * g
     return weight(np.arange(size)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, bits: int = 18, **options) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int = 32_768, bits: int = 18, **options) -> np.ndarray:
     """Weights fitted to docs(doc_id, text) with labels(doc_id, quality).
 
-    The sample's bound is `per_label` documents of each label, by a hash of the doc_id;
-    a document with contradicting labels counts by its smallest.
+    The sample's bound is `per_label` documents of each label, by a hash of the doc_id, and
+    `piece` characters of each, from a place by that hash where it is longer; a document
+    with contradicting labels counts by its smallest.
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known.drop("r")), "doc_id")  # 2 * per_label rows at most
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    place = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - piece, F.lit(1))) + 1).cast("int")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, place, F.lit(piece)).alias("text")).join(F.broadcast(known.drop("r")), "doc_id")  # 2 * per_label rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
