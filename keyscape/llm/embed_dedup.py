@@ -69,37 +69,48 @@ def _assign(vectors: DataFrame, centroids: np.ndarray, cosine: float) -> DataFra
     return vectors.mapInArrow(run, "cell int, home boolean, vec_id long, copies long, v array<float>")
 
 
-def _cell_links(dim: int, cosine: float):
-    """(node, links, root) of each block of a cell: its home vectors (side 0) against a block of all its vectors (side 1)."""
+def _spread(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node number reachable from each of n nodes over the links a-b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, new[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _cell_links(dim: int, cosine: float, rows: int = 256):
+    """(node, links, root) of each block of a cell: its home vectors (side 0) against a block of all its vectors (side 1).
+
+    Products are taken for `rows` home vectors at a time; of each such strip a count and
+    a spanning forest of its links are kept, so memory doesn't grow with the links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["cell", "i", "j"]):
             side, ids = group.column("side").to_numpy(), group.column("vec_id").to_numpy()
             copies, x = group.column("copies").to_numpy(), unit(_matrix(group.column("v"), dim))
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
-                continue
-            near = (x[left] @ x[right].T >= cosine) & (ids[left][:, None] != ids[right][None, :])
-            links = near @ copies[right]
-            nodes = np.unique(np.concatenate([ids[left][near.any(1)], ids[right][near.any(0)]]))
-            if not len(nodes):
-                continue
-            # smallest label spreads over the links of the block until nothing changes
-            a, b = np.nonzero(near)
-            a, b = np.searchsorted(nodes, ids[left][a]), np.searchsorted(nodes, ids[right][b])
-            label = np.arange(len(nodes))
-            while True:
-                new = label.copy()
-                np.minimum.at(new, a, label[b])
-                np.minimum.at(new, b, new[a])
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            nodes, place = np.unique(ids, return_inverse=True)
             count = np.zeros(len(nodes), np.int64)
-            some = near.any(1)
-            np.add.at(count, np.searchsorted(nodes, ids[left][some]), links[some])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(count), pa.array(nodes[label], pa.int64())], ["node", "links", "root"])
+            other, forest = np.ascontiguousarray(x[right].T), []
+            for lo in range(0, len(left), rows):
+                strip = left[lo : lo + rows]
+                a, b = np.nonzero(x[strip] @ other >= cosine)
+                a, b = place[strip[a]], right[b]
+                apart = place[b] != a
+                a, b = a[apart], b[apart]
+                np.add.at(count, a, copies[b])
+                linked, local = np.unique(np.concatenate([a, place[b]]), return_inverse=True)
+                root = linked[_spread(len(linked), local[: len(a)], local[len(a) :])]
+                forest.append((linked[root != linked], root[root != linked]))
+            a, b = (np.concatenate([f[k] for f in forest]) if forest else np.zeros(0, np.int64) for k in (0, 1))
+            root = _spread(len(nodes), a, b)
+            kept = np.flatnonzero((count > 0) | (root != np.arange(len(nodes))))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept], pa.int64()), pa.array(count[kept]), pa.array(nodes[root[kept]], pa.int64())], ["node", "links", "root"])
 
     return run
 
@@ -120,7 +131,7 @@ def _links(vectors: DataFrame, dim: int, cosine: float, cell_size: int, block: i
     return dealt.mapInArrow(_cell_links(dim, cosine), "node long, links long, root long")
 
 
-def near_embeddings(vectors: DataFrame, *, cosine: float = 0.9, cell_size: int = 4096, block: int = 1024, sample: int = 16_384) -> DataFrame:
+def near_embeddings(vectors: DataFrame, *, cosine: float = 0.9, cell_size: int = 8192, block: int = 8192, sample: int = 16_384) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, embedding).
 
     Vectors with a cosine of at least `cosine`, in double precision, are linked: n_links
