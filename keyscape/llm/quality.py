@@ -62,27 +62,32 @@ def features(text: pa.Array, bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
     return (slots[order] >> U(64 - bits)).astype(np.int64), np.searchsorted(rows[order], np.arange(len(ends)))
 
 
-def train(rows: list[tuple[np.ndarray, int]], *, bits: int = 18, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05) -> np.ndarray:
-    """Weights (the last one is the bias) after FTRL-proximal updates over (distinct slots, label) rows, in turn."""
-    size = (1 << bits) + 1
+def train(rows: list[tuple[np.ndarray, int]], *, prior: float | None = None, bits: int = 18, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05) -> np.ndarray:
+    """Weights (the last one is the bias) after FTRL-proximal updates over (distinct slots, label) rows, in turn.
+
+    The bias is held at the log-odds of `prior` (label 1's share; else that of the rows), at
+    most 2, so a text that says nothing goes with the larger class; for the n-grams both
+    classes weigh the same.
+    """
+    size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
 
     def weight(i):
         out = -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
         return np.where(np.abs(z[i]) <= l1, 0.0, out)
 
+    share = float(np.mean([y for _, y in rows])) if rows else 0.5
+    odds = share if prior is None else prior
+    bias = float(np.clip(np.log((odds + 1e-9) / (1 - odds + 1e-9)), -2, 2))
     for _ in range(epochs):
-        for slots, y in rows:
-            i = np.append(slots, size - 1)
-            x = np.full(len(i), 1 / np.sqrt(max(1, len(slots))))
-            x[-1] = 0.3
+        for i, y in rows:
+            x = 1 / np.sqrt(max(1, len(i)))
             now = weight(i)
-            p = 1 / (1 + np.exp(-np.clip(now @ x, -35, 35)))
-            g = (p - y) * x
-            step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
-            z[i] += g - step * now
+            p = 1 / (1 + np.exp(-np.clip(now.sum() * x + bias, -35, 35)))
+            g = (p - y) * x * min(8.0, 0.5 / max(1e-3, share if y else 1 - share))
+            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * now
             n[i] += g * g
-    return weight(np.arange(size)).astype(np.float32)
+    return np.append(weight(np.arange(size)), bias).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int = 32_768, bits: int = 18, **options) -> np.ndarray:
@@ -95,6 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int
     prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -110,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int
     rows = picked.mapInArrow(run, "doc_id long, slots array<int>, quality int").toArrow()
     order = np.argsort(w.mix(rows.column("doc_id").to_numpy().astype(U)), kind="stable") if rows.num_rows else []
     slots, label = rows.column("slots").combine_chunks(), rows.column("quality").to_numpy()
-    return train([(slots[int(k)].values.to_numpy(), int(label[k])) for k in order], bits=bits, **options)
+    return train([(slots[int(k)].values.to_numpy(), int(label[k])) for k in order], prior=prior, bits=bits, **options)
 
 
 def score(docs: DataFrame, weights: np.ndarray, carry: list[str] | None = None) -> DataFrame:
@@ -138,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str] | None = None)
             row = code >> bits
             count = np.bincount(row, minlength=part.num_rows)
             dot = np.bincount(row, weights=weight[code & ((1 << bits) - 1)], minlength=part.num_rows)
-            logit = dot / np.sqrt(np.maximum(1, count)) + 0.3 * float(weight[-1])
+            logit = dot / np.sqrt(np.maximum(1, count)) + float(weight[-1])
             value = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(value)], [*keep, "score"])
 
