@@ -26,6 +26,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
 _LOADED = re.compile(r"\S*[0-9@]\S*")
+_JOINT = re.compile(r"(?<=\S)[,;|/](?=\S)")
+MOST_DIGITS = 19
 
 
 def luhn(digits: str) -> bool:
@@ -238,8 +240,48 @@ def _plausible(kind: int, piece: str) -> bool:
     return KINDS[kind] == "ssn" and len(digits) == 9 and piece.count("-") == 2
 
 
+def _cut_run(kind: int, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The plausible pieces of a run of words of one tag: most words covered, fewest list marks inside, most pieces.
+
+    A list mark is a line feed or other sign between two words, or a ( or + that opens the second.
+    """
+    if len(spans) == 1:
+        return spans if _plausible(kind, text[spans[0][0] : spans[0][1]]) else []
+    digits = [len(_DIGIT.findall(text[a:b])) for a, b in spans]
+    mark = [False] + [bool(text[x:y].strip(" \t")) or text[y] in "(+" for (_, x), (y, _) in zip(spans, spans[1:], strict=False)]
+    best: list[tuple[tuple[int, int, int], int]] = [((0, 0, 0), 0)] * (len(spans) + 1)  # of the words from k: what counts, and where a piece from k stops (0: none)
+    for k in range(len(spans) - 1, -1, -1):
+        best[k] = (best[k + 1][0], 0)
+        n = marks = 0
+        for j in range(k, len(spans)):
+            n += digits[j]
+            marks += mark[j] and j > k
+            if n > MOST_DIGITS or not digits[j]:
+                break
+            if _plausible(kind, text[spans[k][0] : spans[j][1]]):
+                rest = best[j + 1][0]
+                best[k] = max(best[k], ((rest[0] + j + 1 - k, rest[1] - marks, rest[2] + 1), j + 1))
+    out, k = [], 0
+    while k < len(spans):
+        stop = best[k][1]
+        if stop:
+            out.append((spans[k][0], spans[stop - 1][1]))
+        k = stop or k + 1
+    return out
+
+
+def _parts(word: str) -> Iterator[tuple[int, int]]:
+    """[start, stop) of the words that commas and the like join without a space, where one of them is plausible alone."""
+    cuts = [] if "://" in word else [m.start() for m in _JOINT.finditer(word)]
+    pieces = list(zip([0, *(c + 1 for c in cuts)], [*cuts, len(word)], strict=True))
+    if cuts and any(_plausible(kind, word[a:b]) for a, b in pieces for kind in range(len(KINDS))):
+        yield from ((a, b) for a, b in pieces if _LOADED.match(word, a, b))
+    else:
+        yield 0, len(word)
+
+
 def model_spans(texts: list[str | None], known: list[list[tuple[int, int, int, int]]], model: ShapeCRF) -> list[list[tuple[int, int, int, int]]]:
-    """(start, kind number, end, 0) of each text's decoded spans that touch none of its `known` spans."""
+    """(start, kind number, end, 0) of each text's decoded spans; words that touch its `known` spans part them."""
     runs, places = [], []
     for r, text in enumerate(texts):
         if not text or not (_DIGIT.search(text) or "@" in text):
@@ -263,8 +305,9 @@ def model_spans(texts: list[str | None], known: list[list[tuple[int, int, int, i
                 before = text[max(0, m.start() - 40) : m.start()].split()
                 words = [before[-1].rstrip(".,;:!?") if before else ""]
             core = m.group().rstrip(".,;:!?")
-            words.append(core)
-            spans.append((m.start(), m.start() + len(core)))
+            for a, b in _parts(core):
+                words.append(core[a:b])
+                spans.append((m.start() + a, m.start() + b))
             last = m.end()
         if spans:
             behind = _TOKEN.search(text, last)
@@ -272,15 +315,16 @@ def model_spans(texts: list[str | None], known: list[list[tuple[int, int, int, i
             close()
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for (r, spans), tags in zip(places, model.viterbi(runs), strict=True):
+        taken = known[r]
+        free = [not any(a < y and x < b for x, _, y, _ in taken) for a, b in spans] if taken else [True] * len(spans)
         t = 0
         while t < len(tags):
             stop = t + 1
-            while stop < len(tags) and tags[stop] == tags[t]:
+            while stop < len(tags) and tags[stop] == tags[t] and free[stop] == free[t]:
                 stop += 1
-            if tags[t]:
-                a, b, kind = spans[t][0], spans[stop - 1][1], int(tags[t]) - 1
-                if _plausible(kind, texts[r][a:b]) and not any(a < y and x < b for x, _, y, _ in known[r]):
-                    out[r].append((a, kind, b, 0))
+            if tags[t] and free[t]:
+                kind = int(tags[t]) - 1
+                out[r] += [(a, kind, b, 0) for a, b in _cut_run(kind, texts[r], spans[t:stop]) if not any(a < y and x < b for x, _, y, _ in taken)]
             t = stop
     return out
 
