@@ -35,9 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark (13 words; a twentieth of the words hit)."""
-    found = decontam.removal_spans(docs, table(spark, sf_dir, "benchmark"), window=13)
-    bad = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    found = decontam.removal_spans(docs, table(spark, sf_dir, "benchmark"), window=13, carry=COLUMNS)
+    return found.filter("not contaminated").select("doc.*")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from .fm_index import FMIndex
 from .runtime import prepare, slices, text_buffer
 
 U = np.uint64
+#: Bytes of carried documents that wait for an index or to be handed on, in a task.
+HELD_BYTES = 1 << 25
 _OUT = "row long, doc_id long, n_words long, first_word array<long>, end_word array<long>, first_char array<long>, end_char array<long>, items array<long>"
 
 
@@ -73,7 +75,7 @@ class _Shard:
     """Rows waiting for an index: their run words, and where each stands in its document."""
 
     def __init__(self):
-        self.rows, self.size = [], 0
+        self.rows, self.size, self.held = [], 0, 0
 
     def flush(self, phrases: Phrases, rate: int) -> list[tuple]:
         seqs = [np.append(r[3], 1) for r in self.rows]
@@ -98,7 +100,7 @@ class _Shard:
                 covered[d] = inside[base[d] : base[d + 1]][:-1]
             for d, p in {*zip(owner[place].tolist(), phrase.tolist(), strict=True)}:
                 hits.setdefault(d, set()).update(phrases.items[p])
-        for d, (row, doc_id, n_words, _, word_no, begin, end) in enumerate(self.rows):
+        for d, (row, doc_id, n_words, _, word_no, begin, end, doc) in enumerate(self.rows):
             spans = ([], [], [], [])
             if d in covered:
                 at = np.flatnonzero(covered[d])
@@ -106,28 +108,34 @@ class _Shard:
                     new = np.concatenate([[True], word_no[at][1:] != word_no[at][:-1] + 1])
                     last = np.append(new[1:], True)
                     spans = (word_no[at][new], word_no[at][last] + 1, begin[at][new], end[at][last])
-            out.append((row, doc_id, n_words, *(list(map(int, s)) for s in spans), sorted(hits.get(d, ()))))
-        self.rows, self.size = [], 0
+            out.append((row, doc_id, n_words, *(list(map(int, s)) for s in spans), sorted(hits.get(d, ())), doc))
+        self.rows, self.size, self.held = [], 0, 0
         return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
+def _batch(rows: list[tuple], doc: pa.DataType | None) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 5 + ([] if doc is None else [doc])
+    names = [x.split()[0] for x in _OUT.split(", ")] + ([] if doc is None else ["doc"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)], names)
 
 
 def _scan(docs: DataFrame, phrases: Phrases, shard_words: int, rate: int) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(phrases)
+    carried = "doc" in docs.columns
+    schema = _OUT + (f", doc {docs.schema['doc'].dataType.simpleString()}" if carried else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, shard, ready = model.value, _Shard(), []
+        phrases, shard, ready, kind, waiting = model.value, _Shard(), [], None, 0
         for part in slices(batches, "text"):
+            kind = part.schema.field("doc").type if carried else None
+            held = part.column("doc").to_pylist() if carried else [None] * part.num_rows
             data, ends = text_buffer(part.column("text"))
             start, stop, first = w.words(data, ends, w.ALNUM)
             word = w.hashes(data, start, stop)
             ids = phrases.ids(word)
             lo, hi = phrases.runs(ids, first)
+            size = np.diff(ends) if carried else np.zeros(part.num_rows, np.int64)
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(lo) else None
             of = np.searchsorted(first, lo, side="right") - 1
             cut = np.searchsorted(of, np.arange(part.num_rows + 1))
@@ -142,29 +150,34 @@ def _scan(docs: DataFrame, phrases: Phrases, shard_words: int, rate: int) -> Dat
                 none = np.zeros(0, np.int64)
                 cat = [np.concatenate(x) if x else none for x in (seq, no, begin, end)]
                 if not len(cat[0]):
-                    ready.append((row, doc_id, int(first[r + 1] - first[r]), [], [], [], [], []))
+                    ready.append((row, doc_id, int(first[r + 1] - first[r]), [], [], [], [], [], held[r]))
+                    waiting += int(size[r])
                     continue
-                shard.rows.append((row, doc_id, int(first[r + 1] - first[r]), *cat))
+                shard.rows.append((row, doc_id, int(first[r + 1] - first[r]), *cat, held[r]))
                 shard.size += len(cat[0])
-                if shard.size >= shard_words:
+                shard.held += int(size[r])
+                if shard.size >= shard_words or shard.held >= HELD_BYTES:
+                    waiting += shard.held
                     ready += shard.flush(phrases, rate)
-            if len(ready) >= 5_000:
-                yield _batch(ready)
-                ready = []
-        yield _batch(ready + shard.flush(phrases, rate))
+            if len(ready) >= 5_000 or waiting >= HELD_BYTES:
+                yield _batch(ready, kind)
+                ready, waiting = [], 0
+        if ready or shard.rows:
+            yield _batch(ready + shard.flush(phrases, rate), kind)
 
-    return docs.mapInArrow(run, _OUT)
+    return docs.mapInArrow(run, schema)
 
 
 def removal_spans(
-    docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shard_words: int = 1 << 18, part_words: int = 1 << 20, rate: int = 8
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shard_words: int = 1 << 18, part_words: int = 1 << 20, rate: int = 8, carry: list[str] | None = None
 ) -> DataFrame:
     """Where passages of benchmark(item_id, text) stand in docs(doc_id, text).
 
     Returns, for each row of docs: doc_id, n_words, n_hit (words inside an occurrence
     of a phrase), items (sorted item_ids with occurring phrases), words and chars
     (merged removal spans as arrays of start/end, in words and in code points) and
-    contaminated (n_hit > 0 and 20 * n_hit >= n_words).
+    contaminated (n_hit > 0 and 20 * n_hit >= n_words); with `carry`, also the row's
+    columns of these names, as the struct doc.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a
     phrase is `window` consecutive words of an item, or all words of a shorter one.
@@ -182,19 +195,23 @@ def removal_spans(
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    doc = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *doc)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("m")).first()
     parts = max(1, -(-size["n"] // (2 * part_words)))  # a word and what parts it take two characters at least
     rows = docs.withColumn("row", F.monotonically_increasing_id() if parts > 1 else F.lit(0).cast("long"))
     found = None
+    kept = ["doc"] if carry else []
     for k in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
-        here = _scan(rows, Phrases([tuple(r) for r in own.collect()], window), shard_words, rate)
+        here = _scan(rows if parts == 1 else rows.drop("doc"), Phrases([tuple(r) for r in own.collect()], window), shard_words, rate)
         found = here if found is None else found.unionByName(here)
     if parts > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most all words of a document, `parts` times
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *map(flat, ("first_word", "end_word", "first_char", "end_char", "items")))
+        if carry:
+            found = found.join(rows.select("row", "doc"), "row")
 
     def merged(lo: str, hi: str):
         pair = F.array_sort(F.arrays_zip(F.col(lo).alias("a"), F.col(hi).alias("b")))
@@ -207,8 +224,8 @@ def removal_spans(
             ).otherwise(F.concat(acc, F.array(x))),
         )
 
-    out = found.select("doc_id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), merged("first_word", "end_word").alias("words"), merged("first_char", "end_char").alias("chars")) if parts > 1 else found.select(
-        "doc_id", "n_words", "items",
+    out = found.select(*kept, "doc_id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), merged("first_word", "end_word").alias("words"), merged("first_char", "end_char").alias("chars")) if parts > 1 else found.select(
+        *kept, "doc_id", "n_words", "items",
         F.arrays_zip(F.col("first_word").alias("a"), F.col("end_word").alias("b")).alias("words"),
         F.arrays_zip(F.col("first_char").alias("a"), F.col("end_char").alias("b")).alias("chars"),
     )

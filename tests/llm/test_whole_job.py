@@ -32,3 +32,40 @@ def test_pii_base_spans_part_a_run():
     assert found("+1 415-555-0132, 415-555-0199, 212-555-0144") == [("+1 415-555-0132", 1), ("415-555-0199", 0), ("212-555-0144", 0)]
     assert found("415-555-0132 a@b.co 415-555-0199") == [("415-555-0132", 0), ("a@b.co", 1), ("415-555-0199", 0)]
     assert found("1,200,300,400 items") == []
+
+
+# --- contaminated documents ------------------------------------------------------------
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
+
+
+def stored(spark, folder, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+PASSAGE = " ".join(f"t{i}" for i in range(20))
+
+
+def test_decontaminate_judges_each_row(spark, tmp_path):
+    folder = stored(spark, tmp_path, benchmark=spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"))
+    rows = [(None, PASSAGE), (None, "clean"), (1, PASSAGE), (1, "clean too"), (2, None), (3, "")]
+    kept = corpus_pipeline.decontaminate(spark, corpus(spark, rows), folder)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in kept.collect()), key=str) == [(1, "clean too", 9), (2, None, None), (3, "", 0), (None, "clean", 5)]
+
+
+def test_carried_rows_in_small_batches_and_many_parts(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "q r s")], "item_id long, text string")
+    rows = [(k % 7 or None, ("q r s " if k % 3 else "") + f"word{k} " * (k % 5) + (PASSAGE if k % 4 == 0 else "")) for k in range(60)]
+    docs = corpus(spark, rows)
+    monkeypatch.setattr(decontam, "HELD_BYTES", 64)
+    for options in ({}, {"part_words": 2}):
+        out = decontam.removal_spans(docs, bench, carry=["text", "doc_id"], **options).collect()
+        assert sorted(((r.doc.doc_id, r.doc.text) for r in out), key=str) == sorted(rows, key=str) and all(r.doc_id == r.doc.doc_id for r in out)
+        assert all(r.contaminated == any(x in r.doc.text for x in ("q r s", PASSAGE)) for r in out)
