@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyscape.llm import decontam, mixing, pii, quality
-from keyscape.llm.runtime import table
+from keyscape.llm.runtime import checkpoint, table
 from keyscape.llm.setsketch import near_duplicates
+from keyscape.sources.shared import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,12 +26,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five words, a similarity of 0.8 or more.
 
-    Of rows that repeat a doc_id one stays too; rows without a doc_id all stay.
+    A document is a pair of doc_id and text, either of which may be null or repeat; of a
+    group that of the smallest doc_id stays (null ids last), and of rows that repeat it
+    the one smallest in its other columns. Texts without words are like nothing: their
+    rows all stay.
     """
-    groups = near_duplicates(docs, width=5, threshold=(80, 100))
-    gone = groups.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    # nulls are marked: a hash skips them. The second hash tells texts apart whose keys are equal by chance; these all stay.
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    docs = docs.select(*COLUMNS).withColumn("_key", key).withColumn("_check", F.xxhash64(F.lit(1), "doc_id", "text"))
+    groups = near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"), width=5, threshold=(80, 100))
+    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"))
+    ids = docs.groupBy("_key").agg(F.min("doc_id").alias("id"), F.min("_check").alias("_check"), F.max("_check").alias("last"))
+    ranked = checkpoint(groups.join(ids.filter("_check = last"), "_key").select("_key", "_check", "component", "id"))
+    best = ranked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key")).alias("b")).select(F.col("b._key").alias("_key"))
+    gone = ranked.join(best, "_key", "left_anti").select("_key", "_check")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    single = docs.filter(worded).groupBy("_key", "_check").agg(F.min(F.struct(*rest, "doc_id", "text")).alias("d"))
+    return single.join(gone, ["_key", "_check"], "left_anti").select("d.*").select(*COLUMNS).unionByName(docs.filter(~worded).select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over `documents`."""
+    """The stages in order over `documents`; what each hands on is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,3 +69,35 @@ def test_carried_rows_in_small_batches_and_many_parts(spark, monkeypatch):
         out = decontam.removal_spans(docs, bench, carry=["text", "doc_id"], **options).collect()
         assert sorted(((r.doc.doc_id, r.doc.text) for r in out), key=str) == sorted(rows, key=str) and all(r.doc_id == r.doc.doc_id for r in out)
         assert all(r.contaminated == any(x in r.doc.text for x in ("q r s", PASSAGE)) for r in out)
+
+
+# --- near duplicates by row ------------------------------------------------------------
+
+
+def test_near_dedup_by_row(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    near = lambda tag: text(tag) + " more"
+    rows = [
+        (1, text("a")), (1, text("b")), (1, text("b")),  # one id, two texts, one of them twice
+        (2, near("a")), (3, near("b")),  # near copies of both
+        (None, text("c")), (None, text("c")), (None, text("d")), (4, near("d")),  # null ids
+        (5, None), (5, None), (None, ""), (6, " \n"),
+    ]
+    kept = corpus_pipeline.near_dedup(spark, corpus(spark, rows).repartition(5), "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    expected = [(1, text("a")), (1, text("b")), (None, text("c")), (4, near("d")), (5, None), (5, None), (None, ""), (6, " \n")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_run_hands_on_written_tables(spark, tmp_path, monkeypatch):
+    docs = corpus(spark, [(k, f"text {k}") for k in range(9)])
+    folder = stored(spark, tmp_path, documents=docs)
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs.withColumn("n_chars", F.col("n_chars") + F.rand())
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    corpus_pipeline.run(spark, folder)
+    assert len(seen) == 3 and len({tuple(x) for x in seen}) == 3 and all(seen)
