@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .fm_index import FMIndex
-from .runtime import prepare, slices, text_buffer
+from .runtime import checkpoint, prepare, slices, text_buffer
 
 U = np.uint64
 #: Bytes of carried documents that wait for an index or to be handed on, in a task.
@@ -22,10 +22,10 @@ _OUT = "row long, doc_id long, n_words long, first_word array<long>, end_word ar
 class Phrases:
     """Test phrases: all runs of `window` words of each benchmark item (an item of fewer words is one phrase).
 
-    items: (item_id, text) pairs; null texts have no words.
+    items: (item_id, text) pairs; null texts have no words, null ids name no item but have phrases.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         text = pa.array([t for _, t in items], pa.string())
         data, ends = text_buffer(text)
         start, stop, first = w.words(data, ends, w.ALNUM)
@@ -37,7 +37,7 @@ class Phrases:
             own = ids[first[k] : first[k + 1]]
             size = min(window, len(own))
             for i in range(len(own) - size + 1 if size else 0):
-                found.setdefault(tuple(own[i : i + size].tolist()), set()).add(item)
+                found.setdefault(tuple(own[i : i + size].tolist()), set()).update(() if item is None else (item,))
         self.lengths = np.array([len(p) for p in found], np.int64)
         width = int(self.lengths.max(initial=1))
         self.patterns = np.zeros((len(found), width), np.int64)
@@ -189,7 +189,8 @@ def removal_spans(
     what is broadcast; a larger benchmark takes a pass for each part.
 
     Defined results: null and empty texts have no words and no hits; null item texts
-    have no phrases; repeated documents and items count each for itself (an item_id
+    have no phrases; those of a null item_id count for n_hit, and are in no items (so not
+    in n_items); repeated documents and items count each for itself (an item_id
     once); a null doc_id is kept; an empty benchmark hits nothing; other columns are
     ignored.
     """
@@ -197,14 +198,15 @@ def removal_spans(
     prepare(spark)
     doc = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *doc)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("m")).first()
     parts = max(1, -(-size["n"] // (2 * part_words)))  # a word and what parts it take two characters at least
-    rows = docs.withColumn("row", F.monotonically_increasing_id() if parts > 1 else F.lit(0).cast("long"))
+    # all passes read the same numbers: a number is given once, and written
+    rows = checkpoint(docs.withColumn("row", F.monotonically_increasing_id())) if parts > 1 else docs.withColumn("row", F.lit(0).cast("long"))
     found = None
     kept = ["doc"] if carry else []
     for k in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
         here = _scan(rows if parts == 1 else rows.drop("doc"), Phrases([tuple(r) for r in own.collect()], window), shard_words, rate)
         found = here if found is None else found.unionByName(here)
     if parts > 1:

@@ -101,3 +101,29 @@ def test_run_hands_on_written_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
     corpus_pipeline.run(spark, folder)
     assert len(seen) == 3 and len({tuple(x) for x in seen}) == 3 and all(seen)
+
+
+# --- benchmark items without an id, several passes ---------------------------------------
+
+
+def test_null_items_hit(spark):
+    bench = spark.createDataFrame([(None, PASSAGE), (1, "q r s"), (2, None)], "item_id long, text string")
+    docs = corpus(spark, [(1, PASSAGE), (2, "q r s " + PASSAGE), (3, "none")])
+    for options in ({}, {"part_words": 2}):
+        out = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontam.removal_spans(docs, bench, **options).collect()}
+        assert out == {1: (20, [], True), 2: (23, [1], True), 3: (0, [], False)}
+
+
+def test_passes_read_the_same_numbered_rows(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    docs = corpus(spark, [(k, PASSAGE if k % 2 else "q r s") for k in range(20)])
+    docs = docs.mapInArrow(seen, docs.schema)
+    bench = spark.createDataFrame([(k, f"{PASSAGE} u{k}") for k in range(8)], "item_id long, text string")
+    out = decontam.removal_spans(docs, bench, part_words=20).collect()
+    assert calls.value == 20 and len(out) == 20 and all(r.contaminated == (r.doc_id % 2 == 1) for r in out)
