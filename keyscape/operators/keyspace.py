@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyscape.functions.listing import depth
+from keyscape.sources.shared import checkpoint
 
 #: Fixed value: keys of a listing page.
 PAGE = 1000
@@ -61,13 +62,19 @@ def key_range(df: DataFrame, after: str | None = None, before: str | None = None
     return df if n is None else df.orderBy("key").limit(n)
 
 
+def _ranged(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+    """df dealt by ranges, with the number of each row's in `_range`; written once, as a second exchange would draw other bounds."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def global_rank(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
     """df with `rank`, 1 for the first row: ranges are counted first, and each is numbered from its offset.
 
     No task sees more than its range; only one count for each range is gathered, by a window over them.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    parts = _ranged(df, *order, partitions=n)
     # the numbers of ranges follow their order
     sizes = parts.groupBy("_range").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -108,7 +115,7 @@ def cut_points(dist: DataFrame, n: int) -> DataFrame:
     Ranges of prefixes are summed first and run on from their offsets, so no
     window spans the whole distribution.
     """
-    parts = dist.repartitionByRange(int(dist.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prefix").withColumn("_range", F.spark_partition_id())
+    parts = _ranged(dist, "prefix")
     sums = parts.groupBy("_range").agg(F.sum("count").alias("_n"))
     order = W.orderBy("_range")
     sums = sums.select("_range", F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.sum("_n").over(W.partitionBy()).alias("_total"))
@@ -137,7 +144,7 @@ def assign_segment(df: DataFrame, cuts: DataFrame) -> DataFrame:
         held = cuts.agg(F.array_sort(F.collect_list("cut")).alias("_cuts"))
         return df.join(F.broadcast(held)).withColumn("segment", F.size(F.filter("_cuts", lambda c: c <= F.col("key"))).cast("long")).drop("_cuts")  # one row
     marked = df.select("key", F.struct(*df.columns).alias("_row"), F.lit(1).alias("_kind")).unionByName(cuts.select(F.col("cut").alias("key"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    parts = marked.repartitionByRange("key").withColumn("_range", F.spark_partition_id())
+    parts = _ranged(marked, "key")
     is_cut = (F.col("_kind") == 0).cast("long")
     sums = parts.groupBy("_range").agg(F.sum(is_cut).alias("_n"))
     sums = sums.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
