@@ -95,7 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int
 
     The sample's bound is `per_label` documents of each label, by a hash of the doc_id, and
     `piece` characters of each, from a place by that hash where it is longer; a document
-    with contradicting labels counts by its smallest.
+    with contradicting labels counts by its smallest, and of rows that repeat a doc_id
+    that of the smallest text hash is taken.
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
@@ -106,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int
     known = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     place = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - piece, F.lit(1))) + 1).cast("int")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, place, F.lit(piece)).alias("text")).join(F.broadcast(known.drop("r")), "doc_id")  # 2 * per_label rows at most
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), F.substring(text, place, F.lit(piece)).alias("text")).alias("d"))
+    picked = picked.join(F.broadcast(known.drop("r")), "doc_id").groupBy("doc_id", "quality").agg(F.min("d").alias("d"))  # 2 * per_label rows at most
+    picked = picked.select("doc_id", "d.text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

@@ -127,3 +127,14 @@ def test_passes_read_the_same_numbered_rows(spark):
     bench = spark.createDataFrame([(k, f"{PASSAGE} u{k}") for k in range(8)], "item_id long, text string")
     out = decontam.removal_spans(docs, bench, part_words=20).collect()
     assert calls.value == 20 and len(out) == 20 and all(r.contaminated == (r.doc_id % 2 == 1) for r in out)
+
+
+# --- labelled ids that repeat ------------------------------------------------------------
+
+
+def test_repeated_labelled_ids_train_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, **_: seen.extend(rows))
+    docs = corpus(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other"), (3, "unlabelled")])
+    quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert sorted(label for _, label in seen) == [0, 1]
