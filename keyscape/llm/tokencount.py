@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +19,69 @@ from .runtime import checkpoint, prepare, slices
 #: Fixed value: how the byte-level vocabularies split a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Setting of the session that names another vocabulary file.
+SETTING = "spark.keyscape.vocabulary"
+#: A text is encoded in parts of about so many characters, and a run of so many blanks by itself.
+PART, BLANKS = 1 << 16, 10_000
+#: Where a text may be cut without a change of its tokens: no token holds a blank behind another character.
+_EDGE = re.compile(r"(?<=\S)[ \n]")
+_BLANK_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANKS)
 #: Tokens of a block; documents reach over blocks as they fall.
 BLOCK = 1 << 16
 _BLOCKS = "file long, block long, tokens binary, ordinal long, doc_id long"
 _SCAN = "file long, block long, kind int, a long, b long, c long"
 
 
+def vocabulary_of(spark: SparkSession) -> str:
+    """The session's vocabulary file (`spark.keyscape.vocabulary`, else VOCABULARY); FileNotFoundError where there is none."""
+    path = spark.conf.get(SETTING, VOCABULARY)
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: name a file of `base64-token rank` lines in {SETTING}")
+    return path
+
+
+def parts(text: str) -> Iterator[tuple[bool, str]]:
+    """(whole, part): the text in parts that are encoded by themselves; `whole` ones are one long run of blanks, which is one piece.
+
+    Before another character the run's last blank belongs to what follows; it begins the next part.
+    """
+    at = 0
+    while at < len(text):
+        edge = _EDGE.search(text, at + PART) if len(text) - at > PART else None
+        stop = edge.start() if edge else len(text)
+        for run in _BLANK_RUN.finditer(text, at, stop):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            if run.start() > at:
+                yield False, text[at : run.start()]
+            yield True, text[run.start() : end]
+            at = end
+        if stop > at:
+            yield False, text[at:stop]
+        at = stop
+
+
+class Encoder:
+    """Token ids of texts of any length, by a byte-level vocabulary."""
+
+    def __init__(self, vocabulary: bytes):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
+        self.by_pattern = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.as_one = tiktoken.Encoding("one", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.end = len(ranks)
+
+    def encode(self, text: str) -> list[int]:
+        return [x for whole, part in parts(text) for x in (self.as_one if whole else self.by_pattern).encode_ordinary(part)]
+
+
+def token_type(end: int) -> type:
+    """The narrowest unsigned integers that hold all ids up to `end`."""
+    return np.uint16 if end < 1 << 16 else np.uint32
+
+
 def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """Each input partition of docs(doc_id, text) as a flat file of 16-bit tokens, cut in blocks of `block` tokens.
+    """Each input partition of docs(doc_id, text) as a flat file of tokens (`token_type`), cut in blocks of `block` tokens.
 
     Texts follow one another, each with the end-of-document id (one past the
     vocabulary's last) behind it, and nothing tells where they begin. Rows without tokens
@@ -36,11 +93,8 @@ def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOC
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in shared.value.splitlines() if x)}
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        end = len(ranks)
+        encoder = Encoder(shared.value)
+        end, kind = encoder.end, token_type(encoder.end)
         file, ordinal, number, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
         names, kinds = zip(*((c.split()[0], {"long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _BLOCKS.split(", ")), strict=True)
 
@@ -50,7 +104,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOC
         for part in slices(batches, "text", 1 << 19):
             out = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                held.append(np.array([*encoding.encode_ordinary(text or ""), end], np.uint16))
+                held.append(np.array([*encoder.encode(text or ""), end], kind))
                 size += len(held[-1])
                 out.append((file, None, None, ordinal, doc_id))
                 ordinal += 1
@@ -68,18 +122,29 @@ def flat_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOC
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Blocks of the flat token files at `path` (each of less than 2 GB), `width` bytes to a token."""
+    """Blocks of the flat token files at `path`, of any size, `width` bytes to a token; each is read by its own range of bytes.
+
+    Tasks open the files by their URI, so `path` must be in a store that pyarrow reads on the executors.
+    """
     prepare(spark)
+    step = width * block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for part in batches:
-            for file, content in zip(part.column("file").to_pylist(), part.column("content"), strict=True):
-                data, step = content.as_buffer(), width * block
-                for k in range(-(-len(data) // step)):
-                    yield pa.RecordBatch.from_pylist([{"file": file, "block": k, "tokens": data.slice(k * step, min(step, len(data) - k * step)).to_pybytes(), "ordinal": None, "doc_id": None}], schema=pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())]))
+            for path, file, at, size in zip(*[part.column(c).to_pylist() for c in ("path", "file", "at", "size")], strict=True):
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as f:
+                    tokens = f.read_at(size, at)
+                none = pa.array([None], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // step]), pa.array([tokens], pa.binary()), none, none], [c.split()[0] for c in _BLOCKS.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("file"), "content").mapInArrow(run, _BLOCKS)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")  # lengths alone: no content is read
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("at")
+    uri = F.regexp_replace("path", r"\Afile:/+", "file:///")
+    ranges = files.select(uri.alias("path"), F.xxhash64("path").alias("file"), "length", at).select("path", "file", "at", F.least(F.lit(step), F.col("length") - F.col("at")).cast("long").alias("size"))
+    return ranges.repartition("file", "at").mapInArrow(run, _BLOCKS)
 
 
 def scan_blocks(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
@@ -139,10 +204,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
 
     Defined results: null and empty texts have 0 tokens; null and repeated doc_ids are
     counted row by row; the end-of-document id isn't counted, and text that spells it
-    out is ordinary text; other columns are ignored; an empty table gives no rows.
+    out is ordinary text; texts of any length are encoded in parts, long runs of blanks by
+    themselves; other columns are ignored; an empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         end = sum(1 for x in f if x.strip())
-    scan = checkpoint(scan_blocks(flat_blocks(docs, vocabulary, block), end))
+    scan = checkpoint(scan_blocks(flat_blocks(docs, vocabulary, block), end, np.dtype(token_type(end)).itemsize))
     manifest = scan.filter("kind = 2").select("file", F.col("a").alias("ordinal"), F.col("b").alias("doc_id"))
     return manifest.join(stitch(scan), ["file", "ordinal"], "left").select("doc_id", "n_tokens")
