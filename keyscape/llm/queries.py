@@ -66,7 +66,7 @@ def op8_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of all documents, counted between end-of-document ids of flat token files."""
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.vocabulary_of(spark))
 
 
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def _secrets_oracle() -> str:
     return (
         f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(cols)} FROM d), "
         f"s AS (SELECT doc_id, list_sort({' || '.join(parts)}) AS a FROM m) "
-        f"SELECT doc_id, {counts}, sha256(coalesce({text.format(base)}, '')) AS base_sha256, coalesce({text.format('a')}, '') AS spans FROM s"
+        f"SELECT doc_id, {counts}, sha256(coalesce({text.format(base)}, '')) AS base_sha256, coalesce({text.format('a')}, '') AS spans, CAST(len(a) AS BIGINT) AS n_spans FROM s"
     )
 
 

@@ -1,8 +1,11 @@
 """Secrets in texts: a trigram inverted index proposes documents, regular expressions verify them.
 
 Each rule's pattern yields a Boolean trigram query (any of some sets, all trigrams of
-the set). The postings of these trigrams are intersected to candidate documents, and only
-those are matched by the rule. A rule that demands no trigram scans all documents.
+the set). The index is in bitmap form: the postings of a trigram are the true rows of a
+Boolean column over the documents, lists are intersected and united by AND and OR of these
+columns, and only the rows left, the candidates, are matched by the rule. As a posting
+stays with its row, neither texts nor keys move; postings gathered by trigram would have
+to be joined back to all texts. A rule that demands no trigram scans all documents.
 Everything runs as Spark SQL functions.
 """
 
@@ -10,6 +13,7 @@ from __future__ import annotations
 
 import re._parser as sre  # the standard library's own view of a pattern
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -89,60 +93,73 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     return better(best, clauses(tail)) or None
 
 
-def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index of docs(row_key, text) for `trigrams`: a row (trigram number, row_key) for each text that holds it."""
-    lower = docs.select("row_key", F.lower("text").alias("lower"))
-    held = F.filter(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(t).alias("t")) for i, t in enumerate(trigrams)]), lambda t: F.contains(F.col("lower"), t["t"]))
-    return lower.select("row_key", F.explode(held).alias("p")).select(F.col("p.no").alias("trigram"), "row_key")
-
-
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(row_key, rules): a bit for each rule with a trigram query that some clause's postings admit."""
-    queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    trigrams = sorted({t for q in queries.values() for c in q for t in c})
-    if not trigrams:
-        return docs.select("row_key", F.lit(0).cast("long").alias("rules")).limit(0)
-    number = {t: i for i, t in enumerate(trigrams)}
-    # a document's postings as bits: a clause is met if all of its trigrams' lists hold the document
-    words = [F.bit_or(F.when(F.floor(F.col("trigram") / 60) == w, F.expr("shiftleft(1L, trigram % 60)")).otherwise(0)).alias(f"w{w}") for w in range(-(-len(trigrams) // 60))]
-    lists = trigram_postings(docs, trigrams).groupBy("row_key").agg(*words)
-
-    def meets(clause: frozenset[str]) -> Column:
-        need: dict[int, int] = {}
-        for t in clause:
-            need[number[t] // 60] = need.get(number[t] // 60, 0) | 1 << number[t] % 60
-        out = F.lit(True)
-        for w, bits in need.items():
-            out &= F.col(f"w{w}").bitwiseAND(F.lit(bits).cast("long")) == F.lit(bits).cast("long")
-        return out
-
-    mask = F.lit(0).cast("long")
-    for k, clauses in queries.items():
-        some = F.lit(False)
-        for c in clauses:
-            some |= meets(c)
-        mask = mask.bitwiseOR(F.when(some, F.lit(1 << k).cast("long")).otherwise(0))
-    return lists.select("row_key", mask.alias("rules")).filter("rules <> 0")
+#: Characters from frequent to rare; a list of rare trigrams is short, so it is asked first.
+_FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
+
+
+def _rarity(trigram: str) -> int:
+    return sum(_FREQUENT.find(c) if c in _FREQUENT else len(_FREQUENT) for c in trigram)
+
+
+def posting(trigram: str) -> Column:
+    """The postings of a lower-case trigram: true for the rows of (lower) that hold it."""
+    return F.contains(F.col("lower"), F.lit(trigram))
+
+
+def candidates(rule: Rule) -> Column | None:
+    """The rows of (lower) that the rule's trigram query admits; None for a rule without one.
+
+    AND stops at the first list that lacks the row, so most rows are looked up in one list for each clause.
+    """
+    query = trigram_query(rule.pattern)
+    if query is None:
+        return None
+    clauses = [reduce(Column.__and__, map(posting, sorted(c, key=lambda t: (-_rarity(t), t)))) for c in query]
+    return reduce(Column.__or__, clauses)
 
 
 _SPAN = "array<struct<start:bigint,no:int,stop:bigint,kind:string>>"
 
 
+#: Matches of a text whose places are summed in one fold.
+RUN = 256
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _places(parts: Column) -> Column:
+    """(start, stop) of each of `parts`, an array of (gap, size): what stands before a match and the match.
+
+    Runs of RUN matches are summed first, and each is placed from its offset, so that no
+    fold copies an array that grows with the text.
+    """
+    part = lambda i: F.slice(parts, i * RUN + 1, RUN)
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    runs = F.sequence(F.lit(0), F.floor((F.greatest(F.size(parts), F.lit(1)) - 1) / RUN).cast("int"))
+    total = F.transform(runs, lambda i: F.aggregate(part(i), zero, lambda acc, x: acc + x["gap"] + x["size"]))
+    offsets = F.aggregate(total, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def placed(i: Column, offset: Column) -> Column:
+        begin = F.struct(offset.alias("at"), none.alias("spans"))
+        step = lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["size"]).alias("at"),
+            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("stop")))).alias("spans"),
+        )
+        return F.aggregate(part(i), begin, step, lambda acc: acc["spans"])
+
+    return F.flatten(F.zip_with(runs, F.slice(offsets, F.lit(1), F.size(runs)), placed))
+
+
 def _spans(text: Column, rule: Rule, no: int) -> Column:
     """All kept matches of the rule: what stands between matches gives their places."""
     pattern = F.lit(rule.pattern)
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     groups = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-    placed = F.aggregate(
-        parts, begin,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("stop")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    sizes = F.zip_with(found, between, lambda m, b: F.struct(F.length(b).cast("long").alias("gap"), F.length(m).cast("long").alias("size")))
+    placed = _bound(F.filter(sizes, lambda x: x["size"].isNotNull()), _places)  # one more part stands between than matches
     kept = F.filter(F.zip_with(placed, groups, lambda s, g: F.when(F.length(g) >= rule.least, s)), lambda s: s.isNotNull())
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["stop"].alias("stop"), F.lit(rule.kind).alias("kind"))).cast(_SPAN)
 
@@ -158,13 +175,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     are scanned row by row; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    docs = docs.join(candidates(docs, rules), "row_key", "left")
+    docs = docs.withColumn("lower", F.lower("text"))
     spans = []
     for no, rule in enumerate(rules):
-        if trigram_query(rule.pattern):
-            admits = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << no).cast("long")) != 0
-        else:
+        admits = candidates(rule)
+        if admits is None:
             admits = F.col("text").rlike(rule.pattern)
         spans.append(F.when(admits, _spans(F.col("text"), rule, no)).otherwise(F.array().cast(_SPAN)))
     return docs.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("spans"))
@@ -181,5 +196,5 @@ def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["no"] < len(BASE_RULES))
     return found.select(
         "doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES],
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"),
     )
