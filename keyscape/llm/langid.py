@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import prepare, slices, text_buffer
+from .runtime import below, prepare, slices, spare, text_buffer
 
 #: Bytes as the network sees them: a-z with A-Z folded, white space and other ASCII as one, non-ASCII bytes each for itself.
-CLASS = np.zeros(256, np.int64)
+CLASS = np.zeros(256, np.uint8)
 CLASS[0x61:0x7B] = CLASS[0x41:0x5B] = np.arange(1, 27)
 CLASS[0x80:] = np.arange(27, 27 + 128)
 CLASSES = 27 + 128
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
+#: Windows that are cut and scored at a time.
+BLOCK = 256
 
 
 @dataclass
@@ -40,7 +42,7 @@ class ByteCNN:
     def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log-probabilities, letters) of each row of byte classes, (n, window + 3) with zeros behind the end."""
         n, span = len(codes), self.window
-        pair = codes[:, :-1] * CLASSES + codes[:, 1:]
+        pair = codes[:, :-1].astype(np.int32) * CLASSES + codes[:, 1:]
         out = np.take(self._pairs(0), pair[:, :span].ravel(), axis=0)
         out += np.take(self._pairs(2), pair[:, 2 : span + 2].ravel(), axis=0)
         out = out.reshape(n, span, -1)
@@ -63,15 +65,19 @@ class ByteCNN:
         return {k: v for k, v in self.__dict__.items() if k != "_cache"}
 
 
-def cut_windows(codes: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of byte classes, owner): each text in pieces of `window` bytes, the last one filled with zeros."""
+def place_windows(ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, owner) of the pieces of `window` bytes that the texts with these offsets make."""
     count = -(-np.diff(ends) // window)
     owner = np.repeat(np.arange(len(count)), count)
     first = np.concatenate([[0], np.cumsum(count)])
-    begin = ends[owner] + (np.arange(len(owner)) - first[owner]) * window
+    return ends[owner] + (np.arange(len(owner)) - first[owner]) * window, owner
+
+
+def cut_windows(codes: np.ndarray, ends: np.ndarray, window: int, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Rows of byte classes of the pieces that begin at `begin`, each with three bytes more; zeros stand behind a text's end."""
     at = begin[:, None] + np.arange(window + 3)
     inside = at < ends[owner + 1][:, None]
-    return np.where(inside, codes[np.minimum(at, max(len(codes) - 1, 0))], 0) if len(codes) else np.zeros((0, window + 3), np.int64), owner
+    return np.where(inside, codes[np.minimum(at, max(len(codes) - 1, 0))], 0) if len(codes) else np.zeros((0, window + 3), np.uint8)
 
 
 def train(texts: list[str], languages: list[str], *, window: int = 256, filters: int = 8, steps: int = 900, batch: int = 128, seed: int = 7) -> ByteCNN:
@@ -79,7 +85,8 @@ def train(texts: list[str], languages: list[str], *, window: int = 256, filters:
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
     data, ends = text_buffer(pa.array(texts, pa.string()))
-    rows, owner = cut_windows(CLASS[data], ends, window)
+    begin, owner = place_windows(ends, window)
+    rows = cut_windows(CLASS[data], ends, window, begin, owner)
     label = np.array([names.index(x) for x in languages], np.int64)[owner]
     total, far = filters * len(WIDTHS), max(WIDTHS)
     mask = np.array([[k < w for w in WIDTHS for _ in range(filters)] for k in range(far)], np.float32)
@@ -117,18 +124,34 @@ def train(texts: list[str], languages: list[str], *, window: int = 256, filters:
     return ByteCNN(names, p["taps"], p["bias"], p["dense"], p["dense_bias"], window)
 
 
-def training_rows(docs: DataFrame, per_language: int, piece: int = 2048) -> DataFrame:
-    """At most `per_language` labelled texts of each language, by a hash of the doc_id, as a piece from a place by that hash."""
-    h = F.xxhash64("doc_id", "text")
-    known = docs.filter("lang is not null and text is not null").select(
-        "lang", F.substring("text", (F.pmod(h, F.greatest(F.length("text") - piece, F.lit(1))) + 1).cast("int"), F.lit(piece)).alias("text"), h.alias("h")
-    )
-    return known.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= per_language).orderBy("lang", "r").select("lang", "text")
-
+def training_rows(docs: DataFrame, per_language: int, most: int, piece: int = 512) -> DataFrame:
+    """(lang, text): labelled texts of each language, by a hash of the doc_id; of each, four pieces spread over the text, end to end.
 
-def fit(docs: DataFrame, *, per_language: int = 300, most_languages: int = 200, **options) -> ByteCNN:
-    """A network fitted to docs(doc_id, text, lang): the bound of the sample is per_language * most_languages pieces of 2,048 characters."""
-    rows = training_rows(docs, per_language).limit(per_language * most_languages).collect()
+    Each language has `per_language` texts at most, fewer where all of them would be more
+    than `most`. A hash threshold from the language's number of ids takes little more
+    than these before they are ordered, so no task sees a language's rows.
+    """
+    h = F.xxhash64("doc_id")
+    known = docs.filter("lang is not null and text is not null").select("lang", "text", h.alias("h"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row for each class of the model
+    per = max(1, min(per_language, most // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame([(k, spare(per, int(n * 1.1))) for k, n in counts.items()], "lang string, share double")
+    size = F.length("text")
+    # piece k of a long text begins at k thirds of what it is longer than a piece
+    parts = [F.substring("text", (F.greatest(size - piece, F.lit(0)) * k / 3 + 1).cast("int"), F.lit(piece)) for k in range(4)]
+    text = F.when(size <= 4 * piece, F.substring("text", 1, 4 * piece)).otherwise(F.concat_ws(" ", *parts))
+    some = known.join(F.broadcast(shares), "lang").filter(below(F.col("h"), F.col("share"))).select("lang", "h", text.alias("text"))
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))  # a doc_id that repeats gives one text
+    return some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per).orderBy("lang", "r").select("lang", "text")
+
+
+def fit(docs: DataFrame, *, per_language: int = 300, most: int = 60_000, **options) -> ByteCNN:
+    """A network fitted to docs(doc_id, text, lang), for every language in it.
+
+    The bound of the sample is `most` texts (or one for each language, if these are more) of
+    2,048 characters, and `per_language` of each language.
+    """
+    rows = training_rows(docs, per_language, most).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
@@ -140,7 +163,8 @@ def predict(docs: DataFrame, model: ByteCNN) -> DataFrame:
 
     Defined results: a null text and one without a letter give `und` with score 0; with
     no training rows every text is `und`; null and repeated doc_ids are predicted row by
-    row; other columns are ignored; an empty table gives no rows.
+    row; a text of any length takes memory of about twice its bytes; other columns are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -153,12 +177,12 @@ def predict(docs: DataFrame, model: ByteCNN) -> DataFrame:
             data, ends = text_buffer(column)
             codes = CLASS[data]
             mass = np.zeros((part.num_rows, max(1, len(model.languages))))
-            step = 256 * model.window  # windows of a long text are scored in turn
             if model.languages:
-                rows, owner = cut_windows(codes, ends, model.window)
-                for k in range(0, len(rows), step // model.window):
-                    logp, letters = model.windows(rows[k : k + step // model.window])
-                    np.add.at(mass, owner[k : k + step // model.window], np.exp(logp) * letters[:, None])
+                begin, owner = place_windows(ends, model.window)
+                for k in range(0, len(begin), BLOCK):  # windows of a long text are cut and scored in turn
+                    of = owner[k : k + BLOCK]
+                    logp, letters = model.windows(cut_windows(codes, ends, model.window, begin[k : k + BLOCK], of))
+                    np.add.at(mass, of, np.exp(logp) * letters[:, None])
             total = mass.sum(1)
             # windows without a letter have no say; letters beyond the bytes' classes are asked for by name
             lettered = np.array([t > 0 for t in total])

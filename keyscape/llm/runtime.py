@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyscape.sources.shared import checkpoint as checkpoint  # cuts lineage in the shared folder
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -25,17 +27,14 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared checkpoint folder, with its lineage cut.
+def below(h: Column, share: Column | float) -> Column:
+    """Whether a 64-bit hash lies in the lowest `share` of its range: a sample that no sort or window has to take."""
+    return h.cast("double") < share * F.lit(2.0**64) - F.lit(2.0**63)
+
 
-    The folder is the session's `spark.checkpoint.dir`; a folder of our own is set
-    only where that is unset (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+def spare(wanted: int, of: int) -> float:
+    """The share of `of` rows that holds `wanted` of them almost surely, and little more."""
+    return 1.0 if of <= 2 * wanted else min(1.0, (1.2 * wanted + 200) / of)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
