@@ -16,10 +16,7 @@ from .runtime import prepare
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths of a layout ([] steps into an array), and SQL for its turns as array<struct<role, text>>.
-
-    In `turns`, f('path') stands for the field at a path of the record.
-    """
+    """Field paths of a layout ([] steps into an array), and SQL over the record's columns for its turns as array<struct<role, text>>."""
 
     name: str
     paths: tuple[str, ...]
@@ -30,7 +27,8 @@ def _pair(user: str, reply: str) -> str:
     return f"array(named_struct('role', 'user', 'text', {user}), named_struct('role', 'assistant', 'text', {reply}))"
 
 
-#: Declarative mappings; a record's layout is the one whose paths, hashed, are its own.
+#: Declarative mappings; a record has a layout if, of the record's paths, those the layout names hash to its fingerprint.
+#: Of several it is the one with the most paths, then the first in this list, so other fields never hide a layout.
 LAYOUTS = (
     Layout("rows", ("role", "text", "turn"), "array(named_struct('role', role, 'text', text))"),
     Layout("messages", ("messages[].content", "messages[].role"), "transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
@@ -42,7 +40,6 @@ LAYOUTS = (
     Layout("prompt_completion", ("completion", "prompt"), _pair("prompt", "completion")),
     Layout("question_answer", ("answer", "question"), _pair("question", "answer")),
 )
-_KNOWN = frozenset(p for layout in LAYOUTS for p in layout.paths)
 
 
 def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
@@ -55,21 +52,28 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 
 
 def fingerprint(paths) -> str:
-    """A hash of the sorted field paths that any layout uses; others (ids, scores) don't change a layout."""
-    return hashlib.sha256("\n".join(sorted(_KNOWN.intersection(paths))).encode()).hexdigest()[:16]
+    """A hash of the sorted field paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+
 
+#: Layouts by their fingerprints, in the order in which they are tried.
+BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in sorted(LAYOUTS, key=lambda x: -len(x.paths))}
 
-BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in LAYOUTS}
+
+def layout_of(paths) -> Layout | None:
+    """The layout of a record with these field paths; None if it has none of the known ones."""
+    return next((layout for key, layout in BY_FINGERPRINT.items() if fingerprint(set(layout.paths).intersection(paths)) == key), None)
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of records(conv_id, ...) in the layout their schema's fingerprint selects.
+    """(conv_id, turn, role, text) of records(conv_id, ...) in the layout that the fingerprints of their schema's paths select.
 
-    Raises ValueError for a schema of no known layout. Rows-by-turn keep their turn
+    Raises ValueError for a schema that holds no known layout; further columns, those of other layouts
+    included, change nothing unless they make a layout of more paths. Rows-by-turn keep their turn
     numbers; other layouts number from 0, and a record without turns gives no row.
     """
     paths = field_paths(records.schema)
-    layout = BY_FINGERPRINT.get(fingerprint(paths))
+    layout = layout_of(paths)
     if layout is None:
         raise ValueError(f"no layout for the fields {sorted(paths)}")
     if layout.name == "rows":
@@ -88,7 +92,7 @@ def _prefixed(names: Column, prefix: str) -> Column:
 def json_turns(records: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, layout) of records(conv_id, json), each in a layout of its own.
 
-    A record's fingerprint hashes its field paths (those of an array's first element);
+    A record's fingerprints hash its field paths (of an array, its first element's) as far as a layout names them;
     layout is null, with one row without role and text, where none fits or the JSON is bad.
     """
     json = F.col("json")
@@ -97,10 +101,14 @@ def json_turns(records: DataFrame) -> DataFrame:
     for a in _ARRAYS:
         inner = F.json_object_keys(F.get_json_object(json, f"$.{a}[0]"))
         paths = F.concat(paths, F.coalesce(_prefixed(inner, f"{a}[]."), none))
-    known = F.array_sort(F.array_intersect(F.array_distinct(paths), F.array(*map(F.lit, sorted(_KNOWN)))))
-    print_ = F.substring(F.sha2(F.array_join(known, "\n"), 256), 1, 16)
+    paths = F.array_distinct(paths)
+    print_ = F.lit(None).cast("string")
+    for key, layout in reversed(BY_FINGERPRINT.items()):
+        own = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, layout.paths))))
+        if layout.name != "rows":
+            print_ = F.when(F.substring(F.sha2(F.array_join(own, "\n"), 256), 1, 16) == key, F.lit(key)).otherwise(print_)
     fields = "struct<{}>".format(", ".join([
-        *(f"{p}:string" for p in sorted(_KNOWN) if "[" not in p and p != "turn"),
+        *(f"{p}:string" for p in sorted({p for layout in LAYOUTS for p in layout.paths}) if "[" not in p and p != "turn"),
         "messages:array<struct<role:string,content:string>>", "conversations:array<struct<from:string,value:string>>",
     ]))
     data = records.select(F.col("conv_id").cast("long").alias("conv_id"), print_.alias("print"), F.from_json(json, fields).alias("d")).select("conv_id", "print", "d.*")
