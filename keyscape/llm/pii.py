@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
-_LOADED = re.compile(r"\S*[0-9@]\S*")
+_SIGN = re.compile(r"[0-9@]")
+_BLANK = re.compile(r"\s")
 _JOINT = re.compile(r"(?<=\S)[,;|/](?=\S)")
 MOST_DIGITS = 19
 
@@ -52,6 +55,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(floor, at + 1))
 
 
+def loaded(text: str) -> Iterator[tuple[int, int]]:
+    """[start, stop) of the words that hold a digit or @, grown from that sign to the blanks around it (linear in the text)."""
+    at = 0
+    while sign := _SIGN.search(text, at):
+        start = sign.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        blank = _BLANK.search(text, sign.end())
+        at = blank.start() if blank else len(text)
+        yield start, at
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, 1) of all base matches, in order."""
     out = [(a, 0, b, 1) for a, b in _emails(text)]
@@ -137,6 +152,27 @@ see @name and #42
 year 1984-1985 was 2 long
 batch 20200102123000 ran
 lot 123456789 left 55 behind
+dial 628-555-0143|phone before 5 pm
+you can text 312.555.0178|phone any day
+cell (503)|phone 555-0121|phone or fax (503)|phone 555-0122|phone
+whatsapp +49|phone 30|phone 901820|phone is open
+the number 917-555-0166|phone was 2 digits off
+his ssn 401-22-7788|ssn and card 4242424242424242|card
+tax id 512-63-1199|ssn of the owner
+charged 3714|card 496353|card 98431|card twice
+visa 4242|card 4242|card 4242|card 4242|card declined
+mail jo_9@b.example.net|email or admin@x9.example.io|email
+server 172.31.255.4|ip and 192.0.2.77|ip answered
+from 1.5 to 2.75 of 10.25
+at 09:15:30 on 2021-11-05T09:15:30Z
+sku 4021-8837-12 and part 77-1203
+invoice 2023-000451 of 1,250.00
+call 911 or 112 at once
+score 3-2 then 10-12 and 7:5
+from 1914-18 to 1939-45 in 2 parts
+flight 1234 gate 22 seat 14
+lines 415-420 of 555 and 0132
+page 123-456 of volume 7890
 """
 
 
@@ -199,7 +235,7 @@ def train(rows: list[tuple[list[str], list[int]]] | None = None, *, epochs: int
     k = len(TAGS)
     theta = np.zeros((len(index) + k, k))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    free = [np.array([bool(_LOADED.match(w)) for w in words]) for words, _ in rows]
+    free = [np.array([bool(_SIGN.search(w)) for w in words]) for words, _ in rows]
     ids = [[[index[f] for f in t] for t in r] for r in named]
     for step in range(1, epochs + 1):
         grad = -l2 * theta
@@ -275,7 +311,7 @@ def _parts(word: str) -> Iterator[tuple[int, int]]:
     cuts = [] if "://" in word else [m.start() for m in _JOINT.finditer(word)]
     pieces = list(zip([0, *(c + 1 for c in cuts)], [*cuts, len(word)], strict=True))
     if cuts and any(_plausible(kind, word[a:b]) for a, b in pieces for kind in range(len(KINDS))):
-        yield from ((a, b) for a, b in pieces if _LOADED.match(word, a, b))
+        yield from ((a, b) for a, b in pieces if _SIGN.search(word, a, b))
     else:
         yield 0, len(word)
 
@@ -295,20 +331,19 @@ def model_spans(texts: list[str | None], known: list[list[tuple[int, int, int, i
                 places.append((r, spans))
             words, spans = [], []
 
-        for m in _LOADED.finditer(text):
+        for start, stop in loaded(text):
             # the word before and the one behind a run of loaded words are its context
-            gap = text[last:m.start()] if last >= 0 else None
-            if gap is None or gap.strip():
+            if last < 0 or not text[last:start].isspace():
                 if spans:
-                    words.append((_TOKEN.search(text, last) or m).group().rstrip(".,;:!?"))
+                    words.append((_TOKEN.search(text, last) or _TOKEN.search(text, start)).group().rstrip(".,;:!?"))
                     close()
-                before = text[max(0, m.start() - 40) : m.start()].split()
+                before = text[max(0, start - 40) : start].split()
                 words = [before[-1].rstrip(".,;:!?") if before else ""]
-            core = m.group().rstrip(".,;:!?")
+            core = text[start:stop].rstrip(".,;:!?")
             for a, b in _parts(core):
                 words.append(core[a:b])
-                spans.append((m.start() + a, m.start() + b))
-            last = m.end()
+                spans.append((start + a, start + b))
+            last = stop
         if spans:
             behind = _TOKEN.search(text, last)
             words.append(behind.group().rstrip(".,;:!?") if behind else "")
@@ -316,7 +351,14 @@ def model_spans(texts: list[str | None], known: list[list[tuple[int, int, int, i
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for (r, spans), tags in zip(places, model.viterbi(runs), strict=True):
         taken = known[r]
-        free = [not any(a < y and x < b for x, _, y, _ in taken) for a, b in spans] if taken else [True] * len(spans)
+        starts, ends = [a for a, *_ in taken], list(accumulate((b for _, _, b, _ in taken), max))
+
+        def touches(a, b, starts=starts, ends=ends):
+            """Whether one of the sorted spans overlaps [a, b): of those that begin before b, the one that ends last."""
+            k = bisect_left(starts, b)
+            return k > 0 and ends[k - 1] > a
+
+        free = [not touches(a, b) for a, b in spans] if taken else [True] * len(spans)
         t = 0
         while t < len(tags):
             stop = t + 1
@@ -324,7 +366,7 @@ def model_spans(texts: list[str | None], known: list[list[tuple[int, int, int, i
                 stop += 1
             if tags[t] and free[t]:
                 kind = int(tags[t]) - 1
-                out[r] += [(a, kind, b, 0) for a, b in _cut_run(kind, texts[r], spans[t:stop]) if not any(a < y and x < b for x, _, y, _ in taken)]
+                out[r] += [(a, kind, b, 0) for a, b in _cut_run(kind, texts[r], spans[t:stop]) if not touches(a, b)]
             t = stop
     return out
 
@@ -394,10 +436,11 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and digests of the spans that `scan_pii` found; the counts are of base spans."""
+    """Counts and digests of the spans that `scan_pii` found: those by kind are of base spans; n_spans counts all, n_model the model's."""
     base = F.filter("spans", lambda s: s["base"] == 1)
     count = lambda no: F.size(F.filter("spans", lambda s: (s["base"] == 1) & (s["no"] == no))).cast("long")
     return found.select(
         "doc_id", *[count(no).alias(f"n_{kind}") for no, kind in enumerate(BASE_KINDS)],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["base"] == 0)).cast("long").alias("n_model"),
     )
