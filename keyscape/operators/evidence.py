@@ -52,7 +52,8 @@ def _kind(v: Column, path: str) -> Column:
 _ASKED = {
     "kind": _kind, "text": lambda v, p: F.try_variant_get(v, f"$.{p}", "string"), "absent": lambda v, p: _sub(v, p).isNull(),
     "long": lambda v, p: F.when(_kind(v, p) == "BIGINT", F.try_variant_get(v, f"$.{p}", "bigint")), "double": lambda v, p: F.try_variant_get(v, f"$.{p}", "double"),
-    "size": lambda v, p: F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")),
+    "size": lambda v, p: F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")), "keys": lambda v, p: F.map_keys(F.try_variant_get(v, f"$.{p}", "map<string,variant>")),
+    "json": lambda v, p: F.to_json(_sub(v, p)),
     "fields": lambda v, p: F.transform(F.try_variant_get(v, f"$.{p}", "array<variant>"), lambda m: F.try_variant_get(m, "$.field", "string")),
 }
 
@@ -138,7 +139,10 @@ def with_evidence(attempts: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def identity_errors(df: DataFrame) -> Column:
     """Names of the identities of `result` that aren't the row's: attempt_id, case_id, prefix."""
-    v = F.col("result")
+    return _bind(F.col("result"), _identity_errors)
+
+
+def _identity_errors(v: _Reader) -> Column:
     leaf = F.element_at(F.split(F.rtrim(F.col("result_prefix"), F.lit("/")), "/"), -1)
     return _names(
         F.when(~text(v, "attempt_id").eqNullSafe(F.col("attempt_id")), "attempt_id"), F.when(~text(v, "case_id").eqNullSafe(F.col("case_id")), "case_id"),
@@ -176,14 +180,29 @@ def artifact_binding(recorded: DataFrame, inventory: DataFrame) -> DataFrame:
     return both.select("prefix", "path", problem.alias("problem")).filter("problem is not null")
 
 
+#: Fields of evidence and the ledger's columns that they repeat.
+BOUND_FIELDS = {
+    "group_id": "group_id", "job_name": "job_name", "case_id": "case_id", "attempt_id": "attempt_id", "tool": "tool", "mode": "mode", "bucket": "target_bucket", "region": "target_region",
+    "prefix": "target_prefix", "auth_role": "auth_role", "image": "image_uri", "image_set_sha256": "image_set_sha256",
+}
+#: The numbers of declared_resources, whose other field is the text machine_type.
+RESOURCES = ("vcpus", "memory_gb", "container_memory_gb")
+
+
 def result_binding(df: DataFrame) -> Column:
-    """Names of the fields of `result` that aren't what the row launched; config as its object, key order aside."""
-    v = F.col("result")
-    plain = {"group_id": "group_id", "case_id": "case_id", "attempt_id": "attempt_id", "tool": "tool", "mode": "mode", "bucket": "target_bucket", "region": "target_region", "prefix": "target_prefix"}
-    wrong = [F.when(~text(v, f).eqNullSafe(F.col(c)), f) for f, c in plain.items()]
-    pairs = lambda j: F.array_sort(F.map_entries(F.from_json(j, "map<string,string>")))
-    wrong.append(F.when(~F.coalesce(pairs(F.to_json(_sub(v, "config"))) == pairs(F.col("config")), F.lit(False)), "config"))
-    return _names(*wrong)
+    """Names of the fields of `result` that aren't what the row launched; config and declared_resources as whole objects, key order aside."""
+    return _bind(F.col("result"), _result_binding)
+
+
+def _result_binding(v: _Reader) -> Column:
+    same = lambda f, c: text(v, f).eqNullSafe(F.col(c)) & (kind(v, f).isNull() | _is(v, f, "STRING"))
+    number = lambda f, c: _long(v, f).eqNullSafe(F.col(c).cast("bigint")) & (kind(v, f).isNull() | _is_int(v, f))
+    held = F.array_sort(_ask(v, "keys", "declared_resources")).eqNullSafe(F.array(*[F.lit(k) for k in sorted(("machine_type", *RESOURCES))])) & same("declared_resources.machine_type", "machine_type")
+    for r in RESOURCES:
+        held &= number(f"declared_resources.{r}", r)
+    # a variant writes an object's fields in the order of their names
+    config = F.coalesce(_ask(v, "json", "config") == F.to_json(F.try_parse_json("config")), F.lit(False))
+    return _names(*[F.when(~same(f, c), f) for f, c in BOUND_FIELDS.items()], F.when(~config, "config"), F.when(~F.coalesce(held, F.lit(False)), "declared_resources"))
 
 
 _HEX64 = r"\A[0-9a-f]{64}\z"
@@ -280,11 +299,10 @@ def _verify_binding(v: _Reader) -> Column:
 
 def evidence_state(df: DataFrame) -> DataFrame:
     """with_evidence rows with evidence_state, the first rung of the ladder that applies."""
-    state = (
-        F.when(~F.col("has_result"), "MISSING_EVIDENCE").when(F.col("result").isNull(), "RESULT_UNAVAILABLE").when(F.size(identity_errors(df)) > 0, "IDENTITY_MISMATCH")
-        .when((F.size(result_binding(df)) > 0) | (F.size(result_semantics(F.col("result"))) > 0), "RESULT_MISMATCH").when(F.col("verification").isNull(), "VERIFY_UNAVAILABLE")
-        .when(F.size(verify_binding(df)) > 0, "VERIFY_MISMATCH").otherwise("VERIFIED")
-    )
+    # each field of the evidence is read once for all of its rules
+    wrong = _bind(F.col("result"), lambda v: F.when(F.size(_identity_errors(v)) > 0, "IDENTITY_MISMATCH").when((F.size(_result_binding(v)) > 0) | (F.size(_result_semantics(v)) > 0), "RESULT_MISMATCH"))
+    unbound = F.when(F.col("verification").isNull(), "VERIFY_UNAVAILABLE").when(F.size(verify_binding(df)) > 0, "VERIFY_MISMATCH").otherwise("VERIFIED")
+    state = F.when(~F.col("has_result"), "MISSING_EVIDENCE").when(F.col("result").isNull(), "RESULT_UNAVAILABLE").otherwise(F.coalesce(wrong, unbound))
     return df.withColumn("evidence_state", state)
 
 
@@ -296,20 +314,32 @@ def report_rows(df: DataFrame, modes: DataFrame) -> DataFrame:
     measured = lambda p: dash(F.when(known, text(v, p)))
     return df.join(F.broadcast(modes), "mode", "left").select(
         "attempt_id", "tool", "mode", dash(F.col("product")).alias("product"), dash(F.col("fields")).alias("fields"), dash(F.col("concurrency")).alias("concurrency"), "case_id", "attempt",
-        F.col("target_bucket").alias("bucket"), "purpose", "statistic", "state", "evidence_state", measured("exit_code").alias("exit"), measured("row_count").alias("row_count"),
+        F.col("target_bucket").alias("bucket"), dash(F.col("machine_type")).alias("machine_type"), dash(F.col("vcpus")).alias("vcpus"), dash(F.col("memory_gb")).alias("memory_gb"),
+        dash(F.col("container_memory_gb")).alias("container_memory_gb"), "purpose", "statistic", "state", "evidence_state", measured("exit_code").alias("exit"), measured("row_count").alias("row_count"),
         F.when(known, F.try_variant_get(v, "$.wall_seconds", "double")).alias("wall_seconds"), measured("max_rss_kb").alias("max_rss_kb"), measured("execution.max_rss_floor_kb").alias("max_rss_floor_kb"),
         F.when(F.col("evidence_state") == "VERIFIED", dash(text(F.col("verification"), "verdict"))).otherwise("-").alias("verdict"), "produced_by",
     )
 
 
+def with_preparations(rows: DataFrame) -> DataFrame:
+    """Report rows with prep_seconds, the measured seconds of the runs behind each; NULL for none, or where one is unknown or outside the report."""
+    rows = checkpoint(rows)
+    return rows.join(preparation_cost(rows.select("attempt_id", "produced_by", "wall_seconds")).select("attempt_id", "prep_seconds"), "attempt_id", "left")
+
+
 # --- ledger aggregates --------------------------------------------------------------
 
 
-def gap_table(subjects: DataFrame) -> DataFrame:
-    """E5: (attempt_id, reason, exit_code) of with_evidence rows that can't be compared, the first reason of each."""
+def gap_table(subjects: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """E5: (attempt_id, reason, exit_code) of with_evidence rows that can't be compared, the first reason of each.
+
+    refused: attempt_ids whose captures don't match their records or whose listings a format or a gate refused.
+    """
+    subjects = subjects.withColumn("_refused", F.lit(False)) if refused is None else subjects.join(refused.select("attempt_id").distinct().withColumn("_refused", F.lit(True)), "attempt_id", "left")
+    of_result = _bind(F.col("result"), lambda v: F.when(F.size(_identity_errors(v)) > 0, "identity").when(_failed_subject(v).isNotNull(), "failed-subject"))
     reason = (
         F.when(~F.col("state").isin(*TERMINAL), "unsettled").when(F.col("state") != "SUCCEEDED", "absent").when(~F.col("has_result"), "missing-evidence")
-        .when(F.col("result").isNull(), "malformed").when(F.size(identity_errors(subjects)) > 0, "identity").when(failed_subject(F.col("result")).isNotNull(), "failed-subject")
+        .when(F.col("result").isNull(), "malformed").otherwise(F.coalesce(of_result, F.when(F.col("_refused"), F.lit("normalize"))))
     )
     codes = F.create_map(*[F.lit(x) for kv in GAP_EXIT_CODES.items() for x in kv])
     return subjects.select("attempt_id", F.explode(F.array_compact(F.array(reason))).alias("reason")).withColumn("exit_code", F.element_at(codes, F.col("reason")))
@@ -326,22 +356,38 @@ def preparation_cost(rows: DataFrame) -> DataFrame:
     """(attempt_id, links, prep_seconds) of rows(attempt_id, produced_by, wall_seconds) that ran behind another.
 
     The chain of produced_by is followed until it ends, comes back to a link it has, or
-    leaves the table; in the last case, and if a link has no time, the cost is NULL. Each round joins
-    the chains still open with the next link, so there are as many rounds as the longest chain has links.
+    leaves the table; in the last case, and if a link has no time, the cost is NULL. Each round doubles
+    the steps that a row's walk has taken, so a chain of n links takes log n rounds. Of a repeated attempt_id the smallest row is followed.
     """
-    step = rows.select(F.col("attempt_id").alias("at"), F.col("produced_by").alias("next"), F.col("wall_seconds").alias("cost")).dropDuplicates(["at"])
-    live = rows.filter("produced_by is not null").select("attempt_id", F.col("produced_by").alias("at"), F.array().cast("array<string>").alias("chain"), F.lit(0.0).alias("total"))
-    done = None
-    while True:
-        joined = checkpoint(live.join(step.withColumn("found", F.lit(True)), "at", "left"))
-        chain = F.when(F.col("found"), F.concat("chain", F.array("at"))).otherwise(F.col("chain"))
-        rows_ = joined.select("attempt_id", F.col("next").alias("at"), chain.alias("chain"), F.when(F.col("found"), F.col("total") + F.col("cost")).alias("total"), F.coalesce("found", F.lit(False)).alias("found"))
-        ends = F.col("at").isNull() | ~F.col("found") | F.array_contains("chain", F.col("at"))
-        closed = rows_.filter(ends).select("attempt_id", F.size("chain").cast("long").alias("links"), F.round("total", 6).alias("prep_seconds"))
-        done = closed if done is None else done.unionByName(closed)
-        live = rows_.filter(~ends).select("attempt_id", "at", "chain", "total")
-        if live.isEmpty():
-            return done
+    step = rows.groupBy(F.col("attempt_id").alias("at")).agg(F.min(F.struct(F.col("produced_by").alias("to"), F.col("wall_seconds").alias("cost"))).alias("s"))
+    one = checkpoint(step.select("at", "s.to", F.lit(1).cast("long").alias("links"), F.col("s.cost").cast("double").alias("total"), F.lit(False).alias("outside")))
+    most, steps, walk = one.count(), 1, one
+    open_ = F.col("to").isNotNull() & ~F.col("outside")
+    while not walk.filter(open_).isEmpty() and steps <= most:
+        nxt = walk.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("links").alias("links2"), F.col("total").alias("total2"), F.col("outside").alias("outside2"), F.lit(True).alias("found"))
+        both = walk.filter(open_).join(nxt, "to", "left")
+        found = F.col("found").isNotNull()
+        longer = both.select(
+            "at", F.when(found, F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("links") + F.coalesce("links2", F.lit(0))).alias("links"),
+            F.when(found, F.col("total") + F.col("total2")).otherwise(F.col("total")).alias("total"), F.coalesce("outside2", F.lit(True)).alias("outside"),
+        )
+        walk, steps = checkpoint(walk.filter(~open_).unionByName(longer)), 2 * steps
+    walk = walk.filter(~open_).unionByName(_round_trips(one, walk.filter(open_).select("at")))
+    behind = rows.filter("produced_by is not null").select("attempt_id", F.col("produced_by").alias("at")).join(walk, "at", "left")
+    cost = F.when(F.col("to").isNull(), F.round("total", 6))  # a walk that isn't at its end left the table
+    return behind.select("attempt_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), cost.alias("prep_seconds"))
+
+
+def _round_trips(one: DataFrame, starts: DataFrame) -> DataFrame:
+    """The walks from `starts`, which lead into a cycle and end where they would come back to a link they have; rounds as long as the walk."""
+    done, live = None, starts.select("at", F.col("at").alias("to"), F.array().cast("array<string>").alias("chain"), F.lit(0.0).alias("total"))
+    while not live.isEmpty():
+        to = one.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("total").alias("cost"))
+        live = checkpoint(live.join(to, "to").select("at", F.col("to2").alias("to"), F.concat("chain", F.array("to")).alias("chain"), (F.col("total") + F.col("cost")).alias("total")))
+        back = F.array_contains("chain", F.col("to"))
+        ended = live.filter(back).select("at", F.lit(None).cast("string").alias("to"), F.size("chain").cast("long").alias("links"), "total", F.lit(False).alias("outside"))
+        done, live = ended if done is None else done.unionByName(ended), live.filter(~back)
+    return done if done is not None else one.limit(0)
 
 
 def stratum_summary(rows: DataFrame) -> DataFrame:
@@ -467,7 +513,16 @@ def roster_coverage(registered: DataFrame, run: DataFrame, excluded: DataFrame)
 
 def corpus_pin(receipts: DataFrame, expected: DataFrame) -> DataFrame:
     """(tool, found, pinned, problem): receipts(tool, stdout_sha256, stderr_sha256, empty) with a non-empty stream, against expected(tool, pinned)."""
-    stream = F.coalesce(*[F.when(F.col(c) != F.col("empty"), F.col(c)) for c in ("stdout_sha256", "stderr_sha256")])
-    n = receipts.filter(stream.isNotNull()).groupBy("tool").agg(F.count("*").alias("found"))
+    n = _payloads(receipts).groupBy("tool").agg(F.count("*").alias("found"))
     both = n.join(expected, "tool", "full_outer").select("tool", F.coalesce("found", F.lit(0)).alias("found"), "pinned")
     return both.withColumn("problem", F.when(F.col("pinned").isNull(), "unpinned").when(F.col("found") != F.col("pinned"), "count"))
+
+
+def _payloads(receipts: DataFrame) -> DataFrame:
+    """Receipts whose stdout, or else stderr, isn't empty."""
+    return receipts.filter(F.coalesce(*[F.when(F.col(c) != F.col("empty"), F.col(c)) for c in ("stdout_sha256", "stderr_sha256")]).isNotNull())
+
+
+def unexercised_modes(declared: DataFrame, receipts: DataFrame) -> DataFrame:
+    """declared(tool, mode) that no receipt with a payload reaches."""
+    return declared.select("tool", "mode").distinct().join(_payloads(receipts).select("tool", "mode"), ["tool", "mode"], "left_anti")
