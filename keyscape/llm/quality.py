@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .runtime import prepare, slices, text_buffer
+from .runtime import below, prepare, slices, spare, text_buffer
 
 U = np.uint64
 #: Kinds of bytes: 0 parts words; 1 lower-case, 2 upper-case, 3 digits, 4 non-ASCII make words; 5 makes words of signs.
@@ -44,30 +44,32 @@ def features(text: pa.Array, bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(start, ends)
     head, tail = _KIND[data[start]].astype(U) if len(start) else np.zeros(0, U), _KIND[data[stop - 1]].astype(U) if len(start) else np.zeros(0, U)
     size = np.minimum(stop - start, 3).astype(U)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(first))
+    place = np.arange(len(word)) - first[row]
     again = np.zeros(len(word), U)
-    again[1:] = word[1:] == word[:-1]
+    again[1:] = (word[1:] == word[:-1]) & (place[1:] >= 1)
     # a word that comes back after signs repeats too
-    again[2:] |= (word[2:] == word[:-2]).astype(U)
+    again[2:] |= ((word[2:] == word[:-2]) & (place[2:] >= 2)).astype(U)
     shape = ((head * U(8) + tail) * U(4) + size) * U(2) + again
     with np.errstate(over="ignore"):
         pair, triple = np.zeros_like(word), np.zeros_like(word)
         pair[1:] = w.mix(word[:-1] * U(0x9E3779B97F4A7C15) + word[1:] + U(1))
         pair[1:][word[1:] == word[:-1]] = U(0x5851F42D4C957F2D)  # any word twice in a row
         triple[2:] = w.mix((shape[:-2] * U(1 << 12) + shape[1:-1]) * U(1 << 12) + shape[2:] + U(0x1234567))
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(first))
-    place = np.arange(len(word)) - first[row]
     slots = np.concatenate([word, pair[place >= 1], triple[place >= 2]])
     rows = np.concatenate([row, row[place >= 1], row[place >= 2]])
     order = np.argsort(rows, kind="stable")
     return (slots[order] >> U(64 - bits)).astype(np.int64), np.searchsorted(rows[order], np.arange(len(ends)))
 
 
-def train(rows: list[tuple[np.ndarray, int]], *, prior: float | None = None, bits: int = 18, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05) -> np.ndarray:
+def train(
+    rows: list[tuple[np.ndarray, int]], *, prior: float | None = None, bits: int = 18, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05, bias_alpha: float = 0.02
+) -> np.ndarray:
     """Weights (the last one is the bias) after FTRL-proximal updates over (distinct slots, label) rows, in turn.
 
-    The bias is held at the log-odds of `prior` (label 1's share; else that of the rows), at
-    most 2, so a text that says nothing goes with the larger class; for the n-grams both
-    classes weigh the same.
+    The bias starts at the log-odds of `prior` (label 1's share; else that of the rows), at
+    most 2, so a text that says nothing goes with the larger class, and takes updates
+    of its own; for the n-grams both classes weigh the same.
     """
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
@@ -78,46 +80,59 @@ def train(rows: list[tuple[np.ndarray, int]], *, prior: float | None = None, bit
 
     share = float(np.mean([y for _, y in rows])) if rows else 0.5
     odds = share if prior is None else prior
-    bias = float(np.clip(np.log((odds + 1e-9) / (1 - odds + 1e-9)), -2, 2))
+    start = bias = float(np.clip(np.log((odds + 1e-9) / (1 - odds + 1e-9)), -2, 2))
+    bias_z = bias_n = 0.0
     for _ in range(epochs):
         for i, y in rows:
             x = 1 / np.sqrt(max(1, len(i)))
             now = weight(i)
             p = 1 / (1 + np.exp(-np.clip(now.sum() * x + bias, -35, 35)))
-            g = (p - y) * x * min(8.0, 0.5 / max(1e-3, share if y else 1 - share))
-            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * now
-            n[i] += g * g
+            g = (p - y) * min(8.0, 0.5 / max(1e-3, share if y else 1 - share))
+            step = g * x
+            z[i] += step - (np.sqrt(n[i] + step * step) - np.sqrt(n[i])) / alpha * now
+            n[i] += step * step
+            bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / bias_alpha * (bias - start)
+            bias_n += g * g
+            bias = start - bias_z / ((beta + np.sqrt(bias_n)) / bias_alpha + l2)
     return np.append(weight(np.arange(size)), bias).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, piece: int = 32_768, bits: int = 18, **options) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, most_slots: int = 4096, bits: int = 18, **options) -> np.ndarray:
     """Weights fitted to docs(doc_id, text) with labels(doc_id, quality).
 
     The sample's bound is `per_label` documents of each label, by a hash of the doc_id, and
-    `piece` characters of each, from a place by that hash where it is longer; a document
-    with contradicting labels counts by its smallest, and of rows that repeat a doc_id
-    that of the smallest text hash is taken.
+    `most_slots` distinct n-grams of each, by a hash of n-gram and text where there
+    are more, from the whole text; so the driver holds 2 * per_label * most_slots numbers at most.
+    A document with contradicting labels counts by its smallest, and of rows that
+    repeat a doc_id that of the smallest text hash is taken.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows at most
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
+    h = F.xxhash64("doc_id")
+    some = reduce(Column.__or__, [(F.col("quality") == k) & below(h, spare(per_label, n)) for k, n in counts.items()], F.lit(False))
+    # some more than per_label ids of each label, with their hashes; the lowest are taken
+    ids = known.filter(some).select("doc_id", "quality", h.alias("h")).toPandas().sort_values(["quality", "h", "doc_id"]).groupby("quality").head(per_label)
+    sample = spark.createDataFrame([(int(i), int(q)) for i, q in zip(ids.doc_id, ids.quality, strict=True)], "doc_id long, quality int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    place = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - piece, F.lit(1))) + 1).cast("int")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), F.substring(text, place, F.lit(piece)).alias("text")).alias("d"))
-    picked = picked.join(F.broadcast(known.drop("r")), "doc_id").groupBy("doc_id", "quality").agg(F.min("d").alias("d"))  # 2 * per_label rows at most
-    picked = picked.select("doc_id", "d.text", "quality")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             slots, first = features(part.column("text"), bits)
-            lists = [np.unique(slots[first[r] : first[r + 1]]).astype(np.int32) for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lists, pa.list_(pa.int32())), part.column("quality")], ["doc_id", "slots", "quality"])
-
-    rows = picked.mapInArrow(run, "doc_id long, slots array<int>, quality int").toArrow()
+            lists = []
+            for r, salt in enumerate(part.column("h").to_numpy()):
+                own = np.unique(slots[first[r] : first[r + 1]])
+                if len(own) > most_slots:
+                    own = own[np.sort(np.argsort(w.mix(own.astype(U) ^ salt.astype(U)), kind="stable")[:most_slots])]
+                lists.append(own.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(lists, pa.list_(pa.int32())), part.column("quality")], ["doc_id", "h", "slots", "quality"])
+
+    rows = picked.mapInArrow(run, "doc_id long, h long, slots array<int>, quality int")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "slots")).alias("s")).select("doc_id", "quality", "s.slots").toArrow()
     order = np.argsort(w.mix(rows.column("doc_id").to_numpy().astype(U)), kind="stable") if rows.num_rows else []
     slots, label = rows.column("slots").combine_chunks(), rows.column("quality").to_numpy()
     return train([(slots[int(k)].values.to_numpy(), int(label[k])) for k in order], prior=prior, bits=bits, **options)
