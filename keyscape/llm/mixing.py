@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from .runtime import checkpoint
 
-#: Bins of the sampling keys: a source's sums are gathered for each bin, and only the bin where its budget ends is sorted.
-BINS = 1 << 16
+#: Bins of the sampling keys, for each doubling of a key: a source's sums are gathered for each bin, and only the bin where
+#: its budget ends is sorted. Whatever the weights, no bin draws more than about 0.37 * ln 2 / BINS of a source's documents,
+#: as a weight only shifts the logarithm of a key.
+BINS = 1 << 12
+#: Bins of a coarse bin.
+COARSE = 1 << 8
 #: Up to so many sources their totals are broadcast; more are joined by shuffles.
 BROADCAST_SOURCES = 20_000
 
@@ -38,6 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     the total size by them. None gets more than `most` times its size; what is above
     goes to the others by weight until none is above. As the ones at their limit are those
     with the least size for their weight, running sums in that order find them.
+    The windows span all sources in one task: a row for each source.
     """
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
@@ -54,34 +59,52 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of each row of docs(doc_id, source, text).
+def mix(
+    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", weight: Column | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of each row of docs(doc_id, source, text), and its `carry` columns.
 
     A source takes complete epochs of all its documents while its target allows, then
     fills the rest by documents in order of their keys -ln(u) / weight (u from the
-    doc_id, weight from the text); the document at which the budget ends gives only
-    the words that are left. So taken is at most `most` times a size, and a
-    source's taken words are its target, rounded down.
+    doc_id; weight: a column of positive quality weights, else that of the text); the
+    document at which the budget ends gives only the words that are left. So taken is at most
+    `most` times a size, and a source's taken words are its target, rounded down.
+
+    Sums by coarse bins of the keys, then by the bins of one coarse bin, then by the keys of one bin find
+    where a source's budget ends, so no window spans a source.
 
     Defined results: null source is a source of its own, last in order; a null text has
-    size 0 and takes 0; repeated rows count each for itself, ties of keys go by doc_id
-    and text hash; an empty table gives no rows; other columns are ignored.
+    size 0 and takes 0; a null weight counts as 0.1; repeated rows count each for itself, ties of
+    keys go by doc_id and text hash; an empty table gives no rows; other columns are ignored.
     """
+    weight = text_weight(F.col("text")) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.1))
     sized = docs.select(
         F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-        (-F.log(uniform(F.col("doc_id"), seed)) / text_weight(F.col("text"))).alias("key"), F.xxhash64("text").alias("tie"),
-    ).withColumn("bin", F.lit(BINS - 1) - F.least(F.floor(F.exp(-F.col("key")) * BINS), F.lit(BINS - 1)))
+        (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"), F.xxhash64("text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("doc"),
+    ).withColumn("bin", F.floor(F.log2("key") * BINS).cast("long"))
+    if not carry:
+        sized = sized.drop("doc")
     sized = checkpoint(sized)
     bins = checkpoint(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     targets = checkpoint(source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most))
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = bins.withColumn("upto", F.sum("bin_size").over(upto)).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    # the first bin that goes over the budget; before it all is taken, after it nothing
-    edge = run.filter("upto > budget").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("e"))
-    few = targets.join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("of"), "source_size", "target", "epochs", "budget", F.coalesce("e.bin", F.lit(BINS)).alias("edge"), F.coalesce("e.before", F.lit(0)).alias("before")
+
+    def edge(parts: DataFrame, name: str, known: DataFrame) -> DataFrame:
+        """known(source, budget, before) with `name` and `before` of the first of parts(source, name, n) that goes over the budget; NULL if none does."""
+        upto = F.sum("n").over(W.partitionBy("source").orderBy(name).rowsBetween(W.unboundedPreceding, W.currentRow))
+        s = known.select(F.col("source").alias("s"), "budget", "before")
+        run = parts.withColumn("upto", upto).join(s, F.col("source").eqNullSafe(F.col("s"))).withColumn("upto", F.col("upto") + F.col("before"))
+        first = run.filter("upto > budget").groupBy("source").agg(F.min(F.struct(name, (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+        return first.select("source", f"e.{name}", "e.before")
+
+    start = targets.select("source", "budget", F.lit(0).cast("long").alias("before"))
+    coarse = edge(bins.groupBy("source", F.floor(F.col("bin") / COARSE).alias("coarse")).agg(F.sum("bin_size").alias("n")), "coarse", start)
+    coarse = checkpoint(coarse.withColumnRenamed("source", "of").join(targets.select("source", "budget"), F.col("of").eqNullSafe(F.col("source"))).drop("of"))
+    inside = bins.join(coarse.select(F.col("source").alias("of"), "coarse"), F.col("source").eqNullSafe(F.col("of")) & (F.floor(F.col("bin") / COARSE) == F.col("coarse")))
+    fine = edge(inside.select("source", "bin", F.col("bin_size").alias("n")), "bin", coarse)
+    few = targets.join(fine.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", "epochs", "budget", F.coalesce("bin", F.lit(2**62)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before")
     )
     few = checkpoint(few)
     if few.count() <= BROADCAST_SOURCES:
@@ -92,5 +115,5 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     at_edge = at_edge.withColumn("part", F.greatest(F.lit(0), F.least("left", "size"))).drop("left")
     others = out.filter("bin <> edge").withColumn("part", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0))
     return others.unionByName(at_edge).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *[F.col(f"doc.`{c}`") for c in carry]
     )
