@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,46 +25,57 @@ def credential_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[st
     return df.select(F.col(id_col), F.array_compact(F.array(*names)).alias("patterns")).filter(F.size("patterns") > 0)
 
 
-_LABEL = r"\[SRC\s+([^\]]*)\]"
-_COMMIT = r"@\s*([0-9a-f]{7,40})\s*\z"
-_SEGMENT = r"\A([^\s:]+)(?::([\d\s,-]+))?\z"
-LINES_SPEC = r"\A\d+(?:-\d+)?(?:,\d+(?:-\d+)?)*\z"
+#: How a citation is written. A label opens with this marker and a blank and ends at the next bracket; its commit
+#: stands behind its last @; its parts are parted by semicolons, a part's lines from its path by a colon.
+_OPENS = r"\[SRC(?=\s)"
+_COMMIT = r"\A[0-9a-f]{7,40}\z"
+_LINES = r"\A[0-9]+(-[0-9]+)?\z"
+_BLANKS = " \t\n\r\f\x0b"
 
 
 def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+def _bare(c: Column) -> Column:
+    return F.btrim(c, F.lit(_BLANKS))
+
+
+def _are_lines(spec: Column) -> Column:
+    """Whether all that commas part are numbers or ranges."""
+    return F.forall(F.split(spec, ",", -1), lambda x: x.rlike(_LINES))
+
+
 def citations(pages: DataFrame) -> DataFrame:
     """(page, line, commit, path, lines, parsed) of each part of each source label of pages(page, text).
 
     A label without a commit takes the page's, if all of its others agree; a part
     that can't be read, or has no commit, is returned with parsed false.
     """
-    labels = F.regexp_extract_all("text", F.lit(_LABEL), F.lit(0))
-    between = F.split("text", _LABEL, -1)
-    rows = pages.select("page", F.posexplode(F.zip_with(labels, F.slice(between, 1, F.size(labels)), lambda m, b: F.struct(_newlines(b).alias("gap"), _newlines(m).alias("own"), F.regexp_extract(m, _LABEL, 1).alias("body")))).alias("at", "l"))
-    before = W.partitionBy("page").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    body, commit = F.col("l.body"), F.nullif(F.regexp_extract("l.body", _COMMIT, 1), F.lit(""))
-    rows = rows.select(
-        "page", (F.sum(F.col("l.gap") + F.col("l.own")).over(before) - F.col("l.own") + 1).alias("line"), commit.alias("own"),
-        F.regexp_replace(body, _COMMIT, "").alias("body"),
-    )
+    # the first piece stands before all labels, each other one begins behind a label's marker
+    pieces = pages.select("page", F.posexplode(F.split("text", _OPENS, -1)).alias("at", "piece"))
+    above = F.sum(_newlines(F.col("piece"))).over(W.partitionBy("page").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    labels = pieces.withColumn("line", above + 1).filter((F.col("at") > 0) & F.col("piece").contains("]"))
+    body = F.substring_index("piece", "]", 1)
+    tail = _bare(F.substring_index(body, "@", -1))
+    own = F.when(body.contains("@") & tail.rlike(_COMMIT), tail)
+    rest = F.when(own.isNotNull(), F.reverse(F.substring(F.reverse(body), F.length(F.substring_index(body, "@", -1)) + 2, F.length(body)))).otherwise(body)
+    labels = labels.select("page", "line", own.alias("own"), rest.alias("rest"))
     page = W.partitionBy("page")
     only = F.when(F.min("own").over(page) == F.max("own").over(page), F.min("own").over(page))
-    rows = rows.withColumn("commit", F.coalesce("own", only))
-    parts = rows.select("page", "line", "commit", F.explode(F.when(F.col("commit").isNull(), F.array(F.col("body"))).otherwise(F.split("body", ";", -1))).alias("part"))
-    parts = parts.withColumn("part", F.regexp_replace(F.regexp_replace(F.trim("part"), r",\s*\z", ""), r"\A\s+|\s+\z", "")).filter("part <> ''")
-    lines = F.nullif(F.regexp_replace(F.regexp_extract("part", _SEGMENT, 2), r"\s+", ""), F.lit(""))
-    path = F.nullif(F.regexp_extract("part", _SEGMENT, 1), F.lit(""))
-    good = F.col("commit").isNotNull() & path.isNotNull() & F.coalesce(lines.rlike(LINES_SPEC), F.lit(True))
+    labels = labels.withColumn("commit", F.coalesce("own", only))
+    parts = labels.select("page", "line", "commit", F.explode(F.when(F.col("commit").isNull(), F.array("rest")).otherwise(F.split("rest", ";", -1))).alias("part"))
+    parts = parts.withColumn("part", _bare(F.rtrim(_bare(F.col("part")), F.lit(",")))).filter("part <> ''")
+    path = F.substring_index("part", ":", 1)
+    lines = F.when(F.col("part").contains(":"), F.translate(F.substring("part", F.length(path) + 2, F.length("part")), _BLANKS, ""))
+    good = F.col("commit").isNotNull() & (path != "") & ~path.rlike(r"\s") & (lines.isNull() | _are_lines(lines))
     return parts.select("page", F.col("line").cast("long").alias("line"), "commit", F.when(good, path).alias("path"), F.when(good, lines).alias("lines"), good.alias("parsed"))
 
 
 def parse_ranges(spec: Column) -> Column:
     """`a-b,c` as array<struct<first, last>>; NULL for another shape."""
-    one = lambda p: F.struct(F.split(p, "-")[0].cast("bigint").alias("first"), F.element_at(F.split(p, "-"), -1).cast("bigint").alias("last"))
-    return F.when(spec.rlike(LINES_SPEC), F.transform(F.split(spec, ","), one))
+    one = lambda p: F.struct(F.substring_index(p, "-", 1).cast("bigint").alias("first"), F.substring_index(p, "-", -1).cast("bigint").alias("last"))
+    return F.when(_are_lines(spec), F.transform(F.split(spec, ","), one))
 
 
 def line_count(content: Column) -> Column:
@@ -84,40 +97,57 @@ def check_citations(cites: DataFrame, files: DataFrame) -> DataFrame:
     return cites.join(held, ["commit", "path"], "left").withColumn("problem", problem).drop("n_lines")
 
 
-def citation_tally(cites: DataFrame, roots: DataFrame) -> DataFrame:
+def citation_tally(cites: DataFrame, roots: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """T5: (repository, commit, status, n) over cites(repository, commit, path) and roots(repository, revision).
 
-    `checked` where the root is at the cited commit, `refused` where it is elsewhere,
-    `skipped` without a root; roots that no citation uses are `unused` with n 0.
+    `checked` where the root is at the cited commit, `unresolved` where it is but files(repository,
+    path) of the roots lack the path, `refused` where it is elsewhere, `skipped` without a
+    root; roots that no citation uses are `unused` with n 0.
     """
     r = roots.select(F.col("repository").alias("root"), "revision")
-    joined = cites.join(r, F.col("repository") == F.col("root"), "left")
-    status = F.when(F.col("root").isNull(), "skipped").when(F.col("revision").startswith(F.col("commit")), "checked").otherwise("refused")
+    joined = cites.join(r, F.col("repository") == F.col("root"), "left").withColumn("held", F.lit(True))
+    if files is not None:
+        held = files.select("repository", "path").distinct().withColumn("_there", F.lit(True))
+        joined = joined.drop("held").join(held, ["repository", "path"], "left").withColumn("held", F.col("_there").isNotNull())
+    at_commit = F.when(F.col("held"), "checked").otherwise("unresolved")
+    status = F.when(F.col("root").isNull(), "skipped").when(F.col("revision").startswith(F.col("commit")), at_commit).otherwise("refused")
     used = joined.groupBy("repository", "commit", status.alias("status")).agg(F.count("*").alias("n"))
     unused = roots.join(cites.select("repository"), "repository", "left_anti").select("repository", F.col("revision").alias("commit"), F.lit("unused").alias("status"), F.lit(0).cast("long").alias("n"))
     return used.unionByName(unused)
 
 
-_LINK = r"""\[[^\]]*\]\(([^)\s]+)(?:\s+["'][^"']*["'])?\)"""
+def links(pages: DataFrame) -> DataFrame:
+    """(page, target) of the relative links of pages(page, text).
+
+    What `](` parts are pieces: a link's text ends one, behind its last closing bracket, and its target begins the next.
+    """
+    p = F.split("text", r"\]\(", -1)
+    both = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.struct(F.substring_index(a, "]", -1).alias("before"), b.alias("behind")))
+    rows = pages.select("page", F.explode(both).alias("l")).filter(F.col("l.before").contains("[") & F.col("l.behind").contains(")"))
+    inside = F.substring_index("l.behind", ")", 1)
+    target = F.get(F.split(inside, r"\s"), F.lit(0))
+    title = _bare(F.substring(inside, F.length(target) + 1, F.length(inside)))
+    rows = rows.select("page", target.alias("target"), title.alias("title")).filter((F.col("target") != "") & ((F.col("title") == "") | F.left("title", F.lit(1)).isin("'", '"')))
+    away = reduce(Column.__or__, [F.col("target").startswith(x) for x in ("http://", "https://", "mailto:")])
+    return rows.filter(~away).select("page", "target")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page, target) of the relative links of pages(page, text)."""
-    out = pages.select("page", F.explode(F.regexp_extract_all("text", F.lit(_LINK), F.lit(1))).alias("target"))
-    return out.filter(~F.col("target").rlike(r"\A(http://|https://|mailto:)"))
+#: What a slug keeps are word characters, hyphens and blanks, which become hyphens; marks of emphasis go first.
+_NO_SLUG, _EMPHASIS = r"(?U)[^\w\- ]", "`*~"
 
 
 def heading_ids(pages: DataFrame) -> DataFrame:
     """(page, id): heading slugs, numbered from their second use on a page on, and explicit anchors."""
-    heads = F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}\s+(.+?)\s*#*\s*$"), F.lit(1))
-    rows = pages.select("page", F.posexplode(heads).alias("at", "head"))
-    slug = F.regexp_replace(F.lower(F.trim(F.regexp_replace("head", r"[`*~]", ""))), r"(?U)[^\w\- ]", "")
-    slug = F.regexp_replace(F.regexp_replace(slug, r"\s", "-"), r"\A-+|-+\z", "")
-    rows = rows.select("page", "at", slug.alias("slug"))
+    lines = pages.select("page", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).filter(F.col("line").rlike(r"\A#{1,6}\s"))
+    head = _bare(F.rtrim(_bare(F.ltrim("line", F.lit("#"))), F.lit("#")))
+    slug = F.regexp_replace(F.lower(_bare(F.translate(head, _EMPHASIS, ""))), _NO_SLUG, "")
+    rows = lines.filter(head != "").select("page", "at", F.btrim(F.translate(slug, " ", "-"), F.lit("-")).alias("slug"))
     n = F.row_number().over(W.partitionBy("page", "slug").orderBy("at")) - 1
     rows = rows.withColumn("n", n).select("page", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")).alias("id"))
-    named = pages.select("page", F.explode(F.regexp_extract_all("text", F.lit(r"""(?i)<a\s+(?:name|id)=["']([^"']+)"""), F.lit(1))).alias("id"))
-    return rows.unionByName(named).distinct()
+    # an anchor's piece begins with its quoted name
+    tags = pages.select("page", F.explode(F.split("text", r"(?i)<a\s+(?:name|id)=", -1)).alias("piece"))
+    quoted = tags.filter(F.left("piece", F.lit(1)).isin("'", '"')).select("page", F.get(F.split(F.substring("piece", F.lit(2), F.length("piece")), "[\"']", -1), F.lit(0)).alias("id"))
+    return rows.unionByName(quoted.filter("id <> ''")).distinct()
 
 
 def resolve(page: Column, path: Column) -> Column:
@@ -189,18 +219,23 @@ def provenance(evidence: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def origin_conservation(expected: DataFrame, claims: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(tool, origin, problem) over expected(tool, origin), claims(tool, id, origin) and mapping(tool, origin, id).
+    """(tool, origin, problem) over expected(tool, origin), claims(tool, id, origin) and mapping(tool, origin, entry, id).
 
-    `missing` of the claims, `unexpected` in them, `unmapped` or `mapped but unexpected`
-    in the mapping, and `mapping disagrees` where its ids aren't the claims'.
+    `missing` of the claims, `unexpected` in them, `unmapped` or `mapped but unexpected` in
+    the mapping, `mapped twice` where several of its entries hold an origin, `unknown claim`
+    where it names an id that the tool doesn't have, and `mapping disagrees` where its ids aren't the claims'.
     """
     e = expected.select("tool", "origin").distinct().withColumn("e", F.lit(True))
     c = claims.groupBy("tool", "origin").agg(F.array_sort(F.collect_set("id")).alias("c"))
-    m = mapping.groupBy("tool", "origin").agg(F.array_sort(F.collect_set("id")).alias("m"))
+    known = claims.select("tool", "id").distinct().withColumn("known", F.lit(True))
+    m = mapping.join(known, ["tool", "id"], "left").groupBy("tool", "origin").agg(
+        F.array_sort(F.collect_set("id")).alias("m"), (F.min("entry") < F.max("entry")).alias("twice"), F.bool_or(F.col("known").isNull() & F.col("id").isNotNull()).alias("stray")
+    )
     all_ = e.join(c, ["tool", "origin"], "full_outer").join(m, ["tool", "origin"], "full_outer")
     problems = F.array(
         F.when(F.col("e").isNotNull() & F.col("c").isNull(), "missing"), F.when(F.col("e").isNull() & F.col("c").isNotNull(), "unexpected"),
         F.when(F.col("e").isNotNull() & F.col("m").isNull(), "unmapped"), F.when(F.col("e").isNull() & F.col("m").isNotNull(), "mapped but unexpected"),
+        F.when(F.col("twice"), "mapped twice"), F.when(F.col("stray"), "unknown claim"),
         F.when(F.col("m").isNotNull() & ~F.col("m").eqNullSafe(F.coalesce("c", F.array().cast("array<string>"))), "mapping disagrees"),
     )
     return all_.select("tool", "origin", F.explode(F.array_compact(problems)).alias("problem"))

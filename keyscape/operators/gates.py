@@ -85,6 +85,7 @@ def validate(df: DataFrame, mode: str = "refuse") -> tuple[DataFrame, DataFrame]
     """(good, quarantine): records that meet the contract, and the others with their reasons.
 
     mode `split` keeps both; `refuse` raises ValueError if any record is bad (which runs df once).
+    A caller of `split` that reads both sides and needs no records uses `reason_counts`.
     """
     if mode not in ("refuse", "split"):
         raise ValueError(f"unknown mode: {mode}")
@@ -93,3 +94,8 @@ def validate(df: DataFrame, mode: str = "refuse") -> tuple[DataFrame, DataFrame]
     if mode == "refuse" and (first := bad.select("key", "reasons").first()) is not None:
         raise ValueError(f"listing breaks the contract: key {first['key']!r}: {', '.join(first['reasons'])}")
     return good, bad
+
+
+def reason_counts(df: DataFrame) -> DataFrame:
+    """(reasons, n): records by the fields that break the contract, comma-joined; empty for those that meet it. One pass over df."""
+    return with_reasons(df).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))

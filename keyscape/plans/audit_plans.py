@@ -41,9 +41,12 @@ def _fixed(spark, d) -> DataFrame:
 
 
 def _split(spark, d) -> DataFrame:
-    good, bad = g.validate(g.fold_unexposed(_broken(spark, d).select(*FIELDS)), "split")
-    reasons = bad.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
-    return good.agg(F.lit("").alias("reasons"), F.count("*").alias("n")).unionByName(reasons)
+    return g.reason_counts(g.fold_unexposed(_broken(spark, d).select(*FIELDS)))
+
+
+def _quarantine(spark, d) -> DataFrame:
+    _, bad = g.validate(g.fold_unexposed(_broken(spark, d).select(*FIELDS)), "split")
+    return bad.select("key", F.array_join("reasons", ",").alias("reasons"))
 
 
 _B = f"WITH {LISTING}, b AS (SELECT l_orderkey, " + ", ".join(f"{e} AS {c}" for c, e in _BROKEN.items()) + " FROM l)"
@@ -137,9 +140,10 @@ def _tools(spark, d) -> DataFrame:
 
 
 _ORIGIN = {
-    "expected": "SELECT DISTINCT 't' || (o_custkey % 5) AS tool, 'O-' || (o_custkey % 300) AS origin FROM orders WHERE o_custkey % 17 <> 0",
-    "claims": "SELECT 't' || (o_custkey % 5) AS tool, 'c' || (o_orderkey % 3) AS id, 'O-' || (o_custkey % 300) AS origin FROM orders WHERE o_custkey % 19 <> 0",
-    "mapping": "SELECT 't' || (o_custkey % 5) AS tool, 'O-' || (o_custkey % 300) AS origin, 'c' || (o_orderkey % 3) AS id FROM orders WHERE o_custkey % 23 <> 0 AND o_orderkey % 29 <> 0",
+    "expected": "SELECT DISTINCT 't' || (o_custkey % 5) AS tool, 'O-' || (o_custkey % 300) AS origin FROM orders WHERE o_custkey % 300 % 17 <> 0",
+    "claims": "SELECT 't' || (o_custkey % 5) AS tool, 'c' || (o_custkey % 300 % 7) AS id, 'O-' || (o_custkey % 300) AS origin FROM orders WHERE o_custkey % 300 % 19 <> 0",
+    "mapping": "SELECT 't' || (o_custkey % 5) AS tool, 'O-' || (o_custkey % 300) AS origin, CASE WHEN o_custkey % 300 % 31 = 0 THEN o_orderkey % 2 ELSE 0 END AS entry, "
+    "CASE WHEN o_custkey % 300 % 37 = 0 THEN 'other' WHEN o_custkey % 300 % 29 = 0 THEN 'c1' ELSE 'c' || (o_custkey % 300 % 7) END AS id FROM orders WHERE o_custkey % 300 % 23 <> 0",
 }
 
 
@@ -163,11 +167,12 @@ QUERIES = {
     "c10_gate_escape": lambda s, d: _broken(s, d).select(F.concat("key", F.when(F.col("l_orderkey") % 31 == 0, F.lit("\\x0A")).otherwise("")).alias("key")).select("key", g.gate_escape(F.col("key")).alias("reason")).filter("reason is not null"),
     "c11_gate_table_line": lambda s, d: _fixed(s, d).select(g.gate_table_line(F.col("value")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     "c_validate_split": _split,
+    "c_quarantine": _quarantine,
     "t1_credential_scan": lambda s, d: _joined(a.credential_scan(_docs(s, d), "doc_id", "text"), "patterns"),
     "t2_citations": _cites,
     "t3_parse_ranges": lambda s, d: _cites(s, d).filter("lines is not null").select("page", "line", F.posexplode(a.parse_ranges(F.col("lines"))).alias("n", "r")).select("page", "line", F.col("n").cast("long").alias("n"), "r.first", "r.last"),
     "t4_check_citations": lambda s, d: a.check_citations(_cites(s, d).filter("parsed").select("page", "commit", "path", "lines"), _files(s, d)),
-    "t5_citation_tally": lambda s, d: a.citation_tally(_repo_cites(s, d), _roots(s, d)),
+    "t5_citation_tally": lambda s, d: a.citation_tally(_repo_cites(s, d), _roots(s, d), _files(s, d).select(F.concat(F.lit("r"), F.length("path").cast("string")).alias("repository"), "path")),
     "t6_links": lambda s, d: a.links(_pages(s, d)),
     "t7_heading_ids": lambda s, d: a.heading_ids(_pages(s, d)),
     "t8_link_integrity": lambda s, d: a.link_integrity(a.links(_pages(s, d)), _pages(s, d), a.heading_ids(_pages(s, d)), _other_files(s, d)),
@@ -195,11 +200,13 @@ _NAMES = list(a.CREDENTIAL_PATTERNS)
 _CL = "WITH c AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _CLAIM.items()) + " FROM orders)"
 _EV = "WITH e AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _EVIDENCE.items()) + " FROM orders)"
 _OR = "WITH " + ", ".join(f"{n} AS ({q})" for n, q in _ORIGIN.items()) + """,
-c AS (SELECT tool, origin, string_agg(DISTINCT id, ',' ORDER BY id) AS c FROM claims GROUP BY 1, 2), m AS (SELECT tool, origin, string_agg(DISTINCT id, ',' ORDER BY id) AS m FROM mapping GROUP BY 1, 2),
+c AS (SELECT tool, origin, string_agg(DISTINCT id, ',' ORDER BY id) AS c FROM claims GROUP BY 1, 2),
+m AS (SELECT tool, origin, string_agg(DISTINCT id, ',' ORDER BY id) AS m, count(DISTINCT entry) AS entries, bool_or(NOT EXISTS (SELECT 1 FROM claims WHERE claims.tool = mapping.tool AND claims.id = mapping.id)) AS stray FROM mapping GROUP BY 1, 2),
 k AS (SELECT tool, origin FROM expected UNION SELECT tool, origin FROM c UNION SELECT tool, origin FROM m),
-j AS (SELECT k.tool, k.origin, expected.tool IS NOT NULL AS e, c, m FROM k LEFT JOIN expected ON expected.tool = k.tool AND expected.origin = k.origin LEFT JOIN c ON c.tool = k.tool AND c.origin = k.origin LEFT JOIN m ON m.tool = k.tool AND m.origin = k.origin)
+j AS (SELECT k.tool, k.origin, expected.tool IS NOT NULL AS e, c, m, entries, stray FROM k LEFT JOIN expected ON expected.tool = k.tool AND expected.origin = k.origin LEFT JOIN c ON c.tool = k.tool AND c.origin = k.origin LEFT JOIN m ON m.tool = k.tool AND m.origin = k.origin)
 SELECT tool, origin, 'missing' AS problem FROM j WHERE e AND c IS NULL UNION ALL SELECT tool, origin, 'unexpected' FROM j WHERE NOT e AND c IS NOT NULL UNION ALL
 SELECT tool, origin, 'unmapped' FROM j WHERE e AND m IS NULL UNION ALL SELECT tool, origin, 'mapped but unexpected' FROM j WHERE NOT e AND m IS NOT NULL UNION ALL
+SELECT tool, origin, 'mapped twice' FROM j WHERE entries > 1 UNION ALL SELECT tool, origin, 'unknown claim' FROM j WHERE stray UNION ALL
 SELECT tool, origin, 'mapping disagrees' FROM j WHERE m IS NOT NULL AND m <> coalesce(c, '')"""
 _SETTLED = "('source', 'documentation', 'run', 'observation')"
 
@@ -212,11 +219,12 @@ ORACLES = {
     "c10_gate_escape": f"{_B} SELECT key || '\\x0A' AS key, 'ambiguous escape' AS reason FROM b WHERE l_orderkey % 31 = 0",
     "c11_gate_table_line": f"WITH {LISTING} SELECT CASE l_orderkey % 10 WHEN 0 THEN 'overflowing column' WHEN 1 THEN 'short line' END AS reason, count(*) AS n FROM l GROUP BY 1",
     "c_validate_split": f"{_B}, {_FOLDED} SELECT {_REASONS} AS reasons, count(*) AS n FROM f GROUP BY 1",
+    "c_quarantine": f"{_B}, {_FOLDED}, q AS (SELECT key, {_REASONS} AS reasons FROM f) SELECT key, reasons FROM q WHERE reasons <> ''",
     "t1_credential_scan": f"WITH d AS (SELECT doc_id, {_SEEDED} AS text FROM documents), p AS (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '{_PAT[0]}') THEN '{_NAMES[0]}' END, CASE WHEN regexp_matches(text, '{_PAT[1]}') THEN '{_NAMES[1]}' END) AS patterns FROM d) SELECT doc_id, patterns FROM p WHERE patterns <> ''",
     "t2_citations": f"{_X} SELECT page, line, \"commit\", path, lines, parsed FROM x",
     "t3_parse_ranges": f"{_X}, r AS (SELECT page, line, unnest(range(len(string_split(lines, ',')))) AS n, lines FROM x WHERE lines IS NOT NULL), q AS (SELECT page, line, n, string_split(string_split(lines, ',')[n + 1], '-') AS ab FROM r) SELECT page, line, n, CAST(ab[1] AS BIGINT) AS \"first\", CAST(ab[-1] AS BIGINT) AS \"last\" FROM q",
     "t4_check_citations": f"{_X} SELECT page, \"commit\", path, lines, CASE WHEN path IN ('src/f8.c', 'lib/g.c') THEN 'missing file' WHEN lines = '40' THEN 'past end' WHEN doc_id % 4 < 1 THEN 'line 0' WHEN doc_id % 30 < doc_id % 4 THEN 'inverted' WHEN doc_id % 30 > 25 THEN 'past end' END AS problem FROM x WHERE parsed",
-    "t5_citation_tally": f"{_X}, c AS (SELECT 'r' || length(path) AS repository, \"commit\" FROM x WHERE parsed) SELECT repository, \"commit\", CASE repository WHEN 'r7' THEN CASE \"commit\" WHEN 'abcdef3' THEN 'checked' ELSE 'refused' END WHEN 'r8' THEN CASE \"commit\" WHEN 'abcdef4' THEN 'checked' ELSE 'refused' END ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY 1, 2, 3",
+    "t5_citation_tally": f"{_X}, c AS (SELECT 'r' || length(path) AS repository, \"commit\", CASE WHEN path IN ('src/f8.c', 'lib/g.c') THEN 'unresolved' ELSE 'checked' END AS found FROM x WHERE parsed) SELECT repository, \"commit\", CASE repository WHEN 'r7' THEN CASE \"commit\" WHEN 'abcdef3' THEN found ELSE 'refused' END WHEN 'r8' THEN CASE \"commit\" WHEN 'abcdef4' THEN found ELSE 'refused' END ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY 1, 2, 3",
     "t6_links": f"{_P} SELECT page, unnest(['p' || (doc_id + 1) || '.md#part-a-1', '#page-' || (doc_id - doc_id % 3), '../data/f' || (doc_id % 7) || '.txt', '../data/f1.txt#x']) AS target FROM p",
     "t7_heading_ids": f"{_P} SELECT page, unnest(['page-' || doc_id, 'part-a', 'part-a-1', 'own' || (doc_id % 5)]) AS id FROM p",
     "t8_link_integrity": f"{_P} SELECT page, 'p' || (doc_id + 1) || '.md#part-a-1' AS target, 'missing target' AS problem FROM p WHERE doc_id + 1 NOT IN (SELECT doc_id FROM p) UNION ALL SELECT page, '#page-' || (doc_id - doc_id % 3), 'missing fragment' FROM p WHERE doc_id % 3 > 0 UNION ALL SELECT page, '../data/f6.txt', 'missing target' FROM p WHERE doc_id % 7 = 6 UNION ALL SELECT page, '../data/f1.txt#x', 'fragment target is not Markdown' FROM p",
