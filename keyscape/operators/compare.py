@@ -1,7 +1,9 @@
 """Set comparison of listings: differences, verdicts, strata and groups.
 
-Many listings are compared at once: rows carry `pair`, and a single exchange on (pair, key)
-brings both sides of a key together. Keys are near unique, so it spreads evenly.
+Many listings are compared at once: rows carry `pair`. One aggregation by (pair, key) counts both
+sides and tells, by hashes of the fields, which keys have rows that aren't all alike; values
+are joined for these keys alone, and reference rows stay rows, so a key of any number of rows
+never becomes one value.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyscape.functions.listing import FIELDS
+from keyscape.sources.shared import checkpoint
 
 #: Verdicts from mild to bad, and the exit codes of a group.
 VERDICTS = ("UNCOMPARED", "PASS", "DRIFT", "FAIL")
@@ -64,31 +67,45 @@ def tagged(ref: DataFrame, act: DataFrame, pair: Column | None = None) -> DataFr
     return ref.select(pair.alias("pair"), F.lit(0).alias("side"), *FIELDS).unionByName(act.select(pair.alias("pair"), F.lit(1).alias("side"), *FIELDS))
 
 
+#: Keys that differ are broadcast up to this number.
+BROADCAST_KEYS = 100_000
+#: Rows that one array repeats; a count beyond is dealt over several arrays.
+_REPEATS = 4096
+
+
+def _repeated(df: DataFrame, n: Column) -> DataFrame:
+    """df with each row n times, by arrays that don't grow with n."""
+    whole = df.withColumn("_left", n).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_left") - 1, F.lit(_REPEATS).cast("long"))))
+    return whole.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_REPEATS).cast("long"), F.col("_left") - F.col("_at"))))).drop("_left", "_at", "_one")
+
+
 def diff_tagged(both: DataFrame) -> DataFrame:
     """(pair, kind, key, field, tool_value, reference_value) of tagged(pair, side, key, ...).
 
-    A key's rows meet in one group: reference rows stay a list, as each counts; of the
-    actual rows only their number and the first one are kept.
+    The keys that differ in any way are written once; up to BROADCAST_KEYS of them are handed to all
+    tasks, which take their rows from a second scan, and more are joined by shuffles. Fields are
+    told apart by 64-bit hashes: two values pass for equal with a chance of 5e-20.
     """
-    value = F.struct(*_VALUES)
-    g = both.groupBy("pair", "key").agg(
-        F.collect_list(F.when(F.col("side") == 0, value)).alias("refs"), F.min(F.when(F.col("side") == 1, value)).alias("tool"),
-        F.count(F.when(F.col("side") == 1, 1)).alias("n_tool"),
-    )
-    none = F.lit(None).cast("string")
-    row = lambda kind: F.struct(F.lit(kind).alias("kind"), none.alias("field"), none.alias("tool_value"), none.alias("reference_value"))
-    kind = "array<struct<kind:string,field:string,tool_value:string,reference_value:string>>"
-    empty = F.array().cast(kind)
-    n_ref = F.size("refs")
-    wrong = F.flatten(F.transform("refs", lambda r: F.transform(_mismatches(F.col("tool"), r), lambda m: F.struct(F.lit("mismatch").alias("kind"), m["field"].alias("field"), m["tool_value"].alias("tool_value"), m["reference_value"].alias("reference_value")))))
-    rows = F.concat(
-        F.when(F.col("n_tool") == 0, F.array_repeat(row("missing"), n_ref)).otherwise(empty),
-        F.when(n_ref == 0, F.array_repeat(row("extra"), F.col("n_tool").cast("int"))).otherwise(empty),
-        F.when(F.col("n_tool") > 1, F.array(row("duplicate"))).otherwise(empty),
-        F.when(n_ref > 1, F.array(row("reference_duplicate"))).otherwise(empty),
-        F.when((F.col("n_tool") > 0) & (n_ref > 0), wrong.cast(kind)).otherwise(empty),
-    )
-    return g.select("pair", "key", F.explode(rows).alias("d")).select("pair", "d.kind", "key", "d.field", "d.tool_value", "d.reference_value")
+    at, value, none = ["pair", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
+    shown = {f: F.when(F.col(f).isNotNull(), F.xxhash64(F.lower(f) if f == "etag" else F.col(f))) for f in _VALUES}  # a hash only of exposed fields
+    ends = [g(h).alias(f"{n}_{f}") for f, h in shown.items() for n, g in (("low", F.min), ("high", F.max))]
+    of_key = both.groupBy(*at).agg(F.count(F.when(F.col("side") == 0, 1)).alias("n_ref"), F.count(F.when(F.col("side") == 1, 1)).alias("n_tool"), *ends)
+    unlike = F.lit(False)
+    for f in _VALUES:
+        unlike |= F.coalesce(F.col(f"low_{f}") != F.col(f"high_{f}"), F.lit(False))
+    events = F.array_compact(F.array(
+        F.when(F.col("n_tool") == 0, "missing"), F.when(F.col("n_ref") == 0, "extra"), F.when(F.col("n_tool") > 1, "duplicate"), F.when(F.col("n_ref") > 1, "reference_duplicate"),
+        F.when((F.col("n_tool") > 0) & (F.col("n_ref") > 0) & unlike, "mismatch"),
+    ))
+    n = F.when(F.col("kind") == "missing", F.col("n_ref")).when(F.col("kind") == "extra", F.col("n_tool")).otherwise(1).cast("long")
+    found = checkpoint(of_key.withColumn("kind", F.explode(events)).select(*at, "kind", n.alias("n")))
+    keys = found.filter("kind = 'mismatch'").select(*at)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    own = both.join(keys, at, "left_semi")
+    tool = own.filter("side = 1").groupBy(*at).agg(F.min(value).alias("t"))
+    wrong = own.filter("side = 0").select(*at, value.alias("r")).join(tool, at).select(*at, F.explode(_mismatches(F.col("t"), F.col("r"))).alias("m"))
+    plain = _repeated(found.filter("kind <> 'mismatch'"), F.col("n")).select("pair", "kind", "key", none.alias("field"), none.alias("tool_value"), none.alias("reference_value"))
+    return plain.unionByName(wrong.select("pair", F.lit("mismatch").alias("kind"), "key", "m.*"))
 
 
 def listing_diff(ref: DataFrame, act: DataFrame) -> DataFrame:
@@ -145,7 +162,7 @@ def choose_reference(subjects: DataFrame) -> DataFrame:
 
 
 def compare_all(listings: DataFrame, subjects: DataFrame) -> DataFrame:
-    """The diff of every other member of a stratum against its reference, in one exchange.
+    """The diff of every other member of a stratum against its reference, all pairs in the same joins.
 
     listings: attempt_id and the listing's fields; subjects: attempt_id, bucket,
     stratum. Reference rows are handed to each of its pairs; `pair` is the other member's
