@@ -11,8 +11,8 @@ from keyscape.sources.shared import checkpoint
 
 #: Fixed value: keys of a listing page.
 PAGE = 1000
-#: Cut points up to this number are held as one sorted array; more are joined by range.
-ARRAY_CUTS = 4096
+#: Cut points up to this number are held as one sorted array, searched by its every STRIDE-th entry first; more are joined by range.
+ARRAY_CUTS, STRIDE = 4096, 64
 
 
 def listing_summary(df: DataFrame) -> DataFrame:
@@ -142,7 +142,11 @@ def assign_segment(df: DataFrame, cuts: DataFrame) -> DataFrame:
     n = cuts.count()
     if n <= ARRAY_CUTS:
         held = cuts.agg(F.array_sort(F.collect_list("cut")).alias("_cuts"))
-        return df.join(F.broadcast(held)).withColumn("segment", F.size(F.filter("_cuts", lambda c: c <= F.col("key"))).cast("long")).drop("_cuts")  # one row
+        held = held.withColumn("_marks", F.filter("_cuts", lambda c, i: i % STRIDE == STRIDE - 1))
+        upto = lambda a: F.size(F.filter(a, lambda c: c <= F.col("key")))
+        marked = df.join(F.broadcast(held)).withColumn("_before", upto(F.col("_marks")) * STRIDE)  # one row
+        own = upto(F.slice("_cuts", F.col("_before") + 1, F.lit(STRIDE)))
+        return marked.withColumn("segment", (F.col("_before") + own).cast("long")).drop("_cuts", "_marks", "_before")
     marked = df.select("key", F.struct(*df.columns).alias("_row"), F.lit(1).alias("_kind")).unionByName(cuts.select(F.col("cut").alias("key"), F.lit(0).alias("_kind")), allowMissingColumns=True)
     parts = _ranged(marked, "key")
     is_cut = (F.col("_kind") == 0).cast("long")
@@ -173,9 +177,8 @@ def shard_union_audit(shards: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def bucket_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(key, flag): keys only `left`, only `right`, or `changed` in size or etag."""
-    a = left.select("key", F.struct("size", "etag").alias("a")).dropDuplicates(["key"])
-    b = right.select("key", F.struct("size", "etag").alias("b")).dropDuplicates(["key"])
+    """(key, flag): keys only `left`, only `right`, or `changed` in size or etag; of a repeated key the smallest (size, etag) counts."""
+    a, b = (df.groupBy("key").agg(F.min(F.struct("size", "etag")).alias(n)) for df, n in ((left, "a"), (right, "b")))
     flag = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return a.join(b, "key", "full_outer").select("key", flag.alias("flag")).filter("flag is not null")
 
