@@ -230,7 +230,7 @@ PAGE_SCHEMA = "Contents array<struct<Key:string,Size:bigint,ETag:string,LastModi
 _NOTHING = lambda df: df.filter(F.lit(False))
 
 FORMATS: dict[str, Format] = {
-    "tsv5": Format("N1", "lines", _five_tabbed),
+    "tsv5": Format("N1", "lines", _five_tabbed, lambda df: df.filter((_v() != "") & F.when(F.size(tabbed(_v())) == 5, True).otherwise(F.raise_error(F.concat(F.lit("a line without five fields: "), F.left(_v(), F.lit(200))))))),
     "contents": Format("N2", "rows", _contents, lambda df: df.select(F.explode("Contents").alias("c")), PAGE_SCHEMA),
     "common_prefixes": Format("N3", "rows", lambda p: {"key": F.col("c.Prefix")}, lambda df: df.select(F.explode("CommonPrefixes").alias("c")), PAGE_SCHEMA),
     "ls": Format("N4", "lines", _ls_fields, lambda df: df.filter(_ls(_v())[0] != "")),

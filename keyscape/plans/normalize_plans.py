@@ -149,13 +149,13 @@ ORACLES = {f"n{_NUMBER[f]}_{f}": _oracle(f) for f in _NUMBER}
 
 def _counts(spark, d) -> DataFrame:
     out = None
-    for fmt in ("ls", "tsv6", "aligned", "url_json", "bracketed"):
+    for fmt in _NUMBER:
         one = count_native(raw(spark, d, fmt), fmt).select(F.lit(fmt).alias("format"), "count")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 QUERIES["n34_count_native"] = _counts
-ORACLES["n34_count_native"] = f"WITH {LISTING} " + " UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS \"count\" FROM l WHERE {_EXPECTED[f][0]}" for f in ("ls", "tsv6", "aligned", "url_json", "bracketed"))
+ORACLES["n34_count_native"] = f"WITH {LISTING} " + " UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS \"count\" FROM l WHERE {_EXPECTED[f][0]}" for f in _NUMBER)
 QUERIES["n3_delimiter_pages"] = lambda s, d: delimiter_pages(raw(s, d, "contents"))
 ORACLES["n3_delimiter_pages"] = f"{_oracle('contents')} UNION ALL SELECT key || '/', NULL, NULL, NULL, NULL FROM l"

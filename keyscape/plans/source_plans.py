@@ -11,7 +11,7 @@ from keyscape.operators.normalize import normalize
 from keyscape.sources import listings as s
 from keyscape.sources.shared import scratch_path
 
-from .data import LISTING, damaged, listing, reference, table, with_order
+from .data import LISTING, damaged, listing, reference, table
 from .normalize_plans import _EXPECTED, raw
 
 
@@ -38,19 +38,30 @@ def _ndjson(spark, d):
     return normalize(s.read_ndjson(spark, path, "key string, type string, size bigint, etag string, last_modified string, storage_class string"), "url_json")
 
 
+#: Records of a written JSON document.
+PAGE_ROWS = 20_000
+
+
+def _pages(rows: DataFrame, by, element: str, *own: str) -> DataFrame:
+    """rows with `element` gathered to pages, and the page's name; each page has about PAGE_ROWS records, however many rows there are."""
+    n = max(1, rows.count() // PAGE_ROWS)
+    page = F.concat_ws("-", *own, F.pmod(F.xxhash64(by), F.lit(n)).cast("string"))
+    return rows.groupBy(page.alias("page"), *own).agg(F.collect_list(element).alias("items"))
+
+
 def _array(spark, d):
-    """An array for each month."""
+    """An array for each page."""
     path = scratch_path(spark, "s4")
-    rows = with_order(spark, d).select(F.date_format("shipped", "yyyyMM").alias("month"), F.struct(F.col("key").alias("Path"), F.col("size").cast("bigint").alias("Size"), F.col("mtime").alias("ModTime"), F.lit(False).alias("IsDir"), F.col("storage_class").alias("Tier")).alias("e"))
-    _files(rows.groupBy("month").agg(F.to_json(F.collect_list("e")).alias("j")), "month", "j", path)
+    rows = listing(spark, d).select("key", F.struct(F.col("key").alias("Path"), F.col("size").cast("bigint").alias("Size"), F.col("mtime").alias("ModTime"), F.lit(False).alias("IsDir"), F.col("storage_class").alias("Tier")).alias("e"))
+    _files(_pages(rows, "key", "e").select("page", F.to_json("items").alias("j")), "page", "j", path)
     return normalize(s.read_json_array(spark, f"{path}/*", "Path string, Size bigint, ModTime string, IsDir boolean, Tier string"), "path_json", prefix="top/")
 
 
 def _object(spark, d):
     path = scratch_path(spark, "s5")
     item = F.struct(F.col("key").alias("Key"), F.col("size").cast("bigint").alias("Size"), F.col("etag").alias("ETag"), F.col("mtime").alias("LastModified"), F.col("storage_class").alias("StorageClass"))
-    rows = with_order(spark, d).withColumn("month", F.date_format("shipped", "yyyyMM")).groupBy("month").agg(F.to_json(F.struct(F.collect_list(item).alias("Contents"))).alias("j"))
-    _files(rows, "month", "j", path)
+    rows = _pages(listing(spark, d).select("key", item.alias("e")), "key", "e").select("page", F.to_json(F.struct(F.col("items").alias("Contents"))).alias("j"))
+    _files(rows, "page", "j", path)
     pages = s.read_json_object(spark, f"{path}/*")
     return normalize(pages, "contents").unionByName(normalize(pages, "common_prefixes"))
 
@@ -105,8 +116,9 @@ def _claims(spark, d):
     k = F.col("o_orderkey")
     evidence = F.array(F.struct(F.when(k % 2 == 0, "run").otherwise("source").alias("kind"), F.concat(F.lit("r"), k.cast("string")).alias("receipt")), F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("receipt")))
     claim = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.lit("supported").alias("status"), evidence.alias("evidence"))
-    rows = table(spark, d, "orders").withColumn("tool", (F.col("o_custkey") % 5).cast("string")).groupBy("tool").agg(F.collect_list(claim).alias("claims"))
-    _files(rows.select("tool", F.to_json(F.struct(F.concat(F.lit("t"), "tool").alias("tool"), "claims")).alias("j")).withColumnRenamed("tool", "part"), "part", "j", path)
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("tool"), claim.alias("e"))
+    rows = _pages(rows, "o_orderkey", "e", "tool").select("page", F.to_json(F.struct("tool", F.col("items").alias("claims"))).alias("j"))
+    _files(rows, "page", "j", path)
     claims, evidence = s.read_claims(spark, f"{path}/*")
     return evidence.join(claims.select("tool", F.col("id").alias("claim_id"), "status"), ["tool", "claim_id"]).select("tool", "claim_id", "status", "kind", "receipt")
 

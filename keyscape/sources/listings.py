@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyscape.functions.listing import FIELDS, LISTING, UNEXPOSED
+from keyscape.functions.listing import FIELDS, UNEXPOSED
 from keyscape.operators.normalize import PAGE_SCHEMA
 
 
@@ -46,17 +48,43 @@ def read_json_object(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA)
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
+def _has_part(spark: SparkSession, root: str) -> bool:
+    """Whether any Parquet file lies below root; the folder is listed up to the first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    while found.hasNext():
+        name = found.next().getPath().getName()
+        if name.endswith(".parquet") and name[0] not in "_.":
+            return True
+    return False
+
+
 def read_dataset(spark: SparkSession, root: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A Parquet dataset that its writer finished; one without `_SUCCESS` raises ValueError."""
+    """A Parquet dataset that its writer finished; one without `_SUCCESS` or without a part raises ValueError."""
     if not _exists(spark, f"{root.rstrip('/')}/_SUCCESS"):
         raise ValueError(f"{root} is not complete: it has no _SUCCESS")
+    if not _has_part(spark, root):
+        raise ValueError(f"{root} is not complete: it has no part")
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(root)
 
 
+_EPOCH = "Key string, Size bigint, LastModified bigint, ETag string"
+
+
 def read_epoch_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Key, Size, LastModified (epoch seconds) and ETag of Parquet files, wide unsigned integers as BIGINT."""
-    df = spark.read.parquet(path)
+    """Key, Size, LastModified (epoch seconds) and ETag of Parquet files, wide unsigned integers as BIGINT.
+
+    A file of 0 bytes has no rows; another that isn't Parquet raises ValueError, or fails the job where a later file is read.
+    """
+    lengths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")  # lengths alone: no content is read
+    held = [r["path"] for r in lengths.filter("length > 0").collect()]
+    if not held:
+        return spark.createDataFrame([], _EPOCH)
+    try:
+        df = spark.read.parquet(*held)
+    except (AnalysisException, Py4JJavaError) as e:
+        raise ValueError(f"{path} is not readable Parquet: {e}") from e
     return df.select("Key", F.col("Size").cast("bigint").alias("Size"), F.col("LastModified").cast("bigint").alias("LastModified"), "ETag")
 
 
@@ -121,7 +149,3 @@ def write_verify(diff: DataFrame, path: str) -> None:
 def report_table(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(line) of a Markdown table: a line for each row, `-` for NULL."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |")).alias("line"))
-
-
-def empty_listing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LISTING)
