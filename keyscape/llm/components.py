@@ -27,23 +27,23 @@ def _clean(edges: DataFrame) -> DataFrame:
     )
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that keep clean edges from being stars: those with several edges up, or with edges both up and down."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+
+
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of all nodes that have a link; component is the smallest node reachable.
 
     links: two columns of ids, in any direction, repeats and self-links allowed; rows with
-    a null id link nothing. Each round is written to the checkpoint folder, and a
-    count and a hash sum of the edges tell when nothing changes any more; no edge
-    reaches the driver. An empty link table gives an empty result.
+    a null id link nothing. Rounds go on until the edges are stars, each around its
+    smallest node; each is written to the checkpoint folder, and no edge reaches the
+    driver. An empty link table gives an empty result.
     """
     edges = links.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).dropna()
-    edges, before = checkpoint(_clean(edges)), None
-    while True:
-        mark = edges.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0)).alias("h")
-        ).first()
-        if before == mark or not mark["n"]:
-            break
-        before = mark
-        edges = checkpoint(_clean(_small_star(_clean(_large_star(edges)))))
+    edges = checkpoint(_clean(edges))
+    while not _unsettled(edges).isEmpty():
+        edges = checkpoint(_clean(_small_star(_large_star(edges))))
     roots = edges.select(F.col("dst").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)

@@ -87,18 +87,32 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
     return best - at < 16
 
 
+def _agree(a: np.ndarray, b: np.ndarray, compare) -> np.ndarray:
+    """For each pair of rows the number of registers of which compare holds, register by register over small blocks."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    bt = np.ascontiguousarray(b.T)
+    for lo in range(0, len(a), 128):
+        at, block = np.ascontiguousarray(a[lo : lo + 128].T), out[lo : lo + 128]
+        for x, y in zip(at, bt, strict=True):
+            block += compare(x[:, None], y[None, :])
+    return out
+
+
 def _near(regs_a, size_a, regs_b, size_b, num: int, den: int) -> np.ndarray:
-    """Pairs of two lists that may be linked: by size, by the number of equal registers, then by likelihood."""
+    """Pairs of two lists that may be linked: by size, by the number of equal registers, then by likelihood.
+
+    Pairs with as many equal registers as the threshold lets expect stay at once; the likelihood decides those with fewer.
+    """
     m, j = regs_a.shape[1], num / den
     share = np.linspace(j / (1 + j), 0.5, 20)
     p = float(np.min(1 - _sides(share, j) - _sides(1 - share, j)))
-    least = m * p - 6 * np.sqrt(m * p * (1 - p)) - 1
-    out = np.zeros((len(regs_a), len(regs_b)), bool)
-    for k in range(len(regs_a)):
-        c = np.flatnonzero(den * np.minimum(size_a[k], size_b) >= num * np.maximum(size_a[k], size_b))
-        c = c[(regs_b[c] == regs_a[k]).sum(1) >= least]
-        if len(c):
-            out[k, c] = may_reach(regs_a[k], regs_b[c], size_a[k], size_b[c], j)
+    least, enough = m * p - 6 * np.sqrt(m * p * (1 - p)) - 1, m * p
+    same = _agree(regs_a, regs_b, np.equal)
+    out = (same >= least) & (den * np.minimum(size_a[:, None], size_b[None, :]) >= num * np.maximum(size_a[:, None], size_b[None, :]))
+    ka, kb = np.nonzero(out & (same < enough))
+    for lo in range(0, len(ka), 8192):
+        x, y = ka[lo : lo + 8192], kb[lo : lo + 8192]
+        out[x, y] = may_reach(regs_a[x], regs_b[y], size_a[x], size_b[y], j)
     return out
 
 
@@ -134,19 +148,19 @@ def sketches(docs: DataFrame, width: int, registers: int = 128) -> DataFrame:
 
 
 def _candidate_groups(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(hub, member): each band bucket's members, each with the bucket's most central document.
+    """(hub, member): each band bucket's members, each with the bucket's most central node.
 
-    Central is who sits in the fullest buckets over all bands. Two documents that share
+    Central is who sits in the fullest buckets over all bands. Two nodes that share
     a bucket share its hub, so the groups by hub hold every proposed pair.
     """
     band = lambda b: F.xxhash64(b, F.substring("registers", b * (2 * rows) + 1, F.lit(2 * rows)))
-    keys = reps.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
+    keys = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    inside = checkpoint(keys.join(full, "key").select("doc_id", "key", "n"))
-    central = inside.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    best = F.max(F.struct("score", (-F.col("doc_id")).alias("neg")))
-    hubs = inside.join(central, "doc_id").groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.neg")).alias("hub"))
-    return inside.join(hubs, "key").select("hub", F.col("doc_id").alias("member")).distinct()
+    inside = checkpoint(keys.join(full, "key").select("node", "key", "n"))
+    central = inside.groupBy("node").agg(F.sum("n").alias("score"))
+    best = F.max(F.struct("score", (-F.col("node")).alias("neg")))
+    hubs = inside.join(central, "node").groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.neg")).alias("hub"))
+    return inside.join(hubs, "key").select("hub", F.col("node").alias("member")).distinct()
 
 
 def _intersections(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -271,9 +285,12 @@ def near_duplicates(
 
     Defined results: a null or empty text has an empty set (n_shingles 0) and links
     with nothing; a null doc_id keeps null ids and links with nothing (kept is true,
-    so no text is lost); rows that repeat a doc_id are taken as one document whose set
-    is that of the smallest set hash, and each row is returned with it; other columns
-    are ignored; an empty table gives no rows.
+    so no text is lost); rows that repeat a doc_id are one document, linked with whatever
+    one of its texts is linked with, and each row is returned with the size of its own set;
+    other columns are ignored; an empty table gives no rows.
+
+    Words and shingles are compared by 64-bit hashes and equal sets by a 128-bit hash, never
+    by their bytes: unequal shingles pass for equal with a chance of 5e-20 each.
 
     Equal sets are merged first. A group by hub of more than `block` documents is dealt
     out in blocks: inside a block all pairs are decided, between blocks those of
@@ -286,30 +303,27 @@ def near_duplicates(
     num, den = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_sketches = checkpoint(sketches(docs, width, bands * rows))
-    one = all_sketches.filter("doc_id is not null and set_hash is not null").groupBy("doc_id").agg(
-        F.min(F.struct("set_hash", "n_shingles", "registers", "text_key")).alias("s")
-    ).select("doc_id", "s.*")
-    classes = one.groupBy("set_hash").agg(
-        F.min(F.struct("doc_id", "registers", "n_shingles", "text_key")).alias("c")
-    ).select("set_hash", "c.*")
-    reps = checkpoint(classes)
+    known = all_sketches.filter("doc_id is not null and set_hash is not null")
+    classes = known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "registers", "n_shingles", "text_key")).alias("c")).select("set_hash", "c.*")
+    # a node is a distinct set, as one document may have several; a number is given once, and written
+    reps = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
     pairs = checkpoint(_candidate_groups(reps, bands, rows))
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("size"))
     sized = pairs.join(sizes, "hub")
-    looked = sized.filter(F.col("size") <= sketch_block).join(reps.select(F.col("doc_id").alias("member"), "registers", "n_shingles"), "member")
+    looked = sized.filter(F.col("size") <= sketch_block).join(reps.select(F.col("node").alias("member"), "registers", "n_shingles"), "member")
     looked = looked.repartition("hub").sortWithinPartitions("hub", "member").mapInArrow(_survivors(num, den), "hub long, member long")
     pairs = checkpoint(looked.unionByName(sized.filter(F.col("size") > sketch_block).select("hub", "member")))
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("size"))
     members = pairs.join(sizes, "hub").select("hub", "member", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     # one text for each member: the copies of a set agree on its words
-    wanted = reps.select("doc_id", "text_key").join(members.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = reps.select("node", "doc_id", "text_key").join(members.select(F.col("member").alias("node")).distinct(), "node", "left_semi")
     wanted = checkpoint(wanted)
     if wanted.count() <= BROADCAST_DOCUMENTS:
         wanted = F.broadcast(wanted)
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).drop("text_key")
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
     full = (
-        members.join(texts, members["member"] == texts["doc_id"]).drop("doc_id")
-        .join(reps.select(F.col("doc_id").alias("member"), "registers", "n_shingles"), "member")
+        members.join(texts, members["member"] == texts["node"]).drop("node")
+        .join(reps.select(F.col("node").alias("member"), "registers", "n_shingles"), "member")
         .withColumn("of", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     )
     small = full.withColumn("at", F.when((F.col("member") == F.col("hub")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("of")))
@@ -331,12 +345,16 @@ def near_duplicates(
         # documents apart from the hub meet all blocks; each block holds all of its members
         left = big.filter("apart").select("hub", to.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "member", "n_shingles", "registers", "text")
         right = big.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("of").alias("j"), F.lit(1).alias("side"), "member", "n_shingles", "registers", "text")
-        links = links.unionByName(_confirm(left.unionByName(right), width, num, den))
-    groups = connected_components(links)
-    label = reps.select("set_hash", F.col("doc_id").alias("rep")).join(groups, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    by_doc = one.select("doc_id", "set_hash").join(label, "set_hash").select("doc_id", "component_id")
-    out = all_sketches.join(by_doc, "doc_id", "left")
-    return out.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+        links = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(_confirm(left.unionByName(right), width, num, den))
+    several = checkpoint(known.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).filter("a < b").select("doc_id"))
+    if not several.isEmpty():  # documents with several sets link them
+        nodes = known.select("doc_id", "set_hash").join(several, "doc_id").distinct().join(reps.select("set_hash", "node"), "set_hash").select("doc_id", "node")
+        least = nodes.groupBy("doc_id").agg(F.min("node").alias("dst"))
+        links = links.unionByName(nodes.join(least, "doc_id").select(F.col("node").alias("src"), "dst"))
+    groups = reps.select("node", "doc_id").join(connected_components(links), "node").select("node", "doc_id", "component")
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("least"))
+    groups = groups.join(least, "component").select("node", "least")
+    label = reps.join(groups, "node", "left").select("set_hash", F.coalesce("least", "doc_id").alias("component_id"))
+    out = all_sketches.join(label, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

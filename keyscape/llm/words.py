@@ -86,11 +86,12 @@ def shingles(word: np.ndarray, first: np.ndarray, width: int):
         left = first[1:][row_of] - np.arange(len(word))
         full = left >= width
         rows, values = row_of[full], acc[full]
-        for r in np.flatnonzero((count > 0) & (count < width)):
-            h = U(0)
-            for w in word[first[r] : first[r + 1]]:
-                h = h * U(0x2545F4914F6CDD1D) + w
-            rows, values = np.append(rows, r), np.append(values, mix(np.array([h + U(count[r])]))[0])
+        short = np.flatnonzero((count > 0) & (count < width))
+        whole = np.zeros(len(short), U)
+        for k in range(width - 1):  # word k of those that have one
+            more = count[short] > k
+            whole[more] = whole[more] * U(0x2545F4914F6CDD1D) + word[first[short[more]] + k]
+        rows, values = np.append(rows, short), np.append(values, mix(whole + count[short].astype(U)))
     order = np.argsort(values, kind="stable")
     order = order[np.argsort(rows[order], kind="stable")]
     rows, values = rows[order], values[order]
