@@ -5,6 +5,9 @@ Evidence is a VARIANT column, so that the JSON type of a field is known: `true`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,12 +49,15 @@ def _sub(v: Column, path: str) -> Column:
 
 def _kind(v: Column, path: str) -> Column:
     s = F.schema_of_variant(_sub(v, path))
-    return F.when(s != "VOID", F.regexp_extract(s, r"\A[A-Z]+", 0))
+    return F.when(s != "VOID", F.substring_index(F.substring_index(s, "(", 1), "<", 1))
 
 
+#: What a rule may ask of a field. The type of an object or array is asked by a cast, as its schema is long.
 _ASKED = {
-    "kind": _kind, "text": lambda v, p: F.try_variant_get(v, f"$.{p}", "string"), "absent": lambda v, p: _sub(v, p).isNull(),
-    "long": lambda v, p: F.when(_kind(v, p) == "BIGINT", F.try_variant_get(v, f"$.{p}", "bigint")), "double": lambda v, p: F.try_variant_get(v, f"$.{p}", "double"),
+    "there": lambda v, p: _sub(v, p).isNotNull() & ~F.is_variant_null(_sub(v, p)), "object": lambda v, p: F.try_variant_get(v, f"$.{p}", "map<string,variant>").isNotNull(),
+    "array": lambda v, p: F.try_variant_get(v, f"$.{p}", "array<variant>").isNotNull(),
+    "kind": _kind, "text": lambda v, p: F.try_variant_get(_sub(v, p), "$", "string"), "absent": lambda v, p: _sub(v, p).isNull(),
+    "long": lambda v, p: F.when(_kind(v, p) == "BIGINT", F.try_variant_get(_sub(v, p), "$", "bigint")), "double": lambda v, p: F.try_variant_get(_sub(v, p), "$", "double"),
     "size": lambda v, p: F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")), "keys": lambda v, p: F.map_keys(F.try_variant_get(v, f"$.{p}", "map<string,variant>")),
     "json": lambda v, p: F.to_json(_sub(v, p)),
     "fields": lambda v, p: F.transform(F.try_variant_get(v, f"$.{p}", "array<variant>"), lambda m: F.try_variant_get(m, "$.field", "string")),
@@ -78,6 +84,13 @@ def _bind(v: Column, rules) -> Column:
     return F.get(F.transform(F.array(held), lambda h: rules(_Reader(v, h))), F.lit(0))
 
 
+def _with_fields(df: DataFrame, name: str, v: Column, rules) -> tuple[DataFrame, _Reader]:
+    """df with a column `name` that holds what the rules ask of v, and a reader of it: compiled, unlike the body of `_bind`."""
+    first = _Reader(v)
+    rules(first)
+    return df.withColumn(name, F.struct(*[c.alias(n) for n, c in first.asked.items()])), _Reader(v, F.col(name))
+
+
 def _ask(v: Column | _Reader, what: str, path: str) -> Column:
     return v.ask(what, path) if isinstance(v, _Reader) else _ASKED[what](v, path)
 
@@ -91,7 +104,14 @@ def text(v: Column | _Reader, path: str) -> Column:
     return _ask(v, "text", path)
 
 
+def _there(v: Column | _Reader, path: str) -> Column:
+    """Whether a field is there and isn't null."""
+    return _ask(v, "there", path)
+
+
 def _is(v: Column, path: str, *kinds: str) -> Column:
+    if kinds in (("OBJECT",), ("ARRAY",)):
+        return _ask(v, kinds[0].lower(), path)
     return F.coalesce(kind(v, path).isin(*kinds), F.lit(False))
 
 
@@ -115,6 +135,19 @@ def _names(*errors: Column) -> Column:
     return F.array_compact(F.array(*errors))
 
 
+@dataclass(frozen=True)
+class _Found:
+    """How rules give what they find: all names as an array, or only the first one, which is compiled and stops at it."""
+
+    names: Callable[..., Column]
+    both: Callable[..., Column]
+    none: Callable[[], Column]
+
+
+_ALL = _Found(_names, F.concat, lambda: F.array().cast("array<string>"))
+_FIRST = _Found(F.coalesce, F.coalesce, lambda: F.lit(None).cast("string"))
+
+
 # --- binding and meaning ---------------------------------------------------------
 
 
@@ -142,9 +175,9 @@ def identity_errors(df: DataFrame) -> Column:
     return _bind(F.col("result"), _identity_errors)
 
 
-def _identity_errors(v: _Reader) -> Column:
+def _identity_errors(v: _Reader, out: _Found = _ALL) -> Column:
     leaf = F.element_at(F.split(F.rtrim(F.col("result_prefix"), F.lit("/")), "/"), -1)
-    return _names(
+    return out.names(
         F.when(~text(v, "attempt_id").eqNullSafe(F.col("attempt_id")), "attempt_id"), F.when(~text(v, "case_id").eqNullSafe(F.col("case_id")), "case_id"),
         F.when(~leaf.eqNullSafe(F.col("attempt_id")), "prefix"),
     )
@@ -161,7 +194,7 @@ def _failed_subject(v: _Reader) -> Column:
         (~_false(v, "timed_out"), "subject timed out"), (~_long(v, "exit_code").eqNullSafe(F.lit(0)), "subject exited"), (~_is(v, e, "OBJECT"), "no execution evidence"),
         (~_false(v, f"{e}.timed_out"), "execution timeout invalid"), (~_true(v, f"{e}.subreaper_enabled"), "no descendant supervision"),
         (~_true(v, f"{e}.process_tree_clean"), "live descendant"), (~_true(v, f"{e}.process_group_empty"), "process group not empty"), (~_true(v, f"{e}.descendants_empty"), "descendants not empty"),
-        (_ask(v, "absent", oom), "no oom evidence"), (kind(v, oom).isNotNull() & ~(_is_int(v, oom) & (_long(v, oom) >= 0)), "oom evidence invalid"), (_long(v, oom) > 0, "oom kill"),
+        (_ask(v, "absent", oom), "no oom evidence"), (_there(v, oom) & ~(_is_int(v, oom) & (_long(v, oom) >= 0)), "oom evidence invalid"), (_long(v, oom) > 0, "oom kill"),
     )
     out = F.lit(None).cast("string")
     for cond, name in reversed(rules):
@@ -194,15 +227,15 @@ def result_binding(df: DataFrame) -> Column:
     return _bind(F.col("result"), _result_binding)
 
 
-def _result_binding(v: _Reader) -> Column:
-    same = lambda f, c: text(v, f).eqNullSafe(F.col(c)) & (kind(v, f).isNull() | _is(v, f, "STRING"))
-    number = lambda f, c: _long(v, f).eqNullSafe(F.col(c).cast("bigint")) & (kind(v, f).isNull() | _is_int(v, f))
+def _result_binding(v: _Reader, out: _Found = _ALL) -> Column:
+    same = lambda f, c: text(v, f).eqNullSafe(F.col(c)) & (~_there(v, f) | _is(v, f, "STRING"))
+    number = lambda f, c: _long(v, f).eqNullSafe(F.col(c).cast("bigint")) & (~_there(v, f) | _is_int(v, f))
     held = F.array_sort(_ask(v, "keys", "declared_resources")).eqNullSafe(F.array(*[F.lit(k) for k in sorted(("machine_type", *RESOURCES))])) & same("declared_resources.machine_type", "machine_type")
     for r in RESOURCES:
         held &= number(f"declared_resources.{r}", r)
     # a variant writes an object's fields in the order of their names
     config = F.coalesce(_ask(v, "json", "config") == F.to_json(F.try_parse_json("config")), F.lit(False))
-    return _names(*[F.when(~same(f, c), f) for f, c in BOUND_FIELDS.items()], F.when(~config, "config"), F.when(~F.coalesce(held, F.lit(False)), "declared_resources"))
+    return out.names(*[F.when(~same(f, c), f) for f, c in BOUND_FIELDS.items()], F.when(~config, "config"), F.when(~F.coalesce(held, F.lit(False)), "declared_resources"))
 
 
 _HEX64 = r"\A[0-9a-f]{64}\z"
@@ -212,7 +245,7 @@ def _artifact(v: Column, at: str, optional: bool = False) -> list[Column]:
     """Names of what a recorded artifact lacks; for one that isn't an object only `shape`."""
     ok = _is(v, at, "OBJECT")
     digest = f"{at}.sha256"
-    absent = kind(v, digest).isNull()
+    absent = ~_there(v, digest)
     allowed = absent & text(v, f"{at}.channel").eqNullSafe(F.lit("dataset")) if optional else F.lit(False)
     bad = ~allowed & (absent | ~_is(v, digest, "STRING") | ~F.coalesce(text(v, digest).rlike(_HEX64), F.lit(False)))
     size = f"{at}.size_bytes"
@@ -227,14 +260,14 @@ def capture_errors(v: Column) -> Column:
     return _bind(v, _capture_errors)
 
 
-def _capture_errors(v: _Reader) -> Column:
-    product, none = kind(v, "product").isNotNull(), F.array().cast("array<string>")
-    errors = [F.when(product, _names(*_artifact(v, "product", True))).otherwise(none), _names(F.when(kind(v, "product_error").isNotNull() & ~_is(v, "product_error", "STRING"), "product_error"))]
+def _capture_errors(v: _Reader, out: _Found = _ALL) -> Column:
+    product, none = _there(v, "product"), out.none()
+    errors = [F.when(product, out.names(*_artifact(v, "product", True))).otherwise(none), out.names(F.when(_there(v, "product_error") & ~_is(v, "product_error", "STRING"), "product_error"))]
     for stem in ("stdout", "stderr"):
-        there = kind(v, stem).isNotNull()
+        there = _there(v, stem)
         gone = F.lit(True) if stem == "stderr" else ~product
-        errors.append(F.when(there, _names(*_artifact(v, stem))).otherwise(_names(F.when(gone, stem))))
-    return F.concat(*errors)
+        errors.append(F.when(there, out.names(*_artifact(v, stem))).otherwise(out.names(F.when(gone, stem))))
+    return out.both(*errors)
 
 
 def result_semantics(v: Column) -> Column:
@@ -242,32 +275,32 @@ def result_semantics(v: Column) -> Column:
     return _bind(v, _result_semantics)
 
 
-def _result_semantics(v: _Reader) -> Column:
+def _result_semantics(v: _Reader, out: _Found = _ALL) -> Column:
     e = "execution"
-    counted = _long(v, "exit_code").eqNullSafe(F.lit(0)) & _false(v, "timed_out") & kind(v, "product_error").isNull()
-    rows = kind(v, "row_count").isNotNull()
-    head = _names(
+    counted = _long(v, "exit_code").eqNullSafe(F.lit(0)) & _false(v, "timed_out") & ~_there(v, "product_error")
+    rows = _there(v, "row_count")
+    head = out.names(
         F.when(~_is_int(v, "exit_code"), "exit_code"), F.when(~_is(v, "timed_out", "BOOLEAN"), "timed_out"),
         F.when(rows & ~(_is_int(v, "row_count") & (_long(v, "row_count") >= 0)), "row_count"),
-        F.when(kind(v, "row_count_error").isNotNull() & ~_is(v, "row_count_error", "STRING"), "row_count_error"),
+        F.when(_there(v, "row_count_error") & ~_is(v, "row_count_error", "STRING"), "row_count_error"),
     )
-    never_ran = _names(
+    never_ran = out.names(
         F.when(~_is(v, "setup", "OBJECT"), "setup"), F.when(_long(v, "exit_code").eqNullSafe(F.lit(0)), "exit_code"),
-        *[F.when(kind(v, n).isNotNull(), n) for n in ("wall_seconds", "max_rss_kb", "row_count", "row_count_error", "product", "product_error")],
+        *[F.when(_there(v, n), n) for n in ("wall_seconds", "max_rss_kb", "row_count", "row_count_error", "product", "product_error")],
     )
     rss, elapsed = _long(v, "max_rss_kb"), _long(v, f"{e}.elapsed_ns")
     number = _is(v, "wall_seconds", "BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
     wall = _ask(v, "double", "wall_seconds")
-    ran = _names(
+    ran = out.names(
         F.when(~F.coalesce((rss >= 0) & rss.eqNullSafe(_long(v, f"{e}.max_rss_kb")), F.lit(False)), "max_rss_kb"),
         F.when(~F.coalesce(elapsed >= 0, F.lit(False)), f"{e}.elapsed_ns"), F.when(~number, "wall_seconds"),
         F.when(number & elapsed.isNotNull() & (wall != F.round(elapsed / 1e9, 6)), "wall_seconds/elapsed_ns"),
         *[F.when(~_is(v, f"{e}.{n}", "BOOLEAN"), f"{e}.{n}") for n in ("timed_out", "process_group_empty", "descendants_empty", "process_tree_clean", "subreaper_enabled")],
         F.when(~text(v, f"{e}.timed_out").eqNullSafe(text(v, "timed_out")), f"{e}.timed_out"), F.when(~_is(v, f"{e}.cgroup", "OBJECT"), f"{e}.cgroup"),
-        *[F.when(kind(v, p).isNotNull() & ~(_is_int(v, p) & (_long(v, p) >= 0)), p) for p in (f"{e}.cgroup.oom_delta", f"{e}.cgroup.oom_kill_delta")],
+        *[F.when(_there(v, p) & ~(_is_int(v, p) & (_long(v, p) >= 0)), p) for p in (f"{e}.cgroup.oom_delta", f"{e}.cgroup.oom_kill_delta")],
     )
-    tail = _names(F.when(counted & kind(v, "row_count_error").isNull() & ~rows, "row_count"), F.when(~counted & rows, "row_count"))
-    return F.when(kind(v, e).isNull(), F.concat(head, never_ran)).when(~_is(v, e, "OBJECT"), F.concat(head, F.array(F.lit(e)))).otherwise(F.concat(head, ran, _capture_errors(v), tail))
+    tail = out.names(F.when(counted & ~_there(v, "row_count_error") & ~rows, "row_count"), F.when(~counted & rows, "row_count"))
+    return F.when(~_there(v, e), out.both(head, never_ran)).when(~_is(v, e, "OBJECT"), out.both(head, out.names(F.lit(e)))).otherwise(out.both(head, ran, _capture_errors(v, out), tail))
 
 
 def verify_binding(df: DataFrame) -> Column:
@@ -275,7 +308,7 @@ def verify_binding(df: DataFrame) -> Column:
     return _bind(F.col("verification"), _verify_binding)
 
 
-def _verify_binding(v: _Reader) -> Column:
+def _verify_binding(v: _Reader, out: _Found = _ALL) -> Column:
     lists = ("missing", "extra", "duplicates", "reference_duplicates", "mismatches")
     expected = {"attempt_id": F.col("attempt_id"), "tool": F.col("tool"), "mode": F.col("mode"), "actual_result_sha256": F.sha2("result_text", 256)}
     n = {x: _ask(v, "size", f"diff.{x}") for x in lists}
@@ -289,7 +322,7 @@ def _verify_binding(v: _Reader) -> Column:
     for x in lists:
         whole &= _is(v, f"diff.{x}", "ARRAY")
     digests = ("actual_tsv_sha256", "reference_tsv_sha256", "reference_result_sha256")
-    return _names(
+    return out.names(
         *[F.when(~text(v, k).eqNullSafe(c), k) for k, c in expected.items()], F.when(~F.coalesce(text(v, "verdict").isin("PASS", "DRIFT", "FAIL"), F.lit(False)), "verdict"),
         *[F.when(~(_is(v, d, "STRING") & F.coalesce(text(v, d).rlike(_HEX64), F.lit(False))), d) for d in digests],
         *[F.when(~(_is(v, d, "STRING") & (text(v, d) != "")), d) for d in ("reference_attempt_id", "reference_tool", "reference_mode", "product")],
@@ -300,10 +333,12 @@ def _verify_binding(v: _Reader) -> Column:
 def evidence_state(df: DataFrame) -> DataFrame:
     """with_evidence rows with evidence_state, the first rung of the ladder that applies."""
     # each field of the evidence is read once for all of its rules
-    wrong = _bind(F.col("result"), lambda v: F.when(F.size(_identity_errors(v)) > 0, "IDENTITY_MISMATCH").when((F.size(_result_binding(v)) > 0) | (F.size(_result_semantics(v)) > 0), "RESULT_MISMATCH"))
-    unbound = F.when(F.col("verification").isNull(), "VERIFY_UNAVAILABLE").when(F.size(verify_binding(df)) > 0, "VERIFY_MISMATCH").otherwise("VERIFIED")
-    state = F.when(~F.col("has_result"), "MISSING_EVIDENCE").when(F.col("result").isNull(), "RESULT_UNAVAILABLE").otherwise(F.coalesce(wrong, unbound))
-    return df.withColumn("evidence_state", state)
+    rules = lambda v: F.when(_identity_errors(v, _FIRST).isNotNull(), "IDENTITY_MISMATCH").when(F.coalesce(_result_binding(v, _FIRST), _result_semantics(v, _FIRST)).isNotNull(), "RESULT_MISMATCH")
+    held, v = _with_fields(df, "_result", F.col("result"), rules)
+    held, r = _with_fields(held, "_verify", F.col("verification"), _verify_binding)
+    unbound = F.when(F.col("verification").isNull(), "VERIFY_UNAVAILABLE").when(_verify_binding(r, _FIRST).isNotNull(), "VERIFY_MISMATCH").otherwise("VERIFIED")
+    state = F.when(~F.col("has_result"), "MISSING_EVIDENCE").when(F.col("result").isNull(), "RESULT_UNAVAILABLE").otherwise(F.coalesce(rules(v), unbound))
+    return held.withColumn("evidence_state", state).drop("_result", "_verify")
 
 
 def report_rows(df: DataFrame, modes: DataFrame) -> DataFrame:
@@ -336,7 +371,9 @@ def gap_table(subjects: DataFrame, refused: DataFrame | None = None) -> DataFram
     refused: attempt_ids whose captures don't match their records or whose listings a format or a gate refused.
     """
     subjects = subjects.withColumn("_refused", F.lit(False)) if refused is None else subjects.join(refused.select("attempt_id").distinct().withColumn("_refused", F.lit(True)), "attempt_id", "left")
-    of_result = _bind(F.col("result"), lambda v: F.when(F.size(_identity_errors(v)) > 0, "identity").when(_failed_subject(v).isNotNull(), "failed-subject"))
+    rules = lambda v: F.when(_identity_errors(v, _FIRST).isNotNull(), "identity").when(_failed_subject(v).isNotNull(), "failed-subject")
+    subjects, v = _with_fields(subjects, "_result", F.col("result"), rules)
+    of_result = rules(v)
     reason = (
         F.when(~F.col("state").isin(*TERMINAL), "unsettled").when(F.col("state") != "SUCCEEDED", "absent").when(~F.col("has_result"), "missing-evidence")
         .when(F.col("result").isNull(), "malformed").otherwise(F.coalesce(of_result, F.when(F.col("_refused"), F.lit("normalize"))))
