@@ -1,6 +1,7 @@
 """Differences and verdicts of small listings."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyscape.functions.listing import LISTING
 from keyscape.operators import compare as c
@@ -71,3 +72,17 @@ def test_gates(spark):
         assert g.validate(listing(spark, tuple(row)), "split")[1].count() == 1
     assert g.fold_unexposed(listing(spark, ("-", "-", "-", "-", "-"))).first()[:] == ("-", None, None, None, None)
     assert g.null_gate(listing(spark, good, ("k", "", "e", "m", "s"))).first()["bad"] == 1
+
+
+def test_a_key_of_many_rows_stays_rows(spark, monkeypatch):
+    """Counts of a repeated key are dealt over small arrays, and keys that differ are joined without a broadcast too."""
+    monkeypatch.setattr(c, "_REPEATS", 7)
+    ref = spark.range(100).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("size"), *[F.lit(None).cast("string").alias(x) for x in ("etag", "mtime", "storage_class")])
+    act = ref.filter("size = '5'").withColumn("etag", F.lit("e"))
+    other = ref.withColumn("key", F.lit("gone"))
+    for bound in (0, 1000):
+        monkeypatch.setattr(c, "BROADCAST_KEYS", bound)
+        got = c.listing_diff(ref.unionByName(other), act.unionByName(ref.withColumn("key", F.lit("new")))).groupBy("kind", "key", "field").count().collect()
+        assert {tuple(r) for r in got} == {
+            ("mismatch", "hot", "size", 99), ("reference_duplicate", "hot", None, 1), ("missing", "gone", None, 100), ("reference_duplicate", "gone", None, 1), ("extra", "new", None, 100), ("duplicate", "new", None, 1),
+        }

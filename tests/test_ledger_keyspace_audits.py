@@ -19,6 +19,65 @@ def test_preparation_chains(spark):
     assert {r[0]: (r[1], r[2]) for r in e.preparation_cost(rows).collect()} == {"b": (1, 1.0), "c": (2, 3.0), "x": (0, None), "p": (2, 3.0), "q": (2, 3.0), "n": (1, None)}
 
 
+def test_long_chains_and_cycles(spark):
+    """Chains of many links take few rounds; a walk into a cycle counts each link once."""
+    n = 70
+    rows = [(f"c{i}", f"c{i - 1}" if i else None, 1.0) for i in range(n)] + [("x", "y", 1.0), ("y", "z", 2.0), ("z", "x", 4.0), ("in", "x", 8.0), ("self", "self", 3.0), ("dup", "c1", 9.0), ("dup", "c0", 9.0)]
+    out = e.preparation_cost(spark.createDataFrame(rows, "attempt_id string, produced_by string, wall_seconds double")).collect()
+    got = {r[0]: (r[1], r[2]) for r in out if r[0] != "dup"}
+    assert all(got[f"c{i}"] == (i, float(i)) for i in range(1, n)) and "c0" not in got
+    assert got["x"] == got["y"] == got["z"] == (3, 7.0) and got["in"] == (3, 7.0) and got["self"] == (1, 3.0)
+    assert sorted((r[1], r[2]) for r in out if r[0] == "dup") == [(1, 1.0), (2, 2.0)]
+
+
+def test_bound_fields_by_type(spark):
+    """A number written as text, another key order, and a further resource."""
+    row = {"group_id": "g", "job_name": "j", "case_id": "c", "attempt_id": "c.s1", "tool": "t", "mode": "m", "target_bucket": "b", "target_region": "r", "target_prefix": "", "auth_role": None, "image_uri": "i", "image_set_sha256": "s",
+           "config": '{"mode":"m","n":1}', "machine_type": "n4", "vcpus": 2, "memory_gb": 8, "container_memory_gb": None}
+    good = {"group_id": "g", "job_name": "j", "case_id": "c", "attempt_id": "c.s1", "tool": "t", "mode": "m", "bucket": "b", "region": "r", "prefix": "", "image": "i", "image_set_sha256": "s",
+            "config": {"n": 1, "mode": "m"}, "declared_resources": {"vcpus": 2, "memory_gb": 8, "container_memory_gb": None, "machine_type": "n4"}}
+    cases = [({}, []), ({"config": {"mode": "m", "n": "1"}}, ["config"]), ({"declared_resources": good["declared_resources"] | {"gpu": 1}}, ["declared_resources"]), ({"declared_resources": good["declared_resources"] | {"vcpus": "2"}}, ["declared_resources"]),
+             ({"auth_role": "x", "job_name": 5}, ["job_name", "auth_role"]), ({"declared_resources": None, "tool": None}, ["tool", "declared_resources"])]
+    schema = ", ".join(f"{k} {'int' if k in e.RESOURCES else 'string'}" for k in row)
+    for change, errors in cases:
+        df = spark.createDataFrame([tuple(row.values())], schema).withColumn("result", F.parse_json(F.lit(json.dumps(good | change))))
+        assert df.select(e.result_binding(df)).first()[0] == errors
+
+
+def test_gap_of_refused_listings(spark):
+    ok = json.dumps({"attempt_id": "c.s1", "case_id": "c", "exit_code": 0, "timed_out": False, "execution": {"timed_out": False, "subreaper_enabled": True, "process_tree_clean": True, "process_group_empty": True, "descendants_empty": True, "cgroup": {"oom_kill_delta": 0}}})
+    attempts = spark.createDataFrame([("c.s1", "c", "SUCCEEDED", "p/c.s1", ok), ("d.s1", "d", "SUCCEEDED", "p/d.s1", ok), ("e.s1", "e", "RUNNING", "p/e.s1", ok)], "attempt_id string, case_id string, state string, result_prefix string, text string")
+    rows = attempts.withColumn("has_result", F.lit(True)).withColumn("result", F.try_parse_json("text"))
+    assert {tuple(r) for r in e.gap_table(rows, attempts.select("attempt_id")).collect()} == {("c.s1", "normalize", 6), ("d.s1", "identity", 5), ("e.s1", "unsettled", 9)}
+    assert {tuple(r) for r in e.gap_table(rows).collect()} == {("d.s1", "identity", 5), ("e.s1", "unsettled", 9)}
+
+
+def test_segments_at_each_number_of_cuts(spark):
+    keys = spark.createDataFrame([(f"k{i:04d}",) for i in range(0, 700, 3)], "key string")
+    for n in (0, 1, 63, 64, 65, 128, 300):
+        cuts = spark.createDataFrame([(j + 1, f"k{2 * j:04d}") for j in range(n)], "number long, cut string")
+        out = {r.key: r.segment for r in k.assign_segment(keys, cuts).collect()}
+        assert len(out) == 234 and all(v == min(n, int(x[1:]) // 2 + 1) for x, v in out.items())
+
+
+def test_bucket_diff_of_repeated_keys(spark):
+    left = spark.createDataFrame([("a", "2", "x"), ("a", "1", "y"), ("b", "1", None)], "key string, size string, etag string")
+    right = spark.createDataFrame([("a", "1", "y"), ("a", "3", "z"), ("b", "1", "e")], "key string, size string, etag string")
+    assert [tuple(r) for r in k.bucket_diff(left, right).collect()] == [("b", "changed")]
+
+
+def test_citations_by_rule(spark):
+    text = "x\n[SRC a/b.c:1-3, 9 @ abcdef1] [SRC p.c; q r.c:2; s.c:; t.c:4, @ 1234567]\n[SRC late.c:7] [SRCnone] [SRC open"
+    got = [tuple(r) for r in a.citations(spark.createDataFrame([("p", text)], "page string, text string")).collect()]
+    assert set(got) == {
+        ("p", 2, "abcdef1", "a/b.c", "1-3,9", True), ("p", 2, "1234567", "p.c", None, True), ("p", 2, "1234567", None, None, False), ("p", 2, "1234567", "t.c", "4", True), ("p", 3, None, None, None, False),
+    } and len(got) == 6
+    targets = a.links(spark.createDataFrame([("p", "[a](x.md) [b](y.md 'T)') ![c](z.png) [d](mailto:q) (e](no) [f](g h) [i]() [j](k.md\t\"t\")")], "page string, text string"))
+    assert sorted(r.target for r in targets.collect()) == ["k.md", "x.md", "y.md", "z.png"]
+    ids = a.heading_ids(spark.createDataFrame([("p", "# A ~b~ #\r\n## A b\n####### no\n#no\n# # c\n<A NAME='n1'> <a id=x> <a  id=\"n2\">")], "page string, text string"))
+    assert sorted(r.id for r in ids.collect()) == ["a-b", "a-b-1", "c", "n1", "n2"]
+
+
 def test_abandonment(spark):
     slots = spark.createDataFrame([("g", 1, "ABANDONED", None), ("g", 2, "BLOCKED", "g/1"), ("g", 3, "BLOCKED", "g/2"), ("g", 4, "BLOCKED", "g/9"), ("g", 5, "RESOLVED", "g/1")], "group_id string, slot long, state string, awaiting string")
     assert {tuple(r) for r in e.abandonment_closure(slots).collect()} == {("g/2", 1), ("g/3", 2)}
@@ -66,6 +125,19 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in s.read_canonical(spark, str(tmp_path / "l.tsv")).collect()] == [("a\rb", "1", "-", "-", "-", 5), ("c", "2", None, None, None, 2)]
     with pytest.raises(ValueError):
         s.read_dataset(spark, str(tmp_path))
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set" / "_SUCCESS").write_text("")
+    with pytest.raises(ValueError, match="no part"):
+        s.read_dataset(spark, str(tmp_path / "set"), "key string")
+    spark.range(1).selectExpr("'k' AS Key", "CAST(5 AS DECIMAL(20,0)) AS Size", "CAST(7 AS DECIMAL(20,0)) AS LastModified", "'e' AS ETag").coalesce(1).write.parquet(str(tmp_path / "epoch"))
+    (tmp_path / "epoch" / "empty.parquet").write_bytes(b"")
+    assert [tuple(r) for r in s.read_epoch_parquet(spark, str(tmp_path / "epoch")).collect()] == [("k", 5, 7, "e")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.parquet").write_bytes(b"")
+    assert s.read_epoch_parquet(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "none" / "bad.parquet").write_bytes(b"\n")
+    with pytest.raises(ValueError, match="not readable"):
+        s.read_epoch_parquet(spark, str(tmp_path / "none"))
     (tmp_path / "run").mkdir()
     (tmp_path / "run" / "result.json").write_text('{"n": 1}')
     row = s.read_evidence(spark, str(tmp_path)).first()

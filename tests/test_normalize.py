@@ -57,6 +57,14 @@ def test_empty_input(spark, fmt):
     assert rows(normalize(lines(spark).limit(0), fmt)) == []
 
 
+@pytest.mark.parametrize("line", ["a/b.csv\t12\t\"e\"\t2026-03-16T14:41:50+00:00", "a\t1\te\tT\tS\tmore", "alone"])
+def test_ragged_lines_are_refused(spark, line):
+    raw = lines(spark, "k\t1\te\tT\tS", "", line)
+    for df in (normalize(raw, "tsv5"), count_native(raw, "tsv5")):
+        with pytest.raises(Exception, match="without five fields"):
+            df.collect()
+
+
 def test_prefixes(spark):
     ls = lines(spark, "          PRE foobar/", "2020-01-02 03:04:05 1 foo.txt")
     assert [r.key for r in normalize(ls, "ls_level", prefix="a/fo").collect()] == ["a/foobar/", "a/foo.txt"]
