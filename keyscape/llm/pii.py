@@ -29,6 +29,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
 _SIGN = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"\s")
+_LETTER = re.compile(r"[^\W\d_]")
 _JOINT = re.compile(r"(?<=\S)[,;|/](?=\S)")
 MOST_DIGITS = 19
 
@@ -279,7 +280,7 @@ def _plausible(kind: int, piece: str) -> bool:
 def _cut_run(kind: int, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The plausible pieces of a run of words of one tag: most words covered, fewest list marks inside, most pieces.
 
-    A list mark is a line feed or other sign between two words, or a ( or + that opens the second.
+    A list mark is a line feed or other sign between two words, or a ( or + that opens the second. A piece of several words has no letters.
     """
     if len(spans) == 1:
         return spans if _plausible(kind, text[spans[0][0] : spans[0][1]]) else []
@@ -294,7 +295,7 @@ def _cut_run(kind: int, text: str, spans: list[tuple[int, int]]) -> list[tuple[i
             marks += mark[j] and j > k
             if n > MOST_DIGITS or not digits[j]:
                 break
-            if _plausible(kind, text[spans[k][0] : spans[j][1]]):
+            if _plausible(kind, piece := text[spans[k][0] : spans[j][1]]) and not (j > k and _LETTER.search(piece)):
                 rest = best[j + 1][0]
                 best[k] = max(best[k], ((rest[0] + j + 1 - k, rest[1] - marks, rest[2] + 1), j + 1))
     out, k = [], 0

@@ -79,7 +79,7 @@ def shingles(word: np.ndarray, first: np.ndarray, width: int):
     count = np.diff(first)
     with np.errstate(over="ignore"):
         acc = np.zeros(len(word), U)
-        for k in range(width):  # those that would reach over the end are dropped below
+        for k in range(min(width, len(word))):  # those that would reach over the end are dropped below
             acc[: len(word) - k] = acc[: len(word) - k] * U(0x2545F4914F6CDD1D) + word[k:]
         acc = mix(acc)
         row_of = np.repeat(np.arange(len(count)), count)

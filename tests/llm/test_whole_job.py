@@ -138,3 +138,136 @@ def test_repeated_labelled_ids_train_once(spark, monkeypatch):
     docs = corpus(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other"), (3, "unlabelled")])
     quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
     assert sorted(label for _, label in seen) == [0, 1]
+
+
+# --- each stage on edge rows, and the whole pipeline by brute force ---------------------------
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_edge_rows(spark, tmp_path, stage):
+    """Nulls in any column, repeated rows, empty and long texts, clashing columns, no rows at all."""
+    folder = stored(
+        spark, tmp_path, benchmark=spark.createDataFrame([(1, PASSAGE), (None, None)], "item_id long, text string"),
+        labels=spark.createDataFrame([(1, 1, 0), (2, 0, 0), (1, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+    )
+    rows = [(1, "good words here", "en", "s", 15), (1, "good words here", "en", "s", 15), (2, None, None, None, None), (None, "", "en", None, 0), (3, " \n\t", None, "t", 3), (4, "word " * 60_000, "en", "t", 300_000), (None, PASSAGE, "en", "s", None)]
+    clash = [F.lit("clash").alias(c) for c in ("score", "predicted", "_text", "_key", "doc", "row", "spans", "size", "key", "bin", "taken", "component_id", "h", "weight")]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *clash)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, docs, folder)
+    if stage == "mix":
+        assert {"doc_id", "source", "text", "taken"} <= set(out.columns) and all(0 < r.taken <= 3 * r["size"] for r in out.collect())
+    else:
+        assert out.columns == corpus_pipeline.COLUMNS
+        kept = [tuple(r) for r in out.collect()]
+        dropped = {"near_dedup": [rows[1]], "decontaminate": [rows[6]]}.get(stage, [])
+        if stage != "quality":
+            left = list(rows)
+            for r in dropped:
+                left.remove(r)
+            lengths = [(i, t, lang, s, len(t) if stage == "pii" and t is not None else n) for i, t, lang, s, n in left]
+            assert sorted(kept, key=str) == sorted(lengths, key=str)
+        else:
+            assert set(kept) <= set(rows)
+    assert run(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() against the five stages written down plainly, over one small corpus; the classifier's weights are the operator's own."""
+    import math
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from keyscape.llm import mixing
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "river", "stone", "light", "house", "green", "field"]) + str(rng.randrange(30)) for _ in range(n))
+    bench = [(k, prose(20)) for k in range(4)]
+    rows = []
+    for k in range(120):
+        t = prose(rng.randrange(20, 60))
+        if k % 7 == 0:
+            t = "BUY!!! NOW!!! CHEAP!!! " * 6 + t[:20]
+        elif k % 5 == 0 and rows:
+            t = rows[-1][1] + ("" if k % 2 else " tail")
+        elif k % 11 == 0:
+            t += " " + bench[k % 4][1]
+        elif k % 13 == 0:
+            t += " mail a@b.example.org or 415-555-0132"
+        rows.append((k, t, "en", f"s{k % 4}" if k % 9 else None, len(t)))
+    rows.append((500, None, None, "s1", None))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, int(k % 7 > 0)) for k in range(120)], "doc_id long, quality int")
+    folder = stored(spark, tmp_path, documents=docs, labels=labels, benchmark=spark.createDataFrame(bench, "item_id long, text string"))
+
+    weights = quality.fit(docs.select("doc_id", "text"), labels)
+
+    def good(t):
+        slots = set(quality.features(pa.array([t or ""]))[0].tolist())
+        return sum(float(weights[i]) for i in slots) / math.sqrt(max(1, len(slots))) + float(weights[-1]) >= 0
+
+    one = [r for r in rows if good(r[1])]
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").lower().split()) else set() for r in one}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    two = [r for r in one if find(r[0]) == r[0]]
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    windows = {tuple(w[i : i + 13]) for _, t in bench for w in [words(t)] for i in range(len(w) - 12)}
+
+    def clean(t):
+        w = words(t)
+        hit = {j for i in range(len(w) - 12) if tuple(w[i : i + 13]) in windows for j in range(i, i + 13)}
+        return not hit or 20 * len(hit) < len(w)
+
+    three = [r for r in two if clean(r[1])]
+    model, four = pii.train(), []
+    for i, t, lang, s, _ in three:
+        at, out = 0, ""
+        for a, no, b, _ in pii._found([t], model)[0] if t else []:
+            out, at = out + t[at:a] + f"<{pii.KINDS[no].upper()}>", b
+        four.append((i, out + t[at:] if t else t, lang, s))
+    assert len(rows) > len(one) > len(two) > len(three) and any("<PHONE>" in (t or "") for _, t, *_ in four)
+
+    size = {i: len((t or "").split()) for i, t, *_ in four}
+    own = {}
+    for i, _, _, s in four:
+        own.setdefault(s, []).append(i)
+    left, total, open_, target = sum(size.values()), {s: sum(size[i] for i in d) for s, d in own.items()}, {}, {}
+    for k, s in enumerate(sorted(own, key=lambda s: (s is None, s or ""))):
+        open_[s] = (5, 2, 1)[k % 3]
+    while True:
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        full = [s for s in open_ if share[s] > 3 * total[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 3 * total[s]
+            left -= target[s]
+            del open_[s]
+    target |= share
+    u = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), "mix").alias("u")).collect()}
+    expected = {}
+    for s, ids in own.items():
+        text = {i: t or "" for i, t, *_ in four}
+        key = {i: -math.log(u[i]) / (sum(c.isalpha() for c in text[i]) / max(1, len(text[i])) + 0.1) for i in ids}
+        epochs = int(target[s] // total[s])
+        budget = math.floor(target[s] - epochs * total[s])
+        for i in sorted(ids, key=lambda i: (key[i], i)):
+            part = max(0, min(budget, size[i]))
+            expected[i] = epochs * size[i] + part
+            budget -= part
+    got = {r.doc_id: (r.taken, r.text) for r in corpus_pipeline.run(spark, folder).collect()}
+    texts = {i: t for i, t, *_ in four}
+    assert got == {i: (n, texts[i]) for i, n in expected.items() if n > 0}
