@@ -150,13 +150,15 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str] | None = None)
     prepare(spark)
     shared = spark.sparkContext.broadcast(weights)
     keep = carry or ["doc_id"]
+    held = docs.schema["text"].dataType.simpleString() == "string" and "text" in keep  # a carried text needn't move twice
+    of = "text" if held else "_text"
     bits = int(len(weights) - 1).bit_length() - 1
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        for part in slices(batches, "_text"):
-            slots, first = features(part.column("_text"), bits)
+        for part in slices(batches, of):
+            slots, first = features(part.column(of), bits)
             row = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(first))
             code = np.sort((row << bits) | slots)
             code = code[np.append(True, code[1:] != code[:-1])] if len(code) else code
@@ -167,5 +169,5 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str] | None = None)
             value = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(value)], [*keep, "score"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if held else [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")]))
     return rows.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))

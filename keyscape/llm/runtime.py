@@ -20,8 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between executors and their Python workers, where the session doesn't say: texts are long rows.
+BATCH_ROWS = 2_000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where they see the driver's folder (local mode, tests)."""
+    """Let Python workers import this package where they see the driver's folder (local mode, tests), and keep their batches small.
+
+    The session's `spark.sql.execution.arrow.maxRecordsPerBatch` is lowered to BATCH_ROWS if it is Spark's own default.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, BATCH_ROWS)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)

@@ -107,12 +107,17 @@ def _near(regs_a, size_a, regs_b, size_b, num: int, den: int) -> np.ndarray:
     share = np.linspace(j / (1 + j), 0.5, 20)
     p = float(np.min(1 - _sides(share, j) - _sides(1 - share, j)))
     least, enough = m * p - 6 * np.sqrt(m * p * (1 - p)) - 1, m * p
-    same = _agree(regs_a, regs_b, np.equal)
-    out = (same >= least) & (den * np.minimum(size_a[:, None], size_b[None, :]) >= num * np.maximum(size_a[:, None], size_b[None, :]))
-    ka, kb = np.nonzero(out & (same < enough))
-    for lo in range(0, len(ka), 8192):
-        x, y = ka[lo : lo + 8192], kb[lo : lo + 8192]
-        out[x, y] = may_reach(regs_a[x], regs_b[y], size_a[x], size_b[y], j)
+    out = np.zeros((len(regs_a), len(regs_b)), bool)
+    for top in range(0, len(regs_a), 256):  # so that what is held beside the result doesn't grow with it
+        part = slice(top, top + 256)
+        same = _agree(regs_a[part], regs_b, np.equal)
+        size = size_a[part, None]
+        near = (same >= least) & (den * np.minimum(size, size_b) >= num * np.maximum(size, size_b))
+        ka, kb = np.nonzero(near & (same < enough))
+        for lo in range(0, len(ka), 8192):
+            x, y = ka[lo : lo + 8192], kb[lo : lo + 8192]
+            near[x, y] = may_reach(regs_a[part][x], regs_b[y], size_a[part][x], size_b[y], j)
+        out[part] = near
     return out
 
 
