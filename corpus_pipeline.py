@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from keyscape.llm import decontam, mixing, pii, quality
 from keyscape.llm.runtime import checkpoint, table
 from keyscape.llm.setsketch import near_duplicates
-from keyscape.sources.shared import scratch_path
+from keyscape.sources.shared import remove, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,8 +60,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words it takes of each (repeats counted)."""
-    return mixing.mix(docs, weights=(5, 2, 1), most=3).filter("taken > 0")
+    """The documents that the mix takes, with their texts and the words it takes of each (repeats counted)."""
+    return mixing.mix(docs, weights=(5, 2, 1), most=3, carry=("text", "lang")).filter("taken > 0")
 
 
 STAGES = [
@@ -77,10 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over `documents`; what each hands on is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order over `documents`; what each hands on is written to the shared folder and read again.
+
+    A written table is removed once the next one is complete; the last one stays, as the result is read from it.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
