@@ -9,6 +9,7 @@ from .runtime import checkpoint
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges of each node's larger neighbours to its smallest one. The minimum is taken before the shuffle, and adaptive execution splits the join of a node with very many edges."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
     return both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))

@@ -180,7 +180,8 @@ def removal_spans(
     columns of these names, as the struct doc.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a
-    phrase is `window` consecutive words of an item, or all words of a shorter one.
+    phrase is `window` consecutive words of an item, or all words of a shorter one. Words
+    are compared by 64-bit hashes, never by their bytes: two pass for equal with a chance of 5e-20.
     A task indexes its documents in shards of about `shard_words` words. What can't lie
     in a phrase (words of no phrase, neighbours that are neighbours in none) is left
     out of the index and parts its text, which loses no occurrence.

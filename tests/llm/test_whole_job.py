@@ -65,8 +65,9 @@ def test_carried_rows_in_small_batches_and_many_parts(spark, monkeypatch):
     rows = [(k % 7 or None, ("q r s " if k % 3 else "") + f"word{k} " * (k % 5) + (PASSAGE if k % 4 == 0 else "")) for k in range(60)]
     docs = corpus(spark, rows)
     monkeypatch.setattr(decontam, "HELD_BYTES", 64)
-    for options in ({}, {"part_words": 2}):
-        out = decontam.removal_spans(docs, bench, carry=["text", "doc_id"], **options).collect()
+    for options in ({}, {"part_words": 2}, {"part_words": 1, "shard_words": 5}):
+        shuffled = docs.repartition(7) if options else docs
+        out = decontam.removal_spans(shuffled, bench, carry=["text", "doc_id"], **options).collect()
         assert sorted(((r.doc.doc_id, r.doc.text) for r in out), key=str) == sorted(rows, key=str) and all(r.doc_id == r.doc.doc_id for r in out)
         assert all(r.contaminated == any(x in r.doc.text for x in ("q r s", PASSAGE)) for r in out)
 
