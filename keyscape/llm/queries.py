@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, langid, mixing, pii, quality, secrets, tokencount
+from . import chat, collocations, decontam, embed_dedup, langid, lexical, mixing, pii, quality, secrets, substring, tokencount
 from .runtime import table
 from .setsketch import near_duplicates
 
@@ -74,7 +74,22 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op6_crf_pii, op7_ftrl_quality, op8_fingerprint_chat, op9_separator_token_counts, op10_setsketch_dedup)}
+def op11_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 20 words that repeat in all documents."""
+    return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), window=20))
+
+
+def op12_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language, of phrases that occur ten times or more."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, top=2_000)
+
+
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_trigram_secrets, op2_byte_cnn_language, op3_source_mix, op4_kmeans_embedding_dedup, op5_fm_index_decontamination, op6_crf_pii, op7_ftrl_quality, op8_fingerprint_chat, op9_separator_token_counts, op10_setsketch_dedup, op11_anchor_substring_dedup, op12_hat_trie_collocations, op13_bit_sliced_search)}
 
 
 def _secrets_oracle() -> str:
@@ -176,5 +191,48 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 t(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.doc_id)
 SELECT s.doc_id, CAST(len(any_value(s.sh)) AS BIGINT) AS n_shingles, min(t.root) AS component_id, s.doc_id = min(t.root) AS kept
 FROM s JOIN t USING (doc_id) GROUP BY s.doc_id
+""",
+    "op11_anchor_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) AS g FROM d),
+l AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM g) WHERE r > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM l),
+r AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN x ON x.doc_id = p.doc_id AND x.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+""",
+    "op12_hat_trie_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+t AS (SELECT lang, k, phrase, f AS a, 1 AS cut, ws[1] AS x, array_to_string(ws[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, k, phrase, f, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE k = 3),
+s AS (SELECT t.*, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * t.a * t.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM t JOIN f x ON x.lang = t.lang AND x.phrase = t.x JOIN f y ON y.lang = t.lang AND y.phrase = t.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, part, max(f) AS f FROM (SELECT lang, f, ws[1] || ' ' || ws[2] AS part FROM c WHERE k = 3 UNION ALL SELECT lang, f, ws[2] || ' ' || ws[3] FROM c WHERE k = 3) GROUP BY lang, part)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.part = phrase WHERE b.k = 3 OR i.f IS NULL OR 100 * i.f < 50 * a
+QUALIFY rank <= 2000
+""",
+    "op13_bit_sliced_search": r"""
+WITH l AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, l),
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+c AS (SELECT count(*) AS nn, CAST(sum(len(ws)) AS BIGINT) AS ll FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark, l),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 8 * (10 + 90 * n * nn // ll)))) AS BIGINT) AS score
+  FROM q JOIN f ON q.term = f.term JOIN w ON w.term = q.term, c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10
 """,
 }

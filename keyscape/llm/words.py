@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,6 +63,10 @@ def words(data: np.ndarray, ends: np.ndarray, is_word: np.ndarray, lower: bool =
     return start, stop, np.searchsorted(start, ends)
 
 
+#: Words of more bytes are hashed by BLAKE2: long texts can be built whose polynomials modulo 2**64 are equal.
+LONG_WORD = 512
+
+
 def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word's bytes; equal words have equal hashes in all batches."""
     if not len(start):
@@ -68,7 +75,58 @@ def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool =
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, U)
         np.cumsum((_VALUES[LOWER] if lower else _VALUES)[data] * power[: len(data)], out=sums[1:])
-        return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(U))
+        out = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(U))
+    for k in np.flatnonzero(stop - start > LONG_WORD):
+        word = data[start[k] : stop[k]]
+        out[k] = int.from_bytes(hashlib.blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def hashed_words(data: np.ndarray, ends: np.ndarray, is_word: np.ndarray, lower: bool = True, strip: int = 1 << 22):
+    """(start, stop, first, hash) of the words of all rows, as `words` and `hashes` give them.
+
+    A text of any length is gone through in strips of about `strip` bytes that end between words, so that
+    only numbers of its words are held whole.
+    """
+    found, lo = [], 0
+    while lo < len(data):
+        hi = min(lo + strip, len(data))
+        while hi < len(data):  # on to the end of a word
+            more = is_word[LOWER[data[hi : hi + 4096]] if lower else data[hi : hi + 4096]]
+            hi += len(more) if more.all() else int(np.argmin(more))
+            if not more.all():
+                break
+        part = data[lo:hi]
+        inner = ends[(ends > lo) & (ends < hi)] - lo
+        start, stop, _ = words(part, np.concatenate([[0], inner, [len(part)]]), is_word, lower)
+        found.append((start + lo, stop + lo, hashes(part, start, stop, lower)))
+        lo = hi
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(ends), np.int64), np.zeros(0, U)
+    start, stop, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    return start, stop, np.searchsorted(start, ends), value
+
+
+def strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The words at these places of UTF-8 bytes, as an Arrow string column."""
+    size = stop - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
+def rolling(word: np.ndarray, first: np.ndarray, width: int, seed: int = 0x2545F4914F6CDD1D):
+    """(place, hash) of all runs of `width` words within a row; place is the number of the first word."""
+    size = max(len(word) - width + 1, 0)
+    with np.errstate(over="ignore"):
+        acc = np.zeros(size, U)
+        for k in range(width):
+            acc = acc * U(seed) + word[k : k + size]
+        acc = mix(acc)
+    left = np.repeat(first[1:], np.diff(first))[:size] - np.arange(size)
+    place = np.flatnonzero(left >= width)
+    return place, acc[place]
 
 
 def shingles(word: np.ndarray, first: np.ndarray, width: int):
