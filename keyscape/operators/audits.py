@@ -157,19 +157,29 @@ def resolve(page: Column, path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(full, "/", -1), F.array().cast("array<string>"), step), "/")
 
 
+def _folders(paths: DataFrame) -> DataFrame:
+    """(path) of all folders above paths(path); the root is empty."""
+    steps = F.split("path", "/", -1)
+    return paths.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("path")).distinct()
+
+
 def link_integrity(found: DataFrame, pages: DataFrame, ids: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(page, target, problem) of links whose file, Markdown page or fragment is missing.
 
-    found: page, target; pages: page; ids: page, id; files: further files (path).
+    found: page, target; pages: page; ids: page, id; files: further files (path). A folder is there if a file is
+    below it; a fragment of a folder is looked for in its README.md.
     """
     path, fragment = F.split_part("target", F.lit("#"), F.lit(1)), F.nullif(F.regexp_replace("target", r"\A[^#]*#?", ""), F.lit(""))
     rows = found.select("page", "target", F.when(path == "", F.col("page")).otherwise(resolve(F.col("page"), path)).alias("to"), fragment.alias("fragment"))
-    there = pages.select(F.col("page").alias("to"))
-    if files is not None:
-        there = there.unionByName(files.select(F.col("path").alias("to")))
-    rows = rows.join(there.distinct().withColumn("exists", F.lit(True)), "to", "left")
-    rows = rows.join(ids.select(F.col("page").alias("to"), F.col("id").alias("fragment")).distinct().withColumn("known", F.lit(True)), ["to", "fragment"], "left")
-    problem = F.when(F.col("exists").isNull(), "missing target").when(F.col("fragment").isNotNull(), F.when(~F.lower("to").endswith(".md"), "fragment target is not Markdown").when(F.col("known").isNull(), "missing fragment"))
+    held = pages.select(F.col("page").alias("path"))
+    held = (held if files is None else held.unionByName(files.select("path"))).distinct()
+    places = held.withColumn("folder", F.lit(False)).unionByName(_folders(held).join(held, "path", "left_anti").withColumn("folder", F.lit(True)))
+    rows = rows.join(places.withColumnRenamed("path", "to"), "to", "left")
+    rows = rows.withColumn("file", F.when(F.col("folder"), F.concat_ws("/", F.nullif("to", F.lit("")), F.lit("README.md"))).otherwise(F.col("to")))
+    rows = rows.join(held.select(F.col("path").alias("file"), F.lit(True).alias("is_file")), "file", "left")
+    rows = rows.join(ids.select(F.col("page").alias("file"), F.col("id").alias("fragment")).distinct().withColumn("known", F.lit(True)), ["file", "fragment"], "left")
+    no_page = ~F.lower("file").endswith(".md") | F.col("is_file").isNull()
+    problem = F.when(F.col("folder").isNull(), "missing target").when(F.col("fragment").isNotNull(), F.when(no_page, "fragment target is not Markdown").when(F.col("known").isNull(), "missing fragment"))
     return rows.select("page", "target", problem.alias("problem")).filter("problem is not null")
 
 

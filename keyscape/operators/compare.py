@@ -1,9 +1,9 @@
 """Set comparison of listings: differences, verdicts, strata and groups.
 
-Many listings are compared at once: rows carry `pair`. One aggregation by (pair, key) counts both
-sides and tells, by hashes of the fields, which keys have rows that aren't all alike; values
-are joined for these keys alone, and reference rows stay rows, so a key of any number of rows
-never becomes one value.
+Many listings are compared at once: rows carry their group and their number in it, 0 for the reference.
+One aggregation by (group, key) holds which members have a key and tells, by hashes of the fields, which keys have
+rows that aren't all alike; values are joined for these keys alone, and reference rows stay rows, so
+a key of any number of rows never becomes one value.
 """
 
 from __future__ import annotations
@@ -79,33 +79,63 @@ def _repeated(df: DataFrame, n: Column) -> DataFrame:
     return whole.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_REPEATS).cast("long"), F.col("_left") - F.col("_at"))))).drop("_left", "_at", "_one")
 
 
-def diff_tagged(both: DataFrame) -> DataFrame:
-    """(pair, kind, key, field, tool_value, reference_value) of tagged(pair, side, key, ...).
+#: Members that one word of a presence bitmap holds.
+_WORD = 63
+
+
+def _alike(shown: dict[str, Column]) -> list[Column]:
+    """Aggregates by which a field's exposed values are told apart: the ends of two hashes of them.
+
+    Two different values pass for equal where both hashes are equal, with a chance of 2^-96.
+    """
+    two = {f: (F.xxhash64(c), F.hash(F.lit(1), c)) for f, c in shown.items()}
+    return [g(F.when(shown[f].isNotNull(), h)).alias(f"{n}{k}_{f}") for f, hs in two.items() for k, h in enumerate(hs) for n, g in (("low", F.min), ("high", F.max))]
 
-    The keys that differ in any way are written once; up to BROADCAST_KEYS of them are handed to all
-    tasks, which take their rows from a second scan, and more are joined by shuffles. Fields are
-    told apart by 64-bit hashes: two values pass for equal with a chance of 5e-20.
+
+def _members_diff(rows: DataFrame, most: int) -> DataFrame:
+    """(g, m, kind, key, field, tool_value, reference_value) of rows(g, m, members, key, ...): how member m > 0 of a group differs from member 0.
+
+    One aggregation by (g, key) holds which members have the key, in bitmaps of `most` members, how many rows they have in all, and
+    whether a field's exposed values are all alike. A key that every member has once, with like values, differs for
+    none; all members' rows of the other keys are taken from a second scan, by a broadcast of up to BROADCAST_KEYS keys
+    and a join beyond. So each row is shuffled once, however many members there are, and again only where its key differs.
     """
-    at, value, none = ["pair", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
-    shown = {f: F.when(F.col(f).isNotNull(), F.xxhash64(F.lower(f) if f == "etag" else F.col(f))) for f in _VALUES}  # a hash only of exposed fields
-    ends = [g(h).alias(f"{n}_{f}") for f, h in shown.items() for n, g in (("low", F.min), ("high", F.max))]
-    of_key = both.groupBy(*at).agg(F.count(F.when(F.col("side") == 0, 1)).alias("n_ref"), F.count(F.when(F.col("side") == 1, 1)).alias("n_tool"), *ends)
+    at, value, none = ["g", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
+    bit = lambda k: F.when((F.col("m") >= k * _WORD) & (F.col("m") < (k + 1) * _WORD), F.expr("shiftleft(1L, cast(m % 63 as int))")).otherwise(F.lit(0).cast("long"))
+    words = [f"has_{k}" for k in range(-(-most // _WORD))]
+    of_key = rows.groupBy(*at).agg(
+        F.max("members").alias("members"), F.count("*").alias("n"), F.count(F.when(F.col("m") == 0, 1)).alias("n_ref"), *[F.bit_or(bit(k)).alias(w) for k, w in enumerate(words)],
+        *_alike({f: F.lower(f) if f == "etag" else F.col(f) for f in _VALUES}),
+    )
     unlike = F.lit(False)
     for f in _VALUES:
-        unlike |= F.coalesce(F.col(f"low_{f}") != F.col(f"high_{f}"), F.lit(False))
-    events = F.array_compact(F.array(
-        F.when(F.col("n_tool") == 0, "missing"), F.when(F.col("n_ref") == 0, "extra"), F.when(F.col("n_tool") > 1, "duplicate"), F.when(F.col("n_ref") > 1, "reference_duplicate"),
-        F.when((F.col("n_tool") > 0) & (F.col("n_ref") > 0) & unlike, "mismatch"),
-    ))
-    n = F.when(F.col("kind") == "missing", F.col("n_ref")).when(F.col("kind") == "extra", F.col("n_tool")).otherwise(1).cast("long")
-    found = checkpoint(of_key.withColumn("kind", F.explode(events)).select(*at, "kind", n.alias("n")))
-    keys = found.filter("kind = 'mismatch'").select(*at)
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    own = both.join(keys, at, "left_semi")
-    tool = own.filter("side = 1").groupBy(*at).agg(F.min(value).alias("t"))
-    wrong = own.filter("side = 0").select(*at, value.alias("r")).join(tool, at).select(*at, F.explode(_mismatches(F.col("t"), F.col("r"))).alias("m"))
-    plain = _repeated(found.filter("kind <> 'mismatch'"), F.col("n")).select("pair", "kind", "key", none.alias("field"), none.alias("tool_value"), none.alias("reference_value"))
-    return plain.unionByName(wrong.select("pair", F.lit("mismatch").alias("kind"), "key", "m.*"))
+        unlike |= F.coalesce((F.col(f"low0_{f}") != F.col(f"high0_{f}")) | (F.col(f"low1_{f}") != F.col(f"high1_{f}")), F.lit(False))
+    present = sum((F.bit_count(w) for w in words), F.lit(0))
+    odd = of_key.withColumn("unlike", unlike).filter((F.col("n") != F.col("members")) | (present != F.col("members")) | F.col("unlike"))
+    odd = checkpoint(odd.select(*at, "members", "n_ref", "unlike", *words))
+    keys = odd.select(*at, "n_ref", "unlike")
+    keys = F.broadcast(keys) if odd.count() <= BROADCAST_KEYS else keys
+    own = rows.join(keys, at)
+    tool = own.filter("m > 0").groupBy(*at, "m").agg(F.count("*").alias("n"), F.min(value).alias("t"), F.first("n_ref").alias("n_ref"), F.first("unlike").alias("unlike"))
+    some = tool.select(*at, "m", F.explode(F.array_compact(F.array(
+        F.when(F.col("n_ref") == 0, F.struct(F.lit("extra").alias("kind"), F.col("n").alias("n"))), F.when(F.col("n") > 1, F.struct(F.lit("duplicate").alias("kind"), F.lit(1).cast("long").alias("n"))),
+    ))).alias("e")).select(*at, "m", "e.*")
+    held = lambda m: F.expr("case " + " ".join(f"when {m} < {(k + 1) * _WORD} then {w}" for k, w in enumerate(words)) + " end")
+    each = odd.filter("n_ref > 0 and members > 1").withColumn("m", F.explode(F.sequence(F.lit(1), F.col("members") - 1)))
+    absent = F.expr("getbit(_held, cast(m % 63 as int)) = 0")
+    lacks = each.withColumn("_held", held("m")).select(*at, "m", F.explode(F.array_compact(F.array(
+        F.when(absent, F.struct(F.lit("missing").alias("kind"), F.col("n_ref").alias("n"))), F.when(F.col("n_ref") > 1, F.struct(F.lit("reference_duplicate").alias("kind"), F.lit(1).cast("long").alias("n"))),
+    ))).alias("e")).select(*at, "m", "e.*")
+    pairs = tool.filter("unlike and n_ref > 0").select(*at, "m", "t")
+    wrong = own.filter("m = 0 and unlike").select(*at, value.alias("r")).join(pairs, at).select(*at, "m", F.explode(_mismatches(F.col("t"), F.col("r"))).alias("d"))
+    plain = _repeated(some.unionByName(lacks), F.col("n")).select("g", "m", "kind", "key", none.alias("field"), none.alias("tool_value"), none.alias("reference_value"))
+    return plain.unionByName(wrong.select("g", "m", F.lit("mismatch").alias("kind"), "key", "d.*"))
+
+
+def diff_tagged(both: DataFrame) -> DataFrame:
+    """(pair, kind, key, field, tool_value, reference_value) of tagged(pair, side, key, ...): groups of two members."""
+    rows = both.select(F.col("pair").alias("g"), F.col("side").alias("m"), F.lit(2).alias("members"), *FIELDS)
+    return _members_diff(rows, 2).withColumnRenamed("g", "pair").drop("m")
 
 
 def listing_diff(ref: DataFrame, act: DataFrame) -> DataFrame:
@@ -162,17 +192,20 @@ def choose_reference(subjects: DataFrame) -> DataFrame:
 
 
 def compare_all(listings: DataFrame, subjects: DataFrame) -> DataFrame:
-    """The diff of every other member of a stratum against its reference, all pairs in the same joins.
+    """The diff of every other member of a stratum against its reference, all members in one aggregation.
 
-    listings: attempt_id and the listing's fields; subjects: attempt_id, bucket,
-    stratum. Reference rows are handed to each of its pairs; `pair` is the other member's
-    attempt_id.
+    listings: attempt_id and the listing's fields; subjects: attempt_id, bucket, stratum, each attempt once; one of a NULL
+    bucket or stratum is in that of NULL. `pair` is the other member's attempt_id. A member without rows lacks all keys; a
+    stratum of one member has no pairs.
     """
-    chosen = choose_reference(subjects)
-    others = chosen.filter("attempt_id <> reference")
-    act = listings.join(others.select("attempt_id"), "attempt_id").select(F.col("attempt_id").alias("pair"), F.lit(1).alias("side"), *FIELDS)
-    ref = listings.join(others.select(F.col("attempt_id").alias("pair"), F.col("reference").alias("attempt_id")), "attempt_id").select("pair", F.lit(0).alias("side"), *FIELDS)
-    return diff_tagged(ref.unionByName(act))
+    own = W.partitionBy("bucket", "stratum")
+    numbered = subjects.select(
+        "attempt_id", F.to_json(F.struct("bucket", "stratum")).alias("g"), (F.row_number().over(own.orderBy("attempt_id")) - 1).alias("m"), F.count("*").over(own).cast("int").alias("members"),
+    ).filter("members > 1")
+    numbered = checkpoint(numbered)  # attempts, not listing rows
+    most = numbered.agg(F.coalesce(F.max("members"), F.lit(2)).alias("n")).first()["n"]
+    found = _members_diff(listings.join(numbered, "attempt_id").select("g", "m", "members", *FIELDS), most)
+    return found.join(numbered.select(F.col("attempt_id").alias("pair"), "g", "m"), ["g", "m"]).select("pair", "kind", "key", "field", "tool_value", "reference_value")
 
 
 def diff_samples(diff: DataFrame, n: int = 5) -> DataFrame:

@@ -394,37 +394,40 @@ def preparation_cost(rows: DataFrame) -> DataFrame:
 
     The chain of produced_by is followed until it ends, comes back to a link it has, or
     leaves the table; in the last case, and if a link has no time, the cost is NULL. Each round doubles
-    the steps that a row's walk has taken, so a chain of n links takes log n rounds. Of a repeated attempt_id the smallest row is followed.
+    the steps that a row's walk has taken, so a chain of n links takes log n rounds. Walks that are still under way then lead
+    into cycles, and stand on one: each cycle is summed once and becomes the end of the walks that lead to it. Of
+    a repeated attempt_id the smallest row is followed.
     """
     step = rows.groupBy(F.col("attempt_id").alias("at")).agg(F.min(F.struct(F.col("produced_by").alias("to"), F.col("wall_seconds").alias("cost"))).alias("s"))
-    one = checkpoint(step.select("at", "s.to", F.lit(1).cast("long").alias("links"), F.col("s.cost").cast("double").alias("total"), F.lit(False).alias("outside")))
+    one = checkpoint(step.select("at", "s.to", F.lit(1).cast("long").alias("links"), F.col("s.cost").cast("double").alias("total"), F.lit(False).alias("outside"), F.col("at").alias("least")))
+    walk = _doubled(one)
+    under_way = walk.filter("to is not null and not outside")
+    if not under_way.isEmpty():
+        on_ring = under_way.select(F.col("to").alias("at")).distinct()
+        ring = on_ring.join(under_way.select("at", "least"), "at").join(one.select("at", "total"), "at")
+        whole = ring.groupBy("least").agg(F.count("*").alias("links"), F.when(F.count("total") == F.count("*"), F.sum("total")).alias("total"))
+        ends = ring.select("at", "least").join(whole, "least").select("at", F.lit(None).cast("string").alias("to"), "links", "total", F.lit(False).alias("outside"), "least")
+        tails = one.join(under_way.select("at"), "at", "left_semi").join(on_ring, "at", "left_anti")
+        walk = walk.filter("to is null or outside").unionByName(_doubled(checkpoint(tails.unionByName(ends))))
+    behind = rows.filter("produced_by is not null").select("attempt_id", F.col("produced_by").alias("at")).join(walk, "at", "left")
+    cost = F.when(F.col("to").isNull(), F.round("total", 6))  # a walk that isn't at its end left the table
+    return behind.select("attempt_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), cost.alias("prep_seconds"))
+
+
+def _doubled(one: DataFrame) -> DataFrame:
+    """Walks of one(at, to, links, total, outside, least), each as long as it goes: until `to` is NULL or not in the table, or over as many steps as there are rows."""
     most, steps, walk = one.count(), 1, one
     open_ = F.col("to").isNotNull() & ~F.col("outside")
     while not walk.filter(open_).isEmpty() and steps <= most:
-        nxt = walk.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("links").alias("links2"), F.col("total").alias("total2"), F.col("outside").alias("outside2"), F.lit(True).alias("found"))
+        nxt = walk.select(F.col("at").alias("to"), *[F.col(c).alias(f"{c}2") for c in ("to", "links", "total", "outside", "least")], F.lit(True).alias("found"))
         both = walk.filter(open_).join(nxt, "to", "left")
         found = F.col("found").isNotNull()
         longer = both.select(
             "at", F.when(found, F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("links") + F.coalesce("links2", F.lit(0))).alias("links"),
-            F.when(found, F.col("total") + F.col("total2")).otherwise(F.col("total")).alias("total"), F.coalesce("outside2", F.lit(True)).alias("outside"),
+            F.when(found, F.col("total") + F.col("total2")).otherwise(F.col("total")).alias("total"), F.coalesce("outside2", F.lit(True)).alias("outside"), F.least("least", "least2").alias("least"),
         )
         walk, steps = checkpoint(walk.filter(~open_).unionByName(longer)), 2 * steps
-    walk = walk.filter(~open_).unionByName(_round_trips(one, walk.filter(open_).select("at")))
-    behind = rows.filter("produced_by is not null").select("attempt_id", F.col("produced_by").alias("at")).join(walk, "at", "left")
-    cost = F.when(F.col("to").isNull(), F.round("total", 6))  # a walk that isn't at its end left the table
-    return behind.select("attempt_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), cost.alias("prep_seconds"))
-
-
-def _round_trips(one: DataFrame, starts: DataFrame) -> DataFrame:
-    """The walks from `starts`, which lead into a cycle and end where they would come back to a link they have; rounds as long as the walk."""
-    done, live = None, starts.select("at", F.col("at").alias("to"), F.array().cast("array<string>").alias("chain"), F.lit(0.0).alias("total"))
-    while not live.isEmpty():
-        to = one.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("total").alias("cost"))
-        live = checkpoint(live.join(to, "to").select("at", F.col("to2").alias("to"), F.concat("chain", F.array("to")).alias("chain"), (F.col("total") + F.col("cost")).alias("total")))
-        back = F.array_contains("chain", F.col("to"))
-        ended = live.filter(back).select("at", F.lit(None).cast("string").alias("to"), F.size("chain").cast("long").alias("links"), "total", F.lit(False).alias("outside"))
-        done, live = ended if done is None else done.unionByName(ended), live.filter(~back)
-    return done if done is not None else one.limit(0)
+    return walk
 
 
 def stratum_summary(rows: DataFrame) -> DataFrame:
@@ -476,21 +479,21 @@ def owed_reason(slots: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def abandonment_closure(slots: DataFrame) -> DataFrame:
-    """(slot_id, rounds): blocked slots that wait on an abandoned slot, directly (1) or through others."""
+    """(slot_id, rounds): blocked slots that wait on an abandoned slot, directly (1) or through others.
+
+    Each round doubles how far a slot has looked along `awaiting`, so n slots in a row take log n rounds. Slots that wait on
+    nothing abandoned, or in a circle, are left out. Of a repeated slot the smallest `awaiting` is followed.
+    """
     name = F.concat_ws("/", "group_id", F.col("slot").cast("string"))
-    waits = slots.filter("state = 'BLOCKED'").select(name.alias("slot_id"), "awaiting").filter("awaiting is not null")
-    front, found, k = slots.filter("state = 'ABANDONED'").select(name.alias("awaiting")), None, 0
-    while True:
-        k += 1
-        new = waits.join(front, "awaiting", "left_semi").select("slot_id").distinct()
-        if found is not None:
-            new = new.join(found, "slot_id", "left_anti")
-        new = checkpoint(new)
-        if new.isEmpty():
-            return found if found is not None else new.withColumn("rounds", F.lit(0).cast("long"))
-        here = new.withColumn("rounds", F.lit(k).cast("long"))
-        found = here if found is None else found.unionByName(here)
-        front = new.select(F.col("slot_id").alias("awaiting"))
+    waits = slots.filter("state = 'BLOCKED' and awaiting is not null").groupBy(name.alias("at")).agg(F.min("awaiting").alias("to"))
+    gone = slots.filter("state = 'ABANDONED'").select(name.alias("to")).distinct().withColumn("hit", F.lit(True))
+    walk = checkpoint(waits.join(gone, "to", "left").select("at", "to", F.lit(1).cast("long").alias("rounds"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    most, steps = walk.count(), 1
+    while steps <= most and not walk.filter("not hit").isEmpty():
+        nxt = walk.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("rounds").alias("rounds2"), F.col("hit").alias("hit2"))
+        further = walk.filter("not hit").join(nxt, "to").select("at", F.col("to2").alias("to"), (F.col("rounds") + F.col("rounds2")).alias("rounds"), F.col("hit2").alias("hit"))
+        walk, steps = checkpoint(walk.filter("hit").unionByName(further)), 2 * steps
+    return walk.filter("hit").select(F.col("at").alias("slot_id"), "rounds")
 
 
 def next_ordinal(attempts: DataFrame) -> DataFrame:
@@ -498,32 +501,73 @@ def next_ordinal(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("case_id").agg((F.max("attempt") + 1).cast("long").alias("next"), F.bool_or(F.col("state") == "SUCCEEDED").alias("succeeded"), (F.count_distinct("case_inputs") > 1).alias("conflict"))
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """Strings and NULLs as compact JSON with sorted keys and non-ASCII characters escaped."""
+#: Pieces of JSON: a string, or what stands between strings.
+_PIECES = r'"(?:[^"\\]++|\\.)*+"|[^"]++'
+#: Marks a number that waits as a string while keys are sorted.
+_NUMBER = r"\u0001"
+
+
+def _python_float(text: Column) -> Column:
+    """The shortest text of a JSON number with a fraction or an exponent, as Python writes a float; NULL beyond a double."""
+    d = text.cast("double")
+    shown = F.abs(d).cast("string")
+    mantissa, e = F.substring_index(shown, "E", 1), F.when(shown.contains("E"), F.substring_index(shown, "E", -1).cast("int")).otherwise(0)
+    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    every = F.concat(whole, part)
+    digits = F.regexp_replace(F.regexp_replace(every, r"\A0+", ""), r"0+\z", "")
+    point = F.length(whole) + e - (F.length(every) - F.length(F.regexp_replace(every, r"\A0+", "")))  # digits in front of the point
+    size, zeros = F.length(digits), lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    exponent = F.concat(F.when(point > 0, "+").otherwise("-"), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.length(F.abs(point - 1).cast("string")), F.lit(2)), "0"))
+    body = (
+        F.when(d == 0, "0.0").when((point < -3) | (point > 16), F.concat(F.left(digits, F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), F.lit("e"), exponent))
+        .when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(point >= size, F.concat(digits, zeros(point - size), F.lit(".0")))
+        .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, size)))
+    )
+    return F.when(~F.isnan(d) & (shown != "Infinity"), F.concat(F.when(text.startswith("-"), "-").otherwise(""), body))
+
+
+def _ascii(text: Column) -> Column:
+    """A JSON string with each UTF-16 unit of its non-ASCII characters, and control characters, as lower-case \\uXXXX."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    one = lambda u: F.when(u <= "007F", F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+    plain = F.when(text.rlike(r"\A[\x00-\x7F]*+\z"), text).otherwise(F.array_join(F.transform(units, one), ""))
+    for u in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # their hex digits as Python writes them
+        plain = F.when(plain.contains(f"\\u{u:04X}"), F.regexp_replace(plain, rf"(?<!\\)((?:\\\\)*)\\u{u:04X}", rf"$1\\u{u:04x}")).otherwise(plain)
+    return plain
+
 
-    def quoted(c: Column) -> Column:
-        units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-        # control characters and non-ASCII as \\uXXXX, of UTF-16 units; short escapes where JSON has them
-        short = {"0022": '\\"', "005C": "\\\\", "000A": "\\n", "000D": "\\r", "0009": "\\t", "0008": "\\b", "000C": "\\f"}
+def canonical(json: Column) -> Column:
+    """JSON text of any depth with sorted keys, no blanks and ASCII alone; NULL for text that isn't JSON, a key used twice, or a number beyond a double.
 
-        def one(u: Column) -> Column:
-            plain = (u >= "0020") & (u <= "007E")
-            out = F.when(plain, F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-            for k, s in short.items():
-                out = F.when(u == k, F.lit(s)).otherwise(out)
-            return out
+    It is what Python's json.dumps(sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False) writes of
+    what json.loads reads: integers of any length and booleans as they are, 1.0 apart from 1, floats in their
+    shortest form. A VARIANT sorts the keys; numbers wait as marked strings meanwhile, for it doesn't keep their form.
+    Keys sort by code points.
+    """
+    ok = F.try_parse_json(json).isNotNull() & ~json.contains(_NUMBER)
+    marked = F.transform(F.regexp_extract_all(json, F.lit(_PIECES), F.lit(0)), lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(x, r"-?[0-9][0-9.eE+-]*+", '"\\\\\\\\u0001$0"')))
+    pieces = F.regexp_extract_all(F.to_json(F.try_parse_json(F.array_join(marked, ""))), F.lit(_PIECES), F.lit(0))
+
+    def written(x: Column) -> Column:
+        number = F.substring(x, F.lit(8), F.length(x) - 8)
+        text = F.when(number.rlike("[.eE]"), _python_float(number)).when(number == "-0", "0").otherwise(number)
+        return F.when(x.startswith(f'"{_NUMBER}'), text).when(x.startswith('"'), _ascii(x)).otherwise(x)
 
-        # most texts are plain; only the others are taken apart
-        body = F.when(c.rlike(r"\A[ !#-\[\]-~]*\z"), c).otherwise(F.array_join(F.transform(units, one), ""))
-        return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+    out = F.transform(pieces, written)
+    return F.when(ok & ~F.exists(out, lambda x: x.isNull()), F.array_join(out, ""))
 
-    parts = [F.concat(F.lit(f'"{k}":'), quoted(fields[k])) for k in sorted(fields)]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
+def case_fingerprint(df: DataFrame, columns: list[str], tag: str, nested: tuple[str, ...] = ()) -> DataFrame:
+    """Df with case_id `tool.hash`, the first 12 hex digits of a tagged hash of the columns' canonical JSON.
 
-def case_fingerprint(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """Df with case_id `tool.hash`, the first 12 hex digits of a tagged hash of the columns' canonical JSON."""
-    document = canonical_json({c: F.col(c).cast("string") for c in columns})
+    A column of `nested` is JSON text, or a struct, array or map, and goes in as the document it is; others go in as
+    strings, NULL as null. What isn't JSON, or holds a number beyond a double, has no case_id.
+    """
+    plain = lambda c: df.schema[c].dataType.typeName() == "string"
+    whole = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns if c not in nested]), {"ignoreNullFields": "false"})
+    own = [F.concat(F.lit(f'"{c}":'), F.coalesce(F.col(c) if plain(c) else F.to_json(c, {"ignoreNullFields": "false"}), F.lit("null"))) for c in nested]
+    inside = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    document = canonical(F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inside, F.lit("")), *own), F.lit("}")))
     return df.withColumn("case_id", F.concat("tool", F.lit("."), F.substring(F.sha2(F.concat(F.lit(tag), document), 256), 1, 12)))
 
 
@@ -548,6 +592,14 @@ def roster_coverage(registered: DataFrame, run: DataFrame, excluded: DataFrame)
     return both.select("tool", F.explode(wrong).alias("problem"))
 
 
+def mode_coverage(cases: DataFrame, modes: DataFrame) -> DataFrame:
+    """(tool, mode, problem) of cases(tool, mode) that modes(tool, mode) doesn't declare: `modes unknown` for a tool without any, else `no such mode`."""
+    declared = modes.select("tool", "mode").distinct()
+    stray = cases.select("tool", "mode").distinct().join(declared, ["tool", "mode"], "left_anti")
+    known = declared.select("tool").distinct().withColumn("_known", F.lit(True))
+    return stray.join(known, "tool", "left").select("tool", "mode", F.when(F.col("_known").isNull(), "modes unknown").otherwise("no such mode").alias("problem"))
+
+
 def corpus_pin(receipts: DataFrame, expected: DataFrame) -> DataFrame:
     """(tool, found, pinned, problem): receipts(tool, stdout_sha256, stderr_sha256, empty) with a non-empty stream, against expected(tool, pinned)."""
     n = _payloads(receipts).groupBy("tool").agg(F.count("*").alias("found"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyscape.functions.listing import depth
-from keyscape.sources.shared import checkpoint
+from keyscape.operators.ranges import ranged
 
 #: Fixed value: keys of a listing page.
 PAGE = 1000
@@ -53,6 +53,19 @@ def scope(df: DataFrame, under: str) -> DataFrame:
     return df.filter(F.col("key").startswith(under))
 
 
+def scope_counts(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """K6: (prefix, registered, found, agrees) of registry(prefix, keys): how many keys are under each prefix, and whether that is the registered number.
+
+    A key counts for each prefix that it begins with. Only its beginnings of registered lengths are looked up, so a
+    key takes a row for each length, not for each prefix; a prefix that is registered twice is compared twice.
+    """
+    lengths = F.broadcast(registry.agg(F.collect_set(F.length("prefix")).alias("_lengths")))  # one row
+    starts = df.join(lengths).select(F.explode(F.filter("_lengths", lambda n: n <= F.length("key"))).alias("_n"), "key")
+    n = starts.groupBy(F.substring("key", F.lit(1), F.col("_n")).alias("prefix")).agg(F.count("*").alias("found"))
+    both = registry.select("prefix", F.col("keys").alias("registered")).join(n, "prefix", "left")
+    return both.select("prefix", "registered", F.coalesce("found", F.lit(0)).alias("found"), F.col("registered").eqNullSafe(F.coalesce("found", F.lit(0))).alias("agrees"))
+
+
 def key_range(df: DataFrame, after: str | None = None, before: str | None = None, n: int | None = None) -> DataFrame:
     """K7: keys after one and before another, both left out; the first n in key order."""
     if after is not None:
@@ -62,19 +75,14 @@ def key_range(df: DataFrame, after: str | None = None, before: str | None = None
     return df if n is None else df.orderBy("key").limit(n)
 
 
-def _ranged(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
-    """df dealt by ranges, with the number of each row's in `_range`; written once, as a second exchange would draw other bounds."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-
-
 def global_rank(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
     """df with `rank`, 1 for the first row: ranges are counted first, and each is numbered from its offset.
 
-    No task sees more than its range; only one count for each range is gathered, by a window over them.
+    No task sees more than its range, and rows of one key may lie in several; only one count for each range is gathered,
+    by a window over them. Rows that are equal in `order` are numbered in any order.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = _ranged(df, *order, partitions=n)
+    parts = ranged(df, *order, partitions=n, salted=True)
     # the numbers of ranges follow their order
     sizes = parts.groupBy("_range").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -88,15 +96,32 @@ def page_numbers(df: DataFrame, size: int = PAGE) -> DataFrame:
     return global_rank(df.select("key"), "key").select("key", F.ceil(F.col("rank") / size).cast("long").alias("page"))
 
 
+def rollup_pages(df: DataFrame, under: str = "", delimiter: str = "/", size: int = PAGE) -> DataFrame:
+    """K8: (name, is_prefix, n, page) of a listing under a prefix with a delimiter: a common prefix is one entry of a page, however many keys it holds."""
+    return global_rank(delimiter_rollup(df, under, delimiter), "name").select("name", "is_prefix", "n", F.ceil(F.col("rank") / size).cast("long").alias("page"))
+
+
 def page_count(df: DataFrame, size: int = PAGE) -> DataFrame:
     """K8: rows and pages."""
     return df.agg(F.count("*").alias("n"), F.ceil(F.count("*") / size).cast("long").alias("pages"))
 
 
-def sortedness(df: DataFrame) -> DataFrame:
-    """K9: rows of df(file, line_no, key) whose key is below that of the line before, in byte order."""
-    last = F.lag("key").over(W.partitionBy("file").orderBy("line_no"))
-    return df.select("file", "line_no", "key", last.alias("before")).filter("key < before")
+def sortedness(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """K9: rows of df(file, line_no, key) whose key is below that of the line before, in byte order.
+
+    Files are cut into ranges of lines. A range is summed up by its last key, which the next range of its file begins
+    with, so no window spans a file. Of several rows with one line_no of a file, all but the first of a range
+    follow each other in any order.
+    """
+    parts = ranged(df.select("file", "line_no", "key"), "file", "line_no", partitions=partitions)
+    ends = parts.groupBy("file", "_range").agg(F.max_by("key", "line_no").alias("_last"))
+    ends = ends.select("file", "_range", F.lag("_last").over(W.partitionBy("file").orderBy("_range")).alias("_came"))  # a row for each range
+    last = F.lag("key").over(W.partitionBy("file", "_range").orderBy("line_no"))
+    first = F.row_number().over(W.partitionBy("file", "_range").orderBy("line_no")) == 1
+    run = parts.select("file", "_range", "line_no", "key", last.alias("before"), first.alias("first")).filter("first or key < before")
+    same = (F.col("r.file").eqNullSafe(F.col("e.file"))) & (F.col("r._range") == F.col("e._range"))
+    heads = run.filter("first").alias("r").join(ends.alias("e"), same).select("r.file", "r.line_no", "r.key", F.col("e._came").alias("before"))
+    return run.filter("not first").select("file", "line_no", "key", "before").unionByName(heads).filter("key < before")
 
 
 def parent(key: Column) -> Column:
@@ -115,7 +140,7 @@ def cut_points(dist: DataFrame, n: int) -> DataFrame:
     Ranges of prefixes are summed first and run on from their offsets, so no
     window spans the whole distribution.
     """
-    parts = _ranged(dist, "prefix")
+    parts = ranged(dist, "prefix")
     sums = parts.groupBy("_range").agg(F.sum("count").alias("_n"))
     order = W.orderBy("_range")
     sums = sums.select("_range", F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.sum("_n").over(W.partitionBy()).alias("_total"))
@@ -148,7 +173,7 @@ def assign_segment(df: DataFrame, cuts: DataFrame) -> DataFrame:
         own = upto(F.slice("_cuts", F.col("_before") + 1, F.lit(STRIDE)))
         return marked.withColumn("segment", (F.col("_before") + own).cast("long")).drop("_cuts", "_marks", "_before")
     marked = df.select("key", F.struct(*df.columns).alias("_row"), F.lit(1).alias("_kind")).unionByName(cuts.select(F.col("cut").alias("key"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    parts = _ranged(marked, "key")
+    parts = ranged(marked, "key")
     is_cut = (F.col("_kind") == 0).cast("long")
     sums = parts.groupBy("_range").agg(F.sum(is_cut).alias("_n"))
     sums = sums.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
@@ -223,5 +248,17 @@ def version_collapse(df: DataFrame) -> DataFrame:
 
 
 def decode_keys(df: DataFrame) -> DataFrame:
-    """Keys percent-decoded once; a plus sign is itself."""
-    return df.withColumn("key", F.url_decode(F.replace("key", F.lit("+"), F.lit("%2B"))))
+    """Keys percent-decoded once; a plus sign is itself. A key with a malformed escape stays as it is: see `malformed_escapes`."""
+    return df.withColumn("key", F.coalesce(_decoded(), "key"))
+
+
+def _decoded() -> Column:
+    """The decoded key; NULL if a percent sign isn't followed by two hex digits, or the bytes aren't UTF-8."""
+    shape = F.col("key").rlike(r"\A(?:[^%]|%[0-9A-Fa-f]{2})*+\z")
+    text = F.try_url_decode(F.replace("key", F.lit("+"), F.lit("%2B")))
+    return F.when(shape & ~F.contains(text, F.lit("\ufffd")), text).when(shape & F.upper("key").contains("%EF%BF%BD"), text)
+
+
+def malformed_escapes(df: DataFrame) -> DataFrame:
+    """Rows whose key isn't a percent-encoded one, with `reason`; the others are fit for `decode_keys`."""
+    return df.filter(F.col("key").isNotNull() & _decoded().isNull()).withColumn("reason", F.lit("malformed escape"))

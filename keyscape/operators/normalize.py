@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyscape.functions.listing import FIELDS, awk_fields, field, rest, tabbed, unquoted, whole_seconds, zulu
+from keyscape.operators.ranges import ranged
+
 
 def _v() -> Column:
     return F.col("value")
@@ -194,18 +196,30 @@ def _key_or_prefix(prefix: Column) -> dict[str, Column]:
     return {"key": F.coalesce("Prefix", "Key")} | {k: F.when(stored, c) for k, c in own.items()}
 
 
-def _yaml_pages(df: DataFrame) -> DataFrame:
+def _yaml_pages(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each item of the Contents lists of lines (file, line_no, value) of multi-document YAML pages.
 
-    Items begin at `- Key-like` lines of the list's indentation; a running count
-    inside each file numbers them, and their fields are gathered by that number.
+    Items begin at `- Key-like` lines of the list's indentation. Files are cut into ranges of lines, and a range is
+    summed up by the last section that it opens and by how many items it begins, in front of its first section and behind;
+    these states run from range to range, so that no task has to see a whole file.
     """
     section = F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1)
     top = _v().rlike(r"^(- |  )?[A-Za-z]+:") | _v().rlike("^---")
-    order = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    now = df.withColumn("section", F.last(F.when(top, F.when(_v().rlike("^---"), F.lit("")).otherwise(section)), ignorenulls=True).over(order))
-    begins = (F.col("section") == "Contents") & ~top & _v().rlike(r"^\s*- ")
-    now = now.withColumn("item", F.sum(begins.cast("int")).over(order)).filter((F.col("section") == "Contents") & ~top)
+    parts = ranged(df.select("file", "line_no", "value"), "file", "line_no", partitions=partitions)
+    order = W.partitionBy("file", "_range").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    opened = F.when(top, F.when(_v().rlike("^---"), F.lit("")).otherwise(section))
+    now = parts.withColumn("top", top).withColumn("own", F.last(opened, ignorenulls=True).over(order)).withColumn("begins", ~F.col("top") & _v().rlike(r"^\s*- "))
+    count = lambda c: F.count(F.when(F.col("begins") & c, 1))
+    sums = parts.withColumn("top", top).groupBy("file", "_range").agg(F.max_by(F.when(F.col("top"), opened), F.when(F.col("top"), F.col("line_no"))).alias("last"))
+    inner = now.groupBy("file", "_range").agg(count(F.col("own").isNull()).alias("head"), count(F.col("own") == "Contents").alias("inside"))
+    same = lambda a, b: F.col(f"{a}.file").eqNullSafe(F.col(f"{b}.file")) & (F.col(f"{a}._range") == F.col(f"{b}._range"))
+    before = W.partitionBy("file").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    state = sums.alias("s").join(inner.alias("i"), same("s", "i")).select("s.file", "s._range", "s.last", "i.head", "i.inside")
+    state = state.withColumn("came", F.last("last", ignorenulls=True).over(before))
+    n = F.col("inside") + F.when(F.col("came") == "Contents", F.col("head")).otherwise(0)
+    state = state.withColumn("n", n).select("file", "_range", "came", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("items"))
+    now = now.alias("l").join(state.alias("s"), same("l", "s")).select("l.*", "s.came", "s.items").filter((F.coalesce("own", "came") == "Contents") & ~F.col("top"))
+    now = now.withColumn("item", F.col("items") + F.count(F.when(F.col("begins"), 1)).over(order))
     pair = r"^\s*(?:- )?\s*([A-Za-z]+):\s*(.*?)\s*$"
     name, text = F.regexp_extract(_v(), pair, 1), F.regexp_replace(F.regexp_extract(_v(), pair, 2), r"""\A(['"])(.*)\1\z""", "$2")
     pick = lambda k: F.max(F.when(name == k, text)).alias(k)
