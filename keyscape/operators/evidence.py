@@ -503,37 +503,60 @@ def next_ordinal(attempts: DataFrame) -> DataFrame:
 
 #: Pieces of JSON: a string, or what stands between strings.
 _PIECES = r'"(?:[^"\\]++|\\.)*+"|[^"]++'
-#: Marks a number that waits as a string while keys are sorted.
+#: Begins strings that wait for the keys to be sorted: with N behind it a number, with S a string that itself begins so.
 _NUMBER = r"\u0001"
 
 
+def _with(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _python_float(text: Column) -> Column:
     """The shortest text of a JSON number with a fraction or an exponent, as Python writes a float; NULL beyond a double."""
-    d = text.cast("double")
-    shown = F.abs(d).cast("string")
-    mantissa, e = F.substring_index(shown, "E", 1), F.when(shown.contains("E"), F.substring_index(shown, "E", -1).cast("int")).otherwise(0)
-    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
-    every = F.concat(whole, part)
-    digits = F.regexp_replace(F.regexp_replace(every, r"\A0+", ""), r"0+\z", "")
-    point = F.length(whole) + e - (F.length(every) - F.length(F.regexp_replace(every, r"\A0+", "")))  # digits in front of the point
-    size, zeros = F.length(digits), lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
-    exponent = F.concat(F.when(point > 0, "+").otherwise("-"), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.length(F.abs(point - 1).cast("string")), F.lit(2)), "0"))
-    body = (
-        F.when(d == 0, "0.0").when((point < -3) | (point > 16), F.concat(F.left(digits, F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), F.lit("e"), exponent))
-        .when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(point >= size, F.concat(digits, zeros(point - size), F.lit(".0")))
-        .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, size)))
-    )
-    return F.when(~F.isnan(d) & (shown != "Infinity"), F.concat(F.when(text.startswith("-"), "-").otherwise(""), body))
+
+    def parts(shown: Column) -> Column:
+        mantissa, e = F.substring_index(shown, "E", 1), F.when(shown.contains("E"), F.substring_index(shown, "E", -1).cast("int")).otherwise(0)
+        return F.struct(F.replace(mantissa, F.lit("."), F.lit("")).alias("every"), (F.length(F.substring_index(mantissa, ".", 1)) + e).alias("point"))
+
+    def stripped(x: Column) -> Column:
+        lead = F.length(x["every"]) - F.length(F.ltrim(x["every"], F.lit("0")))
+        return F.struct(F.btrim(x["every"], F.lit("0")).alias("digits"), (x["point"] - lead).alias("point"))  # digits in front of the point
+
+    def shorter(x: Column) -> Column:
+        """One digit less where that is the same double: before Java 19 a double's text may have one too many."""
+        n = F.length(x["digits"]) - 1
+        low, same = F.left(x["digits"], n).cast("decimal(20,0)"), lambda v: F.concat(v.cast("string"), F.lit("e"), (x["point"] - n).cast("string")).cast("double") == F.abs(text.cast("double"))
+        as_ = lambda v: F.struct(F.rtrim(v.cast("string"), F.lit("0")).alias("digits"), (x["point"] + F.length(v.cast("string")) - n).alias("point"))
+        return F.when((n > 0) & same(low + 1), as_(low + 1)).when((n > 0) & same(low), as_(low)).otherwise(x)
+
+    def written(x: Column) -> Column:
+        digits, point, size, zeros = x["digits"], x["point"], F.length(x["digits"]), lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+        power = F.abs(point - 1).cast("string")
+        exponent = F.concat(F.when(point > 0, "+").otherwise("-"), F.when(F.length(power) < 2, "0").otherwise(""), power)
+        return (
+            F.when(digits == "", "0.0")
+            .when((point < -3) | (point > 16), F.concat(F.left(digits, F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), F.lit("e"), exponent))
+            .when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(point >= size, F.concat(digits, zeros(point - size), F.lit(".0")))
+            .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, size)))
+        )
+
+    whole = lambda shown: F.when(shown != "Infinity", F.concat(F.when(text.startswith("-"), "-").otherwise(""), _with(_with(_with(parts(shown), stripped), shorter), written)))
+    return _with(F.abs(text.cast("double")).cast("string"), whole)
 
 
 def _ascii(text: Column) -> Column:
     """A JSON string with each UTF-16 unit of its non-ASCII characters, and control characters, as lower-case \\uXXXX."""
     units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-    one = lambda u: F.when(u <= "007F", F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-    plain = F.when(text.rlike(r"\A[\x00-\x7F]*+\z"), text).otherwise(F.array_join(F.transform(units, one), ""))
-    for u in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # their hex digits as Python writes them
-        plain = F.when(plain.contains(f"\\u{u:04X}"), F.regexp_replace(plain, rf"(?<!\\)((?:\\\\)*)\\u{u:04X}", rf"$1\\u{u:04x}")).otherwise(plain)
-    return plain
+    one = lambda u: F.when(u <= "007E", F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+
+    def lower(c: Column) -> Column:
+        for u in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # their hex digits as Python writes them
+            c = F.regexp_replace(c, rf"(?<!\\)((?:\\\\)*)\\u{u:04X}", rf"$1\\u{u:04x}")
+        return c
+
+    control = F.when(text.contains("\\u00"), _with(text, lower)).otherwise(text)
+    return F.when(text.rlike(r"\A[\x00-\x7E]*+\z"), control).otherwise(_with(F.array_join(F.transform(units, one), ""), lower))
 
 
 def canonical(json: Column) -> Column:
@@ -544,17 +567,19 @@ def canonical(json: Column) -> Column:
     shortest form. A VARIANT sorts the keys; numbers wait as marked strings meanwhile, for it doesn't keep their form.
     Keys sort by code points.
     """
-    ok = F.try_parse_json(json).isNotNull() & ~json.contains(_NUMBER)
-    marked = F.transform(F.regexp_extract_all(json, F.lit(_PIECES), F.lit(0)), lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(x, r"-?[0-9][0-9.eE+-]*+", '"\\\\\\\\u0001$0"')))
-    pieces = F.regexp_extract_all(F.to_json(F.try_parse_json(F.array_join(marked, ""))), F.lit(_PIECES), F.lit(0))
+    ok = F.try_parse_json(json).isNotNull()
+    held = lambda x: F.when(x.startswith(f'"{_NUMBER}'), F.concat(F.lit(f'"{_NUMBER}S'), F.substring(x, F.lit(8), F.length(x)))).otherwise(x)
+    marked = F.transform(F.regexp_extract_all(json, F.lit(_PIECES), F.lit(0)), lambda x: F.when(x.startswith('"'), held(x)).otherwise(F.regexp_replace(x, r"-?[0-9][0-9.eE+-]*+", '"\\\\u0001N$0"')))
+    pieces = F.regexp_extract_all(F.to_json(F.try_parse_json(F.array_join(marked, ""))), F.lit(_PIECES), F.lit(0))  # keys in order
 
     def written(x: Column) -> Column:
-        number = F.substring(x, F.lit(8), F.length(x) - 8)
+        number = F.substring(x, F.lit(9), F.length(x) - 9)
         text = F.when(number.rlike("[.eE]"), _python_float(number)).when(number == "-0", "0").otherwise(number)
-        return F.when(x.startswith(f'"{_NUMBER}'), text).when(x.startswith('"'), _ascii(x)).otherwise(x)
+        own = F.when(x.startswith(f'"{_NUMBER}S'), F.concat(F.lit(f'"{_NUMBER}'), F.substring(x, F.lit(9), F.length(x)))).otherwise(x)
+        return F.when(x.startswith(f'"{_NUMBER}N'), text).when(x.startswith('"'), _with(own, _ascii)).otherwise(x)
 
     out = F.transform(pieces, written)
-    return F.when(ok & ~F.exists(out, lambda x: x.isNull()), F.array_join(out, ""))
+    return F.when(ok, _with(out, lambda a: F.when(~F.exists(a, lambda x: x.isNull()), F.array_join(a, ""))))
 
 
 def case_fingerprint(df: DataFrame, columns: list[str], tag: str, nested: tuple[str, ...] = ()) -> DataFrame:

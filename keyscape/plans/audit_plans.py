@@ -157,6 +157,16 @@ def _joined(df: DataFrame, c: str) -> DataFrame:
     return df.withColumn(c, F.array_join(c, ","))
 
 
+def _folder_links(spark, d):
+    """Each page links to folders with and without a README.md, with and without fragments, and to one that isn't there."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("docs/p"), "doc_id", F.lit(".md")).alias("page"), (F.col("doc_id") % 5).cast("string").alias("n"))
+    readme = F.concat(F.lit("tools/t"), "n", F.lit("/README.md"))
+    pages = docs.select("page").unionByName(docs.select(readme.alias("page")).distinct())
+    targets = [F.lit(x) for x in ("..", "../data", "../data/", "../data#top", "../none", "../tools#x")] + [F.concat(F.lit("../tools/t"), "n", F.lit(x)) for x in ("", "/#usage", "#nothing", "/../t0#usage")]
+    ids = docs.select(readme.alias("page"), F.lit("usage").alias("id")).distinct()
+    return a.link_integrity(docs.select("page", F.explode(F.array(*targets)).alias("target")), pages, ids, _other_files(spark, d))
+
+
 QUERIES = {
     "c1_gate_fields": lambda s, d: _lines(s, d).select(g.gate_fields(F.col("value")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     "c2_gate_key": _gate("key", g.gate_key), "c3_gate_size": _gate("size", g.gate_size), "c4_gate_etag": _gate("etag", g.gate_etag),
@@ -175,6 +185,7 @@ QUERIES = {
     "t5_citation_tally": lambda s, d: a.citation_tally(_repo_cites(s, d), _roots(s, d), _files(s, d).select(F.concat(F.lit("r"), F.length("path").cast("string")).alias("repository"), "path")),
     "t6_links": lambda s, d: a.links(_pages(s, d)),
     "t7_heading_ids": lambda s, d: a.heading_ids(_pages(s, d)),
+    "t8_folder_links": _folder_links,
     "t8_link_integrity": lambda s, d: a.link_integrity(a.links(_pages(s, d)), _pages(s, d), a.heading_ids(_pages(s, d)), _other_files(s, d)),
     "t9_claim_rules": lambda s, d: a.claim_rules(_claims(s, d)),
     "t10_duplicate_claims": lambda s, d: a.duplicate_claims(_claims(s, d)),
@@ -227,6 +238,7 @@ ORACLES = {
     "t5_citation_tally": f"{_X}, c AS (SELECT 'r' || length(path) AS repository, \"commit\", CASE WHEN path IN ('src/f8.c', 'lib/g.c') THEN 'unresolved' ELSE 'checked' END AS found FROM x WHERE parsed) SELECT repository, \"commit\", CASE repository WHEN 'r7' THEN CASE \"commit\" WHEN 'abcdef3' THEN found ELSE 'refused' END WHEN 'r8' THEN CASE \"commit\" WHEN 'abcdef4' THEN found ELSE 'refused' END ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY 1, 2, 3",
     "t6_links": f"{_P} SELECT page, unnest(['p' || (doc_id + 1) || '.md#part-a-1', '#page-' || (doc_id - doc_id % 3), '../data/f' || (doc_id % 7) || '.txt', '../data/f1.txt#x']) AS target FROM p",
     "t7_heading_ids": f"{_P} SELECT page, unnest(['page-' || doc_id, 'part-a', 'part-a-1', 'own' || (doc_id % 5)]) AS id FROM p",
+    "t8_folder_links": "SELECT 'docs/p' || doc_id || '.md' AS page, target, problem FROM documents, (VALUES ('../data#top', 'fragment target is not Markdown'), ('../none', 'missing target'), ('../tools#x', 'fragment target is not Markdown')) t(target, problem) UNION ALL SELECT 'docs/p' || doc_id || '.md', '../tools/t' || (doc_id % 5) || '#nothing', 'missing fragment' FROM documents",
     "t8_link_integrity": f"{_P} SELECT page, 'p' || (doc_id + 1) || '.md#part-a-1' AS target, 'missing target' AS problem FROM p WHERE doc_id + 1 NOT IN (SELECT doc_id FROM p) UNION ALL SELECT page, '#page-' || (doc_id - doc_id % 3), 'missing fragment' FROM p WHERE doc_id % 3 > 0 UNION ALL SELECT page, '../data/f6.txt', 'missing target' FROM p WHERE doc_id % 7 = 6 UNION ALL SELECT page, '../data/f1.txt#x', 'fragment target is not Markdown' FROM p",
     "t9_claim_rules": f"{_CL}, p AS (SELECT tool, id, CASE WHEN status IN ('confirmed', 'supported') AND NOT (kind IN {_SETTLED} AND kind2 IN {_SETTLED}) THEN 'kind' WHEN status = 'confirmed' AND NOT (kind = 'run' OR kind2 = 'run') THEN 'no run' WHEN status IN ('unverified', 'unverifiable') AND NOT (kind = 'none' AND reason IS NOT NULL AND kind2 = 'none') THEN 'evidence of an unverified claim' END AS problem FROM c) SELECT tool, id, problem FROM p WHERE problem IS NOT NULL",
     "t10_duplicate_claims": f"{_CL} SELECT tool, id, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) > 1",

@@ -173,8 +173,15 @@ _FINGER = ["environment", "config", "note"]
 
 
 def _cases(spark, d):
+    """Cases with a struct as environment, JSON text as config and a string beside them."""
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("t"), (k % 5).cast("string")).alias("tool"), F.col("o_orderpriority").alias("environment"), F.concat(F.lit('{"n":'), (k % 50).cast("string"), F.lit("}")).alias("config"), F.when(k % 3 > 0, F.concat(F.lit("a\\b "), F.col("o_orderstatus"))).alias("note"))
+    environment = F.struct(F.lit(4).alias("vcpus"), F.col("o_orderpriority").alias("machine"), F.when(k % 2 == 0, "role").alias("auth_role"), F.lit(True).alias("zoned"))
+    config = F.concat(F.lit('{"n": '), (k % 50).cast("string"), F.lit(', "mode": "é\\u0001/", "deep": {"z": [1.0, 2.50, 1e20, true, null], "a": {"B": -0.0, "b": 12345678.25}}}'))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("t"), (k % 5).cast("string")).alias("tool"), environment.alias("environment"), config.alias("config"), F.when(k % 3 > 0, F.concat(F.lit("a\\b "), F.col("o_orderstatus"))).alias("note"))
+
+
+def _modes(spark, d, cond: str):
+    return table(spark, d, "orders").selectExpr("concat('tool', o_custkey % 40) AS tool", "concat('m', o_custkey % 3) AS mode").distinct().filter(cond)
 
 
 QUERIES = {
@@ -200,10 +207,11 @@ QUERIES = {
     "e18_owed_reason": lambda s, d: e.owed_reason(_slots(s, d), _attempts(s, d)),
     "e19_abandonment_closure": lambda s, d: e.abandonment_closure(_slots(s, d)),
     "e20_next_ordinal": lambda s, d: e.next_ordinal(_attempts(s, d)),
-    "e21_case_fingerprint": lambda s, d: e.case_fingerprint(_cases(s, d), _FINGER, "case/v1:").select("o_orderkey", "case_id"),
+    "e21_case_fingerprint": lambda s, d: e.case_fingerprint(_cases(s, d), _FINGER, "case/v1:", nested=("environment", "config")).select("o_orderkey", "case_id"),
     "e22_status": lambda s, d: e.status(_attempts(s, d), _slots(s, d)),
     "e23_prunable": lambda s, d: e.prunable(_attempts(s, d)),
     "e24_roster_coverage": lambda s, d: e.roster_coverage(_registry(s, d, "substring(tool, 5) % 4 <> 1"), _registry(s, d, "substring(tool, 5) % 5 <> 2"), _registry(s, d, "substring(tool, 5) % 7 = 0")),
+    "e24_mode_coverage": lambda s, d: e.mode_coverage(_modes(s, d, "true"), _modes(s, d, "substring(tool, 5) % 4 <> 1 and mode <> 'm2'")),
     "e25_corpus_pin": lambda s, d: e.corpus_pin(_receipts(s, d), _pins(s, d)),
     "e25_unexercised_modes": lambda s, d: e.unexercised_modes(_declared(s, d), _receipts(s, d)),
 }
@@ -283,9 +291,10 @@ SELECT attempt_id, links, CASE WHEN nxt IS NULL THEN round(total, 6) END AS prep
     "e18_owed_reason": f"{_C} SELECT group_id, slot, reason FROM ow WHERE reason IS NOT NULL",
     "e19_abandonment_closure": f"{_A}, cl AS (SELECT slot_id, CAST(0 AS BIGINT) AS rounds FROM sl WHERE state = 'ABANDONED' UNION SELECT sl.slot_id, rounds + 1 FROM sl JOIN cl ON sl.awaiting = cl.slot_id WHERE sl.state = 'BLOCKED') SELECT slot_id, min(rounds) AS rounds FROM cl WHERE rounds > 0 GROUP BY 1",
     "e20_next_ordinal": f"{_A} SELECT case_id, CAST(max(attempt) + 1 AS BIGINT) AS next, bool_or(state = 'SUCCEEDED') AS succeeded, count(DISTINCT case_inputs) > 1 AS conflict FROM a GROUP BY 1",
-    "e21_case_fingerprint": r"""SELECT o_orderkey, 't' || (o_orderkey % 5) || '.' || substr(sha256('case/v1:{"config":"{\"n\":' || (o_orderkey % 50) || '}","environment":"' || o_orderpriority || '","note":' || CASE WHEN o_orderkey % 3 > 0 THEN '"a\\b ' || o_orderstatus || '"' ELSE 'null' END || '}'), 1, 12) AS case_id FROM orders""",
+    "e21_case_fingerprint": r"""SELECT o_orderkey, 't' || (o_orderkey % 5) || '.' || substr(sha256('case/v1:{"config":{"deep":{"a":{"B":-0.0,"b":12345678.25},"z":[1.0,2.5,1e+20,true,null]},"mode":"\u00e9\u0001/","n":' || (o_orderkey % 50) || '},"environment":{"auth_role":' || CASE WHEN o_orderkey % 2 = 0 THEN '"role"' ELSE 'null' END || ',"machine":"' || o_orderpriority || '","vcpus":4,"zoned":true},"note":' || CASE WHEN o_orderkey % 3 > 0 THEN '"a\\b ' || o_orderstatus || '"' ELSE 'null' END || '}'), 1, 12) AS case_id FROM orders""",
     "e22_status": f"{_C} SELECT 'attempt' AS kind, attempt_id AS name, state, NULL AS note FROM a UNION ALL SELECT 'slot', sl.slot_id, sl.state, reason FROM sl LEFT JOIN ow ON ow.slot_id = sl.slot_id",
     "e23_prunable": f"{_A} SELECT attempt_id, state FROM a WHERE state IN ('FAILED', 'CANCELLED', 'NOT_CREATED')",
+    "e24_mode_coverage": "WITH t AS (SELECT DISTINCT o_custkey % 40 AS n, 'm' || (o_custkey % 3) AS mode FROM orders), k AS (SELECT DISTINCT n FROM t WHERE n % 4 <> 1 AND mode <> 'm2') SELECT 'tool' || n AS tool, mode, CASE WHEN n IN (SELECT n FROM k) THEN 'no such mode' ELSE 'modes unknown' END AS problem FROM t WHERE NOT (n % 4 <> 1 AND mode <> 'm2')",
     "e24_roster_coverage": "WITH t AS (SELECT DISTINCT o_custkey % 40 AS n FROM orders), f AS (SELECT 'tool' || n AS tool, n % 4 <> 1 AS r, n % 5 <> 2 AS u, n % 7 = 0 AS x FROM t) SELECT tool, 'absent' AS problem FROM f WHERE r AND NOT u AND NOT x UNION ALL SELECT tool, 'unknown' FROM f WHERE NOT r AND (u OR x) UNION ALL SELECT tool, 'run and excluded' FROM f WHERE u AND x",
     "e25_unexercised_modes": "SELECT DISTINCT 't' || (o_custkey % 5) AS tool, 'm' || (o_orderkey % 50) AS mode FROM orders EXCEPT SELECT 't' || (o_custkey % 5), 'm' || (o_orderkey % 45) FROM orders WHERE o_orderkey % 9 <> 0",
     "e25_corpus_pin": "WITH c AS (SELECT 't' || (o_custkey % 5) AS tool, count(*) AS found FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1) SELECT tool, found, CASE tool WHEN 't4' THEN NULL WHEN 't2' THEN found + 1 ELSE found END AS pinned, CASE tool WHEN 't4' THEN 'unpinned' WHEN 't2' THEN 'count' END AS problem FROM c",

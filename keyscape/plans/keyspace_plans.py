@@ -43,6 +43,19 @@ def _encoded(spark, d):
     return table(spark, d, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("+%2525"), F.col("p_partkey").cast("string")).alias("key"))
 
 
+def _escapes(spark, d):
+    """Keys with good escapes, cut off or wrong ones, and bytes that aren't UTF-8."""
+    end = F.element_at(F.array(*map(F.lit, ("%41", "%zz", "%4", "%", "%FF", "%C3%A9", "%EF%BF%BD", "+"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select(F.concat("p_name", end).alias("key"))
+
+
+def _registry(spark, d):
+    """Prefixes of years and months with a number of keys that is that of their orders' rows, but for one month."""
+    li = listing(spark, d)
+    own = li.select(F.explode(F.array(F.substring_index("key", "/", 2), F.substring_index("key", "/", 3))).alias("p")).groupBy(F.concat("p", F.lit("/")).alias("prefix")).agg(F.count("*").alias("keys"))
+    return own.withColumn("keys", F.col("keys") + F.when(F.col("prefix").endswith("/7/"), 1).otherwise(0)).unionByName(spark.range(1).select(F.lit("none/").alias("prefix"), F.lit(0).cast("long").alias("keys")))
+
+
 QUERIES = {
     "k1_listing_summary": lambda s, d: k.listing_summary(damaged(s, d)),
     "k2_prefix_counts": lambda s, d: k.prefix_counts(listing(s, d), 2),
@@ -51,6 +64,9 @@ QUERIES = {
     "k5_delimiter_rollup": lambda s, d: k.delimiter_rollup(listing(s, d), "li/1998/", "/"),
     "k6_scope": lambda s, d: k.scope(listing(s, d), "li/1997/1"),
     "k7_key_range": lambda s, d: k.key_range(listing(s, d), "li/1996/3/", "li/1997/", 500),
+    "k6_scope_counts": lambda s, d: k.scope_counts(listing(s, d), _registry(s, d)),
+    "k8_rollup_pages": lambda s, d: k.rollup_pages(listing(s, d), "li/1998/", "/", size=2),
+    "k23_malformed_escapes": lambda s, d: k.malformed_escapes(_escapes(s, d)),
     "k8_page_numbers": lambda s, d: k.page_numbers(listing(s, d)),
     "k8_page_count": lambda s, d: k.page_count(listing(s, d)),
     "k9_sortedness": lambda s, d: k.sortedness(_emitted(s, d)),
@@ -80,6 +96,9 @@ _C = _CUT.replace("@N", str(CUTS))
 _SEG = f"{_C}, seg AS (SELECT key, (SELECT count(*) FROM cuts WHERE cut <= key) AS segment FROM l)"
 
 ORACLES = {
+    "k6_scope_counts": f"{_L}, r AS (SELECT p || '/' AS prefix, count(*) AS n FROM (SELECT unnest([string_split(key, '/')[1] || '/' || string_split(key, '/')[2], string_split(key, '/')[1] || '/' || string_split(key, '/')[2] || '/' || string_split(key, '/')[3]]) AS p FROM l) GROUP BY 1) SELECT prefix, n + CASE WHEN ends_with(prefix, '/7/') THEN 1 ELSE 0 END AS registered, n AS found, NOT ends_with(prefix, '/7/') AS agrees FROM r UNION ALL SELECT 'none/', 0, 0, true",
+    "k8_rollup_pages": f"{_L}, r AS (SELECT {_PARENT} AS name, true AS is_prefix, count(*) AS n FROM l WHERE starts_with(key, 'li/1998/') GROUP BY 1) SELECT *, (row_number() OVER (ORDER BY name) + 1) // 2 AS page FROM r",
+    "k23_malformed_escapes": "SELECT p_name || ['%zz', '%4', '%', '%FF'][p_partkey % 8] AS key, 'malformed escape' AS reason FROM part WHERE p_partkey % 8 BETWEEN 1 AND 4",
     "k1_listing_summary": f"{_L} SELECT count(*) AS n, count(DISTINCT key) AS n_keys, CAST(sum(CAST(size AS BIGINT)) AS BIGINT) AS bytes FROM act",
     "k2_prefix_counts": f"{_L} SELECT split_part(key, '/', 1) || '/' || split_part(key, '/', 2) || '/' AS prefix, count(*) AS n FROM l GROUP BY 1",
     "k3_depth_histogram": f"{_L} SELECT CAST(length(key) - length(replace(key, '/', '')) AS BIGINT) AS depth, count(*) AS n FROM l GROUP BY 1",

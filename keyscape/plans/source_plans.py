@@ -9,6 +9,7 @@ from keyscape.functions.listing import FIELDS
 from keyscape.operators.compare import diff_tagged, tagged
 from keyscape.operators.normalize import normalize
 from keyscape.sources import listings as s
+from keyscape.sources.records import read_verify, write_verify
 from keyscape.sources.shared import scratch_path
 
 from .data import LISTING, damaged, listing, reference, table
@@ -135,19 +136,32 @@ def _sink(spark, d):
 
 
 def _verify(spark, d):
-    """Two attempts' diffs are written, then the second's again, over the other way round."""
+    """Three attempts' diffs are written; then a2 is compared again without differences, and a3 the other way round."""
     path = scratch_path(spark, "s16")
     ref, act = reference(spark, d), damaged(spark, d)
-    one = diff_tagged(tagged(ref, act)).select(F.explode(F.array(F.lit("a1"), F.lit("a2"))).alias("attempt_id"), "kind", "key", "field", "tool_value", "reference_value")
-    s.write_verify(one, path)
-    s.write_verify(diff_tagged(tagged(act, ref)).select(F.lit("a2").alias("attempt_id"), "kind", "key", "field", "tool_value", "reference_value"), path)
-    return spark.read.parquet(path).groupBy("attempt_id", "kind").agg(F.count("*").alias("n"))
+    columns = ("kind", "key", "field", "tool_value", "reference_value")
+    attempts = lambda *names: spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("attempt_id"))
+    one = diff_tagged(tagged(ref, act)).select(F.explode(F.array(F.lit("a1"), F.lit("a2"), F.lit("a3"))).alias("attempt_id"), *columns)
+    write_verify(one, attempts("a1", "a2", "a3"), path)
+    write_verify(diff_tagged(tagged(act, ref)).select(F.lit("a3").alias("attempt_id"), *columns), attempts("a2", "a3"), path)
+    records, diff = read_verify(spark, path)
+    rows = diff.groupBy("attempt_id").agg(F.count("*").alias("n_rows"))
+    return records.drop("digest").join(rows, "attempt_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def _report(spark, d):
+    """Orders as report rows of five buckets, with bars and line feeds in a column and two kinds of notes."""
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bucket"), F.format_string("o%09d", "o_orderkey").alias("attempt_id"), F.concat(F.lit("a|b\n"), "o_orderstatus").alias("state"), F.lit(None).cast("string").alias("exit"))
+    notes = rows.select("bucket", F.explode(F.array(F.lit("Comparison strata"), F.lit("Rate cases"))).alias("title")).distinct().withColumn("note", F.concat("title", F.lit(" of "), "bucket"))
+    blocked = table(spark, d, "region").select(F.concat_ws(" ", F.lit("slot"), "r_name").alias("note"))
+    return s.report_sections(rows, ["attempt_id", "state", "exit"], notes, blocked)
 
 
 QUERIES = {
     "s1_read_canonical": _canonical, "s2_read_lines": _lines, "s3_read_ndjson": _ndjson, "s4_read_json_array": _array, "s5_read_json_object": _object, "s6_read_dataset": _dataset,
     "s7_read_epoch_parquet": _epoch, "s8_read_gzip": _gzip, "s9_read_evidence": _evidence, "s10_read_receipts": _receipts, "s13_read_claims": _claims, "s14_artifact_inventory": _inventory,
     "s15_write_canonical": _sink, "s16_write_verify": _verify,
+    "s17_report_sections": _report,
     "s17_report_table": lambda spark, d: s.report_table(listing(spark, d).withColumn("etag", F.lit(None).cast("string")), list(FIELDS)),
 }
 
@@ -175,9 +189,16 @@ ORACLES = {
     "s14_artifact_inventory": f"{_N} SELECT nation, sha256({_J}) AS sha256, CAST(length({_J}) AS BIGINT) AS size FROM n",
     "s15_write_canonical": f"WITH {LISTING} SELECT storage_class, count(*) AS n, count(etag) AS n_etag FROM act GROUP BY 1",
     "s16_write_verify": f"""WITH {LISTING}, {_KINDS}, f AS (SELECT DISTINCT ON (key) * FROM act), g AS (SELECT DISTINCT ON (key) * FROM ref),
-m AS (SELECT 'a1' AS attempt_id, r.size <> f.size AS a, lower(r.etag) <> lower(f.etag) AS b, r.mtime <> f.mtime AS c FROM ref r JOIN f USING (key) UNION ALL SELECT 'a2', g.size <> t.size, lower(g.etag) <> lower(t.etag), g.mtime <> t.mtime FROM act t JOIN g USING (key))
-SELECT 'a1' AS attempt_id, kind, count(*) AS n FROM d GROUP BY kind UNION ALL
-SELECT 'a2', CASE kind WHEN 'missing' THEN 'extra' WHEN 'extra' THEN 'missing' WHEN 'duplicate' THEN 'reference_duplicate' ELSE 'duplicate' END, count(*) FROM d GROUP BY kind UNION ALL
-SELECT attempt_id, 'mismatch', CAST(count(*) FILTER (a) + count(*) FILTER (b) + count(*) FILTER (c) AS BIGINT) FROM m GROUP BY attempt_id""",
+n AS (SELECT count(*) FILTER (kind = 'missing') AS mi, count(*) FILTER (kind = 'extra') AS ex, count(*) FILTER (kind = 'duplicate') AS du, count(*) FILTER (kind = 'reference_duplicate') AS rd FROM d),
+m AS (SELECT 'a1' AS attempt_id, r.size <> f.size AS a, lower(r.etag) <> lower(f.etag) AS b, r.mtime <> f.mtime AS c FROM ref r JOIN f USING (key) UNION ALL SELECT 'a3', g.size <> t.size, lower(g.etag) <> lower(t.etag), g.mtime <> t.mtime FROM act t JOIN g USING (key)),
+h AS (SELECT attempt_id, count(*) FILTER (a) + count(*) FILTER (b) AS hard, count(*) FILTER (c) AS soft FROM m GROUP BY attempt_id)
+SELECT attempt_id, n_missing, n_extra, n_duplicate, n_reference_duplicate, hard AS n_mismatch, soft AS n_mtime, verdict, mi + ex + du + rd + hard + soft AS n_rows FROM
+(SELECT 'a1' AS attempt_id, mi AS n_missing, ex AS n_extra, du AS n_duplicate, rd AS n_reference_duplicate, 'FAIL' AS verdict, * FROM n UNION ALL SELECT 'a3', ex, mi, rd, du, 'FAIL', * FROM n) JOIN h USING (attempt_id)
+UNION ALL SELECT 'a2', 0, 0, 0, 0, 0, 0, 'PASS', 0""",
+    "s17_report_sections": """WITH o AS (SELECT o_orderpriority AS section, printf('o%09d', o_orderkey) AS attempt_id, o_orderstatus AS s FROM orders), b AS (SELECT DISTINCT section FROM o)
+SELECT section, '' AS part, row_number() OVER (PARTITION BY section ORDER BY attempt_id) AS "at", '| ' || attempt_id || ' | a\\|b ' || s || ' | - |' AS line FROM o
+UNION ALL SELECT section, '', "at", line FROM b, (VALUES (-3, ''), (-2, '| attempt_id | state | exit |'), (-1, '| --- | --- | --- |')) t("at", line) UNION ALL SELECT section, '', -4, '## ' || section FROM b
+UNION ALL SELECT section, part, "at", CASE "at" WHEN 1 THEN '- ' || part || ' of ' || section WHEN -2 THEN '### ' || part ELSE '' END FROM b, (VALUES ('Comparison strata'), ('Rate cases')) p(part), (VALUES (-3), (-2), (-1), (1)) t("at")
+UNION ALL SELECT '', '', row_number() OVER (ORDER BY r_name), '> **Blocked slot**: slot ' || r_name || ' -- this group is incomplete.' FROM region""",
     "s17_report_table": f"WITH {LISTING} SELECT '| ' || key || ' | ' || size || ' | - | ' || mtime || ' | ' || storage_class || ' |' AS line FROM l",
 }

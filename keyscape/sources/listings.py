@@ -141,11 +141,43 @@ def write_canonical(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"unknown sink: {fmt}")
 
 
-def write_verify(diff: DataFrame, path: str) -> None:
-    """A long diff (attempt_id, ...), replacing the records of the attempts it holds and no others."""
-    diff.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("attempt_id").parquet(path)
+def _cell(c: Column) -> Column:
+    """A value in a Markdown table: `-` for NULL, bars escaped, line ends as blanks."""
+    text = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("-")), r"\r\n|[\r\n]", " ")
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
+def _row(columns: list[Column]) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |"))
 
 
 def report_table(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(line) of a Markdown table: a line for each row, `-` for NULL."""
-    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |")).alias("line"))
+    """(line) of a Markdown table: a line for each row, `-` for NULL, bars escaped and line ends as blanks."""
+    return rows.select(_row([_cell(F.col(c)) for c in columns]).alias("line"))
+
+
+def report_sections(rows: DataFrame, columns: list[str], notes: DataFrame | None = None, blocked: DataFrame | None = None, by: str = "bucket", order: tuple[str, ...] = ("attempt_id",)) -> DataFrame:
+    """(section, part, at, line) of a Markdown report, which stands in the order of the first three.
+
+    In front, a line for each of blocked(note). Then a section for each `by`: title, header and rows in `order` as
+    `report_table` has them, and a part for each title of notes(by, title, note), as `Comparison strata`,
+    `Rate cases` and `Preparations`, in their order. Rows are numbered within their section alone;
+    rows of a NULL section stand under `-`.
+    """
+    name, none = F.coalesce(F.col(by).cast("string"), F.lit("-")), F.lit("")
+    at = F.row_number().over(W.partitionBy("section").orderBy(*order))
+    heads = rows.select(name.alias("section")).distinct()
+    fixed = lambda *lines: F.explode(F.array(*[F.struct(F.lit(k - len(lines)).alias("at"), x.alias("line")) for k, x in enumerate(lines)]))
+    top = heads.select("section", F.lit("").alias("part"), fixed(F.concat(F.lit("## "), "section"), none, F.lit("| " + " | ".join(columns) + " |"), F.lit("| " + " | ".join("---" for _ in columns) + " |")).alias("l"))
+    out = top.select("section", "part", F.col("l.at").cast("long").alias("at"), "l.line")
+    body = rows.withColumn("section", name).select("section", none.alias("part"), at.cast("long").alias("at"), _row([_cell(F.col(c)) for c in columns]).alias("line"))
+    out = out.unionByName(body)
+    if notes is not None:
+        own = notes.select(name.alias("section"), F.col("title").alias("part"), F.concat(F.lit("- "), F.regexp_replace("note", r"\r\n|[\r\n]", " ")).alias("line"))
+        lines = own.withColumn("at", F.row_number().over(W.partitionBy("section", "part").orderBy("line")).cast("long"))
+        titles = own.select("section", "part").distinct().select("section", "part", fixed(none, F.concat(F.lit("### "), "part"), none).alias("l")).select("section", "part", F.col("l.at").cast("long").alias("at"), "l.line")
+        out = out.unionByName(titles).unionByName(lines.select("section", "part", "at", "line"))
+    if blocked is not None:
+        owed = blocked.select(none.alias("section"), none.alias("part"), F.row_number().over(W.orderBy("note")).cast("long").alias("at"), F.concat(F.lit("> **Blocked slot**: "), "note", F.lit(" -- this group is incomplete.")).alias("line"))  # few slots
+        out = out.unionByName(owed)
+    return out
