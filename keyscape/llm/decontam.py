@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .fm_index import FMIndex
-from .runtime import checkpoint, prepare, slices, text_buffer
+from .runtime import checkpoint, passes, prepare, slices, text_buffer
 
 U = np.uint64
 #: Bytes of carried documents that wait for an index or to be handed on, in a task.
@@ -168,6 +168,44 @@ def _scan(docs: DataFrame, phrases: Phrases, shard_words: int, rate: int) -> Dat
     return docs.mapInArrow(run, schema)
 
 
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text, size) of runs of `most` words of each item, all of whose windows lie in one of them; size is their words, or a 16th of their bytes if that is more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            data, ends = text_buffer(part.column("text"))
+            start, stop, first, _ = w.hashed_words(data, ends, w.ALNUM)
+            rows = []
+            for r, item in enumerate(part.column("item_id").to_pylist()):
+                a, b = int(first[r]), int(first[r + 1])
+                for lo in range(a, max(b - window + 1, a + 1), most - window + 1) if b > a else ():
+                    hi = min(lo + most, b)
+                    text = data[start[lo] : stop[hi - 1]].tobytes().decode()
+                    rows.append((item, text, max(hi - lo, int(stop[hi - 1] - start[lo]) // 16)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["item_id", "text", "size"])
+
+    return items.mapInArrow(run, "item_id long, text string, size long")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose spans of several passes are put in order and joined where they meet; items once."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            spans = []
+            for of in ("word", "char"):
+                lo, hi = (np.array(r[f"{k}_{of}"], np.int64) for k in ("first", "end"))
+                order = np.argsort(lo, kind="stable")
+                lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
+                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.zeros(0, np.int64)
+                spans += [lo[new].tolist(), hi[np.append(new[1:] - 1, len(hi) - 1)].tolist() if len(new) else []]
+            out.append((r["row"], r["doc_id"], r["n_words"], *spans, sorted(set(r["items"]))))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
+
+
 def removal_spans(
     docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shard_words: int = 1 << 18, part_words: int = 1 << 20, rate: int = 8, carry: list[str] | None = None
 ) -> DataFrame:
@@ -187,7 +225,8 @@ def removal_spans(
     out of the index and parts its text, which loses no occurrence.
 
     The phrases reach the tasks in parts of `part_words` benchmark words, the bound of
-    what is broadcast; a larger benchmark takes a pass for each part.
+    what is collected and broadcast; a larger benchmark takes a pass for each part. Equal items are taken once, and
+    an item of more than a quarter of a part in runs that overlap by all but one of a window's words; no pass is empty.
 
     Defined results: null and empty texts have no words and no hits; null item texts
     have no phrases; those of a null item_id count for n_hit, and are in no items (so not
@@ -199,35 +238,25 @@ def removal_spans(
     prepare(spark)
     doc = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *doc)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("m")).first()
-    parts = max(1, -(-size["n"] // (2 * part_words)))  # a word and what parts it take two characters at least
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    parts = passes(checkpoint(_pieces(items, window, max(window, part_words // 4))), ["item_id", "text"], "size", part_words)
     # all passes read the same numbers: a number is given once, and written
-    rows = checkpoint(docs.withColumn("row", F.monotonically_increasing_id())) if parts > 1 else docs.withColumn("row", F.lit(0).cast("long"))
+    many = len(parts) > 1
+    rows = checkpoint(docs.withColumn("row", F.monotonically_increasing_id())) if many else docs.withColumn("row", F.lit(0).cast("long"))
     found = None
     kept = ["doc"] if carry else []
-    for k in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        here = _scan(rows if parts == 1 else rows.drop("doc"), Phrases([tuple(r) for r in own.collect()], window), shard_words, rate)
+    if not parts:
+        found = _scan(rows, Phrases([], window), shard_words, rate)
+    for own in parts:
+        here = _scan(rows.drop("doc") if many else rows, Phrases([tuple(r) for r in own.select("item_id", "text").collect()], window), shard_words, rate)
         found = here if found is None else found.unionByName(here)
-    if parts > 1:
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most all words of a document, `parts` times
+    if many:
+        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most all words of a document for each pass
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *map(flat, ("first_word", "end_word", "first_char", "end_char", "items")))
+        found = found.mapInArrow(_merged, _OUT)
         if carry:
             found = found.join(rows.select("row", "doc"), "row")
-
-    def merged(lo: str, hi: str):
-        pair = F.array_sort(F.arrays_zip(F.col(lo).alias("a"), F.col(hi).alias("b")))
-        empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-        return F.aggregate(
-            pair.cast("array<struct<a:bigint,b:bigint>>"), empty,
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-
-    out = found.select(*kept, "doc_id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), merged("first_word", "end_word").alias("words"), merged("first_char", "end_char").alias("chars")) if parts > 1 else found.select(
+    out = found.select(
         *kept, "doc_id", "n_words", "items",
         F.arrays_zip(F.col("first_word").alias("a"), F.col("end_word").alias("b")).alias("words"),
         F.arrays_zip(F.col("first_char").alias("a"), F.col("end_char").alias("b")).alias("chars"),
@@ -237,9 +266,10 @@ def removal_spans(
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts of `removal_spans` with a digest of the item ids, as strings in order."""
+    """The counts of `removal_spans` with a digest of the item ids, as strings in order, and spans: start:end in words, comma-joined."""
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated",
+        F.array_join(F.transform("words", lambda s: F.concat_ws(":", s["a"].cast("string"), s["b"].cast("string"))), ",").alias("spans"),
     )

@@ -124,34 +124,35 @@ def train(texts: list[str], languages: list[str], *, window: int = 256, filters:
     return ByteCNN(names, p["taps"], p["bias"], p["dense"], p["dense_bias"], window)
 
 
-def training_rows(docs: DataFrame, per_language: int, most: int, piece: int = 512) -> DataFrame:
-    """(lang, text): labelled texts of each language, by a hash of the doc_id; of each, four pieces spread over the text, end to end.
+def training_rows(docs: DataFrame, per_language: int, most: int, most_bytes: int) -> DataFrame:
+    """(lang, text): whole labelled texts of each language, by a hash of the doc_id.
 
-    Each language has `per_language` texts at most, fewer where all of them would be more
-    than `most`. A hash threshold from the language's number of ids takes little more
-    than these before they are ordered, so no task sees a language's rows.
+    Each language has `per_language` texts at most, fewer where all of them would be more than `most`, and its share of
+    `most_bytes`: the number of texts gives way, and a text above that share isn't learnt from. A hash threshold
+    from the language's number of ids and bytes takes little more than these before they are ordered, so no task sees a
+    language's rows.
     """
     h = F.xxhash64("doc_id")
     known = docs.filter("lang is not null and text is not null").select("lang", "text", h.alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row for each class of the model
+    known = known.withColumn("size", F.octet_length("text").cast("long"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.avg("size").alias("size")).collect()  # a row for each class of the model
+    share = most_bytes // max(1, len(counts))
     per = max(1, min(per_language, most // max(1, len(counts))))
-    shares = docs.sparkSession.createDataFrame([(k, spare(per, int(n * 1.1))) for k, n in counts.items()], "lang string, share double")
-    size = F.length("text")
-    # piece k of a long text begins at k thirds of what it is longer than a piece
-    parts = [F.substring("text", (F.greatest(size - piece, F.lit(0)) * k / 3 + 1).cast("int"), F.lit(piece)) for k in range(4)]
-    text = F.when(size <= 4 * piece, F.substring("text", 1, 4 * piece)).otherwise(F.concat_ws(" ", *parts))
-    some = known.join(F.broadcast(shares), "lang").filter(below(F.col("h"), F.col("share"))).select("lang", "h", text.alias("text"))
-    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))  # a doc_id that repeats gives one text
-    return some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per).orderBy("lang", "r").select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], spare(max(1, min(per, int(share / max(r["size"], 1.0)))), int(r["n"] * 1.1))) for r in counts], "lang string, share double")
+    some = known.filter(F.col("size") <= share).join(F.broadcast(shares), "lang").filter(below(F.col("h"), F.col("share")))
+    some = some.groupBy("lang", "h").agg(F.min(F.struct("text", "size")).alias("t")).select("lang", "h", "t.*")  # a doc_id that repeats gives one text
+    order = W.partitionBy("lang").orderBy("h")
+    some = some.withColumn("r", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return some.filter((F.col("r") <= per) & (F.col("upto") <= share)).orderBy("lang", "r").select("lang", "text")
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, most: int = 60_000, **options) -> ByteCNN:
+def fit(docs: DataFrame, *, per_language: int = 300, most: int = 60_000, most_bytes: int = 1 << 26, **options) -> ByteCNN:
     """A network fitted to docs(doc_id, text, lang), for every language in it.
 
-    The bound of the sample is `most` texts (or one for each language, if these are more) of
-    2,048 characters, and `per_language` of each language.
+    The bound of the sample is `most` whole texts (or one for each language, if these are more), `per_language` of each
+    language, and `most_bytes` bytes of text, which the languages share alike.
     """
-    rows = training_rows(docs, per_language, most).collect()
+    rows = training_rows(docs, per_language, most, most_bytes).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 

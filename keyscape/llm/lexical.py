@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from keyscape.sources.shared import remove, scratch_path
 
 from . import words as w
-from .runtime import checkpoint, prepare, slices, text_buffer
+from .runtime import checkpoint, passes, prepare, slices, text_buffer
 
 U = np.uint64
 #: Occurrences from which a term stands in a further level.
@@ -263,21 +263,6 @@ def _exact(docs: DataFrame, ids: DataFrame, items: _Items, least: list[tuple], m
     return texts.mapInArrow(run, "item int, doc_id long, score long")
 
 
-def _passes(terms: DataFrame, part_terms: int) -> list[list[int]]:
-    """Numbers of hash buckets of items, in passes of at most `part_terms` terms (or one bucket with more)."""
-    size = terms.count()
-    buckets = 1 if size <= part_terms else 16 * -(-size // part_terms)
-    own = terms.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(buckets)).alias("b")).count().collect()
-    out, held = [], 0
-    for b, n in sorted((r["b"], r["count"]) for r in own):
-        if not out or held + n > part_terms:
-            out.append([])
-            held = 0
-        out[-1].append(b)
-        held += n
-    return [[buckets, *x] for x in out]
-
-
 def search(docs: DataFrame, items: DataFrame, *, top: int = 10, part_terms: int = 1 << 18, most_ids: int = 200_000) -> DataFrame:
     """The `top` highest-scoring documents of docs(doc_id, text) for each of items(item_id, text).
 
@@ -314,9 +299,8 @@ def search(docs: DataFrame, items: DataFrame, *, top: int = 10, part_terms: int
     size = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("l")).first()
     terms = checkpoint(items.mapInArrow(terms_of, "item_id long, h long").distinct())
     out = None
-    for buckets, *own in _passes(terms, part_terms):
-        here = terms if buckets == 1 else terms.filter(F.pmod(F.xxhash64("item_id"), F.lit(buckets)).isin(own))
-        part = _Items([tuple(r) for r in here.collect()])
+    for here in passes(terms.withColumn("n", F.lit(1)), ["item_id"], "n", part_terms):
+        part = _Items([tuple(r) for r in here.select("item_id", "h").collect()])
         model = spark.sparkContext.broadcast(part)
 
         def count_in(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:

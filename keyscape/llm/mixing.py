@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .runtime import checkpoint
 
 #: Bins of the sampling keys, for each doubling of a key: a source's sums are gathered for each bin, and only the bin where
-#: its budget ends is sorted. Whatever the weights, no bin draws more than about 0.37 * ln 2 / BINS of a source's documents,
-#: as a weight only shifts the logarithm of a key.
+#: its budget ends is sorted. Whatever the weights, no bin draws more than about 0.37 * ln 2 / BINS of a source's distinct doc_ids,
+#: as a weight only shifts the logarithm of a key; rows that repeat a doc_id (or have none) with like weights share a bin.
 BINS = 1 << 12
 #: Bins of a coarse bin.
 COARSE = 1 << 8
@@ -29,6 +29,12 @@ def text_weight(text: Column) -> Column:
     return F.coalesce(letters / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)) + F.lit(0.1)
 
 
+def bounded_weight(weight: Column) -> Column:
+    """A caller's weight as a positive number: 0.1 for NULL and NaN, and at least 1e-6 and at most 1e6, for which zero, negative and infinite ones stand."""
+    w = weight.cast("double")
+    return F.when(w.isNull() | F.isnan(w), F.lit(0.1)).otherwise(F.least(F.greatest(w, F.lit(1e-6)), F.lit(1e6)))
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on the id and the seed alone."""
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
@@ -66,7 +72,7 @@ def mix(
 
     A source takes complete epochs of all its documents while its target allows, then
     fills the rest by documents in order of their keys -ln(u) / weight (u from the
-    doc_id; weight: a column of positive quality weights, else that of the text); the
+    doc_id; weight: a column of quality weights, made positive by `bounded_weight`, else that of the text); the
     document at which the budget ends gives only the words that are left. So taken is at most
     `most` times a size, and a source's taken words are its target, rounded down.
 
@@ -74,10 +80,10 @@ def mix(
     where a source's budget ends, so no window spans a source.
 
     Defined results: null source is a source of its own, last in order; a null text has
-    size 0 and takes 0; a null weight counts as 0.1; repeated rows count each for itself, ties of
+    size 0 and takes 0; weights of any value draw (`bounded_weight`); repeated rows count each for itself, ties of
     keys go by doc_id and text hash; an empty table gives no rows; other columns are ignored.
     """
-    weight = text_weight(F.col("text")) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.1))
+    weight = text_weight(F.col("text")) if weight is None else bounded_weight(weight)
     sized = docs.select(
         F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
         (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"), F.xxhash64("text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("doc"),

@@ -97,12 +97,12 @@ def train(
     return np.append(weight(np.arange(size)), bias).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, most_slots: int = 4096, bits: int = 18, **options) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, most_bytes: int = 1 << 26, bits: int = 18, **options) -> np.ndarray:
     """Weights fitted to docs(doc_id, text) with labels(doc_id, quality).
 
-    The sample's bound is `per_label` documents of each label, by a hash of the doc_id, and
-    `most_slots` distinct n-grams of each, by a hash of n-gram and text where there
-    are more, from the whole text; so the driver holds 2 * per_label * most_slots numbers at most.
+    The sample's bound is `per_label` documents of each label, by a hash of the doc_id, and `most_bytes` of whole texts, half for
+    each label: the number of documents gives way, and a text above that half isn't learnt from. So the driver
+    holds a number for each distinct n-gram of them, at most three for two bytes.
     A document with contradicting labels counts by its smallest, and of rows that
     repeat a doc_id that of the smallest text hash is taken.
     """
@@ -119,16 +119,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, most_slots
     sample = spark.createDataFrame([(int(i), int(q)) for i, q in zip(ids.doc_id, ids.quality, strict=True)], "doc_id long, quality int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(sample), "doc_id")
+    sizes = picked.groupBy("doc_id", "quality").agg(F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("s")).select("doc_id", "quality", "s.size").toPandas()
+    sizes = sizes[sizes["size"] <= most_bytes // 2].merge(ids[["doc_id", "h"]], on="doc_id").sort_values(["quality", "h", "doc_id"])
+    fits = sizes[sizes.groupby("quality")["size"].cumsum() <= most_bytes // 2]
+    if len(fits) < len(ids):  # texts of those that don't fit aren't sent
+        picked = picked.join(F.broadcast(spark.createDataFrame([(int(i),) for i in fits.doc_id], "doc_id long")), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             slots, first = features(part.column("text"), bits)
             lists = []
-            for r, salt in enumerate(part.column("h").to_numpy()):
-                own = np.unique(slots[first[r] : first[r + 1]])
-                if len(own) > most_slots:
-                    own = own[np.sort(np.argsort(w.mix(own.astype(U) ^ salt.astype(U)), kind="stable")[:most_slots])]
-                lists.append(own.astype(np.int32))
+            for r in range(part.num_rows):
+                lists.append(np.unique(slots[first[r] : first[r + 1]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(lists, pa.list_(pa.int32())), part.column("quality")], ["doc_id", "h", "slots", "quality"])
 
     rows = picked.mapInArrow(run, "doc_id long, h long, slots array<int>, quality int")

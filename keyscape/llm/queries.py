@@ -97,12 +97,15 @@ def _secrets_oracle() -> str:
     rules = secrets.BASE_RULES + secrets.MORE_RULES
     cols, parts = [], []
     for no, r in enumerate(rules):
-        p = r.pattern.replace("'", "''")
-        cols += [f"regexp_extract_all(t, '{p}') AS m{no}", f"regexp_extract_all(t, '{p}', {r.group}) AS g{no}", f"string_split_regex(t, '{p}') AS b{no}"]
+        p, group, skip = r.pattern.replace("'", "''"), r.group, "0"
+        if p.startswith("(?<!"):  # DuckDB looks at the character in front by matching it too
+            behind, body = p[4:].split(")", 1)
+            p, group, skip = f"(?:^|{behind.replace('[', '[^', 1)})({body.replace('}+', '}')})", 1, f"length(m{no}[i]) - length(g{no}[i])"
+        cols += [f"regexp_extract_all(t, '{p}') AS m{no}", f"regexp_extract_all(t, '{p}', {group}) AS g{no}", f"string_split_regex(t, '{p}') AS b{no}"]
         at = f"list_sum(list_transform(b{no}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{no}[1:i - 1], lambda x: length(x))), 0)"
         parts.append(
             f"list_transform(list_filter(range(1, len(m{no}) + 1), lambda i: length(g{no}[i]) >= {r.least}), "
-            f"lambda i: {{'s': CAST({at} AS BIGINT), 'n': {no}, 'e': CAST({at} + length(m{no}[i]) AS BIGINT), 'k': '{r.kind}'}})"
+            f"lambda i: {{'s': CAST({at} + {skip} AS BIGINT), 'n': {no}, 'e': CAST({at} + length(m{no}[i]) AS BIGINT), 'k': '{r.kind}'}})"
         )
     text = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
     base = "list_filter(a, lambda x: x.n < 3)"
@@ -153,11 +156,13 @@ p AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FRO
 n AS (SELECT DISTINCT n FROM p),
 g AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, n)),
 h AS (SELECT doc_id, k, g.n, item_id FROM g JOIN p ON g.g = p.g AND g.n = p.n),
-hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h) GROUP BY doc_id),
+x AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM x GROUP BY doc_id),
+sp AS (SELECT doc_id, string_agg((a - 1) || ':' || b, ',' ORDER BY a) AS spans FROM (SELECT doc_id, min(x) AS a, max(x) AS b FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS run FROM x) GROUP BY doc_id, run) GROUP BY doc_id),
 it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN sp ON d.doc_id = sp.doc_id
 """,
     "op8_fingerprint_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations

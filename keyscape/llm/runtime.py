@@ -47,6 +47,32 @@ def spare(wanted: int, of: int) -> float:
     return 1.0 if of <= 2 * wanted else min(1.0, (1.2 * wanted + 200) / of)
 
 
+def passes(rows: DataFrame, key: list[str], size: str, most: int) -> list[DataFrame]:
+    """rows in parts whose `size` sums to `most` at the most (or one key of more); rows of one `key` stay together.
+
+    rows must be written already: they are dealt by hashes of `key` into more and more buckets, until no bucket of
+    several keys is over `most`, and buckets are packed into parts. A sum for each bucket reaches the driver.
+    """
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    if total["n"] <= most:
+        return [rows] if total["rows"] else []
+    buckets = 16 * -(-total["n"] // most)
+    while True:
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets))
+        own = rows.groupBy(bucket.alias("b")).agg(F.sum(size).alias("n"), F.min(F.struct(*key)).eqNullSafe(F.max(F.struct(*key))).alias("one")).collect()
+        if all(r["n"] <= most or r["one"] for r in own):
+            break
+        buckets *= 2
+    parts, held = [], most
+    for r in sorted(own, key=lambda r: r["b"]):
+        if held + r["n"] > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(r["b"])
+        held += r["n"]
+    return [rows.filter(bucket.isin(p)) for p in parts]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut by rows so that the text of each holds about `max_bytes` (or one longer row)."""
     for batch in batches:

@@ -75,16 +75,21 @@ def test_language_by_plain_forward_pass(spark):
 def test_all_languages_are_learnt(spark):
     """More languages than there is room for keep a text each."""
     rows = [(k, f"text {k}", f"l{k % 40:02}") for k in range(400)]
-    picked = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=300, most=50).collect()
+    picked = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=300, most=50, most_bytes=1 << 20).collect()
     assert [r.lang for r in picked] == [f"l{k:02}" for k in range(40)]
-    full = langid.training_rows(spark.createDataFrame(rows + rows, "doc_id long, text string, lang string"), per_language=5, most=10_000).collect()
+    full = langid.training_rows(spark.createDataFrame(rows + rows, "doc_id long, text string, lang string"), per_language=5, most=10_000, most_bytes=1 << 20).collect()
     assert len(full) == 200 and len({r.text for r in full}) == 200  # repeated rows count once
 
 
-def test_training_texts_are_spread_pieces(spark):
-    text = "".join(chr(97 + k % 26) for k in range(10_000))
-    row = langid.training_rows(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, lang string"), 5, 100).collect()[0].text.split(" ")
-    assert [len(x) for x in row] == [512] * 4 and text.startswith(row[0]) and text.endswith(row[3])
+def test_training_texts_are_whole(spark):
+    """The number of texts gives way to their bytes: none is cut."""
+    texts = [(k, f"{k} " + "abc " * (250 if k else 5_000), "x") for k in range(40)] + [(100, "short", "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    for most in (1 << 20, 20_000, 100):
+        picked = langid.training_rows(docs, 30, 1000, most).collect()
+        own = [r.text for r in picked if r.lang == "x"]
+        assert {r.text for r in picked} <= {t for _, t, _ in texts} and sum(map(len, own)) <= most // 2
+        assert len(own) == (30 if most == 1 << 20 else most // 2 // 1004) or (most == 1 << 20 and len(own) == 30) or abs(len(own) - most // 2 // 1003) <= 1
 
 
 def test_long_text_takes_little_memory(spark):
@@ -233,8 +238,13 @@ def test_quality_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", lambda rows, **_: seen.append(rows))
     docs = spark.createDataFrame([(k, " ".join(f"w{k * 1000 + j}" for j in range(300))) for k in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 6 > 0)) for k in range(60)], "doc_id long, quality int")
-    quality.fit(docs, labels, per_label=20, most_slots=50)
-    assert sorted(y for _, y in seen[0]) == [0] * 10 + [1] * 20 and all(len(i) == 50 and (np.diff(i) > 0).all() for i, _ in seen[0])
+    quality.fit(docs, labels, per_label=20)
+    assert sorted(y for _, y in seen[0]) == [0] * 10 + [1] * 20
+    whole = {k: np.unique(quality.features(pa.array([t], pa.string()))[0]).tolist() for k, t in docs.collect()}
+    assert all(i.tolist() in whole.values() for i, _ in seen[0])  # whole texts
+    size = max(len(t) for _, t in docs.collect())
+    quality.fit(docs.unionByName(spark.createDataFrame([(3, "x" * 60_000)], docs.schema)), labels, per_label=20, most_bytes=2 * (4 * size + 10))
+    assert sorted(y for _, y in seen[1]) in ([0] * 4 + [1] * 4, [0] * 4 + [1] * 3) and all(i.tolist() in whole.values() for i, _ in seen[1])
 
 
 def test_hash_shares(spark):
