@@ -189,17 +189,16 @@ def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose spans of several passes are put in order and joined where they meet; items once."""
+    """Rows whose spans of several passes are put in order and joined where their words meet; items once."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            spans = []
-            for of in ("word", "char"):
-                lo, hi = (np.array(r[f"{k}_{of}"], np.int64) for k in ("first", "end"))
-                order = np.argsort(lo, kind="stable")
-                lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
-                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.zeros(0, np.int64)
-                spans += [lo[new].tolist(), hi[np.append(new[1:] - 1, len(hi) - 1)].tolist() if len(new) else []]
+            lo, hi, begin, end = (np.array(r[c], np.int64) for c in ("first_word", "end_word", "first_char", "end_char"))
+            order = np.argsort(lo, kind="stable")
+            lo, begin, hi, end = lo[order], begin[order], np.maximum.accumulate(hi[order]), np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.zeros(0, np.int64)
+            last = np.append(new[1:] - 1, len(lo) - 1)[: len(new)]
+            spans = [x.tolist() for x in (lo[new], hi[last], begin[new], end[last])]
             out.append((r["row"], r["doc_id"], r["n_words"], *spans, sorted(set(r["items"]))))
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
         kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 5
