@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +17,7 @@ from pyspark.sql import types as T
 
 from keyscape.functions.listing import FIELDS, UNEXPOSED
 from keyscape.operators.normalize import PAGE_SCHEMA
+from keyscape.sources.json_parts import array_elements
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -39,8 +46,8 @@ def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files of one JSON array each; an element is a row."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    """Files of one JSON array each; an element is a row. One file is read by as many tasks as it has ranges; malformed text fails the job."""
+    return array_elements(spark, path).select(F.from_json("element", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
 
 
 def read_json_object(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA) -> DataFrame:
@@ -118,12 +125,62 @@ def read_claims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return c, e
 
 
+#: Bytes of a file that are hashed at a time.
+_HASHED = 1 << 22
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a qualified path, and its name there."""
+    scheme, _, rest = path.partition(":")
+    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _listed(root: str):
+    """The files below root by their names, folder by folder; names that begin with . or _ are hidden, as they are to Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            store, top = _store(root)
+            folders = [top.rstrip("/")] * batch.num_rows
+            while folders:
+                here = [x for x in store.get_file_info(fs.FileSelector(folders.pop())) if x.base_name[0] not in "._"]
+                folders += [x.path for x in here if x.type == fs.FileType.Directory]
+                names = [x.path[len(top.rstrip("/")) :].lstrip("/") for x in here if x.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
+
+    return run
+
+
+def _digests(root: str):
+    """(path, sha256, size) of files by their names below root, read as streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            store, top = _store(root)
+            out = []
+            for path in batch.column("path").to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(f"{top.rstrip('/')}/{path}", compression=None) as stream:
+                    while block := stream.read(_HASHED):
+                        digest.update(block)
+                        size += len(block)
+                out.append((digest.hexdigest(), size))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.int64())], ["path", "sha256", "size"])
+
+    return run
+
+
 def artifact_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, sha256, size) of all files below root, by their relative path; files of 2 GB and more fail the job."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    relative = F.regexp_replace(F.substring_index("path", f"{base}/", -1), r"\A/+", "")
-    return files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """(path, sha256, size) of all files below root, by their relative path.
+
+    One task lists the names, which are dealt out, and each file is streamed through its hash, so it may have any size; empty
+    files count. root is in a store that pyarrow opens on the executors (local, HDFS, S3, GCS).
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    names = spark.range(1, numPartitions=1).mapInArrow(_listed(whole), "path string")
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(slots, "path").mapInArrow(_digests(whole), "path string, sha256 string, size long")
 
 
 def canonical_line(columns: list[str] | None = None) -> Column:
