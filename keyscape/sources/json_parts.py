@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyscape.sources.shared import checkpoint
+from keyscape.sources.shared import checkpoint, to_workers
 
 _QUOTE, _BACKSLASH, _COMMA = 0x22, 0x5C, 0x2C
 _STEP = np.zeros(256, np.int8)
@@ -94,22 +94,25 @@ def _states(sums: DataFrame) -> DataFrame:
 
 
 def _cut(level: int):
-    """Fragments (file, block, at, tail, value) of each range, cut at the commas of `level` or less; the last one is its tail, which goes on in the next range."""
+    """Fragments (file, block, at, tail, begins, ends, value) of each range, cut at the commas of `level` or less; the last one is its tail, which goes on in the next range.
+
+    begins and ends are the depths of the commas around a fragment; -1 where that comma is in another range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, list] = {}
         for (file, block, inside, depth), data, _ in _ranges(batches, ["inside", "depth"]):
-            state = states.setdefault((file, block), [bool(inside), int(depth), b"", 0])  # in a string, depth, what waits, number of the next fragment
+            state = states.setdefault((file, block), [bool(inside), int(depth), b"", 0, -1])  # in a string, depth, what waits, number of the next fragment, depth where it begins
             held, step = _structure(data, state[0])
             deep = np.cumsum(step) + state[1]
             rows, lo, raw = [], 0, data.tobytes()
             for c in np.flatnonzero((data == _COMMA) & ~held & (deep <= level)).tolist():
-                rows.append((file, block, state[3], False, state[2] + raw[lo:c]))
-                state[2], lo, state[3] = b"", c + 1, state[3] + 1
+                rows.append((file, block, state[3], False, state[4], int(deep[c]), state[2] + raw[lo:c]))
+                state[2], lo, state[3], state[4] = b"", c + 1, state[3] + 1, int(deep[c])
             state[:3] = bool(held[-1]), int(deep[-1]), state[2] + raw[lo:]
             if rows:
                 yield _rows(rows)
-        tails = [(f, b, s[3], True, s[2]) for (f, b), s in states.items()]
+        tails = [(f, b, s[3], True, s[4], -1, s[2]) for (f, b), s in states.items()]
         if tails:
             yield _rows(tails)
 
@@ -117,16 +120,17 @@ def _cut(level: int):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "at", "tail", "value"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "at", "tail", "begins", "ends", "value"])
 
 
 def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
-    """(file, place, value) of what stands between commas of `level` or less, place in the order of the file.
+    """(file, place, begins, ends, value) of what stands between commas of `level` or less, place in the order of the file; begins and ends are the depths of these commas.
 
     Where a range has a tail, it and the head of the next range (and ranges without a cut between them) are one
     fragment: only these are gathered. A file that ends within a string or a bracket, or closes more than it opens, fails the job.
     """
+    to_workers(spark)
     pieces = _pieces(spark, path)
     states = checkpoint(_states(pieces.mapInArrow(_summary, "file string, block long, odd long, out long, within long")))
     whole = (F.col("open") == 0) & (F.col("end") == 0)
@@ -136,7 +140,7 @@ def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
         joined = pieces.join(F.broadcast(begun), ["file", "block"])
     else:
         joined = pieces.withColumn("order", F.monotonically_increasing_id()).join(begun, ["file", "block"]).sortWithinPartitions("file", "block", "order")
-    cut = joined.select("file", "block", "inside", "depth", "value").mapInArrow(_cut(level), "file string, block long, at long, tail boolean, value binary")
+    cut = joined.select("file", "block", "inside", "depth", "value").mapInArrow(_cut(level), "file string, block long, at long, tail boolean, begins long, ends long, value binary")
     tails = checkpoint(cut.filter("tail").select("file", "block", F.col("at").alias("cuts")))  # a row for each range
     order = W.partitionBy("file").orderBy("block")
     # the range in which the fragment begins that a range's head ends: the last one before it that has a cut, or the file's first
@@ -149,10 +153,10 @@ def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
     rows = cut.join(ranges, ["file", "block"]).filter(~(F.col("tail") & (F.col("block") == F.col("last"))))
     head = (F.col("at") == 0) & (F.col("block") != F.col("first"))
     place = F.when(head, F.struct(F.col("start").alias("block"), F.col("start_at").alias("at"))).otherwise(F.struct("block", "at"))
-    rows = rows.select("file", place.alias("place"), (head | F.col("tail")).alias("across"), "block", "value")
-    parts = rows.filter("across").groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("block", "value"))).alias("p"))
-    parts = parts.select("file", "place", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.value))").alias("value"))
-    return rows.filter("not across").select("file", "place", "value").unionByName(parts)
+    rows = rows.select("file", place.alias("place"), (head | F.col("tail")).alias("across"), "block", "begins", "ends", "value")
+    parts = rows.filter("across").groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("block", "value"))).alias("p"), F.max("begins").alias("begins"), F.max("ends").alias("ends"))
+    parts = parts.select("file", "place", "begins", "ends", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.value))").alias("value"))
+    return rows.filter("not across").select("file", "place", "begins", "ends", "value").unionByName(parts)
 
 
 def _text(value: Column) -> Column:
@@ -179,3 +183,35 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     empty = F.col("element").rlike(rf"\A{_BLANK}\z")
     rows = rows.filter(~(empty & F.col("is_first") & F.col("is_last")))
     return rows.select("file", F.when(empty, bad("an empty element")).otherwise(F.col("element")).alias("element"))
+
+
+def object_members(spark: SparkSession, path: str) -> DataFrame:
+    """(file, field, is_array, value) of files of one JSON object each: a row for each element of an array member, and for any other member its value as it stands.
+
+    An empty array has no row. A file's members are looked up by where they begin, a row for each of them; what is within
+    a member that isn't an array stays one value. Files that aren't one object fail the job.
+    """
+    rows = _fragments(spark, path, 2).withColumn("text", F.regexp_replace(_text(F.col("value")), rf"\A{_BLANK}|{_BLANK}\z", ""))
+    begins, ends, text = F.col("begins"), F.col("ends"), F.col("text")
+    # a file's first fragment has no comma in front, its last one none behind
+    whole = ((begins >= 0) | text.startswith("{")) & ((ends > 0) | text.endswith("}"))
+    rows = rows.withColumn("whole", whole)
+    rows = rows.withColumn("text", F.when(begins >= 0, text).otherwise(F.regexp_replace(text, rf"\A\{{{_BLANK}", "")))
+    rows = rows.withColumn("text", F.when(ends > 0, text).otherwise(F.regexp_replace(text, rf"{_BLANK}\}}\z", "")))
+    head = rf'\A("(?:[^"\\]++|\\.)*+"){_BLANK}:{_BLANK}(\[?)'
+    top = begins < 2
+    rows = rows.withColumn("name", F.when(top, F.regexp_extract("text", head, 1))).withColumn("array", F.when(top, F.regexp_extract("text", head, 2) == "["))
+    rows = rows.filter(~(top & (text == "") & (ends <= 0) & (begins < 0) & F.col("whole")))  # an empty object
+    heads = rows.filter(top).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "name", "array"))).alias("heads"))
+    rows = rows.select("file", "place", "begins", "ends", "text", "whole").join(heads, "file").withColumn("own", F.expr("element_at(filter(heads, h -> h.place <= place), -1)"))
+    body = F.when(top, F.regexp_replace("text", head, "")).otherwise(text)
+    # the last element's text has the array's end behind it
+    inner = F.when(F.col("own.array") & (ends < 2), F.regexp_replace(body, rf"{_BLANK}\]\z", "")).otherwise(body)
+    field = F.get(F.from_json(F.concat(F.lit("["), F.col("own.name"), F.lit("]")), "array<string>"), F.lit(0))
+    problem = F.when(~F.col("whole"), "not a JSON object").when(F.col("own.name") == "", "a member without a name")
+    found = rows.filter("own.array").select("file", field.alias("field"), F.lit(True).alias("is_array"), inner.alias("value"), problem.alias("problem"), (top & (ends < 2)).alias("only"))
+    found = found.filter(~((F.col("value") == "") & F.col("only"))).withColumn("problem", F.coalesce("problem", F.when(F.col("value") == "", "an empty element"))).drop("only")
+    other = rows.filter("not own.array").groupBy("file", "own.name").agg(F.array_sort(F.collect_list(F.struct("place", body.alias("text")))).alias("p"), F.first(field).alias("field"), F.max(problem).alias("problem"))
+    out = found.unionByName(other.select("file", "field", F.lit(False).alias("is_array"), F.array_join(F.transform("p", lambda x: x["text"]), ",").alias("value"), "problem"))
+    # refused here, behind all filters: a filter may be asked of fragments before they are joined
+    return out.select("file", "field", "is_array", F.when(F.col("problem").isNull(), F.col("value")).otherwise(F.raise_error(F.concat_ws(": ", "problem", "file"))).alias("value"))

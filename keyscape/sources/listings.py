@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from keyscape.functions.listing import FIELDS, UNEXPOSED
 from keyscape.operators.normalize import PAGE_SCHEMA
-from keyscape.sources.json_parts import array_elements
+from keyscape.sources.json_parts import array_elements, object_members
+from keyscape.sources.shared import to_workers
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,8 +52,26 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_object(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA) -> DataFrame:
-    """Files of one JSON object each, with nested arrays; an absent array is NULL."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    """Files of one JSON object each, with nested arrays, in rows that `explode` takes apart like the objects themselves.
+
+    Each element of a declared array is a row, with that array of one element, the file's other declared members, and NULL for its other arrays; a
+    file without elements is one row. So neither a file nor an array is ever one value, and one file is read by many tasks. Absent and null
+    arrays are NULL; members that aren't declared are skipped; malformed text fails the job. Of a repeated member the elements of all
+    count, and the largest text of other values.
+    """
+    kind = T._parse_datatype_string(schema)
+    arrays = [f for f in kind.fields if isinstance(f.dataType, T.ArrayType)]
+    plain = [f for f in kind.fields if not isinstance(f.dataType, T.ArrayType)]
+    own = lambda f: T.StructType([T.StructField("v", f.dataType)])
+    parsed = lambda f, value: F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), own(f), {"mode": "FAILFAST"})["v"]
+    found = object_members(spark, path)
+    # counting all values has each one refused that is malformed, declared or not
+    held = found.groupBy("file").agg(*[F.max(F.when(~F.col("is_array") & (F.col("field") == f.name), F.col("value"))).alias(f.name) for f in plain], F.count("value").alias("_n"))
+    each = found.filter(F.col("is_array") & F.col("field").isin([f.name for f in arrays]))
+    each = each.select("file", *[F.when(F.col("field") == f.name, parsed(f, F.concat(F.lit("["), "value", F.lit("]")))).alias(f.name) for f in arrays])
+    files = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    rows = files.join(held, "file", "left").filter(F.coalesce("_n", F.lit(0)) >= 0).join(each, "file", "left")
+    return rows.select(*[parsed(f, F.col(f.name)).alias(f.name) if f in plain else F.col(f.name) for f in kind.fields])
 
 
 def _has_part(spark: SparkSession, root: str) -> bool:
@@ -178,6 +197,7 @@ def artifact_inventory(spark: SparkSession, root: str) -> DataFrame:
     """
     p = spark._jvm.org.apache.hadoop.fs.Path(root)
     whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    to_workers(spark)
     names = spark.range(1, numPartitions=1).mapInArrow(_listed(whole), "path string")
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return names.repartition(slots, "path").mapInArrow(_digests(whole), "path string, sha256 string, size long")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def to_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package where they see the driver's folder; on a cluster it is shipped by --py-files."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's `spark.checkpoint.dir`; a temporary folder only where that is unset and the master is this machine.
 

@@ -45,6 +45,28 @@ def test_array_cut_anywhere(spark, small_ranges, tmp_path, seed, monkeypatch):
     assert sorted((r.k, r.n, len(r.a)) for r in read) == sorted((w["k"], w["n"], len(w["a"])) for w in want)
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_object_cut_anywhere(spark, small_ranges, tmp_path, indent):
+    rng, want = random.Random(5), []
+    documents = [
+        {"t": "x", "rows": [], "more": {"a": 1, "b": [1, 2], "c": {"d": 1, "e": 2}}, "none": None}, {}, {"rows": None, "t": None}, {"z": [[1, 2], [3]], "rows": [{"k": "]}", "n": 1}]},
+        {"other": [1, 2, 3], "rows": [element(rng) for _ in range(20)], "t": 'q",[{', "names": ["a,b", "]", "c"], "end": 1},
+    ]
+    for k, d in enumerate(documents):
+        (tmp_path / f"f{k}.json").write_text(json.dumps(d, ensure_ascii=False, indent=indent) + "\n" * k)
+        want += [(d.get("t"), "r", r["k"], r["n"]) for r in d.get("rows") or []] + [(d.get("t"), "n", x, None) for x in d.get("names") or []]
+    found = s.read_json_object(spark, str(tmp_path), "t string, rows array<struct<k:string,n:bigint>>, names array<string>").collect()
+    got = [(r.t, "r", r.rows[0].k, r.rows[0].n) for r in found if r.rows] + [(r.t, "n", r.names[0], None) for r in found if r.names]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(not r.rows and not r.names for r in found) == 3
+
+
+@pytest.mark.parametrize("text", ["[1]", '{"a": [1, 2}', '{"a": [1,, 2]}', '{"a": [{"b": ]}', '{"a" [1]}', '{"a": [1]} x', "{,}"])
+def test_malformed_objects_are_refused(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        s.read_json_object(spark, str(tmp_path), "a array<bigint>").collect()
+
+
 @pytest.mark.parametrize("text", ["[1, 2", '["a]', "[{]", '{"k": 1}', "[{}, ]", "[{},, {}]", "[{}]]", "x", '[{"k": }]', "[{}] {}", "[{}}, {]"])
 def test_malformed_arrays_are_refused(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
