@@ -162,7 +162,7 @@ def assign_segment(df: DataFrame, cuts: DataFrame) -> DataFrame:
     """Df with `segment`, the number of cut points at or below the key.
 
     Up to ARRAY_CUTS cuts are one broadcast array, searched in each row; more are
-    merged with the keys by range, and a running count numbers them.
+    merged with the keys by range, and a running count numbers them; a key of very many rows is split.
     """
     n = cuts.count()
     if n <= ARRAY_CUTS:
@@ -173,7 +173,7 @@ def assign_segment(df: DataFrame, cuts: DataFrame) -> DataFrame:
         own = upto(F.slice("_cuts", F.col("_before") + 1, F.lit(STRIDE)))
         return marked.withColumn("segment", (F.col("_before") + own).cast("long")).drop("_cuts", "_marks", "_before")
     marked = df.select("key", F.struct(*df.columns).alias("_row"), F.lit(1).alias("_kind")).unionByName(cuts.select(F.col("cut").alias("key"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    parts = ranged(marked, "key")
+    parts = ranged(marked, "key", "_kind", salted=True)  # cuts stand in front of the rows of their key, which may lie in several ranges
     is_cut = (F.col("_kind") == 0).cast("long")
     sums = parts.groupBy("_range").agg(F.sum(is_cut).alias("_n"))
     sums = sums.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.functions.listing import FIELDS
-from keyscape.operators.compare import diff_tagged, tagged
+from keyscape.operators.compare import diff_tagged, missing_keys, tagged
+from keyscape.operators.keyspace import scope
 from keyscape.operators.normalize import normalize
 from keyscape.sources import listings as s
 from keyscape.sources.records import read_verify, write_verify
@@ -135,6 +138,12 @@ def _sink(spark, d):
     return spark.read.parquet(path).groupBy("storage_class").agg(F.count("*").alias("n"), F.count("etag").alias("n_etag"))
 
 
+def _stored(spark, d):
+    """Keys that one stored listing lacks of another, below a prefix."""
+    one, two = (s.store_listing(f(spark, d), f"stored_{uuid.uuid4().hex}", scratch_path(spark, "stored"), 8) for f in (reference, damaged))
+    return missing_keys(scope(one, "li/1997/"), two)
+
+
 def _verify(spark, d):
     """Three attempts' diffs are written; then a2 is compared again without differences, and a3 the other way round."""
     path = scratch_path(spark, "s16")
@@ -160,7 +169,7 @@ def _report(spark, d):
 QUERIES = {
     "s1_read_canonical": _canonical, "s2_read_lines": _lines, "s3_read_ndjson": _ndjson, "s4_read_json_array": _array, "s5_read_json_object": _object, "s6_read_dataset": _dataset,
     "s7_read_epoch_parquet": _epoch, "s8_read_gzip": _gzip, "s9_read_evidence": _evidence, "s10_read_receipts": _receipts, "s13_read_claims": _claims, "s14_artifact_inventory": _inventory,
-    "s15_write_canonical": _sink, "s16_write_verify": _verify,
+    "s15_stored_listing": _stored, "s15_write_canonical": _sink, "s16_write_verify": _verify,
     "s17_report_sections": _report,
     "s17_report_table": lambda spark, d: s.report_table(listing(spark, d).withColumn("etag", F.lit(None).cast("string")), list(FIELDS)),
 }
@@ -188,6 +197,7 @@ ORACLES = {
     "s13_read_claims": "SELECT 't' || (o_custkey % 5) AS tool, 'c' || o_orderkey AS claim_id, 'supported' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'run' ELSE 'source' END AS kind, 'r' || o_orderkey AS receipt FROM orders UNION ALL SELECT 't' || (o_custkey % 5), 'c' || o_orderkey, 'supported', 'none', NULL FROM orders",
     "s14_artifact_inventory": f"{_N} SELECT nation, sha256({_J}) AS sha256, CAST(length({_J}) AS BIGINT) AS size FROM n",
     "s15_write_canonical": f"WITH {LISTING} SELECT storage_class, count(*) AS n, count(etag) AS n_etag FROM act GROUP BY 1",
+    "s15_stored_listing": f"WITH {LISTING} SELECT key FROM ref WHERE starts_with(key, 'li/1997/') AND NOT EXISTS (SELECT 1 FROM act WHERE act.key = ref.key)",
     "s16_write_verify": f"""WITH {LISTING}, {_KINDS}, f AS (SELECT DISTINCT ON (key) * FROM act), g AS (SELECT DISTINCT ON (key) * FROM ref),
 n AS (SELECT count(*) FILTER (kind = 'missing') AS mi, count(*) FILTER (kind = 'extra') AS ex, count(*) FILTER (kind = 'duplicate') AS du, count(*) FILTER (kind = 'reference_duplicate') AS rd FROM d),
 m AS (SELECT 'a1' AS attempt_id, r.size <> f.size AS a, lower(r.etag) <> lower(f.etag) AS b, r.mtime <> f.mtime AS c FROM ref r JOIN f USING (key) UNION ALL SELECT 'a3', g.size <> t.size, lower(g.etag) <> lower(t.etag), g.mtime <> t.mtime FROM act t JOIN g USING (key)),

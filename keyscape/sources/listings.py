@@ -218,6 +218,19 @@ def write_canonical(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"unknown sink: {fmt}")
 
 
+def store_listing(df: DataFrame, table: str, path: str, buckets: int | None = None, row_group: int = 1 << 24) -> DataFrame:
+    """A listing stored for comparisons and range scans: a table of `buckets` by key, each sorted by key, its files below path.
+
+    Two listings stored with as many buckets are joined by key without a shuffle, and a prefix or a range of keys reads only the
+    row groups of `row_group` bytes that may hold it. Of an existing table of that name the old rows are replaced.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.select(*FIELDS).repartition(n, "key").write.bucketBy(n, "key").sortBy("key").format("parquet")
+    writer.option("parquet.block.size", row_group).option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def _cell(c: Column) -> Column:
     """A value in a Markdown table: `-` for NULL, bars escaped, line ends as blanks."""
     text = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("-")), r"\r\n|[\r\n]", " ")

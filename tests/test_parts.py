@@ -91,3 +91,30 @@ def test_digests_of_streams(spark, tmp_path):
     assert got == {
         "run/big file,%41é.bin": (want.hexdigest(), 2_300_000_000), "empty": (hashlib.sha256(b"").hexdigest(), 0), "a.gz": (hashlib.sha256(b"not packed").hexdigest(), 10),
     }
+
+
+def test_stored_listings_are_joined_where_they_lie(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from keyscape.operators.compare import missing_keys
+    from keyscape.operators.keyspace import key_range, scope
+
+    rows = spark.range(20_000).selectExpr("format_string('d%d/%06d', id % 10, id) as key", "cast(id as string) as size", "sha2(cast(id as string), 512) as etag", "cast(null as string) as mtime", "'S' as storage_class")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = s.store_listing(rows, "stored_one", str(tmp_path / "one"), 4, row_group=1 << 16)
+        two = s.store_listing(rows.filter("size % 100 <> 7"), "stored_two", str(tmp_path / "two"), 4, row_group=1 << 16)
+        lost = missing_keys(one, two)
+        assert lost.count() == 200 and "Exchange" not in lost._jdf.queryExecution().executedPlan().toString()
+        files = list((tmp_path / "one").glob("*.parquet"))
+        groups = [pq.ParquetFile(f).metadata for f in files]
+        assert len(files) == 4 and min(g.num_row_groups for g in groups) > 2
+        for df, n in ((scope(one, "d3/"), 2000), (key_range(one, "d3/", "d4/"), 2000)):
+            assert df.count() == n and "PushedFilters: [IsNotNull(key)" in df._jdf.queryExecution().executedPlan().toString()
+        hit = sum(1 for g in groups for k in range(g.num_row_groups) if g.row_group(k).column(0).statistics.max >= "d3/" and g.row_group(k).column(0).statistics.min < "d30")
+        assert hit < sum(g.num_row_groups for g in groups) / 2  # the others are skipped by their bounds
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for t in ("stored_one", "stored_two"):
+            spark.sql(f"drop table if exists {t}")

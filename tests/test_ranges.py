@@ -31,3 +31,12 @@ def test_segments_by_range_on_many_partitions(spark, small_ranges, monkeypatch):
 def test_global_rank_of_wide_rows(spark, small_ranges):
     out = k.global_rank(keys(spark), "key").collect()
     assert len(out) == 20_000 and all(r["rank"] == int(r.key) + 1 for r in out)
+
+
+def test_segments_of_one_hot_key(spark, small_ranges, monkeypatch):
+    monkeypatch.setattr(k, "ARRAY_CUTS", 1)
+    df = spark.range(6_000).selectExpr("if(id % 2 = 0, 'm', format_string('%05d', id)) as key", "id")
+    cuts = spark.createDataFrame([("00010",), ("m",), ("m",), ("z",)], "cut string")
+    out = k.assign_segment(df, cuts).groupBy("key", "segment").count().collect()
+    assert sum(r["count"] for r in out) == 6_000 and {r.segment for r in out if r.key == "m"} == {3}
+    assert all(r.segment == (r.key >= "00010") for r in out if r.key != "m")
