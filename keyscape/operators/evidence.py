@@ -582,6 +582,11 @@ def canonical(json: Column) -> Column:
     return F.when(ok, _with(out, lambda a: F.when(~F.exists(a, lambda x: x.isNull()), F.array_join(a, ""))))
 
 
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """Strings and NULLs as one object of canonical JSON."""
+    return canonical(F.to_json(F.struct(*[c.cast("string").alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"}))
+
+
 def case_fingerprint(df: DataFrame, columns: list[str], tag: str, nested: tuple[str, ...] = ()) -> DataFrame:
     """Df with case_id `tool.hash`, the first 12 hex digits of a tagged hash of the columns' canonical JSON.
 
