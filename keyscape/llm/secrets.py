@@ -1,11 +1,12 @@
-"""Secrets in texts: a trigram inverted index proposes documents, regular expressions verify them.
+"""Secrets in texts: a trigram inverted index proposes texts, regular expressions verify them.
 
 Each rule's pattern yields a Boolean trigram query (any of some sets, all trigrams of
-the set). The index is in bitmap form: the postings of a trigram are the true rows of a
-Boolean column over the documents, lists are intersected and united by AND and OR of these
-columns, and only the rows left, the candidates, are matched by the rule. As a posting
-stays with its row, neither texts nor keys move; postings gathered by trigram would have
-to be joined back to all texts. A rule that demands no trigram scans all documents.
+the set). One scan builds the index: for each shard of texts and each trigram that a query
+names, the sorted list of the hashes of the texts that hold it. Lists of a set are
+intersected in each shard, the shortest first, and sets are united; what is left becomes a bitmap
+of candidates for each rule, of a size that is bounded whatever the input. A second scan asks the bitmaps where its texts lie, so no text is
+shuffled, and verifies the candidates by the rule; two texts of one slot of the bitmap only add
+candidates. A rule that demands no trigram scans all documents.
 Everything runs as Spark SQL functions.
 """
 
@@ -13,12 +14,13 @@ from __future__ import annotations
 
 import re._parser as sre  # the standard library's own view of a pattern
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import checkpoint
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -94,29 +96,60 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     return better(best, clauses(tail)) or None
 
 
-#: Characters from frequent to rare; a list of rare trigrams is short, so it is asked first.
-_FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
-
-
-def _rarity(trigram: str) -> int:
-    return sum(_FREQUENT.find(c) if c in _FREQUENT else len(_FREQUENT) for c in trigram)
+#: Distinct texts of a shard of the index, about.
+SHARD = 4_096
+#: Slots of a rule's bitmap for each text, and at most: 8 MB for each rule, which are sent to all tasks.
+SLOTS, MOST_SLOTS = 8, 1 << 26
+_KEYS = "array<bigint>"
 
 
 def posting(trigram: str) -> Column:
-    """The postings of a lower-case trigram: true for the rows of (lower) that hold it."""
+    """Whether a row of (lower) belongs to the list of a lower-case trigram."""
     return F.contains(F.col("lower"), F.lit(trigram))
 
 
-def candidates(rule: Rule) -> Column | None:
-    """The rows of (lower) that the rule's trigram query admits; None for a rule without one.
+def build_index(texts: DataFrame, trigrams: list[str], shards: int) -> DataFrame:
+    """(shard, trigram, keys): the inverted index of texts(text); keys are the sorted hashes of the shard's texts that hold the trigram.
 
-    AND stops at the first list that lacks the row, so most rows are looked up in one list for each clause.
+    A text that repeats has one entry, and its rows are folded before the shuffle, which holds a hash and a trigram for each entry.
     """
-    query = trigram_query(rule.pattern)
-    if query is None:
-        return None
-    clauses = [reduce(Column.__and__, map(posting, sorted(c, key=lambda t: (-_rarity(t), t)))) for c in query]
-    return reduce(Column.__or__, clauses)
+    rows = texts.select(F.xxhash64("text").alias("key"), F.lower("text").alias("lower"))
+    held = F.explode(F.array_compact(F.array(*[F.when(posting(t), F.lit(t)) for t in trigrams])))
+    entries = rows.select("key", held.alias("trigram"))
+    return entries.groupBy(F.pmod("key", F.lit(shards)).alias("shard"), "trigram").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+
+
+def _intersected(lists: Column) -> Column:
+    """The keys that all of `lists` hold, the shortest list first, so that what is left stays short."""
+    by_size = lambda ordered: F.aggregate(F.slice(ordered, F.lit(2), F.size(ordered)), F.get(ordered, F.lit(0)).cast(_KEYS), F.array_intersect)
+    return _bound(F.array_sort(lists, lambda a, b: F.size(a) - F.size(b)), by_size)
+
+
+def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
+    """(key, no): the texts that the trigram query of each rule number admits, from the lists of the index alone."""
+    shard = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    of = lambda t: F.coalesce(F.col("lists")[t], F.array().cast(_KEYS))
+    admitted = {no: F.array_distinct(F.concat(*[_intersected(F.array(*[of(t) for t in sorted(c)])) for c in query])) for no, query in queries.items()}
+    pair = lambda no: lambda k: F.struct(k.alias("key"), F.lit(no).alias("no"))
+    pairs = F.concat(*[F.transform(keys, pair(no)) for no, keys in admitted.items()])
+    return shard.select(F.explode(pairs).alias("c")).select("c.key", "c.no")
+
+
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(key, F.lit(slots)) + 1
+
+
+def candidate_bitmaps(found: DataFrame, numbers: list[int], slots: int) -> DataFrame:
+    """(bucket, c0, c1, ...): for each rule number a bitmap of the slots of its candidates; slots / 2^15 rows of 4 kB a rule at most."""
+    slot = _slot(F.col("key"), slots)
+    bits = [F.bitmap_construct_agg(F.when(F.col("no") == no, F.bitmap_bit_position(slot))).alias(f"c{no}") for no in numbers]
+    return found.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(*bits)
+
+
+def _bit(bitmap: Column, slot: Column) -> Column:
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
 _SPAN = "array<struct<start:bigint,no:int,stop:bigint,kind:string>>"
@@ -165,24 +198,33 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["stop"].alias("stop"), F.lit(rule.kind).alias("kind"))).cast(_SPAN)
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """(doc_id, text, spans) of each row of docs(doc_id, text).
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """(doc_id, text, spans) of each row of docs(doc_id, text), which is read twice and must hold the same texts each time.
 
     spans: structs (start, no, stop, kind) in code points, stop exclusive, sorted by
     start, then by the rule's number. Spans of one rule never overlap; those of
-    different rules may.
+    different rules may. most_slots bounds the bitmaps of candidates: with many more candidates than slots
+    more texts are gone through, and spans are the same.
 
     Defined results: a null text is empty and has no spans; null and repeated doc_ids
     are scanned row by row; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("lower", F.lower("text"))
+    queries = {no: q for no, q in ((no, trigram_query(r.pattern)) for no, r in enumerate(rules)) if q}
+    admits = {}
+    if queries:
+        rows = max(docs.count(), 1)
+        slots = min(1 << max(15, (SLOTS * rows - 1).bit_length()), most_slots)
+        trigrams = sorted({t for q in queries.values() for c in q for t in c})
+        index = checkpoint(build_index(docs, trigrams, -(-rows // SHARD)))
+        bitmaps = checkpoint(candidate_bitmaps(candidates(index, queries), list(queries), slots))
+        slot = _slot(F.xxhash64("text"), slots)
+        docs = docs.withColumn("slot", slot).join(F.broadcast(bitmaps), F.bitmap_bucket_number("slot") == F.col("bucket"), "left")
+        admits = {no: _bit(F.col(f"c{no}"), F.col("slot")) for no in queries}
     spans = []
     for no, rule in enumerate(rules):
-        admits = candidates(rule)
-        if admits is None:
-            admits = F.col("text").rlike(rule.pattern)
-        spans.append(F.when(admits, _spans(F.col("text"), rule, no)).otherwise(F.array().cast(_SPAN)))
+        asked = admits[no] if no in admits else F.col("text").rlike(rule.pattern)
+        spans.append(F.when(asked, _spans(F.col("text"), rule, no)).otherwise(F.array().cast(_SPAN)))
     return docs.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
