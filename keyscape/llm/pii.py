@@ -260,6 +260,9 @@ office 212.555|phone 0166|phone daily
 under 05|phone 61|phone 33|phone 20|phone 11|phone please
 06|phone 12|phone 34|phone 56|phone 78|phone
 line 04|phone 76|phone 54|phone 32|phone 10|phone is free
+old 4242424242424242|card 5555555555554444|card new
+text. 6011111111111117|card 4012888888881881|card words
+cards 378282246310005|card 4000056655665556|card both
 total of 043 78 0921 units
 sold 100 200 3000 units and 212 400 5000 more
 got 310 220 4000 votes
