@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -95,18 +96,37 @@ def read_dataset(spark: SparkSession, root: str, schema: T.StructType | str | No
     return reader.parquet(root)
 
 
+def _unreadable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, problem) of the files whose footer isn't that of a Parquet file."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            store, name = _store(path)
+            with store.open_input_file(name) as file:
+                try:
+                    pq.read_metadata(file)
+                except (pa.ArrowInvalid, OSError) as e:
+                    found.append((path, str(e)[:200]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["path", "problem"])
+
+
 _EPOCH = "Key string, Size bigint, LastModified bigint, ETag string"
 
 
 def read_epoch_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Key, Size, LastModified (epoch seconds) and ETag of Parquet files, wide unsigned integers as BIGINT.
 
-    A file of 0 bytes has no rows; another that isn't Parquet raises ValueError, or fails the job where a later file is read.
+    A file of 0 bytes has no rows; if any other file isn't Parquet, ValueError names the first by its path: tasks read the footers of all files. The
+    paths of the files reach the driver, which plans their scan.
     """
     lengths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")  # lengths alone: no content is read
     held = [r["path"] for r in lengths.filter("length > 0").collect()]
     if not held:
         return spark.createDataFrame([], _EPOCH)
+    to_workers(spark)
+    bad = lengths.filter("length > 0").select("path").repartition(F.col("path")).mapInArrow(_unreadable, "path string, problem string").agg(F.min(F.struct("path", "problem")).alias("b")).first()["b"]
+    if bad:
+        raise ValueError(f"{bad['path']} is not readable Parquet: {bad['problem']}")
     try:
         df = spark.read.parquet(*held)
     except (AnalysisException, Py4JJavaError) as e:

@@ -138,6 +138,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "none" / "bad.parquet").write_bytes(b"\n")
     with pytest.raises(ValueError, match="not readable"):
         s.read_epoch_parquet(spark, str(tmp_path / "none"))
+    good = next((tmp_path / "epoch").glob("part-*.parquet")).read_bytes()
+    for name, content in (("z late.parquet", good[:-9]), ("y.parquet", b"PAR1 and more PAR1")):  # beside good files, and later than they
+        (tmp_path / "epoch" / name).write_bytes(content)
+        with pytest.raises(ValueError, match=name):
+            s.read_epoch_parquet(spark, str(tmp_path / "epoch"))
     (tmp_path / "run").mkdir()
     (tmp_path / "run" / "result.json").write_text('{"n": 1}')
     row = s.read_evidence(spark, str(tmp_path)).first()
