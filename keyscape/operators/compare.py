@@ -67,8 +67,10 @@ def tagged(ref: DataFrame, act: DataFrame, pair: Column | None = None) -> DataFr
     return ref.select(pair.alias("pair"), F.lit(0).alias("side"), *FIELDS).unionByName(act.select(pair.alias("pair"), F.lit(1).alias("side"), *FIELDS))
 
 
-#: Keys that differ are broadcast up to this number.
+#: Keys that differ are broadcast up to this number, as attempts are.
 BROADCAST_KEYS = 100_000
+#: Slots of the bitmap of keys that differ: for each key, and at most; 512 of them are one row, so 262,144 rows of 8 words.
+_SLOTS, _MOST_SLOTS, _LINE = 64, 1 << 27, 8
 #: Rows that one array repeats; a count beyond is dealt over several arrays.
 _REPEATS = 4096
 
@@ -92,13 +94,28 @@ def _alike(shown: dict[str, Column]) -> list[Column]:
     return [g(F.when(shown[f].isNotNull(), h)).alias(f"{n}{k}_{f}") for f, hs in two.items() for k, h in enumerate(hs) for n, g in (("low", F.min), ("high", F.max))]
 
 
+def _may_differ(rows: DataFrame, odd: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """The rows whose columns `by` may be those of one of the n rows of odd: all that are, and few others.
+
+    A bitmap of odd's hashes, bounded whatever n is, is broadcast in lines of 8 words; with n beyond its slots more rows pass.
+    """
+    slots = min(1 << max(9, (n * _SLOTS - 1).bit_length()), _MOST_SLOTS)
+    slot = F.pmod(F.xxhash64(*by), F.lit(slots).cast("long"))
+    at = lambda df: df.withColumn("_slot", slot).withColumn("_line", F.shiftright("_slot", 9)).withColumn("_in", F.shiftright("_slot", 6).bitwiseAND(F.lit(_LINE - 1)).cast("int"))
+    word = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    lines = at(odd.select(*by)).groupBy("_line").agg(*[F.bit_or(F.when(F.col("_in") == k, word).otherwise(F.lit(0).cast("long"))).alias(f"_w{k}") for k in range(_LINE)])
+    held = F.expr("getbit(case _in " + " ".join(f"when {k} then _w{k}" for k in range(_LINE)) + " end, cast(_slot % 64 as int)) = 1")
+    return at(rows).join(F.broadcast(lines), "_line").filter(held).select(*rows.columns)
+
+
 def _members_diff(rows: DataFrame, most: int) -> DataFrame:
     """(g, m, kind, key, field, tool_value, reference_value) of rows(g, m, members, key, ...): how member m > 0 of a group differs from member 0.
 
     One aggregation by (g, key) holds which members have the key, in bitmaps of `most` members, how many rows they have in all, and
     whether a field's exposed values are all alike. A key that every member has once, with like values, differs for
-    none; all members' rows of the other keys are taken from a second scan, by a broadcast of up to BROADCAST_KEYS keys
-    and a join beyond. So each row is shuffled once, however many members there are, and again only where its key differs.
+    none; all members' rows of the other keys are taken from a second scan, by a broadcast of up to BROADCAST_KEYS keys, and beyond by
+    a join of the rows that a bitmap of these keys lets pass. So each row is shuffled once, however many members there are, and
+    again only where its key differs; the rows of such keys are written once for all that asks for them.
     """
     at, value, none = ["g", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
     bit = lambda k: F.when((F.col("m") >= k * _WORD) & (F.col("m") < (k + 1) * _WORD), F.expr("shiftleft(1L, cast(m % 63 as int))")).otherwise(F.lit(0).cast("long"))
@@ -113,9 +130,9 @@ def _members_diff(rows: DataFrame, most: int) -> DataFrame:
     present = sum((F.bit_count(w) for w in words), F.lit(0))
     odd = of_key.withColumn("unlike", unlike).filter((F.col("n") != F.col("members")) | (present != F.col("members")) | F.col("unlike"))
     odd = checkpoint(odd.select(*at, "members", "n_ref", "unlike", *words))
-    keys = odd.select(*at, "n_ref", "unlike")
-    keys = F.broadcast(keys) if odd.count() <= BROADCAST_KEYS else keys
-    own = rows.join(keys, at)
+    keys, n_odd = odd.select(*at, "n_ref", "unlike"), odd.count()
+    own = rows.join(F.broadcast(keys), at) if n_odd <= BROADCAST_KEYS else _may_differ(rows, odd, n_odd, at).join(keys, at)
+    own = checkpoint(own.select(*at, "m", "n_ref", "unlike", *_VALUES))
     tool = own.filter("m > 0").groupBy(*at, "m").agg(F.count("*").alias("n"), F.min(value).alias("t"), F.first("n_ref").alias("n_ref"), F.first("unlike").alias("unlike"))
     some = tool.select(*at, "m", F.explode(F.array_compact(F.array(
         F.when(F.col("n_ref") == 0, F.struct(F.lit("extra").alias("kind"), F.col("n").alias("n"))), F.when(F.col("n") > 1, F.struct(F.lit("duplicate").alias("kind"), F.lit(1).cast("long").alias("n"))),
@@ -200,11 +217,13 @@ def compare_all(listings: DataFrame, subjects: DataFrame) -> DataFrame:
     """
     own = W.partitionBy("bucket", "stratum")
     numbered = subjects.select(
-        "attempt_id", F.to_json(F.struct("bucket", "stratum")).alias("g"), (F.row_number().over(own.orderBy("attempt_id")) - 1).alias("m"), F.count("*").over(own).cast("int").alias("members"),
+        "attempt_id", F.min("attempt_id").over(own).alias("g"), (F.row_number().over(own.orderBy("attempt_id")) - 1).alias("m"), F.count("*").over(own).cast("int").alias("members"),
     ).filter("members > 1")
     numbered = checkpoint(numbered)  # attempts, not listing rows
-    most = numbered.agg(F.coalesce(F.max("members"), F.lit(2)).alias("n")).first()["n"]
-    found = _members_diff(listings.join(numbered, "attempt_id").select("g", "m", "members", *FIELDS), most)
+    n, most = numbered.agg(F.count("*"), F.coalesce(F.max("members"), F.lit(2))).first()
+    # a shuffle by attempt_id would move every row into a few tasks, and part the members' rows of a key, which the scan's own aggregation brings together
+    few = F.broadcast(numbered) if n <= BROADCAST_KEYS else numbered
+    found = _members_diff(listings.join(few, "attempt_id").select("g", "m", "members", *FIELDS), most)
     return found.join(numbered.select(F.col("attempt_id").alias("pair"), "g", "m"), ["g", "m"]).select("pair", "kind", "key", "field", "tool_value", "reference_value")
 
 

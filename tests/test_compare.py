@@ -86,3 +86,11 @@ def test_a_key_of_many_rows_stays_rows(spark, monkeypatch):
         assert {tuple(r) for r in got} == {
             ("mismatch", "hot", "size", 99), ("reference_duplicate", "hot", None, 1), ("missing", "gone", None, 100), ("reference_duplicate", "gone", None, 1), ("extra", "new", None, 100), ("duplicate", "new", None, 1),
         }
+
+
+def test_rows_that_may_differ(spark):
+    """Of the rows beyond a broadcast of keys only those that may differ are shuffled: every one that does, and few others."""
+    rows = spark.range(20_000).select(F.lit("g").alias("g"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "id")
+    odd = rows.filter("id % 200 = 7")
+    got = {r.id for r in c._may_differ(rows, odd, 100, ["g", "key"]).collect()}
+    assert {i for i in range(20_000) if i % 200 == 7} <= got and len(got) < 1_000
