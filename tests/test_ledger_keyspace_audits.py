@@ -150,3 +150,36 @@ def test_sources(spark, tmp_path):
     assert s.artifact_inventory(spark, str(tmp_path)).filter("path = 'run/result.json'").first()["size"] == 8
     (tmp_path / "run.meta").write_text("a=1\nb=x=y\na=2\nnone")
     assert s.read_receipts(spark, str(tmp_path / "run.meta")).first()["kv"] == {"a": "1", "b": "x=y"}
+
+
+def _slots_and_attempts(spark):
+    spec = {c: "x" for c in e.PRODUCER_SPEC}
+    producer = lambda **kw: json.dumps(spec | kw)
+    slots = [
+        ("g", 1, producer(), None, '{"a1":"gone","a2":"gone","a3":"gone"}', "BLOCKED"), ("g", 2, producer(), None, '{"a1":"gone"}', "BLOCKED"), ("g", 3, None, "b1", None, "BLOCKED"), ("g", 4, None, "b1", '{"b1":"gone"}', "BLOCKED"),
+        ("g", 5, producer(tool="none"), None, None, "BLOCKED"), ("h", 1, producer(), None, None, "BLOCKED"), ("g", 6, producer(), None, '{"a1":"gone","a2":"gone"}', "BLOCKED"), ("g", 6, None, "b1", '{"a1":"gone","a3":"gone","b1":"gone"}', "BLOCKED"), ("g", 7, producer(), None, None, "RESOLVED"),
+    ]
+    attempts = [("g", f"a{i}", "SUCCEEDED", str(9 - i) if i < 3 else None, *spec.values()) for i in (1, 2, 3)] + [("g", "b1", "SUCCEEDED", "1", *(spec | {"tool": "y"}).values()), ("h", "c1", "CANCELLED", "1", *spec.values())]
+    slots = e.load_pending(spark.createDataFrame(slots, "group_id string, slot long, producer string, awaiting string, disqualified string, state string").withColumns({"tool": F.lit("x"), "purpose": F.lit("m")}))
+    return slots, spark.createDataFrame(attempts, f"group_id string, attempt_id string, state string, settled_at string, {', '.join(f'{c} string' for c in e.PRODUCER_SPEC)}")
+
+
+def test_candidates_are_placed_once_for_all_slots_of_a_spec(spark, monkeypatch):
+    """Slots meet blocks of places; only slots that are there twice have their candidates placed by slot."""
+    monkeypatch.setattr(e, "_PLACES", 2)
+    slots, attempts = _slots_and_attempts(spark)
+    out = e.slot_candidates(slots, attempts)
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.group_id, r.slot), []).append((r.place, r.attempt_id))
+    three = [(1, "a3"), (2, "a2"), (3, "a1")]
+    assert {k: sorted(v) for k, v in got.items()} == {("g", 1): three, ("g", 2): three, ("g", 7): three, ("g", 3): [(1, "b1")], ("g", 4): [(1, "b1")], ("h", 1): [(1, "c1")], ("g", 6): [(1, "a3"), (2, "b1"), (3, "a2"), (4, "a1")]}
+    assert "_block" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_owed_reasons_of_disqualified_candidates(spark):
+    slots, attempts = _slots_and_attempts(spark)
+    settled, none = "every candidate is settled and none published a usable artifact", "no attempt in this group produces what it consumes"
+    # each of slot 6's candidates but a1 is good for one of its rows
+    assert {(r.group_id, r.slot): r.reason for r in e.owed_reason(slots, attempts).collect()} == {("g", 1): settled, ("g", 4): settled, ("g", 5): none, ("h", 1): settled}
+    assert "_block" not in (plan := e.owed_reason(slots, attempts)._jdf.queryExecution().optimizedPlan().toString()) and "row_number" not in plan
