@@ -9,6 +9,7 @@ elements from the state that it begins with. Only elements that lie across two r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyscape.sources.shared import checkpoint, to_workers
+from keyscape.sources.shared import checkpoint, scratch_path, to_workers
 
 _QUOTE, _BACKSLASH, _COMMA = 0x22, 0x5C, 0x2C
 _STEP = np.zeros(256, np.int8)
@@ -37,18 +38,15 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 def _ranges(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
     """(key, bytes, ends) of consecutive pieces of one (file, block): the pieces' bytes with a comma behind each, and where each ends."""
     for batch in batches:
-        keys = [batch.column(c).to_pylist() for c in ["file", "block", *extra]]
-        values = batch.column("value")
-        lo = 0
-        while lo < batch.num_rows:
-            size, hi = 0, lo
-            while hi < batch.num_rows and keys[0][hi] == keys[0][lo] and keys[1][hi] == keys[1][lo] and (hi == lo or size < _BLOCK):
-                size += len(values[hi].as_buffer() or b"") + 1
-                hi += 1
-            parts = values.slice(lo, hi - lo).to_pylist()
-            data = np.frombuffer(b",".join([*parts, b""]), np.uint8)
-            yield tuple(k[lo] for k in keys), data, np.cumsum([len(p) + 1 for p in parts])
-            lo = hi
+        if not batch.num_rows:
+            continue
+        parts = batch.column("value").to_pylist()
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        of_file, of_block = batch.column("file").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+        other = (np.diff(of_file) != 0) | (np.diff(of_block) != 0) | (np.diff((ends - 1) // _BLOCK) != 0)
+        for lo, hi in pairwise([0, *(np.flatnonzero(other) + 1).tolist(), len(parts)]):
+            data = np.frombuffer(b",".join([*parts[lo:hi], b""]), np.uint8)
+            yield tuple(batch.column(c)[lo].as_py() for c in ["file", "block", *extra]), data, ends[lo:hi] - (ends[lo - 1] if lo else 0)
 
 
 def _structure(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +138,9 @@ def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
         joined = pieces.join(F.broadcast(begun), ["file", "block"])
     else:
         joined = pieces.withColumn("order", F.monotonically_increasing_id()).join(begun, ["file", "block"]).sortWithinPartitions("file", "block", "order")
-    cut = joined.select("file", "block", "inside", "depth", "value").mapInArrow(_cut(level), "file string, block long, at long, tail boolean, begins long, ends long, value binary")
+    kinds, written = "file string, block long, at long, tail boolean, begins long, ends long, value binary", scratch_path(spark, "fragments")
+    joined.select("file", "block", "inside", "depth", "value").mapInArrow(_cut(level), kinds).write.parquet(written)  # once: readers ask for fragments many times
+    cut = spark.read.schema(kinds).parquet(written)
     tails = checkpoint(cut.filter("tail").select("file", "block", F.col("at").alias("cuts")))  # a row for each range
     order = W.partitionBy("file").orderBy("block")
     # the range in which the fragment begins that a range's head ends: the last one before it that has a cut, or the file's first

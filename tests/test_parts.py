@@ -118,3 +118,10 @@ def test_stored_listings_are_joined_where_they_lie(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for t in ("stored_one", "stored_two"):
             spark.sql(f"drop table if exists {t}")
+
+
+def test_fragments_are_cut_once(spark, tmp_path):
+    """What reads a document's members asks for its fragments many times; they are cut by one pass over the text and written."""
+    (tmp_path / "f.json").write_text(json.dumps({"t": "x", "rows": [{"k": str(i)} for i in range(50)]}))
+    found = s.read_json_object(spark, str(tmp_path), "t string, rows array<struct<k:string>>")
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 50
