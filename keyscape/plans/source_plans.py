@@ -138,9 +138,14 @@ def _sink(spark, d):
     return spark.read.parquet(path).groupBy("storage_class").agg(F.count("*").alias("n"), F.count("etag").alias("n_etag"))
 
 
+#: Rows of a bucket of a stored listing, about.
+BUCKET_ROWS = 500_000
+
+
 def _stored(spark, d):
-    """Keys that one stored listing lacks of another, below a prefix."""
-    one, two = (s.store_listing(f(spark, d), f"stored_{uuid.uuid4().hex}", scratch_path(spark, "stored"), 8) for f in (reference, damaged))
+    """Keys that one stored listing lacks of another, below a prefix; both have as many buckets, by the rows that there are."""
+    n = max(8, listing(spark, d).count() // BUCKET_ROWS)
+    one, two = (s.store_listing(f(spark, d), f"stored_{uuid.uuid4().hex}", scratch_path(spark, "stored"), n) for f in (reference, damaged))
     return missing_keys(scope(one, "li/1997/"), two)
 
 
