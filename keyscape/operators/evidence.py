@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,52 +50,103 @@ def _sub(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant")
 
 
-def _kind(v: Column, path: str) -> Column:
-    s = F.schema_of_variant(_sub(v, path))
-    return F.when(s != "VOID", F.substring_index(F.substring_index(s, "(", 1), "<", 1))
+def _kind(x: Column) -> Column:
+    return F.when(~F.is_variant_null(x), F.substring_index(F.substring_index(F.schema_of_variant(x), "(", 1), "<", 1))
 
 
-#: What a rule may ask of a field. The type of an object or array is asked by a cast, as its schema is long.
+def _text(x: Column) -> Column:
+    # a cast of a variant to its own type is a plain read; to another one it builds an expression for each value
+    return F.when(F.schema_of_variant(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("string")).otherwise(F.try_variant_get(x, "$", "string"))
+
+
+#: What a rule may ask of a field x, a variant. The type of an object or array is asked by a cast, as its schema is long.
 _ASKED = {
-    "there": lambda v, p: _sub(v, p).isNotNull() & ~F.is_variant_null(_sub(v, p)), "object": lambda v, p: F.try_variant_get(v, f"$.{p}", "map<string,variant>").isNotNull(),
-    "array": lambda v, p: F.try_variant_get(v, f"$.{p}", "array<variant>").isNotNull(),
-    "kind": _kind, "text": lambda v, p: F.try_variant_get(_sub(v, p), "$", "string"), "absent": lambda v, p: _sub(v, p).isNull(),
-    "long": lambda v, p: F.when(_kind(v, p) == "BIGINT", F.try_variant_get(_sub(v, p), "$", "bigint")), "double": lambda v, p: F.try_variant_get(_sub(v, p), "$", "double"),
-    "size": lambda v, p: F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")), "keys": lambda v, p: F.map_keys(F.try_variant_get(v, f"$.{p}", "map<string,variant>")),
-    "json": lambda v, p: F.to_json(_sub(v, p)),
-    "fields": lambda v, p: F.transform(F.try_variant_get(v, f"$.{p}", "array<variant>"), lambda m: F.try_variant_get(m, "$.field", "string")),
+    "there": lambda x: x.isNotNull() & ~F.is_variant_null(x), "object": lambda x: F.try_variant_get(x, "$", "struct<_:boolean>").isNotNull(),
+    "array": lambda x: F.try_variant_get(x, "$", "array<variant>").isNotNull(),
+    "kind": _kind, "schema": lambda x: F.schema_of_variant(x), "text": _text, "boolean": lambda x: F.when(F.schema_of_variant(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean")), "absent": lambda x: x.isNull(),
+    "number": lambda x: F.try_variant_get(x, "$", "bigint"), "double": lambda x: F.try_variant_get(x, "$", "double"),
+    "size": lambda x: F.size(F.try_variant_get(x, "$", "array<variant>")), "keys": lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")),
+    "json": lambda x: F.to_json(x), "fields": lambda x: F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda m: F.try_variant_get(m, "$.field", "string")),
 }
 
 
 class _Reader:
     """Fields of evidence that rules ask for: at first they are noted, then read from a struct that holds each once."""
 
-    def __init__(self, v: Column, held: Column | None = None):
-        self.v, self.held, self.asked = v, held, {}
+    def __init__(self, held: Column | None = None):
+        self.held, self.asked = held, {}
 
     def ask(self, what: str, path: str) -> Column:
         name = f"{what}_{path.replace('.', '_')}"
-        self.asked[name] = _ASKED[what](self.v, path)
-        return self.asked[name] if self.held is None else self.held[name]
+        self.asked[name] = (what, path)
+        return F.lit(None).cast(_NOTED.get(what, "boolean")) if self.held is None else self.held[name]
+
+
+#: The types of what is asked, for the pass in which it is noted; others are boolean.
+_NOTED = {"kind": "string", "schema": "string", "text": "string", "number": "bigint", "double": "double", "size": "int", "keys": "array<string>", "json": "string", "fields": "array<string>"}
+
+
+def _levels(asked: dict[str, tuple[str, str]]) -> list[dict[str, list[str]]]:
+    """The objects to take apart, level by level: the path of each, "" for the whole, and the fields of it that are asked or lead to one."""
+    levels: list[dict[str, list[str]]] = []
+    for path in [p for _, p in asked.values() if p]:
+        steps = path.split(".")
+        for k, step in enumerate(steps):
+            levels += [{}] if k == len(levels) else []
+            fields = levels[k].setdefault(".".join(steps[:k]), [])
+            if step not in fields:
+                fields.append(step)
+    return levels
+
+
+def _at(v: Column, held: list[Column], path: str) -> Column:
+    """The variant at a path, of v or of the objects that were taken apart."""
+    if not path:
+        return v
+    parent, _, leaf = path.rpartition(".")
+    return held[path.count(".")][f"at_{parent.replace('.', '_')}"][leaf]
+
+
+def _apart(v: Column, held: list[Column], level: dict[str, list[str]]) -> Column:
+    """The objects of one level as structs of variants; each is decoded once, whatever number of its fields is asked. One that isn't an object is NULL."""
+    cast = lambda path, fields: F.try_variant_get(_at(v, held, path), "$", f"struct<{','.join(f'`{f}`:variant' for f in fields)}>")
+    return F.struct(*[cast(path, fields).alias(f"at_{path.replace('.', '_')}") for path, fields in level.items()])
+
+
+def _answers(v: Column, held: list[Column], asked: dict[str, tuple[str, str]]) -> Column:
+    return F.struct(*[_ASKED[what](_at(v, held, path)).alias(n) for n, (what, path) in asked.items()])
+
+
+def _let(c: Column, body) -> Column:
+    """body(c), with c evaluated once."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
 def _bind(v: Column, rules) -> Column:
-    """rules(reader), where each field is taken out of the variant once, however often rules ask for it."""
-    first = _Reader(v)
+    """rules(reader), where each object of the variant is decoded once, and each field asked once, however often rules ask for it."""
+    first = _Reader()
     rules(first)
-    held = F.struct(*[c.alias(n) for n, c in first.asked.items()])
-    return F.get(F.transform(F.array(held), lambda h: rules(_Reader(v, h))), F.lit(0))
+
+    def below(held: list[Column], levels: list[dict[str, list[str]]]) -> Column:
+        if levels:
+            return _let(_apart(v, held, levels[0]), lambda h: below([*held, h], levels[1:]))
+        return _let(_answers(v, held, first.asked), lambda h: rules(_Reader(h)))
+
+    return below([], _levels(first.asked))
 
 
 def _with_fields(df: DataFrame, name: str, v: Column, rules) -> tuple[DataFrame, _Reader]:
     """df with a column `name` that holds what the rules ask of v, and a reader of it: compiled, unlike the body of `_bind`."""
-    first = _Reader(v)
+    first, columns, held = _Reader(), df.columns, []
     rules(first)
-    return df.withColumn(name, F.struct(*[c.alias(n) for n, c in first.asked.items()])), _Reader(v, F.col(name))
+    for k, level in enumerate(_levels(first.asked)):
+        df = df.withColumn(f"{name}_{k}", _apart(v, held, level))
+        held.append(F.col(f"{name}_{k}"))
+    return df.withColumn(name, _answers(v, held, first.asked)).select(*columns, name), _Reader(F.col(name))
 
 
 def _ask(v: Column | _Reader, what: str, path: str) -> Column:
-    return v.ask(what, path) if isinstance(v, _Reader) else _ASKED[what](v, path)
+    return v.ask(what, path) if isinstance(v, _Reader) else _ASKED[what](_sub(v, path))
 
 
 def kind(v: Column | _Reader, path: str) -> Column:
@@ -113,7 +166,9 @@ def _there(v: Column | _Reader, path: str) -> Column:
 def _is(v: Column, path: str, *kinds: str) -> Column:
     if kinds in (("OBJECT",), ("ARRAY",)):
         return _ask(v, kinds[0].lower(), path)
-    return F.coalesce(kind(v, path).isin(*kinds), F.lit(False))
+    schema = _ask(v, "schema", path)
+    named = [schema == k for k in kinds if k != "DECIMAL"] + [schema.startswith("DECIMAL(")] * ("DECIMAL" in kinds)
+    return F.coalesce(reduce(or_, named), F.lit(False))
 
 
 def _is_int(v: Column, path: str) -> Column:
@@ -121,15 +176,15 @@ def _is_int(v: Column, path: str) -> Column:
 
 
 def _long(v: Column, path: str) -> Column:
-    return _ask(v, "long", path)
+    return F.when(_ask(v, "schema", path) == "BIGINT", _ask(v, "number", path))
 
 
 def _true(v: Column, path: str) -> Column:
-    return _is(v, path, "BOOLEAN") & (text(v, path) == "true")
+    return F.coalesce(_ask(v, "boolean", path), F.lit(False))
 
 
 def _false(v: Column, path: str) -> Column:
-    return _is(v, path, "BOOLEAN") & (text(v, path) == "false")
+    return ~F.coalesce(_ask(v, "boolean", path), F.lit(True))
 
 
 def _names(*errors: Column) -> Column:
@@ -231,7 +286,7 @@ def result_binding(df: DataFrame) -> Column:
 def _result_binding(v: _Reader, out: _Found = _ALL) -> Column:
     same = lambda f, c: text(v, f).eqNullSafe(F.col(c)) & (~_there(v, f) | _is(v, f, "STRING"))
     number = lambda f, c: _long(v, f).eqNullSafe(F.col(c).cast("bigint")) & (~_there(v, f) | _is_int(v, f))
-    held = F.array_sort(_ask(v, "keys", "declared_resources")).eqNullSafe(F.array(*[F.lit(k) for k in sorted(("machine_type", *RESOURCES))])) & same("declared_resources.machine_type", "machine_type")
+    held = F.sort_array(_ask(v, "keys", "declared_resources")).eqNullSafe(F.array(*[F.lit(k) for k in sorted(("machine_type", *RESOURCES))])) & same("declared_resources.machine_type", "machine_type")
     for r in RESOURCES:
         held &= number(f"declared_resources.{r}", r)
     # a variant writes an object's fields in the order of their names
@@ -333,13 +388,15 @@ def _verify_binding(v: _Reader, out: _Found = _ALL) -> Column:
 
 def evidence_state(df: DataFrame) -> DataFrame:
     """with_evidence rows with evidence_state, the first rung of the ladder that applies."""
-    # each field of the evidence is read once for all of its rules
-    rules = lambda v: F.when(_identity_errors(v, _FIRST).isNotNull(), "IDENTITY_MISMATCH").when(F.coalesce(_result_binding(v, _FIRST), _result_semantics(v, _FIRST)).isNotNull(), "RESULT_MISMATCH")
-    held, v = _with_fields(df, "_result", F.col("result"), rules)
-    held, r = _with_fields(held, "_verify", F.col("verification"), _verify_binding)
-    unbound = F.when(F.col("verification").isNull(), "VERIFY_UNAVAILABLE").when(_verify_binding(r, _FIRST).isNotNull(), "VERIFY_MISMATCH").otherwise("VERIFIED")
-    state = F.when(~F.col("has_result"), "MISSING_EVIDENCE").when(F.col("result").isNull(), "RESULT_UNAVAILABLE").otherwise(F.coalesce(rules(v), unbound))
-    return held.withColumn("evidence_state", state).drop("_result", "_verify")
+    # a rung reads its fields only where the rungs before it found nothing; verify.json is parsed for those rows alone
+    first = lambda v, rules: _bind(v, lambda r: rules(r, _FIRST))
+    result = F.col("result")
+    bound = _let(F.try_parse_json("verify_text"), lambda v: F.when(v.isNull(), "VERIFY_UNAVAILABLE").when(first(v, _verify_binding).isNotNull(), "VERIFY_MISMATCH").otherwise("VERIFIED"))
+    state = (
+        F.when(~F.col("has_result"), "MISSING_EVIDENCE").when(result.isNull(), "RESULT_UNAVAILABLE").when(first(result, _identity_errors).isNotNull(), "IDENTITY_MISMATCH")
+        .when(first(result, _result_binding).isNotNull() | first(result, _result_semantics).isNotNull(), "RESULT_MISMATCH").otherwise(bound)
+    )
+    return df.withColumn("evidence_state", state)
 
 
 def report_rows(df: DataFrame, modes: DataFrame) -> DataFrame:

@@ -134,8 +134,8 @@ def _once(df: DataFrame, c, name: str) -> DataFrame:
 
 def _listed(errors):
     def query(spark, d):
-        b = _bound(spark, d).filter("result is not null")
-        return _once(b, F.array_join(errors(b), ","), "errors").filter("errors <> ''")
+        b = _bound(spark, d)  # a filter on result would be pushed below its parsing and parse each text twice
+        return _once(b, F.when(F.col("result").isNotNull(), F.array_join(errors(b), ",")), "errors").filter("errors <> ''")
 
     return query
 

@@ -183,3 +183,15 @@ def test_owed_reasons_of_disqualified_candidates(spark):
     # each of slot 6's candidates but a1 is good for one of its rows
     assert {(r.group_id, r.slot): r.reason for r in e.owed_reason(slots, attempts).collect()} == {("g", 1): settled, ("g", 4): settled, ("g", 5): none, ("h", 1): settled}
     assert "_block" not in (plan := e.owed_reason(slots, attempts)._jdf.queryExecution().optimizedPlan().toString()) and "row_number" not in plan
+
+
+def test_evidence_is_decoded_once_for_all_rules(spark):
+    df = spark.createDataFrame([('{"exit_code":0,"execution":{"timed_out":false}}',)], "t string").repartition(1).select(F.try_parse_json("t").alias("v"))
+    plan = e.checkpoint(df).select(e.result_semantics(F.col("v")).alias("errors"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(v#") == 1
+
+
+def test_booleans_and_their_texts_stay_apart(spark):
+    rows = [('{"timed_out":"false","exit_code":0}',), ('{"timed_out":false,"exit_code":0}',), ('{"timed_out":null,"exit_code":0}',), ('{"timed_out":0,"exit_code":0}',), ("[]",), ('"x"',), ("null",)]
+    df = spark.createDataFrame(rows, "t string").select("t", e.failed_subject(F.try_parse_json("t")).alias("why"))
+    assert {r["t"]: r["why"] for r in df.collect()} == {t: "no execution evidence" if t == rows[1][0] else "subject timed out" for (t,) in rows}
