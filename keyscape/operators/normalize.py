@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyscape.functions.listing import FIELDS, awk_fields, field, rest, tabbed, unquoted, whole_seconds, zulu
 from keyscape.operators.ranges import ranged
+from keyscape.sources.shared import checkpoint
 
 
 def _v() -> Column:
@@ -196,18 +197,54 @@ def _key_or_prefix(prefix: Column) -> dict[str, Column]:
     return {"key": F.coalesce("Prefix", "Key")} | {k: F.when(stored, c) for k, c in own.items()}
 
 
+#: A file of more lines than this is cut into ranges; a shorter one is read by one task.
+LONG_FILE = 1 << 18
+
+
 def _yaml_pages(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each item of the Contents lists of lines (file, line_no, value) of multi-document YAML pages.
 
-    Items begin at `- Key-like` lines of the list's indentation. Files are cut into ranges of lines, and a range is
-    summed up by the last section that it opens and by how many items it begins, in front of its first section and behind;
-    these states run from range to range, so that no task has to see a whole file.
+    Items begin at `- Key-like` lines of the list's indentation. Files of up to LONG_FILE lines are dealt out whole, once; their items are
+    gathered where they lie. Only longer ones, or all if a number of partitions is given, are cut into ranges.
     """
-    section = F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1)
+    if partitions:
+        return _yaml_ranges(df, partitions)
+    long = checkpoint(df.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > LONG_FILE).select(F.col("file").alias("long")))
+    if long.isEmpty():
+        return _yaml_files(df)
+    of_long = F.col("file").eqNullSafe(F.col("long"))
+    return _yaml_files(df.join(F.broadcast(long), of_long, "left_anti")).unionByName(_yaml_ranges(df.join(F.broadcast(long), of_long, "left_semi")))
+
+
+def _yaml_section() -> tuple[Column, Column]:
+    """Whether a line opens a section or a document, and the name of that section, "" for a document."""
     top = _v().rlike(r"^(- |  )?[A-Za-z]+:") | _v().rlike("^---")
+    return top, F.when(top, F.when(_v().rlike("^---"), F.lit("")).otherwise(F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1)))
+
+
+def _yaml_items(lines: DataFrame) -> DataFrame:
+    """The fields of lines' items (file, item)."""
+    pair = r"^\s*(?:- )?\s*([A-Za-z]+):\s*(.*?)\s*$"
+    name, text = F.regexp_extract(_v(), pair, 1), F.regexp_replace(F.regexp_extract(_v(), pair, 2), r"""\A(['"])(.*)\1\z""", "$2")
+    pick = lambda k: F.max(F.when(F.col("_name") == k, F.col("_text"))).alias(k)
+    return lines.select("file", "item", name.alias("_name"), text.alias("_text")).groupBy("file", "item").agg(*map(pick, ("Key", "Size", "ETag", "LastModified", "StorageClass")))
+
+
+def _yaml_files(df: DataFrame) -> DataFrame:
+    order = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    top, opened = _yaml_section()
+    now = df.select("file", "line_no", "value").withColumns({"top": top, "opened": opened}).withColumn("own", F.last("opened", ignorenulls=True).over(order))
+    now = now.filter((F.col("own") == "Contents") & ~F.col("top"))
+    return _yaml_items(now.withColumn("item", F.count(F.when(_v().rlike(r"^\s*- "), 1)).over(order)))
+
+
+def _yaml_ranges(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Files are cut into ranges of lines, and a range is summed up by the last section that it opens and by how many items it
+    begins, in front of its first section and behind; these states run from range to range, so that no task has to see a whole file.
+    """
+    top, opened = _yaml_section()
     parts = ranged(df.select("file", "line_no", "value"), "file", "line_no", partitions=partitions)
     order = W.partitionBy("file", "_range").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    opened = F.when(top, F.when(_v().rlike("^---"), F.lit("")).otherwise(section))
     now = parts.withColumn("top", top).withColumn("own", F.last(opened, ignorenulls=True).over(order)).withColumn("begins", ~F.col("top") & _v().rlike(r"^\s*- "))
     count = lambda c: F.count(F.when(F.col("begins") & c, 1))
     sums = parts.withColumn("top", top).groupBy("file", "_range").agg(F.max_by(F.when(F.col("top"), opened), F.when(F.col("top"), F.col("line_no"))).alias("last"))
@@ -220,10 +257,7 @@ def _yaml_pages(df: DataFrame, partitions: int | None = None) -> DataFrame:
     state = state.withColumn("n", n).select("file", "_range", "came", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("items"))
     now = now.alias("l").join(state.alias("s"), same("l", "s")).select("l.*", "s.came", "s.items").filter((F.coalesce("own", "came") == "Contents") & ~F.col("top"))
     now = now.withColumn("item", F.col("items") + F.count(F.when(F.col("begins"), 1)).over(order))
-    pair = r"^\s*(?:- )?\s*([A-Za-z]+):\s*(.*?)\s*$"
-    name, text = F.regexp_extract(_v(), pair, 1), F.regexp_replace(F.regexp_extract(_v(), pair, 2), r"""\A(['"])(.*)\1\z""", "$2")
-    pick = lambda k: F.max(F.when(name == k, text)).alias(k)
-    return now.groupBy("file", "item").agg(*map(pick, ("Key", "Size", "ETag", "LastModified", "StorageClass")))
+    return _yaml_items(now)
 
 
 def _yaml_fields(prefix: Column) -> dict[str, Column]:

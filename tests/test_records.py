@@ -218,3 +218,14 @@ def test_registered_counts_and_modes(spark):
     assert got == [("", 3, True), ("a/", 2, False), ("a/", 2, True), ("a/b/", 1, False), ("zz/", 0, True)]
     cases = spark.createDataFrame([("t", "m"), ("t", "x"), ("u", "m"), ("t", "x")], "tool string, mode string")
     assert sorted(map(tuple, e.mode_coverage(cases, cases.limit(1)).collect())) == [("t", "x", "no such mode"), ("u", "m", "modes unknown")]
+
+
+def test_yaml_files_are_moved_once_unless_they_are_long(spark, monkeypatch):
+    lines = ["- Contents:", "  - Key: a", "    Size: 1", "  - Key: 'b: c'", "  RequestCharged: null", "---", "- CommonPrefixes:", "  - Prefix: p/", "- Contents:", "  - Key: d", "    Size: 2"]
+    df = spark.createDataFrame([(f, k, x) for f in ("x", "y", None) for k, x in enumerate(lines[: 5 if f == "y" else None])], "file string, line_no int, value string")
+    read = lambda: sorted((str(x.file), x.Key, x.Size) for x in n._yaml_pages(df).collect())
+    of = lambda f: [(f, "a", "1"), (f, "b: c", None)] + [(f, "d", "2")] * (f != "y")
+    assert read() == sorted(of("x") + of("y") + of("None"))
+    assert n._yaml_pages(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(n, "LONG_FILE", 6)
+    assert read() == sorted(of("x") + of("y") + of("None"))
