@@ -85,13 +85,15 @@ def _repeated(df: DataFrame, n: Column) -> DataFrame:
 _WORD = 63
 
 
-def _alike(shown: dict[str, Column]) -> list[Column]:
-    """Aggregates by which a field's exposed values are told apart: the ends of two hashes of them.
+def _hashes() -> list[Column]:
+    """Two hashes of each field's exposed value; two different values pass for equal where both are equal, with a chance of 2^-96."""
+    shown = {f: F.lower(f) if f == "etag" else F.col(f) for f in _VALUES}
+    return [F.when(c.isNotNull(), h).alias(f"hash{k}_{f}") for f, c in shown.items() for k, h in enumerate((F.xxhash64(c), F.hash(F.lit(1), c)))]
 
-    Two different values pass for equal where both hashes are equal, with a chance of 2^-96.
-    """
-    two = {f: (F.xxhash64(c), F.hash(F.lit(1), c)) for f, c in shown.items()}
-    return [g(F.when(shown[f].isNotNull(), h)).alias(f"{n}{k}_{f}") for f, hs in two.items() for k, h in enumerate(hs) for n, g in (("low", F.min), ("high", F.max))]
+
+def _alike() -> list[Column]:
+    """Aggregates by which a field's exposed values are told apart: the ends of their hashes."""
+    return [g(f"hash{k}_{f}").alias(f"{n}{k}_{f}") for f in _VALUES for k in (0, 1) for n, g in (("low", F.min), ("high", F.max))]
 
 
 def _may_differ(rows: DataFrame, odd: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -108,7 +110,7 @@ def _may_differ(rows: DataFrame, odd: DataFrame, n: int, by: list[str]) -> DataF
     return at(rows).join(F.broadcast(lines), "_line").filter(held).select(*rows.columns)
 
 
-def _members_diff(rows: DataFrame, most: int) -> DataFrame:
+def _members_diff(rows: DataFrame, most: int, apart: bool = False) -> DataFrame:
     """(g, m, kind, key, field, tool_value, reference_value) of rows(g, m, members, key, ...): how member m > 0 of a group differs from member 0.
 
     One aggregation by (g, key) holds which members have the key, in bitmaps of `most` members, how many rows they have in all, and
@@ -116,13 +118,16 @@ def _members_diff(rows: DataFrame, most: int) -> DataFrame:
     none; all members' rows of the other keys are taken from a second scan, by a broadcast of up to BROADCAST_KEYS keys, and beyond by
     a join of the rows that a bitmap of these keys lets pass. So each row is shuffled once, however many members there are, and
     again only where its key differs; the rows of such keys are written once for all that asks for them.
+    apart: members come from scans of their own, so that a task hardly sees a key twice: rows go to their key's task as they are, with
+    hashes for values, instead of as wider sums of one row each.
     """
     at, value, none = ["g", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
     bit = lambda k: F.when((F.col("m") >= k * _WORD) & (F.col("m") < (k + 1) * _WORD), F.expr("shiftleft(1L, cast(m % 63 as int))")).otherwise(F.lit(0).cast("long"))
     words = [f"has_{k}" for k in range(-(-most // _WORD))]
-    of_key = rows.groupBy(*at).agg(
+    slim = rows.select(*at, "m", "members", *_hashes())
+    of_key = (slim.repartition(*at) if apart else slim).groupBy(*at).agg(
         F.max("members").alias("members"), F.count("*").alias("n"), F.count(F.when(F.col("m") == 0, 1)).alias("n_ref"), *[F.bit_or(bit(k)).alias(w) for k, w in enumerate(words)],
-        *_alike({f: F.lower(f) if f == "etag" else F.col(f) for f in _VALUES}),
+        *_alike(),
     )
     unlike = F.lit(False)
     for f in _VALUES:
@@ -152,7 +157,7 @@ def _members_diff(rows: DataFrame, most: int) -> DataFrame:
 def diff_tagged(both: DataFrame) -> DataFrame:
     """(pair, kind, key, field, tool_value, reference_value) of tagged(pair, side, key, ...): groups of two members."""
     rows = both.select(F.col("pair").alias("g"), F.col("side").alias("m"), F.lit(2).alias("members"), *FIELDS)
-    return _members_diff(rows, 2).withColumnRenamed("g", "pair").drop("m")
+    return _members_diff(rows, 2, apart=True).withColumnRenamed("g", "pair").drop("m")
 
 
 def listing_diff(ref: DataFrame, act: DataFrame) -> DataFrame:

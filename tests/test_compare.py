@@ -94,3 +94,14 @@ def test_rows_that_may_differ(spark):
     odd = rows.filter("id % 200 = 7")
     got = {r.id for r in c._may_differ(rows, odd, 100, ["g", "key"]).collect()}
     assert {i for i in range(20_000) if i % 200 == 7} <= got and len(got) < 1_000
+
+
+def test_two_listings_are_shuffled_as_rows_with_hashes(spark, monkeypatch):
+    plans, checkpoint = [], c.checkpoint
+    monkeypatch.setattr(c, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or checkpoint(df))
+    schema = "key string, size string, etag string, mtime string, storage_class string"
+    ref = spark.createDataFrame([("a", "1", "AB", "t", None), ("b", "1", "e", "t", "S"), ("b", "1", "e", "t", "S"), ("c", "1", None, None, None)], schema)
+    act = spark.createDataFrame([("a", "1", "ab", "t", "S"), ("b", "2", None, "u", "S"), ("d", None, None, None, None), ("d", None, None, None, None)], schema)
+    found = sorted((r.kind, r.key, r.field or "") for r in c.listing_diff(ref, act).collect())
+    assert found == [("duplicate", "d", ""), ("extra", "d", ""), ("extra", "d", ""), *[("mismatch", "b", f) for f in ("mtime", "mtime", "size", "size")], ("missing", "c", ""), ("reference_duplicate", "b", "")]
+    assert "HashAggregate" not in plans[0][plans[0].index("Exchange") :]
