@@ -23,15 +23,17 @@ class Format:
     """One way of printing a listing.
 
     raw: `lines` (a column value), `json` (lines of JSON) or `rows` (declared columns).
-    schema: the declared columns of JSON lines. pick: the rows that are records.
-    fields: their key and exposed fields, given the run's prefix.
+    schema: the declared columns of JSON lines. pick: the rows that may be records. where: which of them are.
+    fields: their key and exposed fields, given the run's prefix. number: the count of raw's records, where picking them does more than a count asks for.
     """
 
     id: str
     raw: str
     fields: Callable[[Column], dict[str, Column]]
-    pick: Callable[[DataFrame], DataFrame] = lambda df: df
+    where: Callable[[], Column] | None = None
     schema: str | None = None
+    pick: Callable[[DataFrame], DataFrame] = lambda df: df
+    number: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _ls(value: Column) -> list[Column]:
@@ -148,8 +150,8 @@ def _spaced_level(prefix: Column) -> dict[str, Column]:
     return out | {"key": F.concat(prefix, F.when(stored, rest(f, 6)).otherwise(rest(f, 2)))}
 
 
-def _not_dir(df: DataFrame) -> DataFrame:
-    return df.filter((F.trim(_v()) != "") & (field(awk_fields(_v()), 1) != "DIR"))
+def _not_dir() -> Column:
+    return (F.trim(_v()) != "") & (field(awk_fields(_v()), 1) != "DIR")
 
 
 def _folder_json(prefix: Column) -> dict[str, Column]:
@@ -260,6 +262,58 @@ def _yaml_ranges(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return _yaml_items(now)
 
 
+#: Lines that one bitmap holds, as a power of 2, and lines that are summed up together.
+_MASK, _BLOCK = 5, 18
+
+
+def _yaml_number(df: DataFrame) -> DataFrame:
+    """(count) of the items that `_yaml_pages` returns, by bitmaps of 32 lines, as a count needs no line's text.
+
+    A bitmap row is summed up by what lies in Contents in front of its first section (head, if Contents came before) and behind (inside):
+    the number of beginning items, and its first line with whether that one begins none, which is an item too where it is a file's first one.
+    These sums run from bitmap to bitmap in a block, then from block to block, so no task has to see a whole file.
+    """
+    name, line = F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1), F.col("line_no").cast("long")
+    kind = F.when(name == "Contents", 3).when((name != "") | _v().startswith("---"), 2).when(_v().rlike(r"^\s*- "), 1).otherwise(0)
+    lines = df.filter(_v().isNotNull()).select("file", F.shiftright(line, _BLOCK).alias("block"), F.shiftright(line, _MASK).alias("mask"), F.expr(f"shiftleft(1L, cast(pmod(cast(line_no as bigint), {1 << _MASK}) as int))").alias("bit"), kind.alias("kind"))
+    of = lambda c: F.bit_or(F.when(c, F.col("bit")).otherwise(F.lit(0).cast("long")))
+    k = F.col("kind")
+    masks = lines.groupBy("file", "block", "mask").agg(of(k >= 2).alias("tops"), of(k == 3).alias("opens"), of(k == 1).alias("begins"), of(k < 2).alias("plain"), F.count_if(k > 0).alias("n"))
+    once = F.when(F.expr("n = bit_count(tops) + bit_count(begins) and tops & plain = 0"), F.col("mask")).otherwise(F.raise_error(F.concat(F.lit("a line number twice in file "), F.coalesce("file", F.lit("NULL")))).cast("long"))
+    whole = (1 << (1 << _MASK)) - 1
+    masks = masks.select(
+        "file", "block", once.alias("mask"), "begins", "plain", F.expr("case when tops <> 0 then opens > tops ^ opens end").alias("last"),
+        F.expr(f"case when tops <> 0 then (tops & -tops) - 1 else {whole}L end").alias("head"), F.expr(f"{whole}L & ~tops").alias("free"), F.expr(f"shiftleft(opens, 1) & {whole}L & ~tops").alias("starts"),
+    ).withColumn("inside", F.expr("((free + starts) ^ free) & free"))  # adding a run's lowest bit carries through all of it
+
+    def sums(part: str) -> list[Column]:
+        first = F.expr(f"plain & {part} & -(plain & {part})")
+        at = F.when(first != 0, (F.shiftleft("mask", _MASK) + F.bit_count(first - 1)) * 2 + F.when(F.col("begins").bitwiseAND(first) == 0, 1).otherwise(0))
+        return [F.expr(f"cast(bit_count(begins & {part}) as bigint)").alias(f"n_{part}"), at.alias(f"first_{part}")]
+
+    def run(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+        """Sums of rows in the order of `at`, with what came before taken in."""
+        came = F.last("last", ignorenulls=True).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1))
+        now, held, open_ = rows.withColumn("came", came), F.col("came"), F.col("came").isNull()
+        return now.groupBy(*by).agg(
+            F.max_by("last", F.when(F.col("last").isNotNull(), F.col(at))).alias("last"),
+            F.sum(F.when(open_, F.col("n_head")).otherwise(0)).alias("n_head"), F.min(F.when(open_, F.col("first_head"))).alias("first_head"),
+            F.sum(F.col("n_inside") + F.when(held, F.col("n_head")).otherwise(0)).alias("n_inside"), F.min(F.least("first_inside", F.when(held, F.col("first_head")))).alias("first_inside"),
+        )
+
+    blocks = run(masks.select("file", "block", "mask", "last", *sums("head"), *sums("inside")), ["file", "block"], "mask")
+    files = run(blocks, ["file"], "block")
+    return files.agg(F.coalesce(F.sum(F.col("n_inside") + F.coalesce(F.col("first_inside").bitwiseAND(1), F.lit(0))), F.lit(0)).alias("count"))
+
+
+def _each(name: str) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """How records that are a column's elements are picked and counted."""
+    return {
+        "pick": lambda df: df.select(F.explode(name).alias("c")),
+        "number": lambda df: df.agg(F.coalesce(F.sum(F.array_size(name)), F.lit(0)).alias("count")),
+    }
+
+
 def _yaml_fields(prefix: Column) -> dict[str, Column]:
     stamp = F.regexp_replace(F.regexp_replace(F.replace(F.col("LastModified"), F.lit(" "), F.lit("T")), r"\.\d+(?=(Z|\+00:?00)\z)", ""), r"\+00:?00\z", "Z")
     return {
@@ -268,71 +322,70 @@ def _yaml_fields(prefix: Column) -> dict[str, Column]:
     }
 
 
-_nonempty = lambda df: df.filter(_v() != "")
+_nonempty = lambda: _v() != ""
 _KEY_ONLY = lambda key: (lambda prefix: {"key": key()})
 _UPPER_JSON = "Key string, Size bigint, ETag string, LastModified string, StorageClass string"
 _LOWER_JSON = "key string, type string, size bigint, etag string, last_modified string, storage_class string"
 _CAMEL_JSON = "key string, type string, size bigint, etag string, lastModified string, storageClass string"
 _LSJSON = "Path string, Size bigint, ModTime string, IsDir boolean, Tier string"
 PAGE_SCHEMA = "Contents array<struct<Key:string,Size:bigint,ETag:string,LastModified:string,StorageClass:string>>, CommonPrefixes array<struct<Prefix:string>>"
-_NOTHING = lambda df: df.filter(F.lit(False))
 
 FORMATS: dict[str, Format] = {
-    "tsv5": Format("N1", "lines", _five_tabbed, lambda df: df.filter((_v() != "") & F.when(F.size(tabbed(_v())) == 5, True).otherwise(F.raise_error(F.concat(F.lit("a line without five fields: "), F.left(_v(), F.lit(200))))))),
-    "contents": Format("N2", "rows", _contents, lambda df: df.select(F.explode("Contents").alias("c")), PAGE_SCHEMA),
-    "common_prefixes": Format("N3", "rows", lambda p: {"key": F.col("c.Prefix")}, lambda df: df.select(F.explode("CommonPrefixes").alias("c")), PAGE_SCHEMA),
-    "ls": Format("N4", "lines", _ls_fields, lambda df: df.filter(_ls(_v())[0] != "")),
-    "ls_level": Format("N5", "lines", _ls_level, lambda df: df.filter((_pre() != "") | (_ls(_v())[0] != ""))),
-    "yaml_pages": Format("N6", "lines", _yaml_fields, _yaml_pages),
-    "tsv6": Format("N7", "lines", _six_tabbed, lambda df: df.filter((_v() != "") & F.coalesce(field(tabbed(_v()), 6), F.lit("")).isin("", "OBJECT"))),
-    "sink_json": Format("N8", "json", _sink_rows, lambda df: df.filter(F.coalesce("row_type", F.lit("OBJECT")) == "OBJECT"), "key string, size bigint, last_modified string, etag string, storage_class string, row_type string"),
+    "tsv5": Format("N1", "lines", _five_tabbed, lambda: F.when(_v() != "", F.when(F.size(tabbed(_v())) == 5, True).otherwise(F.raise_error(F.concat(F.lit("a line without five fields: "), F.left(_v(), F.lit(200))))))),
+    "contents": Format("N2", "rows", _contents, schema=PAGE_SCHEMA, **_each("Contents")),
+    "common_prefixes": Format("N3", "rows", lambda p: {"key": F.col("c.Prefix")}, schema=PAGE_SCHEMA, **_each("CommonPrefixes")),
+    "ls": Format("N4", "lines", _ls_fields, lambda: _ls(_v())[0] != ""),
+    "ls_level": Format("N5", "lines", _ls_level, lambda: (_pre() != "") | (_ls(_v())[0] != "")),
+    "yaml_pages": Format("N6", "lines", _yaml_fields, pick=_yaml_pages, number=_yaml_number),
+    "tsv6": Format("N7", "lines", _six_tabbed, lambda: (_v() != "") & F.coalesce(field(tabbed(_v()), 6), F.lit("")).isin("", "OBJECT")),
+    "sink_json": Format("N8", "json", _sink_rows, lambda: F.coalesce("row_type", F.lit("OBJECT")) == "OBJECT", "key string, size bigint, last_modified string, etag string, storage_class string, row_type string"),
     "table": Format(
         "N9", "lines", lambda p: {"key": F.expr("substring(value, 43)"), "size": F.trim(F.substring(_v(), 1, 14)), "mtime": F.trim(F.substring(_v(), 17, 24))},
-        lambda df: df.filter((F.expr("substring(value, 43)") != "") & ~F.trim(F.substring(_v(), 1, 14)).isin("", "-", "PRE")),
+        lambda: (F.expr("substring(value, 43)") != "") & ~F.trim(F.substring(_v(), 1, 14)).isin("", "-", "PRE"),
     ),
     "sink_parquet": Format(
         "N10", "rows",
         lambda p: {"key": F.decode("key", "UTF-8"), "size": F.col("size").cast("string"), "etag": F.col("etag"), "mtime": F.date_format("last_modified", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "storage_class": F.col("storage_class")},
-        lambda df: df.filter(F.coalesce("row_type", F.lit("OBJECT")) == "OBJECT"),
+        lambda: F.coalesce("row_type", F.lit("OBJECT")) == "OBJECT",
     ),
     "tsv_last": Format("N11", "lines", _last_tabbed, _nonempty),
-    "aligned": Format("N12", "lines", _aligned, lambda df: df.filter((F.length(_v()) >= 43) & (_aligned_parts()[2] != "") & ((_aligned_parts()[1] == "PRE") | ((_aligned_parts()[0] != "") & (_aligned_parts()[1] != ""))))),
+    "aligned": Format("N12", "lines", _aligned, lambda: (F.length(_v()) >= 43) & (_aligned_parts()[2] != "") & ((_aligned_parts()[1] == "PRE") | ((_aligned_parts()[0] != "") & (_aligned_parts()[1] != "")))),
     "key_json": Format("N13", "json", _key_or_prefix, schema=f"{_UPPER_JSON}, Prefix string"),
     "keys": Format("N14", "lines", _KEY_ONLY(_v), _nonempty),
-    "object_lines": Format("N15", "lines", _objects, lambda df: df.filter(_v().startswith("Object: "))),
+    "object_lines": Format("N15", "lines", _objects, lambda: _v().startswith("Object: ")),
     "path_json": Format("N16", "json", _path_tier, schema=_LSJSON),
     "path_level": Format("N17", "json", _path_level, schema=_LSJSON),
-    "path_size": Format("N18", "lines", lambda p: {"key": F.concat(p, F.regexp_extract(_v(), r"(?s)\A(.*);", 1)), "size": F.regexp_extract(_v(), r"(?s);([^;]*)\z", 1)}, lambda df: df.filter(_v().contains(";"))),
-    "url_lines": Format("N19", "lines", _url_lines, lambda df: df.filter((F.locate("s3://", _v()) > 0) & F.expr(f"locate('/', {_URL}) > 0") & (_url_key() != ""))),
+    "path_size": Format("N18", "lines", lambda p: {"key": F.concat(p, F.regexp_extract(_v(), r"(?s)\A(.*);", 1)), "size": F.regexp_extract(_v(), r"(?s);([^;]*)\z", 1)}, lambda: _v().contains(";")),
+    "url_lines": Format("N19", "lines", _url_lines, lambda: (F.locate("s3://", _v()) > 0) & F.expr(f"locate('/', {_URL}) > 0") & (_url_key() != "")),
     "spaced": Format("N20", "lines", _spaced(), _not_dir),
     "spaced_versions": Format("N21", "lines", _spaced(lambda f: F.size(f) - 1), _not_dir),
-    "spaced_level": Format("N22", "lines", _spaced_level, lambda df: df.filter(F.trim(_v()) != "")),
+    "spaced_level": Format("N22", "lines", _spaced_level, lambda: F.trim(_v()) != ""),
     "urls": Format("N23", "lines", _KEY_ONLY(lambda: F.regexp_replace(_v(), _BUCKET, "")), _nonempty),
     "url_json": Format(
         "N24", "json",
         lambda p: {"key": F.regexp_replace("key", _BUCKET, ""), "size": F.col("size").cast("string"), "etag": F.col("etag"), "mtime": F.col("last_modified"), "storage_class": F.col("storage_class")},
-        lambda df: df.filter(~F.col("type").eqNullSafe("dir")), _LOWER_JSON,
+        lambda: ~F.col("type").eqNullSafe("dir"), _LOWER_JSON,
     ),
     "folder_json": Format("N25", "json", _folder_json, schema=_CAMEL_JSON),
     "found_json": Format("N26", "json", _found_json, schema=_CAMEL_JSON),
-    "found": Format("N27", "lines", _KEY_ONLY(lambda: F.regexp_replace(_v(), _ALIAS, "")), lambda df: df.filter(~_v().rlike(r"\A\s*\z"))),
-    "bracketed": Format("N28", "lines", _bracketed, lambda df: df.filter(_v().rlike(_BRACKETED))),
-    "version_key": Format("N29", "lines", _KEY_ONLY(lambda: F.expr("substring(value, locate(' ', value) + 1)")), lambda df: df.filter(F.locate(" ", _v()) > 0)),
-    "long": Format("N30", "lines", lambda p: {"key": rest(awk_fields(_v()), 4)}, lambda df: df.filter((F.trim(_v()) != "") & (F.size(awk_fields(_v())) >= 4))),
+    "found": Format("N27", "lines", _KEY_ONLY(lambda: F.regexp_replace(_v(), _ALIAS, "")), lambda: ~_v().rlike(r"\A\s*\z")),
+    "bracketed": Format("N28", "lines", _bracketed, lambda: _v().rlike(_BRACKETED)),
+    "version_key": Format("N29", "lines", _KEY_ONLY(lambda: F.expr("substring(value, locate(' ', value) + 1)")), lambda: F.locate(" ", _v()) > 0),
+    "long": Format("N30", "lines", lambda p: {"key": rest(awk_fields(_v()), 4)}, lambda: (F.trim(_v()) != "") & (F.size(awk_fields(_v())) >= 4)),
     "raw_json": Format("N31", "json", lambda p: {"key": F.col("Key"), "size": F.col("Size").cast("string"), "etag": unquoted(F.col("ETag")), "mtime": whole_seconds(F.col("LastModified")), "storage_class": F.col("StorageClass")}, schema=_UPPER_JSON),
     "epoch_parquet": Format("N32", "rows", lambda p: {"key": F.col("Key"), "size": F.col("Size").cast("string"), "etag": F.col("ETag"), "mtime": F.date_format(F.timestamp_seconds(F.col("LastModified").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'")}),
-    "totals": Format("N33", "lines", _KEY_ONLY(_v), _NOTHING),
+    "totals": Format("N33", "lines", _KEY_ONLY(_v), lambda: F.lit(False)),
 }
 
 
-def _records(raw: DataFrame, fmt: str) -> tuple[Format, DataFrame]:
+def _format(fmt: str) -> Format:
     if fmt not in FORMATS:
         raise ValueError(f"unknown listing format: {fmt}")
-    form = FORMATS[fmt]
-    if form.raw == "json" and "value" in raw.columns:
-        kept = [c for c in raw.columns if c != "value"]
-        raw = raw.filter(_v() != "").select(*kept, F.from_json("value", form.schema, {"mode": "FAILFAST"}).alias("j")).select(*kept, "j.*")
-    return form, form.pick(raw)
+    return FORMATS[fmt]
+
+
+def _parsed(form: Format) -> Column:
+    return F.from_json("value", form.schema, {"mode": "FAILFAST"})
 
 
 def normalize(raw: DataFrame, fmt: str, *, prefix: str | Column = "") -> DataFrame:
@@ -341,14 +394,32 @@ def normalize(raw: DataFrame, fmt: str, *, prefix: str | Column = "") -> DataFra
     raw: lines in a column value, or declared columns. prefix: the run's, as text or
     as a column of raw. Fields that a format doesn't expose are NULL.
     """
-    form, rows = _records(raw, fmt)
+    form = _format(fmt)
+    if form.raw == "json" and "value" in raw.columns:
+        kept = [c for c in raw.columns if c != "value"]
+        raw = raw.filter(_v() != "").select(*kept, _parsed(form).alias("j")).select(*kept, "j.*")
+    rows = form.pick(raw)
+    if form.where:
+        rows = rows.filter(form.where())
     own = form.fields(F.lit(prefix) if isinstance(prefix, str) else prefix)
     return rows.select(*[own.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS])
 
 
 def count_native(raw: DataFrame, fmt: str) -> DataFrame:
-    """(count) of the records that `normalize` would return, without making their fields."""
-    return _records(raw, fmt)[1].agg(F.count("*").alias("count"))
+    """(count) of the records that `normalize` would return, without making their fields.
+
+    Rows are judged by a column that is counted, not by a filter: a filter is pushed below the expression that makes `value`, which
+    is then made anew for each place that names it.
+    """
+    form = _format(fmt)
+    if form.number:
+        return form.number(raw)
+    some = F.lit(True)
+    if form.raw == "json" and "value" in raw.columns:
+        some = F.col("_some")
+        raw = raw.select((_v() != "").alias("_some"), F.when(_v() != "", _parsed(form)).alias("j")).select("_some", "j.*")
+    record = some & form.where() if form.where else some
+    return raw.select(record.alias("_record")).agg(F.count_if("_record").alias("count"))
 
 
 def delimiter_pages(raw: DataFrame) -> DataFrame:

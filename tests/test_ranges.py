@@ -40,3 +40,33 @@ def test_segments_of_one_hot_key(spark, small_ranges, monkeypatch):
     out = k.assign_segment(df, cuts).groupBy("key", "segment").count().collect()
     assert sum(r["count"] for r in out) == 6_000 and {r.segment for r in out if r.key == "m"} == {3}
     assert all(r.segment == (r.key >= "00010") for r in out if r.key != "m")
+
+
+def test_yaml_items_are_counted_as_they_are_read(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from keyscape.operators import normalize as n
+
+    words = ["- Contents:", "Contents:", "  Contents:", "  Prefix: null", "---", "- Contents: []", "  - Key: a", "    Size: 1", "  - ETag: 'e'", "    - Key: b", "", "  Key:", None, "  note"]
+    draw = random.Random(5)
+    rows = [(f, k, draw.choice(words)) for f, size in [("a", 3000), ("b", 33), ("c", 64), (None, 90), *[(f"s{i}", i % 40) for i in range(120)]] for k in range(size)]
+    rows += [("far", (1 << 20) * k + j, draw.choice(words[k % 5:])) for k in range(4) for j in range(40)]
+    rows += [("late", k, "    Size: 1" if k % 70 else "  - Key: a") for k in range(400)] + [("head", k, w) for k, w in enumerate(["- Contents:", *["    Size: 1"] * 70, "  - Key: a"])]
+    rows += [("below", k - 50, draw.choice(words)) for k in range(100)]
+    df = spark.createDataFrame(rows, "file string, line_no long, value string").repartition(3)
+    for part in (df, df.filter("file = 'head'"), df.filter("file = 'late'"), df.limit(0), *[df.filter(F.col("file") == f"s{i}") for i in (1, 7, 39)]):
+        assert n.count_native(part, "yaml_pages").first()["count"] == n.normalize(part, "yaml_pages").count()
+    assert n.count_native(df.filter("file = 'head'"), "yaml_pages").first()["count"] == 2  # the first begins at a line that isn't marked
+
+
+def test_a_count_prints_each_line_once(spark):
+    """Filters were pushed below what makes a line, which was then made once for each place that names it."""
+    from pyspark.sql import functions as F
+
+    from keyscape.operators.normalize import count_native
+
+    made = spark.range(10).select(F.concat(F.lit("2020-01-02 03:04:05         12  s3://bucket/k"), F.md5(F.col("id").cast("string"))).alias("value"))
+    for fmt in ("url_lines", "aligned", "table", "ls_level"):
+        assert count_native(made, fmt)._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
