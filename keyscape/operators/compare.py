@@ -110,7 +110,13 @@ def _may_differ(rows: DataFrame, odd: DataFrame, n: int, by: list[str]) -> DataF
     return at(rows).join(F.broadcast(lines), "_line").filter(held).select(*rows.columns)
 
 
-def _members_diff(rows: DataFrame, most: int, apart: bool = False) -> DataFrame:
+def _words(most: int) -> dict[str, Column]:
+    """The aggregates of presence bitmaps of `most` members, by name."""
+    bit = lambda k: F.when((F.col("m") >= k * _WORD) & (F.col("m") < (k + 1) * _WORD), F.expr("shiftleft(1L, cast(m % 63 as int))")).otherwise(F.lit(0).cast("long"))
+    return {f"has_{k}": F.bit_or(bit(k)) for k in range(-(-most // _WORD))}
+
+
+def _members_diff(rows: DataFrame, most: int) -> DataFrame:
     """(g, m, kind, key, field, tool_value, reference_value) of rows(g, m, members, key, ...): how member m > 0 of a group differs from member 0.
 
     One aggregation by (g, key) holds which members have the key, in bitmaps of `most` members, how many rows they have in all, and
@@ -118,15 +124,10 @@ def _members_diff(rows: DataFrame, most: int, apart: bool = False) -> DataFrame:
     none; all members' rows of the other keys are taken from a second scan, by a broadcast of up to BROADCAST_KEYS keys, and beyond by
     a join of the rows that a bitmap of these keys lets pass. So each row is shuffled once, however many members there are, and
     again only where its key differs; the rows of such keys are written once for all that asks for them.
-    apart: members come from scans of their own, so that a task hardly sees a key twice: rows go to their key's task as they are, with
-    hashes for values, instead of as wider sums of one row each.
     """
-    at, value, none = ["g", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
-    bit = lambda k: F.when((F.col("m") >= k * _WORD) & (F.col("m") < (k + 1) * _WORD), F.expr("shiftleft(1L, cast(m % 63 as int))")).otherwise(F.lit(0).cast("long"))
-    words = [f"has_{k}" for k in range(-(-most // _WORD))]
-    slim = rows.select(*at, "m", "members", *_hashes())
-    of_key = (slim.repartition(*at) if apart else slim).groupBy(*at).agg(
-        F.max("members").alias("members"), F.count("*").alias("n"), F.count(F.when(F.col("m") == 0, 1)).alias("n_ref"), *[F.bit_or(bit(k)).alias(w) for k, w in enumerate(words)],
+    at, words = ["g", "key"], _words(most)
+    of_key = rows.select(*at, "m", "members", *_hashes()).groupBy(*at).agg(
+        F.max("members").alias("members"), F.count("*").alias("n"), F.count(F.when(F.col("m") == 0, 1)).alias("n_ref"), *[c.alias(w) for w, c in words.items()],
         *_alike(),
     )
     unlike = F.lit(False)
@@ -137,7 +138,12 @@ def _members_diff(rows: DataFrame, most: int, apart: bool = False) -> DataFrame:
     odd = checkpoint(odd.select(*at, "members", "n_ref", "unlike", *words))
     keys, n_odd = odd.select(*at, "n_ref", "unlike"), odd.count()
     own = rows.join(F.broadcast(keys), at) if n_odd <= BROADCAST_KEYS else _may_differ(rows, odd, n_odd, at).join(keys, at)
-    own = checkpoint(own.select(*at, "m", "n_ref", "unlike", *_VALUES))
+    return _odd_diff(odd, checkpoint(own.select(*at, "m", "n_ref", "unlike", *_VALUES)), list(words))
+
+
+def _odd_diff(odd: DataFrame, own: DataFrame, words: list[str]) -> DataFrame:
+    """The result of `_members_diff` from the keys that differ, odd(g, key, members, n_ref, unlike, words), and their rows, own(g, key, m, n_ref, unlike, ...)."""
+    at, value, none = ["g", "key"], F.struct(*_VALUES), F.lit(None).cast("string")
     tool = own.filter("m > 0").groupBy(*at, "m").agg(F.count("*").alias("n"), F.min(value).alias("t"), F.first("n_ref").alias("n_ref"), F.first("unlike").alias("unlike"))
     some = tool.select(*at, "m", F.explode(F.array_compact(F.array(
         F.when(F.col("n_ref") == 0, F.struct(F.lit("extra").alias("kind"), F.col("n").alias("n"))), F.when(F.col("n") > 1, F.struct(F.lit("duplicate").alias("kind"), F.lit(1).cast("long").alias("n"))),
@@ -154,10 +160,39 @@ def _members_diff(rows: DataFrame, most: int, apart: bool = False) -> DataFrame:
     return plain.unionByName(wrong.select("g", "m", F.lit("mismatch").alias("kind"), "key", "d.*"))
 
 
+def differing(both: DataFrame) -> DataFrame:
+    """The rows of tagged(pair, side, key, ...) whose key differs between the sides, with the key's rows (n), those of side 0 (n_ref) and whether exposed values differ (unlike); written once.
+
+    Sides come from scans of their own, so a task hardly sees a key twice: rows go to their key's task once, whole, and are judged and
+    kept there, without sums of one row each and without a second scan for values.
+    """
+    shown = {f: F.lower(f) if f == "etag" else F.col(f) for f in _VALUES}
+    placed = both.select("pair", "side", *FIELDS).repartition("pair", "key").withColumn("_hash", F.xxhash64("key"))  # sorted by a number, then by texts
+    key = W.partitionBy("_hash", "pair", "key")
+    ends = {f"_{n}_{f}": g(c).over(key) for f, c in shown.items() for n, g in (("low", F.min), ("high", F.max))}
+    judged = placed.withColumns({"n": F.count("*").over(key), "n_ref": F.count(F.when(F.col("side") == 0, 1)).over(key)} | ends)
+    unlike = F.lit(False)
+    for f in _VALUES:
+        unlike |= F.coalesce(F.col(f"_low_{f}") != F.col(f"_high_{f}"), F.lit(False))
+    odd = judged.withColumn("unlike", unlike).filter("n <> 2 or n_ref <> 1 or unlike")
+    return checkpoint(odd.select("pair", "side", *FIELDS, "n", "n_ref", "unlike"))
+
+
+def mirrored(odd: DataFrame) -> DataFrame:
+    """The rows of `differing` with its sides exchanged."""
+    return odd.withColumns({"side": 1 - F.col("side"), "n_ref": F.col("n") - F.col("n_ref")})
+
+
+def diff_differing(odd: DataFrame) -> DataFrame:
+    """(pair, kind, key, field, tool_value, reference_value) of the rows of `differing`."""
+    own = odd.withColumnsRenamed({"pair": "g", "side": "m"})
+    keys = own.groupBy("g", "key").agg(F.lit(2).alias("members"), F.first("n_ref").alias("n_ref"), F.first("unlike").alias("unlike"), *[c.alias(w) for w, c in _words(2).items()])
+    return _odd_diff(keys, own, list(_words(2))).withColumnRenamed("g", "pair").drop("m")
+
+
 def diff_tagged(both: DataFrame) -> DataFrame:
     """(pair, kind, key, field, tool_value, reference_value) of tagged(pair, side, key, ...): groups of two members."""
-    rows = both.select(F.col("pair").alias("g"), F.col("side").alias("m"), F.lit(2).alias("members"), *FIELDS)
-    return _members_diff(rows, 2, apart=True).withColumnRenamed("g", "pair").drop("m")
+    return diff_differing(differing(both))
 
 
 def listing_diff(ref: DataFrame, act: DataFrame) -> DataFrame:

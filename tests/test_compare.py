@@ -105,3 +105,39 @@ def test_two_listings_are_shuffled_as_rows_with_hashes(spark, monkeypatch):
     found = sorted((r.kind, r.key, r.field or "") for r in c.listing_diff(ref, act).collect())
     assert found == [("duplicate", "d", ""), ("extra", "d", ""), ("extra", "d", ""), *[("mismatch", "b", f) for f in ("mtime", "mtime", "size", "size")], ("missing", "c", ""), ("reference_duplicate", "b", "")]
     assert "HashAggregate" not in plans[0][plans[0].index("Exchange") :]
+
+
+def test_both_ways_from_one_comparison(spark):
+    """Each row of two listings is made once, and the rows of keys that differ hold the diff of either way."""
+    import random
+
+    draw, made = random.Random(7), spark.sparkContext.accumulator(0)
+    some = lambda *xs: draw.choice(xs)
+    sides = [[(f"p{draw.randrange(2)}", k, f"k{draw.randrange(60)}", some("1", "1", "2", None), some("a", "A", "b", None), some("T1", "T1", "T2"), some("S", None)) for _ in range(120)] for k in (0, 1)]
+    sides[1] += [(p, 1, *rest) for p, _, *rest in sides[0]] + [("only", 1, "k1", "1", None, None, None)]
+    sides[0] += [("alike", 0, "k1", "1", "E", None, "S"), ("few", 0, "k2", "1", "E", None, "S")]
+    sides[1] += [("alike", 1, "k1", "1", "e", "T", "S"), ("few", 1, "k2", None, None, None, None)]
+    rows = spark.createDataFrame(sides[0] + sides[1], "pair string, side int, key string, size string, etag string, mtime string, storage_class string")
+    again = F.udf(lambda x: (made.add(1), x)[1], "string").asNondeterministic()
+    odd = c.differing(rows.withColumn("key", again("key")))
+    assert made.value == rows.count()
+    assert {r.pair for r in odd.select("pair").distinct().collect()} == {"p0", "p1", "only"}
+
+    def plain(pair: str, way: int) -> list:
+        out, ref, act = [], {}, {}
+        for p, side, key, *values in sides[0] + sides[1]:
+            if p == pair:
+                (ref if side == way else act).setdefault(key, []).append(values)
+        for key in {*ref, *act}:
+            r, a = ref.get(key, []), act.get(key, [])
+            out += [(pair, "missing", key, None, None, None) for _ in r if not a] + [(pair, "extra", key, None, None, None) for _ in a if not r]
+            out += [(pair, "duplicate", key, None, None, None)] * (len(a) > 1) + [(pair, "reference_duplicate", key, None, None, None)] * (len(r) > 1)
+            first = min(a, key=lambda v: [(x is not None, x or "") for x in v], default=None)
+            fold = lambda f, x: x.lower() if f == "etag" else x
+            out += [(pair, "mismatch", key, f, t, x) for v in r if first for f, t, x in zip(("size", "etag", "mtime", "storage_class"), first, v) if None not in (t, x) and fold(f, t) != fold(f, x)]
+        return out
+
+    order = lambda found: sorted(map(str, found))
+    for way, kept in ((0, odd), (1, c.mirrored(odd))):
+        found = c.diff_differing(kept).select("pair", "kind", "key", "field", "tool_value", "reference_value").collect()
+        assert order(map(tuple, found)) == order(x for p in ("p0", "p1", "only", "alike", "few") for x in plain(p, way))
