@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyscape.operators.compare import pair_verdict
+from keyscape.operators.compare import counted_verdict, diff_counts
 from keyscape.sources.shared import checkpoint
 
 _DIFF = "attempt_id string, kind string, key string, field string, tool_value string, reference_value string"
@@ -36,11 +36,11 @@ def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted((int(n.split(".")[0]), n.split(".")[1]) for n in names if n[0] not in "_.")
 
 
-def _digest(diff: DataFrame) -> DataFrame:
-    """(attempt_id, digest) of each attempt's rows in any order: their number and the sums of two hashes of them."""
+def _digest() -> Column:
+    """The aggregate of an attempt's rows in any order: their number and the sums of two hashes of them."""
     row = [F.coalesce(F.col(c), F.lit("\0")) for c in ("kind", "key", "field", "tool_value", "reference_value")]
     wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")).cast("string")
-    return diff.groupBy("attempt_id").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), wide(1), wide(2)), 256).alias("digest"))
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), wide(1), wide(2)), 256)
 
 
 def write_verify(diff: DataFrame, attempts: DataFrame, path: str) -> None:
@@ -56,10 +56,10 @@ def write_verify(diff: DataFrame, attempts: DataFrame, path: str) -> None:
     diff = diff.select(*[F.col(c.split()[0]) for c in _DIFF.split(", ")])
     diff.repartitionByRange("attempt_id", "key").sortWithinPartitions("attempt_id", "key").write.parquet(f"{path}/diff/generation={generation}")
     diff = spark.read.schema(_DIFF).parquet(f"{path}/diff/generation={generation}")
-    if not diff.join(attempts, "attempt_id", "left_anti").isEmpty():
+    sums = checkpoint(diff.groupBy("attempt_id").agg(*diff_counts(), _digest().alias("digest")))  # a row for each attempt
+    if not sums.join(attempts, "attempt_id", "left_anti").isEmpty():
         raise ValueError("the diff has rows of attempts that weren't compared")
-    verdicts = pair_verdict(diff.withColumnRenamed("attempt_id", "pair"), attempts.select(F.col("attempt_id").alias("pair"))).withColumnRenamed("pair", "attempt_id")
-    records = verdicts.join(_digest(diff), "attempt_id", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.lit("0::"), 256)))
+    records = counted_verdict(attempts.join(sums, "attempt_id", "left")).withColumn("digest", F.coalesce("digest", F.sha2(F.lit("0::"), 256)))
     records.select(*[c.split()[0] for c in _RECORD.split(", ")]).write.parquet(f"{path}/record/generation={generation}")
     number = max((n for n, _ in _commits(spark, path)), default=0) + 1
     fs, marker = _file_system(spark, f"{path}/commits/{_NAME % (number, generation)}")
