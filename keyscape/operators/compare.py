@@ -158,14 +158,13 @@ def differing(both: DataFrame) -> DataFrame:
     side's least values (least). Sides come from scans of their own, so a task hardly sees a key twice: rows go to their key's task once,
     whole, and are judged there, without sums of one row each and without a second scan for values.
     """
-    shown = {f: F.lower(f) if f == "etag" else F.col(f) for f in _VALUES}
     placed = both.select("pair", "side", *FIELDS).repartition("pair", "key").withColumn("_hash", F.xxhash64("key"))  # sorted by a number, then by texts
     key, side = W.partitionBy("_hash", "pair", "key"), F.col("side")
-    ends = {f"_{n}_{f}": g(c).over(key) for f, c in shown.items() for n, g in (("low", F.min), ("high", F.max))}
+    ends = {f"_{n}_{f}": g(f).over(key) for f in _VALUES for n, g in (("one", F.first), ("two", F.last))}  # of two rows, all that there are
     judged = placed.withColumns({"_n": F.count("*").over(key), "_n_ref": F.count(F.when(side == 0, 1)).over(key)} | ends)
     unlike = F.lit(False)
     for f in _VALUES:
-        unlike |= F.coalesce(F.col(f"_low_{f}") != F.col(f"_high_{f}"), F.lit(False))
+        unlike |= F.coalesce(_differs(f, F.col(f"_one_{f}"), F.col(f"_two_{f}")), F.lit(False))
     odd = judged.filter((F.col("_n") != 2) | (F.col("_n_ref") != 1) | unlike)
     least = [F.min(F.when(side == k, F.struct(*_VALUES))).over(key) for k in (0, 1)]
     own = F.when(side == 0, F.col("_n_ref")).otherwise(F.col("_n") - F.col("_n_ref"))
