@@ -177,6 +177,22 @@ def test_candidates_are_placed_once_for_all_slots_of_a_spec(spark, monkeypatch):
     assert "_block" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_are_made_by_numbers_of_specs(spark):
+    """The join that makes the pairs looks at a spec's number and hashes one block of places; a slot with a NULL in its spec has no candidate."""
+    slots, attempts = _slots_and_attempts(spark)
+    lost = slots.filter("group_id = 'g' and slot = 1").withColumns({"slot": F.lit(8).cast("long"), "producer": F.lit('{"tool":"x"}')})
+    out = e.slot_candidates(slots.unionByName(lost), attempts)
+    assert "ShuffledHashJoin [spec" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("slot = 8").count() == 0 and out.count() == 16
+
+
+def test_ordinals_are_counted_over_narrow_rows(spark):
+    from keyscape.plans.evidence_plans import _attempts
+
+    plan = _attempts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan and "md5" not in plan[plan.index("row_number") :]
+
+
 def test_owed_reasons_of_disqualified_candidates(spark):
     slots, attempts = _slots_and_attempts(spark)
     settled, none = "every candidate is settled and none published a usable artifact", "no attempt in this group produces what it consumes"
