@@ -36,13 +36,18 @@ def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted((int(n.split(".")[0]), n.split(".")[1]) for n in names if n[0] not in "_.")
 
 
-def _digest() -> Column:
+def _summed() -> Column:
     """The aggregate of an attempt's rows in any order: their number and the sums of two hashes of them."""
     row = [F.coalesce(F.col(c), F.lit("\0")) for c in ("kind", "key", "field", "tool_value", "reference_value")]
     wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")).cast("string")
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), wide(1), wide(2)), 256)
 
 
+def _digest(diff: DataFrame) -> DataFrame:
+    """(attempt_id, digest) of the attempts that have rows in diff."""
+    return diff.groupBy("attempt_id").agg(_summed().alias("digest"))
+
+
 def write_verify(diff: DataFrame, attempts: DataFrame, path: str) -> None:
     """The records of attempts(attempt_id), all that were compared, with their rows of diff(attempt_id, kind, ...).
 
@@ -56,7 +61,7 @@ def write_verify(diff: DataFrame, attempts: DataFrame, path: str) -> None:
     diff = diff.select(*[F.col(c.split()[0]) for c in _DIFF.split(", ")])
     diff.repartitionByRange("attempt_id", "key").sortWithinPartitions("attempt_id", "key").write.parquet(f"{path}/diff/generation={generation}")
     diff = spark.read.schema(_DIFF).parquet(f"{path}/diff/generation={generation}")
-    sums = checkpoint(diff.groupBy("attempt_id").agg(*diff_counts(), _digest().alias("digest")))  # a row for each attempt
+    sums = checkpoint(diff.groupBy("attempt_id").agg(*diff_counts(), _summed().alias("digest")))  # a row for each attempt
     if not sums.join(attempts, "attempt_id", "left_anti").isEmpty():
         raise ValueError("the diff has rows of attempts that weren't compared")
     records = counted_verdict(attempts.join(sums, "attempt_id", "left")).withColumn("digest", F.coalesce("digest", F.sha2(F.lit("0::"), 256)))
