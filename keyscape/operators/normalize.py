@@ -218,26 +218,43 @@ def _yaml_pages(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return _yaml_files(df.join(F.broadcast(long), of_long, "left_anti")).unionByName(_yaml_ranges(df.join(F.broadcast(long), of_long, "left_semi")))
 
 
+#: Fixed value: what a regular expression's \\s matches.
+_SPACE = " \t\n\x0b\f\r"
+
+
 def _yaml_section() -> tuple[Column, Column]:
-    """Whether a line opens a section or a document, and the name of that section, "" for a document."""
-    top = _v().rlike(r"^(- |  )?[A-Za-z]+:") | _v().rlike("^---")
-    return top, F.when(top, F.when(_v().rlike("^---"), F.lit("")).otherwise(F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1)))
+    """Whether a line opens a section or a document, and the name of that section, "" for a document; lines that are further indented are told by their first characters."""
+    inner = _v().startswith("   ") | _v().startswith("  -")
+    name = F.when(inner, "").otherwise(F.regexp_extract(_v(), r"\A(?:- |  )?([A-Za-z]+):", 1))
+    opened = F.when(name != "", name).when(_v().startswith("---"), "")
+    return opened.isNotNull(), opened
+
+
+def _begins() -> Column:
+    """Whether a line begins an item, in any section."""
+    return F.ltrim(_v(), F.lit(_SPACE)).startswith("- ")
 
 
 def _yaml_items(lines: DataFrame) -> DataFrame:
-    """The fields of lines' items (file, item)."""
-    pair = r"^\s*(?:- )?\s*([A-Za-z]+):\s*(.*?)\s*$"
-    name, text = F.regexp_extract(_v(), pair, 1), F.regexp_replace(F.regexp_extract(_v(), pair, 2), r"""\A(['"])(.*)\1\z""", "$2")
+    """The fields of lines' items (file, item). A field's text is what is behind its colon, without blanks around it and then without quotes."""
+    names = ("Key", "Size", "ETag", "LastModified", "StorageClass")
+    body = F.ltrim(_v(), F.lit(_SPACE))
+    pair = lines.select("file", "item", F.when(body.startswith("- "), F.ltrim(F.substring(body, 3, 1 << 30), F.lit(_SPACE))).otherwise(body).alias("_pair"))
+    name = F.substring_index("_pair", ":", 1)
+    text = F.when(F.col("_pair").contains(":"), F.btrim(F.substring("_pair", F.length(name) + 2, F.lit(1 << 30)), F.lit(_SPACE)))  # NULL: a line without a field
+    pair = pair.select("file", "item", name.alias("_name"), text.alias("_text"))
+    text, first = F.col("_text"), F.left("_text", F.lit(1))
+    text = F.when(first.isin("'", '"') & (F.length(text) > 1) & text.endswith(first), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     pick = lambda k: F.max(F.when(F.col("_name") == k, F.col("_text"))).alias(k)
-    return lines.select("file", "item", name.alias("_name"), text.alias("_text")).groupBy("file", "item").agg(*map(pick, ("Key", "Size", "ETag", "LastModified", "StorageClass")))
+    return pair.select("file", "item", "_name", text.alias("_text")).groupBy("file", "item").agg(*map(pick, names))
 
 
 def _yaml_files(df: DataFrame) -> DataFrame:
     order = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     top, opened = _yaml_section()
-    now = df.select("file", "line_no", "value").withColumns({"top": top, "opened": opened}).withColumn("own", F.last("opened", ignorenulls=True).over(order))
-    now = now.filter((F.col("own") == "Contents") & ~F.col("top"))
-    return _yaml_items(now.withColumn("item", F.count(F.when(_v().rlike(r"^\s*- "), 1)).over(order)))
+    now = df.filter(_v().isNotNull()).select("file", "line_no", "value", opened.alias("opened")).withColumn("own", F.last("opened", ignorenulls=True).over(order))
+    now = now.filter((F.col("own") == "Contents") & F.col("opened").isNull())
+    return _yaml_items(now.withColumn("item", F.count(F.when(_begins(), 1)).over(order)))
 
 
 def _yaml_ranges(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -245,9 +262,9 @@ def _yaml_ranges(df: DataFrame, partitions: int | None = None) -> DataFrame:
     begins, in front of its first section and behind; these states run from range to range, so that no task has to see a whole file.
     """
     top, opened = _yaml_section()
-    parts = ranged(df.select("file", "line_no", "value"), "file", "line_no", partitions=partitions)
+    parts = ranged(df.filter(_v().isNotNull()).select("file", "line_no", "value"), "file", "line_no", partitions=partitions)
     order = W.partitionBy("file", "_range").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    now = parts.withColumn("top", top).withColumn("own", F.last(opened, ignorenulls=True).over(order)).withColumn("begins", ~F.col("top") & _v().rlike(r"^\s*- "))
+    now = parts.withColumn("top", top).withColumn("own", F.last(opened, ignorenulls=True).over(order)).withColumn("begins", ~F.col("top") & _begins())
     count = lambda c: F.count(F.when(F.col("begins") & c, 1))
     sums = parts.withColumn("top", top).groupBy("file", "_range").agg(F.max_by(F.when(F.col("top"), opened), F.when(F.col("top"), F.col("line_no"))).alias("last"))
     inner = now.groupBy("file", "_range").agg(count(F.col("own").isNull()).alias("head"), count(F.col("own") == "Contents").alias("inside"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyscape.functions.listing import FIELDS
@@ -14,12 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of lineitem (key, size, etag, mtime, storage_class) with l_orderkey and shipped (a timestamp)."""
-    li = table(spark, sf_dir, "lineitem")
+    return listed(table(spark, sf_dir, "lineitem"))
+
+
+def listed(li: DataFrame, *more: Column) -> DataFrame:
+    """The listing of rows of lineitem, with l_orderkey, shipped and further columns of these rows."""
     key = F.concat_ws("/", F.lit("li"), F.year("l_shipdate"), F.month("l_shipdate"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return li.select(
         "l_orderkey", F.col("l_shipdate").alias("shipped"), key.alias("key"), F.col("l_quantity").cast("bigint").cast("string").alias("size"), F.md5(key).alias("etag"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"),
-        F.when(F.col("l_returnflag") == "A", "STANDARD").when(F.col("l_returnflag") == "N", "STANDARD_IA").otherwise("GLACIER").alias("storage_class"),
+        F.when(F.col("l_returnflag") == "A", "STANDARD").when(F.col("l_returnflag") == "N", "STANDARD_IA").otherwise("GLACIER").alias("storage_class"), *more,
     )
 
 

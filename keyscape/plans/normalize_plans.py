@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyscape.operators.normalize import count_native, delimiter_pages, normalize
 
-from .data import LISTING, with_order
+from .data import LISTING, listed, table, with_order
 
 _DAY, _TIME = "substring(mtime, 1, 10)", "substring(mtime, 12, 8)"
 _MILLIS = "replace(mtime, 'Z', '.250Z')"
@@ -96,21 +96,45 @@ _EXPECTED = {
 }
 
 
-def _pages(li: DataFrame) -> DataFrame:
-    """A page of nested objects and prefixes for each order and day."""
+def _items(li: DataFrame, *by) -> DataFrame:
+    """A page of nested objects and prefixes, and their number n, for each value of `by`."""
     item = F.struct(F.col("key").alias("Key"), F.col("size").cast("bigint").alias("Size"), F.concat(F.lit('"'), "etag", F.lit('"')).alias("ETag"), F.replace("mtime", F.lit("Z"), F.lit("+00:00")).alias("LastModified"), F.col("storage_class").alias("StorageClass"))
-    return li.groupBy("l_orderkey", "shipped").agg(F.collect_list(item).alias("Contents"), F.collect_list(F.struct(F.concat("key", F.lit("/")).alias("Prefix"))).alias("CommonPrefixes"))
+    return li.groupBy(*by).agg(F.collect_list(item).alias("Contents"), F.collect_list(F.struct(F.concat("key", F.lit("/")).alias("Prefix"))).alias("CommonPrefixes"), F.count("*").alias("n"))
 
 
-def _yaml(li: DataFrame) -> DataFrame:
-    """YAML lines (file, line_no, value): a file for each order and day, its page a list of objects."""
-    pages = _pages(li).select(F.concat_ws("@", "l_orderkey", "shipped").alias("file"), "Contents")
-    item = lambda c: F.array(
-        F.concat(F.lit("  - ETag: '"), c["ETag"], F.lit("'")), F.concat(F.lit("    Key: "), c["Key"]), F.concat(F.lit("    LastModified: '"), c["LastModified"], F.lit("'")),
-        F.concat(F.lit("    Size: "), c["Size"].cast("string")), F.concat(F.lit("    StorageClass: "), c["StorageClass"]),
-    )
-    lines = F.concat(F.array(F.lit("- Contents:")), F.flatten(F.transform("Contents", item)), F.array(F.lit("  RequestCharged: null"), F.lit("---"), F.lit("- Contents: []")))
-    return pages.select("file", F.posexplode(lines).alias("line_no", "value"))
+#: Rows of lineitem whose pages one task makes, about: a row of a few numbers becomes ten lines of text, so bytes shuffled don't tell what a task holds.
+TASK_ROWS = 100_000
+
+
+def _dealt(spark, d: str, *by) -> DataFrame:
+    """Rows of lineitem dealt out by a page's name, narrow as they are, before anything is made of them."""
+    li = table(spark, d, "lineitem")
+    return li.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // TASK_ROWS), *by)
+
+
+def _pages(spark, d: str) -> DataFrame:
+    """A page for each order and day."""
+    return _items(listed(_dealt(spark, d, "l_orderkey", "l_shipdate")), "l_orderkey", "shipped").drop("n")
+
+
+#: Lines of an item of a YAML page, and how their values are quoted.
+_YAML_ITEM = {"ETag": "'", "Key": "", "LastModified": "'", "Size": "", "StorageClass": ""}
+
+
+def _yaml(spark, d: str) -> DataFrame:
+    """YAML lines (file, line_no, value): a file for each order and day, its page a list of objects.
+
+    A file's lines lie together, as its rows were dealt out by its name. The number of lines comes of a count, so that who asks for no line's text doesn't have the page made.
+    """
+    file = F.concat_ws("@", "l_orderkey", "l_shipdate")
+    pages = _items(listed(_dealt(spark, d, file), file.alias("file")), "file").select("file", "n", "Contents")
+    lines = pages.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") * len(_YAML_ITEM) + 3).cast("int"))).alias("line_no"))
+    at, item = F.col("line_no") - 1, F.col("n") * len(_YAML_ITEM)
+    c, k = F.get("Contents", F.floor(at / len(_YAML_ITEM)).cast("int")), at % len(_YAML_ITEM)
+    value = F.when(at < 0, "- Contents:").when(at == item, "  RequestCharged: null").when(at == item + 1, "---").when(at == item + 2, "- Contents: []")
+    for i, (name, quote) in enumerate(_YAML_ITEM.items()):
+        value = value.when(k == i, F.concat(F.lit(("    " if i else "  - ") + f"{name}: {quote}"), c[name].cast("string"), F.lit(quote)))
+    return lines.select("file", "line_no", value.alias("value"))
 
 
 def raw(spark, d: str, fmt: str) -> DataFrame:
@@ -120,9 +144,9 @@ def raw(spark, d: str, fmt: str) -> DataFrame:
     if fmt in _JSON:
         return li.selectExpr(f"to_json({_JSON[fmt]}) AS value")
     if fmt in ("contents", "common_prefixes"):
-        return _pages(li)
+        return _pages(spark, d)
     if fmt == "yaml_pages":
-        return _yaml(li)
+        return _yaml(spark, d)
     if fmt == "sink_parquet":
         return li.select(F.encode("key", "UTF-8").alias("key"), F.col("size").cast("bigint").alias("size"), "etag", F.col("shipped").alias("last_modified"), "storage_class", F.when(F.col("l_orderkey") % 10 > 0, "OBJECT").otherwise("COMMON_PREFIX").alias("row_type"))
     return li.select(F.col("key").alias("Key"), F.col("size").cast("decimal(20,0)").alias("Size"), F.unix_seconds(F.col("shipped").cast("timestamp")).cast("decimal(20,0)").alias("LastModified"), F.col("etag").alias("ETag"))

@@ -70,3 +70,27 @@ def test_a_count_prints_each_line_once(spark):
     made = spark.range(10).select(F.concat(F.lit("2020-01-02 03:04:05         12  s3://bucket/k"), F.md5(F.col("id").cast("string"))).alias("value"))
     for fmt in ("url_lines", "aligned", "table", "ls_level"):
         assert count_native(made, fmt)._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
+
+
+def test_yaml_lines_are_not_shuffled_behind_their_files():
+    """n6: rows of lineitem are dealt out by file, narrow, once; lines, windows and items follow where they lie, and a count of lines makes no page."""
+    from pyspark.sql import SparkSession
+
+    from keyscape.plans.normalize_plans import QUERIES, raw
+
+    spark, d = SparkSession.getActiveSession(), "/root/testdata/sf0.001"
+    plan = QUERIES["n6_yaml_pages"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "md5" not in plan[plan.index("Exchange ") :]
+    assert "md5" not in raw(spark, d, "yaml_pages").groupBy("file").count()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_yaml_fields_with_odd_blanks_and_quotes(spark):
+    from keyscape.operators import normalize as n
+
+    lines = ["- Contents:", "  - \tKey: 'a'b'  ", "\t  Size:7\r", "    ETag: \"", "    LastModified: 'x\"", "  - StorageClass: ''", "    Key: a\rb: c", "  - Other: x", None, "    Key", "    Keys: z", "- Contents:", "    Key: d"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, value string")
+    want = [("'a'b'"[1:-1], "7", '"', "'x\"", None), ("a\rb: c", None, None, None, ""), ("d", None, None, None, None)]
+    names = ("Key", "Size", "ETag", "LastModified", "StorageClass")
+    for partitions in (None, 3):
+        out = n._yaml_pages(df, partitions).orderBy("item").collect()
+        assert [tuple(r[c] for c in names) for r in out] == want
