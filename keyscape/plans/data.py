@@ -17,9 +17,23 @@ def with_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(table(spark, sf_dir, "lineitem"))
 
 
+#: Rows of lineitem that one task makes texts of, about: bytes shuffled don't tell what it holds, as rows of a few numbers become long texts.
+TASK_ROWS = 100_000
+
+
+def dealt(li: DataFrame, *by) -> DataFrame:
+    """Rows of lineitem dealt out by what will gather them, narrow as they are, before a listing is made of them."""
+    return li.repartition(max(int(li.sparkSession.conf.get("spark.sql.shuffle.partitions")), li.count() // TASK_ROWS), *by)
+
+
+def listed_key() -> Column:
+    """The key of a row of lineitem."""
+    return F.concat_ws("/", F.lit("li"), F.year("l_shipdate"), F.month("l_shipdate"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
 def listed(li: DataFrame, *more: Column) -> DataFrame:
     """The listing of rows of lineitem, with l_orderkey, shipped and further columns of these rows."""
-    key = F.concat_ws("/", F.lit("li"), F.year("l_shipdate"), F.month("l_shipdate"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    key = listed_key()
     return li.select(
         "l_orderkey", F.col("l_shipdate").alias("shipped"), key.alias("key"), F.col("l_quantity").cast("bigint").cast("string").alias("size"), F.md5(key).alias("etag"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"),

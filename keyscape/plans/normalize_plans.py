@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyscape.operators.normalize import count_native, delimiter_pages, normalize
 
-from .data import LISTING, listed, table, with_order
+from .data import LISTING, dealt, listed, table, with_order
 
 _DAY, _TIME = "substring(mtime, 1, 10)", "substring(mtime, 12, 8)"
 _MILLIS = "replace(mtime, 'Z', '.250Z')"
@@ -102,19 +102,9 @@ def _items(li: DataFrame, *by) -> DataFrame:
     return li.groupBy(*by).agg(F.collect_list(item).alias("Contents"), F.collect_list(F.struct(F.concat("key", F.lit("/")).alias("Prefix"))).alias("CommonPrefixes"), F.count("*").alias("n"))
 
 
-#: Rows of lineitem whose pages one task makes, about: a row of a few numbers becomes ten lines of text, so bytes shuffled don't tell what a task holds.
-TASK_ROWS = 100_000
-
-
-def _dealt(spark, d: str, *by) -> DataFrame:
-    """Rows of lineitem dealt out by a page's name, narrow as they are, before anything is made of them."""
-    li = table(spark, d, "lineitem")
-    return li.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // TASK_ROWS), *by)
-
-
 def _pages(spark, d: str) -> DataFrame:
     """A page for each order and day."""
-    return _items(listed(_dealt(spark, d, "l_orderkey", "l_shipdate")), "l_orderkey", "shipped").drop("n")
+    return _items(listed(dealt(table(spark, d, "lineitem"), "l_orderkey", "l_shipdate")), "l_orderkey", "shipped").drop("n")
 
 
 #: Lines of an item of a YAML page, and how their values are quoted.
@@ -127,7 +117,7 @@ def _yaml(spark, d: str) -> DataFrame:
     A file's lines lie together, as its rows were dealt out by its name. The number of lines comes of a count, so that who asks for no line's text doesn't have the page made.
     """
     file = F.concat_ws("@", "l_orderkey", "l_shipdate")
-    pages = _items(listed(_dealt(spark, d, file), file.alias("file")), "file").select("file", "n", "Contents")
+    pages = _items(listed(dealt(table(spark, d, "lineitem"), file), file.alias("file")), "file").select("file", "n", "Contents")
     lines = pages.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") * len(_YAML_ITEM) + 3).cast("int"))).alias("line_no"))
     at, item = F.col("line_no") - 1, F.col("n") * len(_YAML_ITEM)
     c, k = F.get("Contents", F.floor(at / len(_YAML_ITEM)).cast("int")), at % len(_YAML_ITEM)

@@ -15,7 +15,7 @@ from keyscape.sources import listings as s
 from keyscape.sources.records import read_verify, write_verify
 from keyscape.sources.shared import scratch_path
 
-from .data import LISTING, damaged, listing, reference, table
+from .data import LISTING, damaged, dealt, listed, listed_key, listing, reference, table
 from .normalize_plans import _EXPECTED, raw
 
 
@@ -46,6 +46,18 @@ def _ndjson(spark, d):
 PAGE_ROWS = 20_000
 
 
+def _listed_pages(spark, d: str, element) -> DataFrame:
+    """(page, items): the listing's rows gathered as `element`, dealt out by page as rows of lineitem; a page has about PAGE_ROWS records."""
+    li = table(spark, d, "lineitem")
+    page = F.pmod(F.xxhash64(listed_key()), F.lit(max(1, li.count() // PAGE_ROWS))).cast("string")
+    return listed(dealt(li, page), page.alias("page")).groupBy("page").agg(F.collect_list(element).alias("items"))
+
+
+def _page_files(pages: DataFrame, path: str) -> None:
+    """A file for each row (page, j)."""
+    pages.select("page", F.col("j").alias("value")).write.partitionBy("page").text(path)
+
+
 def _pages(rows: DataFrame, by, element: str, *own: str) -> DataFrame:
     """rows with `element` gathered to pages, and the page's name; each page has about PAGE_ROWS records, however many rows there are."""
     n = max(1, rows.count() // PAGE_ROWS)
@@ -56,16 +68,15 @@ def _pages(rows: DataFrame, by, element: str, *own: str) -> DataFrame:
 def _array(spark, d):
     """An array for each page."""
     path = scratch_path(spark, "s4")
-    rows = listing(spark, d).select("key", F.struct(F.col("key").alias("Path"), F.col("size").cast("bigint").alias("Size"), F.col("mtime").alias("ModTime"), F.lit(False).alias("IsDir"), F.col("storage_class").alias("Tier")).alias("e"))
-    _files(_pages(rows, "key", "e").select("page", F.to_json("items").alias("j")), "page", "j", path)
+    item = F.struct(F.col("key").alias("Path"), F.col("size").cast("bigint").alias("Size"), F.col("mtime").alias("ModTime"), F.lit(False).alias("IsDir"), F.col("storage_class").alias("Tier"))
+    _page_files(_listed_pages(spark, d, item).select("page", F.to_json("items").alias("j")), path)
     return normalize(s.read_json_array(spark, f"{path}/*", "Path string, Size bigint, ModTime string, IsDir boolean, Tier string"), "path_json", prefix="top/")
 
 
 def _object(spark, d):
     path = scratch_path(spark, "s5")
     item = F.struct(F.col("key").alias("Key"), F.col("size").cast("bigint").alias("Size"), F.col("etag").alias("ETag"), F.col("mtime").alias("LastModified"), F.col("storage_class").alias("StorageClass"))
-    rows = _pages(listing(spark, d).select("key", item.alias("e")), "key", "e").select("page", F.to_json(F.struct(F.col("items").alias("Contents"))).alias("j"))
-    _files(rows, "page", "j", path)
+    _page_files(_listed_pages(spark, d, item).select("page", F.to_json(F.struct(F.col("items").alias("Contents"))).alias("j")), path)
     pages = s.read_json_object(spark, f"{path}/*")
     return normalize(pages, "contents").unionByName(normalize(pages, "common_prefixes"))
 
@@ -122,7 +133,7 @@ def _claims(spark, d):
     claim = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.lit("supported").alias("status"), evidence.alias("evidence"))
     rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("tool"), claim.alias("e"))
     rows = _pages(rows, "o_orderkey", "e", "tool").select("page", F.to_json(F.struct("tool", F.col("items").alias("claims"))).alias("j"))
-    _files(rows, "page", "j", path)
+    _page_files(rows, path)
     claims, evidence = s.read_claims(spark, f"{path}/*")
     return evidence.join(claims.select("tool", F.col("id").alias("claim_id"), "status"), ["tool", "claim_id"]).select("tool", "claim_id", "status", "kind", "receipt")
 

@@ -3,7 +3,8 @@
 A document is scanned as the pieces between its commas, which Spark reads by ranges of bytes. What a piece means depends on
 whether it begins within a string and how deep. A range of pieces is summed up by the parity of its quotes and by how
 far its brackets go up or down, for either beginning; these states run from range to range of a file, and then each range finds its
-elements from the state that it begins with. Only elements that lie across two ranges are put together again.
+elements from the state that it begins with. Only elements that lie across two ranges are put together again. Short
+files have one range and need no states: each is cut as it is read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,30 @@ _STEP[[0x7D, 0x5D]] = -1
 BROADCAST_RANGES = 100_000
 #: Bytes of pieces that a task looks at together.
 _BLOCK = 1 << 22
+#: A file of more bytes than this, or a compressed one, is read by ranges; a shorter one is one value.
+WHOLE_FILE = 1 << 23
+_COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)\z"
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, value) of the text between commas, each block in order within one task."""
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, long) of the files that aren't empty, and whether each is read by ranges; no content is read."""
     meta = F.col("_metadata")
-    return spark.read.option("lineSep", ",").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("value"))
+    long = (F.col("length") > WHOLE_FILE) | meta["file_name"].rlike(_COMPRESSED)
+    return spark.read.format("binaryFile").load(path).filter("length > 0").select(meta["file_path"].alias("file"), long.alias("long"))
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the files that aren't long, each whole."""
+    meta = F.col("_metadata")
+    texts = spark.read.text(path, wholetext=True).filter((meta["file_size"] > 0) & (meta["file_size"] <= WHOLE_FILE) & ~meta["file_name"].rlike(_COMPRESSED))
+    return texts.select(meta["file_path"].alias("file"), F.col("value").cast("binary").alias("value"))
+
+
+def _pieces(spark: SparkSession, path: str, whole: int = 0) -> DataFrame:
+    """(file, block, value) of the text between commas, each block in order within one task; of files of more than `whole` bytes and of compressed ones."""
+    meta = F.col("_metadata")
+    pieces = spark.read.option("lineSep", ",").text(path).filter((meta["file_size"] > whole) | meta["file_name"].rlike(_COMPRESSED))
+    return pieces.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
@@ -117,6 +136,28 @@ def _cut(level: int):
     return run
 
 
+def _cut_whole(level: int):
+    """Fragments (file, block, at, tail, begins, ends, value) of whole files, as `_cut` makes them; without tails, as no range follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(batch.column("file"), batch.column("value"), strict=True):
+                data = np.frombuffer(text.as_py() + b",", np.uint8)
+                held, step = _structure(data, False)
+                deep = np.cumsum(step, dtype=np.int64)
+                if held[-1] or deep[-1] != 0:
+                    raise ValueError(f"not a whole JSON document: {file.as_py()}")
+                cuts = np.flatnonzero((data == _COMMA) & ~held & (deep <= level))
+                at, ends = np.arange(len(cuts)), deep[cuts]
+                offsets = np.concatenate([[0], cuts - at]).astype(np.int32)  # behind the commas that are taken out
+                value = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.delete(data, cuts))])
+                names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(cuts), np.int32)), pa.array([file.as_py()])).cast(pa.string())
+                columns = [names, pa.array(np.zeros(len(cuts), np.int64)), pa.array(at), pa.array(np.zeros(len(cuts), bool)), pa.array(np.concatenate([[-1], ends[:-1]])), pa.array(ends), value]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "block", "at", "tail", "begins", "ends", "value"])
+
+    return run
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "at", "tail", "begins", "ends", "value"])
@@ -129,7 +170,14 @@ def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
     fragment: only these are gathered. A file that ends within a string or a bracket, or closes more than it opens, fails the job.
     """
     to_workers(spark)
-    pieces = _pieces(spark, path)
+    kinds, kept = "file string, block long, at long, tail boolean, begins long, ends long, value binary", ("file", "place", "begins", "ends", "value")
+    # once: readers ask for fragments many times
+    written = scratch_path(spark, "fragments")
+    _texts(spark, path).mapInArrow(_cut_whole(level), kinds).write.option("compression", "zstd").parquet(written)
+    short = spark.read.schema(kinds).parquet(written).select("file", F.struct("block", "at").alias("place"), *kept[2:])
+    if files_of(spark, path).filter("long").isEmpty():
+        return short
+    pieces = _pieces(spark, path, WHOLE_FILE)
     states = checkpoint(_states(pieces.mapInArrow(_summary, "file string, block long, odd long, out long, within long")))
     whole = (F.col("open") == 0) & (F.col("end") == 0)
     states = states.withColumn("inside", F.when(whole, F.col("inside")).otherwise(F.raise_error(F.concat(F.lit("not a whole JSON document: "), "file"))))
@@ -138,8 +186,8 @@ def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
         joined = pieces.join(F.broadcast(begun), ["file", "block"])
     else:
         joined = pieces.withColumn("order", F.monotonically_increasing_id()).join(begun, ["file", "block"]).sortWithinPartitions("file", "block", "order")
-    kinds, written = "file string, block long, at long, tail boolean, begins long, ends long, value binary", scratch_path(spark, "fragments")
-    joined.select("file", "block", "inside", "depth", "value").mapInArrow(_cut(level), kinds).write.parquet(written)  # once: readers ask for fragments many times
+    written = scratch_path(spark, "fragments")
+    joined.select("file", "block", "inside", "depth", "value").mapInArrow(_cut(level), kinds).write.option("compression", "zstd").parquet(written)
     cut = spark.read.schema(kinds).parquet(written)
     tails = checkpoint(cut.filter("tail").select("file", "block", F.col("at").alias("cuts")))  # a row for each range
     order = W.partitionBy("file").orderBy("block")
@@ -156,14 +204,14 @@ def _fragments(spark: SparkSession, path: str, level: int) -> DataFrame:
     rows = rows.select("file", place.alias("place"), (head | F.col("tail")).alias("across"), "block", "begins", "ends", "value")
     parts = rows.filter("across").groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("block", "value"))).alias("p"), F.max("begins").alias("begins"), F.max("ends").alias("ends"))
     parts = parts.select("file", "place", "begins", "ends", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.value))").alias("value"))
-    return rows.filter("not across").select("file", "place", "begins", "ends", "value").unionByName(parts)
+    return short.unionByName(rows.filter("not across").select(*kept)).unionByName(parts)
 
 
 def _text(value: Column) -> Column:
     return F.decode(value, "UTF-8")
 
 
-_BLANK = r"[\x20\t\r\n]*"
+_BLANKS, _BLANK = " \t\r\n", r"[\x20\t\r\n]*"
 
 
 def array_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -173,14 +221,14 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = _fragments(spark, path, 1)
     ends = rows.groupBy("file").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    ends = F.broadcast(checkpoint(ends)) if spark.read.format("binaryFile").load(path).select("path").count() <= BROADCAST_RANGES else ends  # a row for each file
+    ends = F.broadcast(checkpoint(ends)) if files_of(spark, path).count() <= BROADCAST_RANGES else ends  # a row for each file
     rows = rows.join(ends, "file").select("file", "value", (F.col("place") == F.col("first")).alias("is_first"), (F.col("place") == F.col("last")).alias("is_last"))
-    text = F.regexp_replace(_text(F.col("value")), rf"{_BLANK}\z", "")
+    text = F.rtrim(_text(F.col("value")), F.lit(_BLANKS))
     bad = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), "file"))
     text = F.when(~F.col("is_first"), text).when(text.rlike(rf"\A{_BLANK}\["), F.regexp_replace(text, rf"\A{_BLANK}\[", "")).otherwise(bad("not a JSON array"))
     text = F.when(~F.col("is_last"), text).when(text.endswith("]"), F.left(text, F.length(text) - 1)).otherwise(bad("not a JSON array"))
     rows = rows.withColumn("element", text)
-    empty = F.col("element").rlike(rf"\A{_BLANK}\z")
+    empty = F.ltrim("element", F.lit(_BLANKS)) == ""
     rows = rows.filter(~(empty & F.col("is_first") & F.col("is_last")))
     return rows.select("file", F.when(empty, bad("an empty element")).otherwise(F.col("element")).alias("element"))
 
@@ -191,7 +239,7 @@ def object_members(spark: SparkSession, path: str) -> DataFrame:
     An empty array has no row. A file's members are looked up by where they begin, a row for each of them; what is within
     a member that isn't an array stays one value. Files that aren't one object fail the job.
     """
-    rows = _fragments(spark, path, 2).withColumn("text", F.regexp_replace(_text(F.col("value")), rf"\A{_BLANK}|{_BLANK}\z", ""))
+    rows = _fragments(spark, path, 2).withColumn("text", F.btrim(_text(F.col("value")), F.lit(_BLANKS)))
     begins, ends, text = F.col("begins"), F.col("ends"), F.col("text")
     # a file's first fragment has no comma in front, its last one none behind
     whole = ((begins >= 0) | text.startswith("{")) & ((ends > 0) | text.endswith("}"))
@@ -202,12 +250,14 @@ def object_members(spark: SparkSession, path: str) -> DataFrame:
     top = begins < 2
     rows = rows.withColumn("name", F.when(top, F.regexp_extract("text", head, 1))).withColumn("array", F.when(top, F.regexp_extract("text", head, 2) == "["))
     rows = rows.filter(~(top & (text == "") & (ends <= 0) & (begins < 0) & F.col("whole")))  # an empty object
-    heads = rows.filter(top).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "name", "array"))).alias("heads"))
+    field = F.get(F.from_json(F.concat(F.lit("["), F.col("name"), F.lit("]")), "array<string>"), F.lit(0)).alias("field")  # once for each member
+    heads = rows.filter(top).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "name", "array", field))).alias("heads"))
+    heads = F.broadcast(checkpoint(heads)) if files_of(spark, path).count() <= BROADCAST_RANGES else heads  # a row for each file
     rows = rows.select("file", "place", "begins", "ends", "text", "whole").join(heads, "file").withColumn("own", F.expr("element_at(filter(heads, h -> h.place <= place), -1)"))
     body = F.when(top, F.regexp_replace("text", head, "")).otherwise(text)
     # the last element's text has the array's end behind it
     inner = F.when(F.col("own.array") & (ends < 2), F.regexp_replace(body, rf"{_BLANK}\]\z", "")).otherwise(body)
-    field = F.get(F.from_json(F.concat(F.lit("["), F.col("own.name"), F.lit("]")), "array<string>"), F.lit(0))
+    field = F.col("own.field")
     problem = F.when(~F.col("whole"), "not a JSON object").when(F.col("own.name") == "", "a member without a name")
     found = rows.filter("own.array").select("file", field.alias("field"), F.lit(True).alias("is_array"), inner.alias("value"), problem.alias("problem"), (top & (ends < 2)).alias("only"))
     found = found.filter(~((F.col("value") == "") & F.col("only"))).withColumn("problem", F.coalesce("problem", F.when(F.col("value") == "", "an empty element"))).drop("only")

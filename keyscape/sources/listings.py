@@ -18,8 +18,11 @@ from pyspark.sql import types as T
 
 from keyscape.functions.listing import FIELDS, UNEXPOSED
 from keyscape.operators.normalize import PAGE_SCHEMA
-from keyscape.sources.json_parts import array_elements, object_members
-from keyscape.sources.shared import to_workers
+from keyscape.sources.json_parts import BROADCAST_RANGES, array_elements, files_of, object_members
+from keyscape.sources.shared import checkpoint, to_workers
+
+#: Up to so many characters of files' members are broadcast.
+BROADCAST_TEXT = 1 << 25
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -66,13 +69,22 @@ def read_json_object(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA)
     own = lambda f: T.StructType([T.StructField("v", f.dataType)])
     parsed = lambda f, value: F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), own(f), {"mode": "FAILFAST"})["v"]
     found = object_members(spark, path)
-    # counting all values has each one refused that is malformed, declared or not
-    held = found.groupBy("file").agg(*[F.max(F.when(~F.col("is_array") & (F.col("field") == f.name), F.col("value"))).alias(f.name) for f in plain], F.count("value").alias("_n"))
-    each = found.filter(F.col("is_array") & F.col("field").isin([f.name for f in arrays]))
-    each = each.select("file", *[F.when(F.col("field") == f.name, parsed(f, F.concat(F.lit("["), "value", F.lit("]")))).alias(f.name) for f in arrays])
-    files = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
-    rows = files.join(held, "file", "left").filter(F.coalesce("_n", F.lit(0)) >= 0).join(each, "file", "left")
-    return rows.select(*[parsed(f, F.col(f.name)).alias(f.name) if f in plain else F.col(f.name) for f in kind.fields])
+    element = F.col("is_array") & F.col("field").isin([f.name for f in arrays])
+    # a row for each file; counting all values has each one refused that is malformed, declared or not
+    held = found.groupBy("file").agg(*[F.max(F.when(~F.col("is_array") & (F.col("field") == f.name), F.col("value"))).alias(f.name) for f in plain], F.count("value").alias("_n"), F.count_if(element).alias("_elements"))
+    held = checkpoint(files_of(spark, path).select("file").join(held, "file", "left").filter(F.coalesce("_n", F.lit(0)) >= 0))
+    size = held.agg(F.count("*").alias("n"), *[F.sum(F.length(f.name)).alias(f.name) for f in plain]).first()
+    members = held.select("file", *[f.name for f in plain])
+    members = F.broadcast(members) if size["n"] <= BROADCAST_RANGES and sum(size[f.name] or 0 for f in plain) <= BROADCAST_TEXT else members
+    value = F.concat(F.lit("["), "value", F.lit("]"))
+    each = found.filter(element).join(members, "file") if plain else found.filter(element)
+    # behind `inline`, as a filter on an array would be pushed below its parsing and parse each text twice
+    if arrays:
+        each = each.select(*[f.name for f in plain], F.inline(F.array(F.struct(*[F.when(F.col("field") == f.name, parsed(f, value)).alias(f.name) for f in arrays]))))
+    else:
+        each = each.select(*[f.name for f in plain])
+    none = held.filter(F.coalesce("_elements", F.lit(0)) == 0).select(*[f.name for f in plain], *[F.lit(None).cast(f.dataType).alias(f.name) for f in arrays])
+    return each.unionByName(none).select(*[parsed(f, F.col(f.name)).alias(f.name) if f in plain else F.col(f.name) for f in kind.fields])
 
 
 def _has_part(spark: SparkSession, root: str) -> bool:

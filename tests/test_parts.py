@@ -125,3 +125,45 @@ def test_fragments_are_cut_once(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps({"t": "x", "rows": [{"k": str(i)} for i in range(50)]}))
     found = s.read_json_object(spark, str(tmp_path), "t string, rows array<struct<k:string>>")
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 50
+
+
+@pytest.mark.parametrize("whole", [0, 400, 1 << 23])
+def test_short_files_are_cut_as_they_are_read(spark, small_ranges, tmp_path, monkeypatch, whole):
+    """Short files, long ones and compressed ones together give the same elements, however many bytes a short one may have."""
+    import gzip
+
+    monkeypatch.setattr(json_parts, "WHOLE_FILE", whole)
+    rng, arrays, objects = random.Random(3), [], []
+    for k, count in enumerate((0, 1, 2, 12)):
+        rows = [element(rng) for _ in range(count)]
+        arrays, objects = arrays + rows, objects + [(f"t{k}", r["k"], r["n"]) for r in rows] + [(f"t{k}", None, None)] * (not rows)
+        for kind, doc in (("a", rows), ("o", {"t": f"t{k}", "rows": rows, "odd": [[1, {"x": ","}]]})):
+            (tmp_path / kind).mkdir(exist_ok=True)
+            text = (json.dumps(doc, ensure_ascii=False, indent=k % 2 or None) + "\n" * k).encode()
+            (tmp_path / kind / f"f{k}.json{'.gz' if k == 2 else ''}").write_bytes(gzip.compress(text) if k == 2 else text)
+    (tmp_path / "a" / "empty.json").write_text("")
+    assert sorted(json.dumps(json.loads(r.element)) for r in json_parts.array_elements(spark, str(tmp_path / "a")).collect()) == sorted(map(json.dumps, arrays))
+    found = s.read_json_object(spark, str(tmp_path / "o"), "t string, rows array<struct<k:string,n:bigint>>").collect()
+    assert sorted(((r.t, r.rows[0].k, r.rows[0].n) if r.rows else (r.t, None, None) for r in found), key=str) == sorted(objects, key=str)
+
+
+def test_elements_of_objects_are_not_shuffled(spark, tmp_path):
+    """s5: members of files are broadcast, so elements stay where they are read; and each text is parsed once, not by a filter too."""
+    for k in range(3):
+        (tmp_path / f"f{k}.json").write_text(json.dumps({"t": str(k), "rows": [{"k": str(i)} for i in range(20)]}))
+    found = s.read_json_object(spark, str(tmp_path), "t string, rows array<struct<k:string>>")
+    plan = found.selectExpr("explode(rows)")._jdf.queryExecution()
+    assert "Exchange hashpartitioning" not in plan.executedPlan().toString() and plan.optimizedPlan().toString().count("from_json") == 1
+
+
+def test_short_broken_files_are_refused(spark, tmp_path):
+    (tmp_path / "f.json").write_text('[{"k": "a]}')
+    with pytest.raises((Py4JJavaError, PySparkException)):
+        json_parts.array_elements(spark, str(tmp_path)).collect()
+
+
+def test_pages_are_dealt_out_as_narrow_rows(spark):
+    from keyscape.plans import source_plans
+
+    plan = source_plans._listed_pages(spark, "/root/testdata/sf0.001", json_parts.F.col("key"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "md5" not in plan[plan.index("Exchange ") :]
