@@ -290,9 +290,10 @@ def _yaml_number(df: DataFrame) -> DataFrame:
     the number of beginning items, and its first line with whether that one begins none, which is an item too where it is a file's first one.
     These sums run from bitmap to bitmap in a block, then from block to block, so no task has to see a whole file.
     """
-    name, line = F.regexp_extract(_v(), r"^(?:- |  )?([A-Za-z]+):", 1), F.col("line_no").cast("long")
-    kind = F.when(name == "Contents", 3).when((name != "") | _v().startswith("---"), 2).when(_v().rlike(r"^\s*- "), 1).otherwise(0)
-    lines = df.filter(_v().isNotNull()).select("file", F.shiftright(line, _BLOCK).alias("block"), F.shiftright(line, _MASK).alias("mask"), F.expr(f"shiftleft(1L, cast(pmod(cast(line_no as bigint), {1 << _MASK}) as int))").alias("bit"), kind.alias("kind"))
+    opened, line = F.col("opened"), F.col("line_no").cast("long")
+    kind = F.when(opened == "Contents", 3).when(opened.isNotNull(), 2).when(_begins(), 1).otherwise(0)
+    lines = df.filter(_v().isNotNull()).select("file", "line_no", "value", _yaml_section()[1].alias("opened"))
+    lines = lines.select("file", F.shiftright(line, _BLOCK).alias("block"), F.shiftright(line, _MASK).alias("mask"), F.expr(f"shiftleft(1L, cast(pmod(cast(line_no as bigint), {1 << _MASK}) as int))").alias("bit"), kind.alias("kind"))
     of = lambda c: F.bit_or(F.when(c, F.col("bit")).otherwise(F.lit(0).cast("long")))
     k = F.col("kind")
     masks = lines.groupBy("file", "block", "mask").agg(of(k >= 2).alias("tops"), of(k == 3).alias("opens"), of(k == 1).alias("begins"), of(k < 2).alias("plain"), F.count_if(k > 0).alias("n"))
@@ -439,6 +440,24 @@ def count_native(raw: DataFrame, fmt: str) -> DataFrame:
     return raw.select(record.alias("_record")).agg(F.count_if("_record").alias("count"))
 
 
+def counted_together(fmt: str) -> bool:
+    """Whether `count_lines` counts a format: its records are told by a line alone."""
+    form = _format(fmt)
+    return form.number is None and (form.raw == "lines" or form.raw == "json" and form.where is None)
+
+
+def count_lines(raw: DataFrame, formats: list[str]) -> DataFrame:
+    """(format, count), as `count_native` of each of several formats, of lines (n, value), n being a line's format by its place in `formats`.
+
+    So what the lines of several formats are made of is worked out once for a row.
+    """
+    def record(form: Format) -> Column:
+        return form.where() if form.where and form.raw == "lines" else _v() != "" if form.raw == "json" else F.lit(True)
+
+    sums = raw.agg(*[F.count_if(F.when(F.col("n") == i, record(_format(fmt)))).alias(f"c{i}") for i, fmt in enumerate(formats)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(fmt).alias("format"), F.col(f"c{i}").alias("count")) for i, fmt in enumerate(formats)])))
+
+
 def delimiter_pages(raw: DataFrame) -> DataFrame:
     """A listing of one level from nested pages: common prefixes, then objects."""
     return normalize(raw, "common_prefixes").unionByName(normalize(raw, "contents"))

@@ -94,3 +94,17 @@ def test_yaml_fields_with_odd_blanks_and_quotes(spark):
     for partitions in (None, 3):
         out = n._yaml_pages(df, partitions).orderBy("item").collect()
         assert [tuple(r[c] for c in names) for r in out] == want
+
+
+def test_formats_are_counted_together(spark):
+    """n34: lines of several formats are made from one listing, and each count is that of the format by itself."""
+    from keyscape.operators import normalize as n
+    from keyscape.plans import normalize_plans as p
+
+    d, some = "/root/testdata/sf0.001", ["tsv6", "found_json", "found", "totals", "path_size"]
+    made = p.with_order(spark, d).selectExpr(f"inline(array({', '.join(f'struct({i} as n, {p._line(f)} as value)' for i, f in enumerate(some))}))")
+    out = n.count_lines(made, some)
+    assert {r["format"]: r["count"] for r in out.collect()} == {f: n.count_native(p.raw(spark, d, f), f).first()["count"] for f in some}
+    assert {r["count"] for r in n.count_lines(made.limit(0), some).collect()} == {0}
+    plan = p.QUERIES["n34_count_native"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 11 and not n.counted_together("yaml_pages") and not n.counted_together("url_json")
